@@ -47,4 +47,5 @@ def r6(df: DataFrame) -> DataFrame:
 from fathom.plans import (  # noqa: E402,F401
     q_qc,
     q_grid,
+    q_geo,
 )
