@@ -48,4 +48,5 @@ from fathom.plans import (  # noqa: E402,F401
     q_qc,
     q_grid,
     q_geo,
+    q_products,
 )
