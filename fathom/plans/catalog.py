@@ -49,4 +49,5 @@ from fathom.plans import (  # noqa: E402,F401
     q_grid,
     q_geo,
     q_products,
+    q_stream,
 )
