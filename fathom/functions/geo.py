@@ -105,7 +105,7 @@ def utm_to_wgs84(easting: Column, northing: Column, zone: Column | int, north: C
     """Inverse transverse Mercator: (easting, northing) of a UTM zone -> (lat, lon) degrees."""
     zone_c = zone if isinstance(zone, Column) else F.lit(zone)
     north_c = north if isinstance(north, Column) else F.lit(bool(north))
-    lon0 = F.radians((zone_c - F.lit(1)) * F.lit(6) - F.lit(177)).cast("double")
+    lon0_deg = ((zone_c - F.lit(1)) * F.lit(6) - F.lit(177)).cast("double")
     n0 = F.when(north_c, F.lit(0.0)).otherwise(F.lit(UTM_FALSE_NORTHING_SOUTH))
     xi = (northing - n0) / F.lit(UTM_K0 * _A)
     eta = (easting - F.lit(UTM_FALSE_EASTING)) / F.lit(UTM_K0 * _A)
@@ -117,8 +117,8 @@ def utm_to_wgs84(easting: Column, northing: Column, zone: Column | int, north: C
     phi = chi
     for j, d in enumerate(_DELTA, start=1):
         phi = phi + F.lit(d) * F.sin(F.lit(2.0 * j) * chi)
-    lam = lon0 + F.atan2(F.sinh(eta_p), F.cos(xi_p))
-    return F.degrees(phi), F.degrees(lam)
+    # Central meridian added in degrees: easting 500000 gives it exactly.
+    return F.degrees(phi), lon0_deg + F.degrees(F.atan2(F.sinh(eta_p), F.cos(xi_p)))
 
 
 def wgs84_to_utm_py(lat: float, lon: float, zone: int, north: bool = True) -> tuple[float, float]:

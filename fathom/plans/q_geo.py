@@ -100,8 +100,8 @@ def _utm_inverse_sql(e: str, n: str, zone: int = 33) -> tuple[str, str]:
         eta_p += f" - {b!r} * cos({2 * j}.0 * {xi}) * sinh({2 * j}.0 * {eta})"
     chi = f"asin(sin({xi_p}) / cosh({eta_p}))"
     phi = chi + "".join(f" + {d!r} * sin({2 * j}.0 * {chi})" for j, d in enumerate(geo._DELTA, start=1))
-    lam = f"radians({geo.central_meridian(zone)}.0) + atan2(sinh({eta_p}), cos({xi_p}))"
-    return f"degrees({phi})", f"degrees({lam})"
+    lam = f"{geo.central_meridian(zone)}.0 + degrees(atan2(sinh({eta_p}), cos({xi_p})))"
+    return f"degrees({phi})", lam
 
 
 _LAT, _LON = _utm_inverse_sql("longitude", "latitude")
