@@ -1,8 +1,11 @@
 """Quality scores and the per-survey QC summary.
 
-All scores are column expressions over two small per-survey aggregates
-(points per survey, anomalies per survey); the soundings are scanned once for
-the point counts and the anomaly tables are already small.
+Scores depend only on counts per survey, so the summary path never builds
+anomaly rows: ``rule_counts`` / ``detector_counts`` aggregate the rule
+conditions directly (map-side partial aggregation, one small row per
+survey), and the tiers are column expressions over those rows.  Anomaly rows
+(``rules.rule_anomalies`` / ``detector.detector_anomalies``) are built only
+for reports; passing them in counts them instead.
 """
 
 from __future__ import annotations
@@ -54,6 +57,78 @@ def point_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("survey_id").agg(F.count(F.lit(1)).alias("total_points"))
 
 
+def _sum_cols(cols: list[str]):
+    from functools import reduce
+    return reduce(lambda a, b: a + b, [F.col(c) for c in cols]) if cols else F.lit(0).cast("long")
+
+
+def rule_counts(df: DataFrame, sensor: str) -> DataFrame:
+    """Per survey: total points and rule-anomaly counts (all, high, by type)
+    without materialising anomaly rows.
+
+    One aggregate pass computes the point count, every range rule's count
+    and the depth statistics; the duplicate-timestamp and 3-sigma rules add
+    one aggregate each.  Scores only need these counts, so nothing is
+    exploded or shuffled per anomaly.
+    """
+    rules = rl.rules_for(sensor)
+    cols = [r for r in rules if r in rl.RANGE_RULES and r in df.columns]
+    aggs = [F.count(F.lit(1)).alias("total_points")]
+    aggs += [F.count_if(rl.range_condition(c)).alias(f"_r_{c}") for c in cols]
+    outl = "depth_consistency" in rules and "depth" in df.columns
+    if outl:
+        aggs += [F.count("depth").alias("_n_values"), F.avg("depth").alias("_mean"),
+                 F.stddev_samp("depth").alias("_std")]
+    t = df.groupBy("survey_id").agg(*aggs)
+    types: dict[str, list[str]] = {}
+    high: list[str] = []
+    for c in cols:
+        types.setdefault(rl.RANGE_RULES[c][2], []).append(f"_r_{c}")
+        if rl.RANGE_RULES[c][3] == "high":
+            high.append(f"_r_{c}")
+    if "duplicate_timestamp" in rules and "timestamp" in df.columns:
+        d = rl.duplicate_timestamp_counts(df).select("survey_id", F.lit(1).cast("long").alias("_g_dup"))
+        t = t.join(d, "survey_id", "left").fillna(0, subset=["_g_dup"])
+        types["duplicate_timestamp"] = ["_g_dup"]
+    if outl:
+        ok = t.where((F.col("total_points") >= rl.OUTLIER_MIN_ROWS) & (F.col("_n_values") >= rl.OUTLIER_MIN_VALUES))
+        o = (df.select("survey_id", "depth").join(ok.select("survey_id", "_mean", "_std"), "survey_id")
+               .groupBy("survey_id")
+               .agg(F.count_if(F.abs(F.col("depth") - F.col("_mean")) > F.lit(rl.OUTLIER_SIGMAS) * F.col("_std"))
+                    .alias("_g_outlier")))
+        t = t.join(o, "survey_id", "left").fillna(0, subset=["_g_outlier"])
+        types["depth_outlier"] = ["_g_outlier"]
+    all_cols = [c for v in types.values() for c in v]
+    return t.select("survey_id", "total_points",
+                    _sum_cols(all_cols).alias("anomaly_count"), _sum_cols(high).alias("high_count"),
+                    *[_sum_cols(v).alias(f"n_{k}") for k, v in types.items()])
+
+
+def detector_counts(df: DataFrame) -> DataFrame:
+    """Per survey: detector anomaly counts (all, high) without anomaly rows."""
+    base = df.groupBy("survey_id").agg(
+        F.count(F.lit(1)).alias("total_points"),
+        *([F.count_if((F.col("depth") < det.DEPTH_LO) | (F.col("depth") > det.DEPTH_HI)).alias("_unreal")]
+          if "depth" in df.columns else [F.lit(0).cast("long").alias("_unreal")]))
+    if "depth" not in df.columns:
+        return base.select("survey_id", "total_points", F.lit(0).cast("long").alias("anomaly_count"),
+                           F.lit(0).cast("long").alias("high_count"))
+    diff = F.col("depth") - F.col("prev_depth")
+    jumps = (det.depth_sequence(df).groupBy("survey_id").agg(
+        F.count_if((diff > det.MAX_DEPTH_JUMP) | (diff < -det.MAX_DEPTH_JUMP)).alias("_jump"),
+        F.count_if(F.abs(diff) > det.HIGH_JUMP).alias("_jump_high")))
+    t = base.join(jumps, "survey_id", "left")
+    if "latitude" in df.columns and "longitude" in df.columns:
+        g = det.duplicate_coordinate_groups(df).groupBy("survey_id").agg(F.count(F.lit(1)).alias("_coord"))
+        t = t.join(g, "survey_id", "left")
+    else:
+        t = t.withColumn("_coord", F.lit(0).cast("long"))
+    t = t.fillna(0, subset=["_jump", "_jump_high", "_coord"])
+    return t.select("survey_id", "total_points",
+                    (F.col("_jump") + F.col("_unreal") + F.col("_coord")).alias("anomaly_count"),
+                    (F.col("_jump_high") + F.col("_unreal")).alias("high_count"))
+
+
 def anomaly_counts(anomalies: DataFrame, prefix: str) -> DataFrame:
     return anomalies.groupBy("survey_id").agg(
         F.count(F.lit(1)).alias(f"{prefix}_anomalies"),
@@ -67,8 +142,12 @@ def _with_counts(points: DataFrame, anomalies: DataFrame, prefix: str) -> DataFr
 
 def rule_qc(df: DataFrame, sensor: str, anomalies: DataFrame | None = None) -> DataFrame:
     """Per survey: total points, rule anomaly counts and the tiered score."""
-    a = anomalies if anomalies is not None else rl.rule_anomalies(df, sensor)
-    t = _with_counts(point_counts(df), a, "rule")
+    if anomalies is None:
+        t = rule_counts(df, sensor).select("survey_id", "total_points",
+                                           F.col("anomaly_count").alias("rule_anomalies"),
+                                           F.col("high_count").alias("rule_high"))
+    else:
+        t = _with_counts(point_counts(df), anomalies, "rule")
     return t.select(
         "survey_id", F.lit("completed").alias("status"), "total_points",
         F.col("rule_anomalies").alias("anomaly_count"), F.col("rule_high").alias("high_count"),
@@ -78,8 +157,11 @@ def rule_qc(df: DataFrame, sensor: str, anomalies: DataFrame | None = None) -> D
 
 def detector_qc(df: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:
     """Per survey: detector anomaly count, rate and confidence."""
-    a = anomalies if anomalies is not None else det.detector_anomalies(df)
-    t = _with_counts(point_counts(df), a, "det")
+    if anomalies is None:
+        t = detector_counts(df).select("survey_id", "total_points", F.col("anomaly_count").alias("det_anomalies"),
+                                       F.col("high_count").alias("det_high"))
+    else:
+        t = _with_counts(point_counts(df), anomalies, "det")
     return t.select(
         "survey_id", "total_points", F.col("det_anomalies").alias("anomaly_count"),
         F.col("det_high").alias("high_count"),
@@ -102,10 +184,12 @@ def qc_summary(df: DataFrame, sensor: str, mode: str = "auto") -> DataFrame:
                              F.lit(None).cast("double").alias("rule_score"),
                              F.lit(None).cast("double").alias("detector_confidence"),
                              F.lit(None).cast("double").alias("quality_score"))
-    t = _with_counts(points, rl.rule_anomalies(df, sensor), "rule")
+    t = rule_counts(df, sensor).select("survey_id", "total_points", F.col("anomaly_count").alias("rule_anomalies"),
+                                       F.col("high_count").alias("rule_high"))
     if mode == "auto":
-        t = (t.join(anomaly_counts(det.detector_anomalies(df), "det"), "survey_id", "left")
-              .fillna(0, subset=["det_anomalies", "det_high"]))
+        d = detector_counts(df).select("survey_id", F.col("anomaly_count").alias("det_anomalies"),
+                                       F.col("high_count").alias("det_high"))
+        t = t.join(d, "survey_id", "left").fillna(0, subset=["det_anomalies", "det_high"])
         dconf = detector_confidence(F.col("det_anomalies"), F.col("det_high"), F.col("total_points"))
     else:
         t = t.withColumn("det_anomalies", F.lit(0).cast("long")).withColumn("det_high", F.lit(0).cast("long"))

@@ -39,12 +39,10 @@ FROM pts p LEFT JOIN c ON p.survey_id = c.survey_id
 def qc_mbes_report(spark, sf_dir):
     """Per survey: total points, anomaly count by type, quality score."""
     s = view(spark, sf_dir, "soundings_mbes")
-    anomalies = rl.rule_anomalies(s, "mbes")
-    score = sc.rule_qc(s, "mbes", anomalies).drop("status", "rules_applied")
-    by_type = anomalies.groupBy("survey_id").pivot("type", MBES_TYPES).agg(F.count(F.lit(1)))
-    by_type = by_type.select("survey_id", *[F.col(t).alias(f"n_{t}") for t in MBES_TYPES])
-    out = score.join(by_type, "survey_id", "left").fillna(0, subset=[f"n_{t}" for t in MBES_TYPES])
-    return r6(out)
+    c = sc.rule_counts(s, "mbes")
+    score = sc.rule_score(F.col("anomaly_count"), F.col("high_count"), F.col("total_points"))
+    return r6(c.select("survey_id", "total_points", "anomaly_count", "high_count", score.alias("quality_score"),
+                       *[f"n_{t}" for t in MBES_TYPES]))
 
 
 register("qc_mbes", _QC_MBES_SQL, ("soundings_mbes",))(qc_mbes_report)
