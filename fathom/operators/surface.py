@@ -2,17 +2,23 @@
 sounding (planar distance in degrees, ties -> lowest idx), without a
 cartesian product.
 
-Nearest node join, level by level:
+Nearest node join:
 
 * soundings at the same coordinate collapse to the lowest idx first (a
   "group of copies" holding a third of the rows becomes one candidate);
-* at level L soundings are keyed by square buckets of side b = cell * 2^L;
-  every unresolved node is joined (equi-join) to the 3 x 3 buckets around
-  its own and keeps ``min_by`` over (distance, idx);
-* the answer is exact when the best distance is strictly smaller than the
-  node's distance to the edge of the searched square (nothing outside can be
-  as close), or when the square covers the whole survey; other nodes go to
-  level L + 1 with doubled buckets.
+* locations are keyed by square cells of side b0, sized from the survey's
+  point density; only the non-empty cells take part in the search;
+* level L groups cells into coarse buckets of 4^L x 4^L cells; every
+  unresolved node is equi-joined to the non-empty cells of the 3 x 3 coarse
+  buckets around it and gets U = min over cells of the distance to the
+  cell's representative sounding -- an upper bound of its nearest distance;
+* when U is smaller than the node's distance to the edge of the searched
+  square (or the square covers the survey), every cell that can hold the
+  nearest sounding (nearest distance to the rectangle <= U) is inside it:
+  the node is compared with exactly those cells' soundings and keeps
+  ``min_by`` over (distance, idx) -- the brute-force answer, ties included;
+* other nodes go to level L + 1.  Work is bounded by cells, not points, in
+  sparse regions and by a few cells per node in dense ones.
 
 Each level's leftovers are checkpointed into ``spark.checkpoint.dir``; the
 driver only reads the leftover count (a bounded loop counter).
@@ -27,6 +33,8 @@ from fathom.operators.grid import RESOLUTION, grid_bounds, grid_nodes
 from fathom.session import checkpoint_dir
 
 EDGE_EPS = 1e-9  # degrees; keeps the acceptance test conservative under rounding
+TARGET_PER_BUCKET = 4.0
+GROWTH = 4  # bucket side multiplier per level
 
 
 def valid_points(df: DataFrame, z: str) -> DataFrame:
@@ -41,48 +49,82 @@ def _distinct_locations(pts: DataFrame) -> DataFrame:
 
 
 def nearest_node_join(nodes: DataFrame, pts: DataFrame, bounds: DataFrame,
-                      res: float = RESOLUTION, bucket_cells: int = 1, max_levels: int = 64) -> DataFrame:
+                      res: float = RESOLUTION, bucket_cells: int = 1, max_levels: int = 32) -> DataFrame:
     """(survey, row, col, lat, lon) x soundings -> nearest sounding per node."""
     checkpoint_dir(nodes.sparkSession)
     locs = _distinct_locations(pts)
+    n_loc = locs.groupBy("survey_id").agg(F.count(F.lit(1)).alias("n_loc"))
     ext = bounds.select("survey_id", "min_lat", "min_lon",
                         (F.col("max_lat") - F.col("min_lat")).alias("ext_lat"),
                         (F.col("max_lon") - F.col("min_lon")).alias("ext_lon"))
-    locs = locs.join(ext, "survey_id")
-    todo = nodes.join(ext, "survey_id")
+    # Cell side per survey: about TARGET_PER_BUCKET locations per cell at the
+    # survey's mean density, never finer than a grid cell.
+    area = F.greatest(F.col("ext_lat"), F.lit(res)) * F.greatest(F.col("ext_lon"), F.lit(res))
+    b0 = F.greatest(F.lit(res * bucket_cells), F.sqrt(area / F.col("n_loc") * F.lit(TARGET_PER_BUCKET)))
+    ext = (ext.join(n_loc, "survey_id").withColumn("b0", b0).drop("n_loc")
+              .withColumns({"max_cx": F.floor(F.col("ext_lon") / F.col("b0")),
+                            "max_cy": F.floor(F.col("ext_lat") / F.col("b0"))}))
+    cell_x = F.floor((F.col("longitude") - F.col("min_lon")) / F.col("b0"))
+    cell_y = F.floor((F.col("latitude") - F.col("min_lat")) / F.col("b0"))
+    # Locations are read by every level: materialise them once (cut lineage).
+    locs = (locs.join(ext.select("survey_id", "min_lat", "min_lon", "b0"), "survey_id")
+                .withColumns({"cx": cell_x, "cy": cell_y}).drop("min_lat", "min_lon", "b0")
+                .checkpoint(eager=True))
+    # One representative sounding per non-empty cell: its distance is an upper
+    # bound of a node's nearest distance (it is an actual sounding).
+    rep = F.min_by(F.struct("latitude", "longitude"), F.col("idx"))
+    cells = (locs.groupBy("survey_id", "cx", "cy").agg(rep.alias("rep"))
+                 .select("survey_id", "cx", "cy", F.col("rep.latitude").alias("ry"),
+                         F.col("rep.longitude").alias("rx"))
+                 .checkpoint(eager=True))
+    todo = (nodes.join(ext, "survey_id")
+                 .withColumns({"ncx": F.floor((F.col("lon") - F.col("min_lon")) / F.col("b0")),
+                               "ncy": F.floor((F.col("lat") - F.col("min_lat")) / F.col("b0"))}))
+    eps = F.lit(EDGE_EPS)
     done = []
     for level in range(max_levels):
-        b = F.lit(res * bucket_cells * (2 ** level))
-        p = locs.select("survey_id", "idx", "z", F.col("latitude").alias("py"), F.col("longitude").alias("px"),
-                        F.floor((F.col("longitude") - F.col("min_lon")) / b).alias("bx"),
-                        F.floor((F.col("latitude") - F.col("min_lat")) / b).alias("by"))
-        n = todo.withColumns({"nbx": F.floor((F.col("lon") - F.col("min_lon")) / b),
-                              "nby": F.floor((F.col("lat") - F.col("min_lat")) / b)})
+        f = GROWTH ** level  # coarse bucket = f x f cells
+        n = todo.withColumns({"kx": F.floor(F.col("ncx") / f), "ky": F.floor(F.col("ncy") / f)})
         offs = F.array(*[F.lit(i) for i in (-1, 0, 1)])
         probe = (n.withColumn("dx", F.explode(offs)).withColumn("dy", F.explode(offs))
-                  .withColumns({"bx": F.col("nbx") + F.col("dx"), "by": F.col("nby") + F.col("dy")}))
-        pairs = probe.join(p, ["survey_id", "bx", "by"])
-        dx, dy = F.col("px") - F.col("lon"), F.col("py") - F.col("lat")
-        d = F.sqrt(dx * dx + dy * dy)
-        best = (pairs.withColumn("d", d)
-                     .groupBy("survey_id", "row", "col")
-                     .agg(F.min_by(F.struct("d", "idx", "z"), F.struct("d", "idx")).alias("best")))
-        # Distance from the node to the edge of its searched 3 x 3 square.
-        x0 = F.col("min_lon") + (F.col("nbx") - 1) * b
-        x1 = F.col("min_lon") + (F.col("nbx") + 2) * b
-        y0 = F.col("min_lat") + (F.col("nby") - 1) * b
-        y1 = F.col("min_lat") + (F.col("nby") + 2) * b
-        edge = F.least(F.col("lon") - x0, x1 - F.col("lon"), F.col("lat") - y0, y1 - F.col("lat"))
-        covers_all = (((F.col("nbx") - 1) * b <= 0) & ((F.col("nbx") + 2) * b > F.col("ext_lon") + F.lit(EDGE_EPS))
-                      & ((F.col("nby") - 1) * b <= 0) & ((F.col("nby") + 2) * b > F.col("ext_lat") + F.lit(EDGE_EPS)))
-        judged = (n.join(best, ["survey_id", "row", "col"], "left")
-                   .withColumn("ok", F.col("best").isNotNull()
-                               & ((F.col("best.d") < edge - F.lit(EDGE_EPS)) | covers_all)))
-        judged = judged.checkpoint(eager=True)
-        done.append(judged.where("ok").select("survey_id", "row", "col", "lat", "lon",
-                                              F.col("best.z").alias("z"), F.col("best.idx").alias("src_idx")))
-        todo = judged.where(~F.col("ok")).select(*nodes.columns, "min_lat", "min_lon", "ext_lat", "ext_lon")
-        if todo.count() == 0:
+                  .withColumns({"pkx": F.col("kx") + F.col("dx"), "pky": F.col("ky") + F.col("dy")}))
+        cl = cells.select("survey_id", "cx", "cy", "rx", "ry", F.floor(F.col("cx") / f).alias("pkx"),
+                          F.floor(F.col("cy") / f).alias("pky"))
+        pairs = probe.join(cl, ["survey_id", "pkx", "pky"])
+        # Distance bounds between the node and every point of a cell rectangle.
+        x0 = F.col("min_lon") + F.col("cx") * F.col("b0")
+        y0 = F.col("min_lat") + F.col("cy") * F.col("b0")
+        x1, y1 = x0 + F.col("b0"), y0 + F.col("b0")
+        gx = F.greatest(F.lit(0.0), x0 - F.col("lon"), F.col("lon") - x1)
+        gy = F.greatest(F.lit(0.0), y0 - F.col("lat"), F.col("lat") - y1)
+        rx, ry = F.col("rx") - F.col("lon"), F.col("ry") - F.col("lat")
+        pairs = pairs.withColumns({"dmin": F.sqrt(gx * gx + gy * gy), "drep": F.sqrt(rx * rx + ry * ry)})
+        bound = pairs.groupBy("survey_id", "row", "col").agg(F.min("drep").alias("ub"))
+        # Distance from the node to the edge of the searched 3 x 3 coarse square.
+        span = F.col("b0") * F.lit(float(f))
+        sx0 = F.col("min_lon") + (F.col("kx") - 1) * span
+        sx1 = F.col("min_lon") + (F.col("kx") + 2) * span
+        sy0 = F.col("min_lat") + (F.col("ky") - 1) * span
+        sy1 = F.col("min_lat") + (F.col("ky") + 2) * span
+        edge = F.least(F.col("lon") - sx0, sx1 - F.col("lon"), F.col("lat") - sy0, sy1 - F.col("lat"))
+        covers_all = (((F.col("kx") - 1) * f <= 0) & ((F.col("kx") + 2) * f > F.col("max_cx"))
+                      & ((F.col("ky") - 1) * f <= 0) & ((F.col("ky") + 2) * f > F.col("max_cy")))
+        judged = (n.join(bound, ["survey_id", "row", "col"], "left")
+                   .withColumn("ok", F.col("ub").isNotNull() & ((F.col("ub") + eps < edge) | covers_all))
+                   .checkpoint(eager=True))
+        # Exact step for resolved nodes: points of cells that can hold the nearest.
+        keys = ["survey_id", "row", "col"]
+        cand = (pairs.join(judged.where("ok").select(*keys, "ub"), keys)
+                     .where(F.col("dmin") <= F.col("ub") + eps)
+                     .select(*keys, "lat", "lon", "survey_id", "cx", "cy"))
+        dx, dy = F.col("longitude") - F.col("lon"), F.col("latitude") - F.col("lat")
+        near = (cand.join(locs, ["survey_id", "cx", "cy"])
+                    .withColumn("d", F.sqrt(dx * dx + dy * dy))
+                    .groupBy(*keys, "lat", "lon")
+                    .agg(F.min_by(F.struct("idx", "z"), F.struct("d", "idx")).alias("best")))
+        done.append(near.select(*keys, "lat", "lon", F.col("best.z").alias("z"), F.col("best.idx").alias("src_idx")))
+        todo = judged.where(~F.col("ok")).drop("ok", "ub", "kx", "ky")
+        if todo.isEmpty():
             break
     out = done[0]
     for d_ in done[1:]:
