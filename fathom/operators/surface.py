@@ -145,3 +145,248 @@ def surface_bounds(df: DataFrame, res: float = RESOLUTION, z: str | None = None)
     """bounds, shape, resolution and valid point count of each survey's surface."""
     z = z or ("depth" if "depth" in df.columns else "elevation")
     return grid_bounds(valid_points(df, z), res)
+
+
+# ----------------------------------------------------------------- linear
+#
+# Piecewise-linear surface over the Delaunay triangulation, computed per tile.
+# A tile's points plus a halo are triangulated in an Arrow batch (numpy
+# Bowyer–Watson); a local triangle is certainly a triangle of the survey's
+# triangulation when its circumcircle, clipped to the survey's bounding box,
+# lies inside the tile + halo rectangle (every point that could fall inside it
+# is present locally).  Nodes inside the survey's convex hull that no certified
+# triangle covers are retried with a wider halo; nodes outside the hull are
+# NULL without any triangulation (the reference's fill value).
+
+TILE_POINTS = 1024.0
+HALO_STEPS = [0.5, 1.0, 2.0, 4.0, 8.0]
+
+LINEAR_OUT = ("survey_id long, row int, col int, z double, kind string, a long, b long, c long")
+
+
+def survey_hulls(pts: DataFrame) -> DataFrame:
+    """Convex hull per survey as coordinate arrays (counter-clockwise).
+
+    Tree reduction: a running hull per partition (mapInPandas), a hull of
+    those per (survey, bucket of partitions), then per survey -- every group
+    holds hull vertices only.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from fathom.functions.delaunay import convex_hull
+
+    def partial(it):
+        acc: dict = {}
+        for pdf in it:
+            for s, g in pdf.groupby("survey_id"):
+                x = g["longitude"].to_numpy(float)
+                y = g["latitude"].to_numpy(float)
+                if s in acc:
+                    x, y = np.concatenate([acc[s][0], x]), np.concatenate([acc[s][1], y])
+                acc[s] = convex_hull(x, y)
+        rows = [(int(s), float(a), float(b)) for s, (hx, hy) in acc.items() for a, b in zip(hx, hy)]
+        yield pd.DataFrame(rows, columns=["survey_id", "longitude", "latitude"])
+
+    def merge(pdf):
+        hx, hy = convex_hull(pdf["longitude"].to_numpy(float), pdf["latitude"].to_numpy(float))
+        return pd.DataFrame({"survey_id": int(pdf["survey_id"].iloc[0]), "longitude": hx, "latitude": hy})
+
+    schema = "survey_id long, longitude double, latitude double"
+    p = pts.select(F.col("survey_id").cast("long").alias("survey_id"), "longitude", "latitude")
+    h1 = p.mapInPandas(partial, schema).withColumn("_b", F.pmod(F.spark_partition_id(), F.lit(256)))
+    h2 = h1.groupBy("survey_id", "_b").applyInPandas(merge, schema)
+    h3 = h2.groupBy("survey_id").applyInPandas(
+        lambda pdf: merge(pdf).assign(_i=lambda d: range(len(d))), schema + ", _i long")
+    return (h3.groupBy("survey_id")
+              .agg(F.sort_array(F.collect_list(F.struct("_i", "longitude", "latitude"))).alias("h"))
+              .select("survey_id", F.col("h.longitude").alias("hx"), F.col("h.latitude").alias("hy"),
+                      F.size("h").alias("n_hull")))
+
+
+def inside_hull(lon, lat, eps: float = 1e-12):
+    """Column: point inside (or on) the counter-clockwise hull arrays hx / hy."""
+    def edge_ok(i):
+        j = (i + 1) % F.col("n_hull")
+        hx, hy = F.col("hx"), F.col("hy")
+        cross = ((hx[j] - hx[i]) * (lat - hy[i]) - (hy[j] - hy[i]) * (lon - hx[i]))
+        return cross >= F.lit(-eps)
+    return (F.col("n_hull") >= 3) & F.forall(F.sequence(F.lit(0), F.col("n_hull") - 1), edge_ok)
+
+
+def _core(x, y, tri, meta):
+    import numpy as np
+    cx_ = (x[tri[:, 0]] + x[tri[:, 1]] + x[tri[:, 2]]) / 3.0
+    cy_ = (y[tri[:, 0]] + y[tri[:, 1]] + y[tri[:, 2]]) / 3.0
+    return (cx_ >= meta["cx0"]) & (cx_ < meta["cx1"]) & (cy_ >= meta["cy0"]) & (cy_ < meta["cy1"])
+
+
+def _linear_tile(points, nodes):
+    """cogroup body: triangulate a tile + halo, answer its pending nodes."""
+    import numpy as np
+    import pandas as pd
+
+    from fathom.functions.delaunay import circumcircles, delaunay, locate_linear
+
+    cols = ["survey_id", "row", "col", "z", "kind", "a", "b", "c"]
+    if len(nodes) == 0 and len(points) == 0:
+        return pd.DataFrame(columns=cols)
+    meta = nodes.iloc[0] if len(nodes) else points.iloc[0]
+    x = points["longitude"].to_numpy(float)
+    y = points["latitude"].to_numpy(float)
+    z = points["z"].to_numpy(float)
+    ids = points["idx"].to_numpy(np.int64)
+    tri = delaunay(x, y) if len(x) >= 3 else np.empty((0, 3), dtype=np.int64)
+    all_tri, ok = tri, np.zeros(len(tri), dtype=bool)
+    if len(tri):
+        ux, uy, r = circumcircles(x, y, tri)
+        bx0, bx1 = np.maximum(ux - r, meta["min_lon"]), np.minimum(ux + r, meta["max_lon"])
+        by0, by1 = np.maximum(uy - r, meta["min_lat"]), np.minimum(uy + r, meta["max_lat"])
+        m = 1e-9 * max(1.0, meta["tile"])
+        ok = ((bx0 >= meta["rx0"] + m) | (meta["rx0"] <= meta["min_lon"])) & \
+             ((bx1 <= meta["rx1"] - m) | (meta["rx1"] >= meta["max_lon"])) & \
+             ((by0 >= meta["ry0"] + m) | (meta["ry0"] <= meta["min_lat"])) & \
+             ((by1 <= meta["ry1"] - m) | (meta["ry1"] >= meta["max_lat"]))
+        tri = tri[ok]
+    out = []
+    if meta.get("emit_triangles", False):
+        # Triangulation mode: certified triangles whose centroid is in this
+        # tile's core; the tile marker stays pending while any core triangle
+        # is not certified yet.
+        core_of = lambda t: _core(x, y, t, meta)
+        certified = tri[core_of(tri)] if len(tri) else tri
+        if len(certified):
+            v = np.sort(ids[certified], axis=1)
+            out.append(pd.DataFrame({"survey_id": int(meta["survey_id"]), "row": None, "col": None, "z": np.nan,
+                                     "kind": "triangle", "a": v[:, 0], "b": v[:, 1], "c": v[:, 2]}))
+        if len(all_tri) and core_of(all_tri[~ok]).any() and len(nodes):
+            out.append(pd.DataFrame({"survey_id": nodes["survey_id"], "row": nodes["row"], "col": nodes["col"],
+                                     "z": np.nan, "kind": "pending", "a": None, "b": None, "c": None}))
+    elif len(nodes):
+        zz, _ = locate_linear(x, y, z, tri, nodes["lon"].to_numpy(float), nodes["lat"].to_numpy(float))
+        hit = ~np.isnan(zz)
+        out.append(pd.DataFrame({"survey_id": nodes["survey_id"], "row": nodes["row"], "col": nodes["col"],
+                                 "z": np.where(hit, zz, np.nan),
+                                 "kind": np.where(hit, "linear", "pending"),
+                                 "a": None, "b": None, "c": None}))
+    return pd.concat(out, ignore_index=True)[cols] if out else pd.DataFrame(columns=cols)
+
+
+def _tile_frames(locs: DataFrame, todo: DataFrame, geo: DataFrame, halo: float, emit: bool):
+    """Point copies per tile + halo and pending nodes per tile, with the
+    per-survey constants the tile function needs."""
+    t = F.col("tile")
+    h = t * F.lit(halo)
+    tkeys = ["survey_id", "tx", "ty"]
+    # Fresh attributes for the node side: both cogroup inputs derive from geo.
+    geo_n = geo.select(*[F.col(c).alias(c) for c in geo.columns])
+    n = (todo.join(geo_n, "survey_id")
+             .withColumns({"tx": F.floor((F.col("lon") - F.col("min_lon")) / t),
+                           "ty": F.floor((F.col("lat") - F.col("min_lat")) / t)}))
+    active = n.select(*[F.col(k).alias(k) for k in tkeys]).distinct()
+    p = locs.join(geo, "survey_id")
+    lo_x = F.floor((F.col("longitude") - h - F.col("min_lon")) / t)
+    hi_x = F.floor((F.col("longitude") + h - F.col("min_lon")) / t)
+    lo_y = F.floor((F.col("latitude") - h - F.col("min_lat")) / t)
+    hi_y = F.floor((F.col("latitude") + h - F.col("min_lat")) / t)
+    p = (p.withColumn("tx", F.explode(F.sequence(lo_x, hi_x)))
+          .withColumn("ty", F.explode(F.sequence(lo_y, hi_y)))
+          .join(active, tkeys, "left_semi"))
+
+    def rect(df):
+        return df.withColumns({
+            "cx0": F.col("min_lon") + F.col("tx") * t, "cx1": F.col("min_lon") + (F.col("tx") + 1) * t,
+            "cy0": F.col("min_lat") + F.col("ty") * t, "cy1": F.col("min_lat") + (F.col("ty") + 1) * t,
+            "rx0": F.col("min_lon") + F.col("tx") * t - h, "rx1": F.col("min_lon") + (F.col("tx") + 1) * t + h,
+            "ry0": F.col("min_lat") + F.col("ty") * t - h, "ry1": F.col("min_lat") + (F.col("ty") + 1) * t + h,
+            "emit_triangles": F.lit(emit)})
+
+    def fresh(df):  # new attribute ids: both sides share lineage (same survey keys)
+        return df.select(*[F.col(c).alias(c) for c in df.columns])
+    return fresh(rect(p)), fresh(rect(n))
+
+
+def _linear_levels(locs: DataFrame, todo: DataFrame, geo: DataFrame, emit_first: bool = False,
+                   max_levels: int = len(HALO_STEPS)):
+    results, triangles = [], None
+    tkeys = ["survey_id", "tx", "ty"]
+    for level, halo in enumerate(HALO_STEPS[:max_levels]):
+        p, n = _tile_frames(locs, todo, geo, halo, emit_first)
+        res = (p.groupBy(*tkeys).cogroup(n.groupBy(*tkeys))
+                .applyInPandas(_linear_tile, LINEAR_OUT)
+                .checkpoint(eager=True))
+        if emit_first:
+            tr = res.where(F.col("kind") == "triangle").select("survey_id", "a", "b", "c")
+            triangles = tr if triangles is None else triangles.unionByName(
+                tr.join(triangles, ["survey_id", "a", "b", "c"], "left_anti"))
+        results.append(res.where(F.col("kind") == "linear").select("survey_id", "row", "col", "z"))
+        todo = (res.where(F.col("kind") == "pending").select("survey_id", "row", "col")
+                   .join(todo, ["survey_id", "row", "col"]))
+        if todo.isEmpty():
+            break
+    return results, todo, triangles
+
+
+def _linear_inputs(df: DataFrame, res: float, z: str | None):
+    z = z or ("depth" if "depth" in df.columns else "elevation")
+    pts = valid_points(df, z).withColumn("survey_id", F.col("survey_id").cast("long"))
+    locs = _distinct_locations(pts).checkpoint(eager=True)
+    bounds = grid_bounds(pts, res)
+    n_loc = locs.groupBy("survey_id").agg(F.count(F.lit(1)).alias("n_loc"))
+    area = (F.greatest(F.col("max_lat") - F.col("min_lat"), F.lit(res))
+            * F.greatest(F.col("max_lon") - F.col("min_lon"), F.lit(res)))
+    geo = (bounds.join(n_loc, "survey_id")
+                 .select("survey_id", "min_lat", "max_lat", "min_lon", "max_lon",
+                         F.greatest(F.lit(res), F.sqrt(area / F.col("n_loc") * F.lit(TILE_POINTS))).alias("tile")))
+    hulls = survey_hulls(locs)
+    return pts, locs, bounds, geo, hulls
+
+
+def surface_linear(df: DataFrame, res: float = RESOLUTION, z: str | None = None) -> DataFrame:
+    """Every node: linear interpolation in the Delaunay triangle containing it;
+    NULL outside the convex hull; surveys with < 3 valid points or collinear
+    points fall back to the nearest sounding (as the reference does).
+
+    ``method`` is 'linear', 'outside', 'nearest' or 'uncovered' (inside the
+    hull but no certified triangle within the widest halo; z NULL)."""
+    checkpoint_dir(df.sparkSession)
+    pts, locs, bounds, geo, hulls = _linear_inputs(df, res, z)
+    nodes = grid_nodes(bounds, res).join(hulls, "survey_id", "left").fillna(0, subset=["n_hull"])
+    degenerate = F.col("n_hull") < 3
+    inside = inside_hull(F.col("lon"), F.col("lat"))
+    nodes = nodes.withColumn("_cls", F.when(degenerate, "nearest").when(inside, "in").otherwise("outside"))
+    nodes = nodes.select("survey_id", "row", "col", "lat", "lon", "_cls").checkpoint(eager=True)
+    keys = ["survey_id", "row", "col"]
+    out = nodes.where(F.col("_cls") == "outside").select(
+        *keys, "lat", "lon", F.lit(None).cast("double").alias("z"), F.lit("outside").alias("method"))
+    near_nodes = nodes.where(F.col("_cls") == "nearest").select(*keys, "lat", "lon")
+    if not near_nodes.isEmpty():
+        near = nearest_node_join(near_nodes, pts, bounds, res).select(
+            *keys, "lat", "lon", "z", F.lit("nearest").alias("method"))
+        out = out.unionByName(near)
+    todo = nodes.where(F.col("_cls") == "in").select(*keys, "lat", "lon")
+    results, left, _ = _linear_levels(locs, todo, geo)
+    for r in results:
+        out = out.unionByName(r.join(nodes.select(*keys, "lat", "lon"), keys)
+                               .select(*keys, "lat", "lon", "z", F.lit("linear").alias("method")))
+    out = out.unionByName(left.select(*keys, "lat", "lon", F.lit(None).cast("double").alias("z"),
+                                      F.lit("uncovered").alias("method")))
+    return out
+
+
+def triangulation(df: DataFrame, res: float = RESOLUTION, z: str | None = None) -> DataFrame:
+    """Delaunay triangles (survey, a < b < c as sounding idx), each reported
+    once by the tile holding its centroid once its circumcircle is certified;
+    tiles with uncertified triangles retry with wider halos."""
+    checkpoint_dir(df.sparkSession)
+    pts, locs, bounds, geo, _ = _linear_inputs(df, res, z)
+    tiles = (locs.join(geo, "survey_id")
+                 .select("survey_id", F.floor((F.col("longitude") - F.col("min_lon")) / F.col("tile")).alias("tx"),
+                         F.floor((F.col("latitude") - F.col("min_lat")) / F.col("tile")).alias("ty"),
+                         "min_lon", "min_lat", "tile")
+                 .distinct()
+                 .select("survey_id", F.col("tx").cast("int").alias("row"), F.col("ty").cast("int").alias("col"),
+                         (F.col("min_lat") + (F.col("ty") + 0.5) * F.col("tile")).alias("lat"),
+                         (F.col("min_lon") + (F.col("tx") + 0.5) * F.col("tile")).alias("lon")))
+    _, _, tri = _linear_levels(locs, tiles, geo, emit_first=True)
+    return tri.select("survey_id", "a", "b", "c")

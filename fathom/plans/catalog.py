@@ -50,4 +50,5 @@ from fathom.plans import (  # noqa: E402,F401
     q_geo,
     q_products,
     q_stream,
+    q_convert,
 )

@@ -174,3 +174,23 @@ FROM ({_RUNNING_SQL}) g JOIN b ON g.survey_id = b.survey_id
 JOIN (SELECT survey_id, row, col, count(*) AS density FROM cells GROUP BY ALL) d
   ON g.survey_id = d.survey_id AND g.row = d.row AND g.col = d.col"""), ("soundings_mbes",))(
     lambda spark, sf_dir: r6(gr.attributed_grid(_mbes(spark, sf_dir), "mbes", RES, "running")))
+
+
+@register("surface_linear")
+def q_surface_linear(spark, sf_dir):
+    """Linear surface on the multibeam view (rows-only; exactness is tested
+    against one global triangulation in tests/test_surface_linear.py)."""
+    return r6(su.surface_linear(_mbes(spark, sf_dir), RES))
+
+
+@register("triangulation")
+def q_triangulation(spark, sf_dir):
+    return su.triangulation(_mbes(spark, sf_dir), RES)
+
+
+@register("surface_build")
+def q_surface_build(spark, sf_dir):
+    """Surface step of a conversion: z column choice, valid points, bounds and
+    the interpolated grid with its generation metadata (rows-only)."""
+    from fathom.plans.convert import build_surface
+    return build_surface(view(spark, sf_dir, "points_lidar"), "lidar", 0.001, method="nearest")
