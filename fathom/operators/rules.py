@@ -180,3 +180,48 @@ def duplicate_flags(df: DataFrame, keys: list[str]) -> DataFrame:
     return (df.select("survey_id", "idx", *keys)
               .join(counts, ["survey_id", *keys], "left")
               .select("survey_id", "idx", (F.col("_dup_n") > 1).alias("is_duplicate")))
+
+
+# Fixed values (must equal the reference's published validation rules): per
+# sensor the required / optional fields and the coordinate ranges it serves.
+# They disagree with the QC rules in two places (AUV depth 0-6000; beam_angle
+# required for mbes), which ``rule_catalog_check`` makes visible.
+VALIDATION_RULES = {
+    "mbes": {"required": ["timestamp", "latitude", "longitude", "depth", "beam_angle"],
+             "optional": ["quality", "intensity", "backscatter"],
+             "ranges": {"latitude": (-90, 90), "longitude": (-180, 180), "depth": (0, 12000)}},
+    "sbes": {"required": ["timestamp", "latitude", "longitude", "depth"],
+             "optional": ["quality", "frequency"],
+             "ranges": {"latitude": (-90, 90), "longitude": (-180, 180), "depth": (0, 12000)}},
+    "lidar": {"required": ["timestamp", "latitude", "longitude", "elevation"],
+              "optional": ["intensity", "classification"],
+              "ranges": {"latitude": (-90, 90), "longitude": (-180, 180), "elevation": (-1000, 10000)}},
+    "singlebeam": {"required": ["timestamp", "latitude", "longitude", "depth"],
+                   "optional": ["quality"],
+                   "ranges": {"latitude": (-90, 90), "longitude": (-180, 180), "depth": (0, 12000)}},
+    "auv": {"required": ["timestamp", "latitude", "longitude", "depth"],
+            "optional": ["heading", "pitch", "roll", "velocity"],
+            "ranges": {"latitude": (-90, 90), "longitude": (-180, 180), "depth": (0, 6000)}},
+}
+
+
+def rule_catalog(spark) -> DataFrame:
+    """The validation-rule catalogue as a small literal table
+    (sensor, column, lo, hi, required)."""
+    rows = [(s, c, float(lo), float(hi), c in v["required"])
+            for s, v in VALIDATION_RULES.items() for c, (lo, hi) in v["ranges"].items()]
+    return spark.createDataFrame(rows, "sensor string, column string, lo double, hi double, required boolean")
+
+
+def rule_catalog_check(df: DataFrame, sensor: str) -> DataFrame:
+    """Values outside the catalogue's ranges: soundings unpivoted to
+    (column, value) and joined to the catalogue on column with a range
+    condition.  The catalogue is a fixed literal of a few rows, so it is
+    broadcast (a proven size bound)."""
+    cat = rule_catalog(df.sparkSession).where(F.col("sensor") == sensor)
+    cols = [c for c in VALIDATION_RULES[sensor]["ranges"] if c in df.columns]
+    long = df.select("survey_id", "idx", F.expr("stack({}, {}) AS (column, value)".format(
+        len(cols), ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols))))
+    j = long.join(F.broadcast(cat), "column")
+    return j.where((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).select(
+        "survey_id", "idx", "column", "value", "lo", "hi")

@@ -51,4 +51,5 @@ from fathom.plans import (  # noqa: E402,F401
     q_products,
     q_stream,
     q_convert,
+    q_more,
 )
