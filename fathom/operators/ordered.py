@@ -59,7 +59,10 @@ def sequence(df: DataFrame, by: Sequence[str], order: Sequence[str],
     """
     by, order = list(by), list(order)
     spark = df.sparkSession
-    n = num_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Slices default to the shuffle parallelism; large clusters can raise
+    # ``fathom.sequence.slices`` so each slice stays a few hundred MB.
+    n = num_slices or int(spark.conf.get("fathom.sequence.slices",
+                                         spark.conf.get("spark.sql.shuffle.partitions")))
     keys = by + order
 
     sliced = (df.repartitionByRange(n, *[_key(k) for k in keys])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.functions.geo import utm_to_wgs84
+from fathom.functions.geo import utm_to_wgs84_df
 
 WGS84 = "EPSG:4326"
 
@@ -39,8 +39,6 @@ def reproject_to_wgs84(df: DataFrame, source_zone: int = 33, north: bool = True)
     prof = crs_profile(df, source_zone, north).select("survey_id", "is_wgs84", "source_crs")
     j = df.join(prof, "survey_id")
     move = (~F.col("is_wgs84")) & (F.col("source_crs") != WGS84)
-    lat, lon = utm_to_wgs84(F.col("longitude"), F.col("latitude"), source_zone, north)
-    return j.withColumns({
-        "latitude": F.when(move, lat).otherwise(F.col("latitude")),
-        "longitude": F.when(move, lon).otherwise(F.col("longitude")),
-        "reprojected": move}).drop("is_wgs84")
+    j = j.withColumn("reprojected", move)
+    out = utm_to_wgs84_df(j, "longitude", "latitude", source_zone, north, keep=~F.col("reprojected"))
+    return out.drop("is_wgs84")
