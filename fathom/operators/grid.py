@@ -82,14 +82,14 @@ def running_average(binned: DataFrame, order: list[str] | None = None) -> DataFr
     Closed form: after the last NULL of a cell (a NULL makes the cell NULL and
     the next point restarts it), the m remaining points get weights
     2^-(m-1) for the first and 2^-r for the others (r = rank from the end).
-    Ranks come from :func:`sequence`, which splits hot cells across tasks.
+    Ranks and the last NULL's position come from :func:`sequence` (its
+    per-slice summary), which splits hot cells across tasks; one aggregate
+    over the ranked points finishes the cell values.
     """
     order = order or ["idx"]
     keys = ["survey_id", "row", "col"]
-    seq = sequence(binned.select(*keys, *order, "z"), by=keys, order=order, count_col="n")
-    last_null = (seq.where(F.col("z").isNull()).groupBy(*keys)
-                    .agg(F.max("pos").alias("last_null")))
-    s = seq.join(last_null, keys, "left").withColumn("last_null", F.coalesce("last_null", F.lit(-1)))
+    s = (sequence(binned.select(*keys, *order, "z"), by=keys, order=order, count_col="n", last_null_of="z")
+         .withColumnRenamed("last_null_pos", "last_null"))
     m = F.col("n") - 1 - F.col("last_null")
     r = F.col("n") - F.col("pos")
     w = F.when(r == m, F.pow(F.lit(2.0), -(m - 1))).otherwise(F.pow(F.lit(2.0), -r))

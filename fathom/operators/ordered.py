@@ -49,10 +49,12 @@ def _key(c: str | Column) -> Column:
 def sequence(df: DataFrame, by: Sequence[str], order: Sequence[str],
              lags: Sequence[str] = (), pos_col: str = "pos",
              count_col: str | None = None, rank_from_end_col: str | None = None,
-             num_slices: int | None = None) -> DataFrame:
+             last_null_of: str | None = None, num_slices: int | None = None) -> DataFrame:
     """Add ``pos_col`` (0-based position inside ``by`` following ``order``),
     ``prev_<c>`` for every column in ``lags`` (NULL on a group's first row),
-    and optionally the group size / 1-based rank counted from the end.
+    and optionally the group size / 1-based rank counted from the end and
+    ``last_null_pos`` -- the position of the group's last row whose
+    ``last_null_of`` column is NULL (-1 if none), taken from the summary.
 
     ``order`` should make rows unique inside a group (end it with a unique
     id); remaining ties are broken arbitrarily but consistently.
@@ -76,9 +78,11 @@ def sequence(df: DataFrame, by: Sequence[str], order: Sequence[str],
 
     # One row per (slice, group): bounded by slices + groups.
     last_of = F.struct(*[F.col(k) for k in order])
+    extra = ([F.max(F.when(F.col(last_null_of).isNull(), F.col("_seq_lpos"))).alias("_seq_lnull")]
+             if last_null_of else [])
     summary = local.groupBy(_PART, *by).agg(
         F.count(F.lit(1)).alias("_seq_cnt"),
-        *[F.max_by(F.col(c), last_of).alias(f"_seq_last_{c}") for c in lags])
+        *[F.max_by(F.col(c), last_of).alias(f"_seq_last_{c}") for c in lags], *extra)
     sw = Window.partitionBy(*by).orderBy(_PART)
     summary = summary.withColumn(
         "_seq_off",
@@ -87,7 +91,10 @@ def sequence(df: DataFrame, by: Sequence[str], order: Sequence[str],
         summary = summary.withColumn(f"_seq_carry_{c}", F.lag(f"_seq_last_{c}").over(sw))
     if count_col or rank_from_end_col:
         summary = summary.withColumn("_seq_n", F.sum("_seq_cnt").over(Window.partitionBy(*by)))
-    summary = summary.drop("_seq_cnt", *[f"_seq_last_{c}" for c in lags])
+    if last_null_of:
+        summary = summary.withColumn("last_null_pos", F.coalesce(
+            F.max(F.col("_seq_off") + F.col("_seq_lnull")).over(Window.partitionBy(*by)), F.lit(-1)))
+    summary = summary.drop("_seq_cnt", "_seq_lnull", *[f"_seq_last_{c}" for c in lags])
 
     out = local.join(summary, on=[_PART, *by], how="inner")
     out = out.withColumn(pos_col, F.col("_seq_off") + F.col("_seq_lpos"))

@@ -14,11 +14,15 @@ def test_sequence_matches_window_under_skew(spark):
         F.col("id").alias("idx"),
         ((F.col("id") * 7919) % 1000).alias("t"),
         F.when(F.col("id") % 13 == 0, F.lit(None)).otherwise(F.col("id") * 1.5).alias("v"))
-    s = sequence(df, ["g"], ["t", "idx"], lags=["v"], count_col="n", rank_from_end_col="r", num_slices=16)
+    s = sequence(df, ["g"], ["t", "idx"], lags=["v"], count_col="n", rank_from_end_col="r",
+                 last_null_of="v", num_slices=16)
     w = Window.partitionBy("g").orderBy("t", "idx")
     ref = df.select("g", "idx", (F.row_number().over(w) - 1).alias("p"), F.lag("v").over(w).alias("pv"),
                     F.count(F.lit(1)).over(Window.partitionBy("g")).alias("nn"))
-    j = s.join(ref, ["g", "idx"])
+    ref = ref.join(df.select("g", "idx", "v"), ["g", "idx"])
+    ln = ref.groupBy("g").agg(F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("p"))), F.lit(-1)).alias("ln"))
+    j = s.join(ref.drop("v"), ["g", "idx"]).join(ln, "g")
     bad = j.where((F.col("pos") != F.col("p")) | ~F.col("prev_v").eqNullSafe(F.col("pv"))
-                  | (F.col("n") != F.col("nn")) | (F.col("r") != F.col("nn") - F.col("p")))
+                  | (F.col("n") != F.col("nn")) | (F.col("r") != F.col("nn") - F.col("p"))
+                  | (F.col("last_null_pos") != F.col("ln")))
     assert j.count() == n and bad.count() == 0
