@@ -106,7 +106,8 @@ def vessels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def env_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where(F.col("p_partkey") < 2500)
+    # (p_partkey % 50, floor(p_partkey / 50)) is unique over the whole table.
+    p = table(spark, sf_dir, "part")
     pk = F.col("p_partkey")
     return p.select(
         (pk % 50).cast("int").alias("row"),
@@ -165,7 +166,7 @@ SELECT s_suppkey AS vessel_key, s_name AS vessel_name, concat('RV_', CAST(s_supp
 SELECT CAST(p_partkey % 50 AS INT) AS row, CAST(floor(p_partkey / CAST(50 AS DOUBLE)) AS INT) AS col,
  CAST(5 AS DOUBLE) + CAST(p_size % 8 AS DOUBLE) AS dissolved_oxygen,
  CAST(75 + p_size % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS ph_level, p_retailprice AS water_turbidity
-FROM part WHERE p_partkey < 2500""",
+FROM part""",
 }
 
 BUILDERS = {
