@@ -144,7 +144,15 @@ def q_sink_dispatch(spark, sf_dir):
     return j.groupBy("output_format").agg(F.count(F.lit(1)).alias("jobs")).withColumn("product", m[F.col("output_format")])
 
 
-@register("sink_qc_report")
+def _qc_report_sql():
+    from fathom.plans.oracle import sql_rule_anomalies
+    return f"""
+SELECT survey_id, count(*) AS total_anomalies, greatest(0, count(*) - 10) AS more_anomalies,
+       CAST(least(count(*), 10) AS INT) AS shown
+FROM ({sql_rule_anomalies('soundings_mbes', 'mbes')}) a GROUP BY survey_id"""
+
+
+@register("sink_qc_report", _qc_report_sql(), ("soundings_mbes",))
 def q_qc_report(spark, sf_dir):
     """QC report per survey (summary + first 10 anomalies + "N more"), written as JSON and read back."""
     from fathom.operators import rules as rl
