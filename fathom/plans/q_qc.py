@@ -388,7 +388,7 @@ def q_union(spark, sf_dir):
 
 
 @register("top_anomalies", f"""
-SELECT survey_id, idx, rule, type, severity, "column", value, threshold, rn FROM (
+SELECT survey_id, idx, rule, type, severity, "column", value, threshold, CAST(rn AS INTEGER) AS rn FROM (
   SELECT *, row_number() OVER (PARTITION BY survey_id ORDER BY {_RULE_ORDER_SQL}, idx NULLS FIRST) AS rn
   FROM ({sql_rule_anomalies('soundings_mbes', 'mbes')}) a) t
 WHERE rn <= 10""", ("soundings_mbes",))
