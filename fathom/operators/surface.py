@@ -29,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import numpy as np
+
 from fathom.operators.grid import RESOLUTION, grid_bounds, grid_nodes
 from fathom.session import checkpoint_dir
 
@@ -158,10 +160,15 @@ def surface_bounds(df: DataFrame, res: float = RESOLUTION, z: str | None = None)
 # triangle covers are retried with a wider halo; nodes outside the hull are
 # NULL without any triangulation (the reference's fill value).
 
-TILE_POINTS = 1024.0
-HALO_STEPS = [0.5, 1.0, 2.0, 4.0, 8.0]
+# A tile holds about TILE_POINTS locations at the survey's mean density; the
+# widest halo (4 tiles) bounds a retry group at 81 tiles (~20k locations), so
+# the O(n^2) per-tile kernel never sees a whole survey.
+TILE_POINTS = 256.0
+HALO_STEPS = [0.5, 1.0, 2.0, 4.0]
 
-LINEAR_OUT = ("survey_id long, row int, col int, z double, kind string, a long, b long, c long")
+LINEAR_OUT = ("survey_id long, row int, col int, z double, kind string, a long, b long, c long, "
+              "ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double")
+_VERT = ["ax", "ay", "az", "bx", "by", "bz", "cx", "cy", "cz"]
 
 
 def survey_hulls(pts: DataFrame) -> DataFrame:
@@ -221,6 +228,15 @@ def _core(x, y, tri, meta):
     return (cx_ >= meta["cx0"]) & (cx_ < meta["cx1"]) & (cy_ >= meta["cy0"]) & (cy_ < meta["cy1"])
 
 
+def _touches_core(x, y, tri, meta):
+    """Triangles whose bounding box meets the tile's core rectangle."""
+    tx0 = np.minimum(np.minimum(x[tri[:, 0]], x[tri[:, 1]]), x[tri[:, 2]])
+    tx1 = np.maximum(np.maximum(x[tri[:, 0]], x[tri[:, 1]]), x[tri[:, 2]])
+    ty0 = np.minimum(np.minimum(y[tri[:, 0]], y[tri[:, 1]]), y[tri[:, 2]])
+    ty1 = np.maximum(np.maximum(y[tri[:, 0]], y[tri[:, 1]]), y[tri[:, 2]])
+    return (tx1 >= meta["cx0"]) & (tx0 < meta["cx1"]) & (ty1 >= meta["cy0"]) & (ty0 < meta["cy1"])
+
+
 def _linear_tile(points, nodes):
     """cogroup body: triangulate a tile + halo, answer its pending nodes."""
     import numpy as np
@@ -228,10 +244,13 @@ def _linear_tile(points, nodes):
 
     from fathom.functions.delaunay import circumcircles, delaunay, locate_linear
 
-    cols = ["survey_id", "row", "col", "z", "kind", "a", "b", "c"]
+    cols = ["survey_id", "row", "col", "z", "kind", "a", "b", "c", *_VERT]
     if len(nodes) == 0 and len(points) == 0:
         return pd.DataFrame(columns=cols)
     meta = nodes.iloc[0] if len(nodes) else points.iloc[0]
+    # Tile + halo soundings plus the survey's hull vertices (may repeat a
+    # sounding already present): the local hull is the survey's hull.
+    points = points.drop_duplicates(subset=["idx"])
     x = points["longitude"].to_numpy(float)
     y = points["latitude"].to_numpy(float)
     z = points["z"].to_numpy(float)
@@ -248,6 +267,18 @@ def _linear_tile(points, nodes):
              ((by0 >= meta["ry0"] + m) | (meta["ry0"] <= meta["min_lat"])) & \
              ((by1 <= meta["ry1"] - m) | (meta["ry1"] >= meta["max_lat"]))
         tri = tri[ok]
+    final = bool(meta.get("final_level", False))
+
+    def candidates(t):
+        """Uncertified triangles, with vertex coordinates, for the global check
+        (vertices ordered by idx, like emitted triangles)."""
+        t = np.take_along_axis(t, np.argsort(ids[t], axis=1), axis=1)
+        v = ids[t]
+        return pd.DataFrame({"survey_id": int(meta["survey_id"]), "row": None, "col": None, "z": np.nan,
+                             "kind": "candidate", "a": v[:, 0], "b": v[:, 1], "c": v[:, 2],
+                             "ax": x[t[:, 0]], "ay": y[t[:, 0]], "az": z[t[:, 0]],
+                             "bx": x[t[:, 1]], "by": y[t[:, 1]], "bz": z[t[:, 1]],
+                             "cx": x[t[:, 2]], "cy": y[t[:, 2]], "cz": z[t[:, 2]]})
     out = []
     if meta.get("emit_triangles", False):
         # Triangulation mode: certified triangles whose centroid is in this
@@ -259,9 +290,14 @@ def _linear_tile(points, nodes):
             v = np.sort(ids[certified], axis=1)
             out.append(pd.DataFrame({"survey_id": int(meta["survey_id"]), "row": None, "col": None, "z": np.nan,
                                      "kind": "triangle", "a": v[:, 0], "b": v[:, 1], "c": v[:, 2]}))
-        if len(all_tri) and core_of(all_tri[~ok]).any() and len(nodes):
-            out.append(pd.DataFrame({"survey_id": nodes["survey_id"], "row": nodes["row"], "col": nodes["col"],
-                                     "z": np.nan, "kind": "pending", "a": None, "b": None, "c": None}))
+        if len(all_tri) and _touches_core(x, y, all_tri[~ok], meta).any() and len(nodes):
+            if final:
+                rest = all_tri[~ok]
+                out.append(candidates(rest[_touches_core(x, y, rest, meta)]))
+            else:
+                out.append(pd.DataFrame({"survey_id": nodes["survey_id"], "row": nodes["row"],
+                                         "col": nodes["col"], "z": np.nan, "kind": "pending",
+                                         "a": None, "b": None, "c": None}))
     elif len(nodes):
         zz, _ = locate_linear(x, y, z, tri, nodes["lon"].to_numpy(float), nodes["lat"].to_numpy(float))
         hit = ~np.isnan(zz)
@@ -269,10 +305,19 @@ def _linear_tile(points, nodes):
                                  "z": np.where(hit, zz, np.nan),
                                  "kind": np.where(hit, "linear", "pending"),
                                  "a": None, "b": None, "c": None}))
-    return pd.concat(out, ignore_index=True)[cols] if out else pd.DataFrame(columns=cols)
-
-
-def _tile_frames(locs: DataFrame, todo: DataFrame, geo: DataFrame, halo: float, emit: bool):
+        if final and (~hit).any() and len(all_tri):
+            rest = all_tri[~ok]
+            if len(rest):
+                _, where = locate_linear(x, y, z, rest, nodes["lon"].to_numpy(float)[~hit],
+                                         nodes["lat"].to_numpy(float)[~hit])
+                used = np.unique(where[where >= 0])
+                if len(used):
+                    out.append(candidates(rest[used]))
+    return pd.concat(out, ignore_index=True).reindex(columns=cols) if out else pd.DataFrame(columns=cols)
+
+
+def _tile_frames(locs: DataFrame, todo: DataFrame, geo: DataFrame, halo: float, emit: bool,
+                 final: bool = False, hull_pts: DataFrame | None = None):
     """Point copies per tile + halo and pending nodes per tile, with the
     per-survey constants the tile function needs."""
     t = F.col("tile")
@@ -292,6 +337,10 @@ def _tile_frames(locs: DataFrame, todo: DataFrame, geo: DataFrame, halo: float,
     p = (p.withColumn("tx", F.explode(F.sequence(lo_x, hi_x)))
           .withColumn("ty", F.explode(F.sequence(lo_y, hi_y)))
           .join(active, tkeys, "left_semi"))
+    if hull_pts is not None:
+        # Every active tile also gets its survey's hull vertices (few per survey).
+        hp = hull_pts.join(geo, "survey_id").join(active, "survey_id")
+        p = p.unionByName(hp.select(*p.columns))
 
     def rect(df):
         return df.withColumns({
@@ -299,19 +348,64 @@ def _tile_frames(locs: DataFrame, todo: DataFrame, geo: DataFrame, halo: float,
             "cy0": F.col("min_lat") + F.col("ty") * t, "cy1": F.col("min_lat") + (F.col("ty") + 1) * t,
             "rx0": F.col("min_lon") + F.col("tx") * t - h, "rx1": F.col("min_lon") + (F.col("tx") + 1) * t + h,
             "ry0": F.col("min_lat") + F.col("ty") * t - h, "ry1": F.col("min_lat") + (F.col("ty") + 1) * t + h,
-            "emit_triangles": F.lit(emit)})
+            "emit_triangles": F.lit(emit), "final_level": F.lit(final)})
 
     def fresh(df):  # new attribute ids: both sides share lineage (same survey keys)
         return df.select(*[F.col(c).alias(c) for c in df.columns])
     return fresh(rect(p)), fresh(rect(n))
 
 
+def _verify_candidates(cands: DataFrame, locs: DataFrame, geo: DataFrame) -> DataFrame:
+    """Keep candidate triangles whose circumcircle holds no sounding.
+
+    Each candidate is paired with the tiles its circle meets inside the
+    survey box (equi-join on tile); only those tiles' soundings are tested.
+    Candidates are the few triangles (hull slivers) no bounded halo could
+    certify, so the pairs stay few."""
+    c = cands.dropDuplicates(["survey_id", "a", "b", "c"]).join(geo, "survey_id")
+    ax, ay, bx, by, cx, cy = (F.col(k) for k in ("ax", "ay", "bx", "by", "cx", "cy"))
+    d = F.lit(2.0) * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
+    a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+    ux = (a2 * (by - cy) + b2 * (cy - ay) + c2 * (ay - by)) / d
+    uy = (a2 * (cx - bx) + b2 * (ax - cx) + c2 * (bx - ax)) / d
+    c = c.withColumns({"ux": ux, "uy": uy})
+    c = c.withColumn("r", F.sqrt((F.col("ax") - F.col("ux")) ** 2 + (F.col("ay") - F.col("uy")) ** 2))
+    t = F.col("tile")
+    x0 = F.greatest(F.col("ux") - F.col("r"), F.col("min_lon"))
+    x1 = F.least(F.col("ux") + F.col("r"), F.col("max_lon"))
+    y0 = F.greatest(F.col("uy") - F.col("r"), F.col("min_lat"))
+    y1 = F.least(F.col("uy") + F.col("r"), F.col("max_lat"))
+    pairs = (c.withColumn("tx", F.explode(F.sequence(F.floor((x0 - F.col("min_lon")) / t),
+                                                     F.floor((x1 - F.col("min_lon")) / t))))
+              .withColumn("ty", F.explode(F.sequence(F.floor((y0 - F.col("min_lat")) / t),
+                                                     F.floor((y1 - F.col("min_lat")) / t)))))
+    gx = F.greatest(F.lit(0.0), F.col("min_lon") + F.col("tx") * t - F.col("ux"),
+                    F.col("ux") - (F.col("min_lon") + (F.col("tx") + 1) * t))
+    gy = F.greatest(F.lit(0.0), F.col("min_lat") + F.col("ty") * t - F.col("uy"),
+                    F.col("uy") - (F.col("min_lat") + (F.col("ty") + 1) * t))
+    pairs = pairs.where(F.sqrt(gx * gx + gy * gy) < F.col("r"))
+    pts = (locs.join(geo.select("survey_id", "min_lat", "min_lon", "tile"), "survey_id")
+               .select("survey_id", "idx", "latitude", "longitude",
+                       F.floor((F.col("longitude") - F.col("min_lon")) / F.col("tile")).alias("tx"),
+                       F.floor((F.col("latitude") - F.col("min_lat")) / F.col("tile")).alias("ty")))
+    key = ["survey_id", "a", "b", "c"]
+    dist = F.sqrt((F.col("longitude") - F.col("ux")) ** 2 + (F.col("latitude") - F.col("uy")) ** 2)
+    inside = (pairs.join(pts, ["survey_id", "tx", "ty"])
+                   .where(~F.col("idx").isin(F.col("a"), F.col("b"), F.col("c"))
+                          & (dist < F.col("r") * F.lit(1.0 - 1e-12)))
+                   .select(*key).distinct())
+    return (c.join(inside, key, "left_anti")
+             .select("survey_id", "a", "b", "c", *_VERT))
+
+
 def _linear_levels(locs: DataFrame, todo: DataFrame, geo: DataFrame, emit_first: bool = False,
-                   max_levels: int = len(HALO_STEPS)):
-    results, triangles = [], None
+                   max_levels: int = len(HALO_STEPS), hull_pts: DataFrame | None = None):
+    results, triangles, cands = [], None, None
     tkeys = ["survey_id", "tx", "ty"]
-    for level, halo in enumerate(HALO_STEPS[:max_levels]):
-        p, n = _tile_frames(locs, todo, geo, halo, emit_first)
+    levels = HALO_STEPS[:max_levels]
+    for level, halo in enumerate(levels):
+        final = level == len(levels) - 1
+        p, n = _tile_frames(locs, todo, geo, halo, emit_first, final, hull_pts)
         res = (p.groupBy(*tkeys).cogroup(n.groupBy(*tkeys))
                 .applyInPandas(_linear_tile, LINEAR_OUT)
                 .checkpoint(eager=True))
@@ -319,12 +413,20 @@ def _linear_levels(locs: DataFrame, todo: DataFrame, geo: DataFrame, emit_first:
             tr = res.where(F.col("kind") == "triangle").select("survey_id", "a", "b", "c")
             triangles = tr if triangles is None else triangles.unionByName(
                 tr.join(triangles, ["survey_id", "a", "b", "c"], "left_anti"))
+        if final:
+            cands = res.where(F.col("kind") == "candidate")
         results.append(res.where(F.col("kind") == "linear").select("survey_id", "row", "col", "z"))
         todo = (res.where(F.col("kind") == "pending").select("survey_id", "row", "col")
                    .join(todo, ["survey_id", "row", "col"]))
         if todo.isEmpty():
             break
-    return results, todo, triangles
+    verified = None
+    if cands is not None and not cands.isEmpty():
+        verified = _verify_candidates(cands, locs, geo).checkpoint(eager=True)
+        if emit_first:
+            v = verified.select("survey_id", "a", "b", "c")
+            triangles = triangles.unionByName(v.join(triangles, ["survey_id", "a", "b", "c"], "left_anti"))
+    return results, todo, triangles, verified
 
 
 def _linear_inputs(df: DataFrame, res: float, z: str | None):
@@ -338,8 +440,11 @@ def _linear_inputs(df: DataFrame, res: float, z: str | None):
     geo = (bounds.join(n_loc, "survey_id")
                  .select("survey_id", "min_lat", "max_lat", "min_lon", "max_lon",
                          F.greatest(F.lit(res), F.sqrt(area / F.col("n_loc") * F.lit(TILE_POINTS))).alias("tile")))
-    hulls = survey_hulls(locs)
-    return pts, locs, bounds, geo, hulls
+    hulls = survey_hulls(locs).checkpoint(eager=True)
+    verts = hulls.select("survey_id", F.explode(F.arrays_zip("hx", "hy")).alias("v")).select(
+        "survey_id", F.col("v.hx").alias("longitude"), F.col("v.hy").alias("latitude"))
+    hull_pts = locs.join(verts, ["survey_id", "longitude", "latitude"], "left_semi")
+    return pts, locs, bounds, geo, hulls, hull_pts
 
 
 def surface_linear(df: DataFrame, res: float = RESOLUTION, z: str | None = None) -> DataFrame:
@@ -348,9 +453,10 @@ def surface_linear(df: DataFrame, res: float = RESOLUTION, z: str | None = None)
     points fall back to the nearest sounding (as the reference does).
 
     ``method`` is 'linear', 'outside', 'nearest' or 'uncovered' (inside the
-    hull but no certified triangle within the widest halo; z NULL)."""
+    hull but no certified triangle within the widest halo; z NULL -- kept as
+    a row, never dropped)."""
     checkpoint_dir(df.sparkSession)
-    pts, locs, bounds, geo, hulls = _linear_inputs(df, res, z)
+    pts, locs, bounds, geo, hulls, hull_pts = _linear_inputs(df, res, z)
     nodes = grid_nodes(bounds, res).join(hulls, "survey_id", "left").fillna(0, subset=["n_hull"])
     degenerate = F.col("n_hull") < 3
     inside = inside_hull(F.col("lon"), F.col("lat"))
@@ -365,7 +471,24 @@ def surface_linear(df: DataFrame, res: float = RESOLUTION, z: str | None = None)
             *keys, "lat", "lon", "z", F.lit("nearest").alias("method"))
         out = out.unionByName(near)
     todo = nodes.where(F.col("_cls") == "in").select(*keys, "lat", "lon")
-    results, left, _ = _linear_levels(locs, todo, geo)
+    results, left, _, verified = _linear_levels(locs, todo, geo, hull_pts=hull_pts)
+    if verified is not None:
+        # Pending nodes inside a verified triangle: barycentric interpolation
+        # (equi-join on survey; both sides hold only the few leftovers).
+        ax, ay, bx, by, cx, cy = (F.col(k) for k in ("ax", "ay", "bx", "by", "cx", "cy"))
+        px, py = F.col("lon"), F.col("lat")
+        det = (by - cy) * (ax - cx) + (cx - bx) * (ay - cy)
+        l1 = ((by - cy) * (px - cx) + (cx - bx) * (py - cy)) / det
+        l2 = ((cy - ay) * (px - cx) + (ax - cx) * (py - cy)) / det
+        l3 = F.lit(1.0) - l1 - l2
+        tol = F.lit(-1e-9)
+        hit = (left.join(verified, "survey_id")
+                   .withColumns({"l1": l1, "l2": l2, "l3": l3})
+                   .where((F.col("l1") >= tol) & (F.col("l2") >= tol) & (F.col("l3") >= tol))
+                   .withColumn("z", F.col("l1") * F.col("az") + F.col("l2") * F.col("bz") + F.col("l3") * F.col("cz"))
+                   .groupBy(*keys).agg(F.min_by("z", F.struct("a", "b", "c")).alias("z")))
+        results.append(hit)
+        left = left.join(hit.select(*keys), keys, "left_anti")
     for r in results:
         out = out.unionByName(r.join(nodes.select(*keys, "lat", "lon"), keys)
                                .select(*keys, "lat", "lon", "z", F.lit("linear").alias("method")))
@@ -379,7 +502,7 @@ def triangulation(df: DataFrame, res: float = RESOLUTION, z: str | None = None)
     once by the tile holding its centroid once its circumcircle is certified;
     tiles with uncertified triangles retry with wider halos."""
     checkpoint_dir(df.sparkSession)
-    pts, locs, bounds, geo, _ = _linear_inputs(df, res, z)
+    pts, locs, bounds, geo, _, hull_pts = _linear_inputs(df, res, z)
     tiles = (locs.join(geo, "survey_id")
                  .select("survey_id", F.floor((F.col("longitude") - F.col("min_lon")) / F.col("tile")).alias("tx"),
                          F.floor((F.col("latitude") - F.col("min_lat")) / F.col("tile")).alias("ty"),
@@ -388,5 +511,5 @@ def triangulation(df: DataFrame, res: float = RESOLUTION, z: str | None = None)
                  .select("survey_id", F.col("tx").cast("int").alias("row"), F.col("ty").cast("int").alias("col"),
                          (F.col("min_lat") + (F.col("ty") + 0.5) * F.col("tile")).alias("lat"),
                          (F.col("min_lon") + (F.col("tx") + 0.5) * F.col("tile")).alias("lon")))
-    _, _, tri = _linear_levels(locs, tiles, geo, emit_first=True)
+    _, _, tri, _ = _linear_levels(locs, tiles, geo, emit_first=True, hull_pts=hull_pts)
     return tri.select("survey_id", "a", "b", "c")

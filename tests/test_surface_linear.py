@@ -53,3 +53,26 @@ def test_triangulation_equals_global(spark):
     x = np.array([r[3] for r in rows]); y = np.array([r[2] for r in rows])
     ref = {tuple(sorted(t)) for t in delaunay(x, y).tolist()}
     assert len(got) == len(set(got)) and set(got) == ref
+
+
+def test_candidate_path_small_tiles(spark, monkeypatch):
+    """Tiny tiles and two halo levels force hull slivers through the global
+    empty-circle verification; results still equal one global triangulation."""
+    monkeypatch.setattr(su, "TILE_POINTS", 24.0)
+    monkeypatch.setattr(su, "HALO_STEPS", [0.5, 1.0])
+    rng = np.random.default_rng(11)
+    x = -74 + rng.random(1200); y = 40 + rng.random(1200) * 0.5
+    keep = (x + 73.5) ** 2 / 0.25 + (y - 40.25) ** 2 / 0.0625 < 1
+    x, y = x[keep], y[keep]
+    z = np.sin(x * 7) + y
+    rows = [(1, i, float(y[i]), float(x[i]), float(z[i])) for i in range(len(x))]
+    df = spark.createDataFrame(rows, "survey_id long, idx long, latitude double, longitude double, depth double")
+    tri = delaunay(x, y)
+    got = {tuple(r) for r in su.triangulation(df, 0.02).select("a", "b", "c").collect()}
+    assert got == {tuple(sorted(t)) for t in tri.tolist()}
+    out = su.surface_linear(df, 0.02).toPandas()
+    ref, _ = locate_linear(x, y, z, tri, out.lon.to_numpy(), out.lat.to_numpy())
+    val = out.z.to_numpy(dtype=float)
+    assert (np.isnan(ref) == np.isnan(val)).all()
+    ok = ~np.isnan(ref)
+    assert np.abs(ref[ok] - val[ok]).max() < 1e-9
