@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 from fathom.functions import environment as env
 from fathom.operators import overlay as ov
 from fathom.operators import rules as rl
-from fathom.operators import scoring as sc
 from fathom.operators import submission as sb
 from fathom.operators.detector import depth_sequence, jump_anomalies
-from fathom.operators.grid import attributed_grid, z_value
+from fathom.operators.grid import attributed_grid
 from fathom.plans.catalog import r6, register
-from fathom.plans.q_products import INFO, RUN_TS, _payloads, q_file_order
+from fathom.plans.q_products import _payloads, q_file_order
 from fathom.plans.views import view
 from fathom.session import scratch_table_path
 from fathom.sinks import products as pr

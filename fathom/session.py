@@ -20,6 +20,9 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Remove checkpoint files once their DataFrames are unreachable, so the
+    # shared checkpoint folder does not grow with every run.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
