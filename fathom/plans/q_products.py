@@ -452,7 +452,7 @@ FROM (SELECT o_orderkey AS idx, o_orderdate FROM orders) o""")(
 @register("file_catalog")
 def q_catalog(spark, sf_dir):
     """File name, size, modification time of every written survey file (rows-only)."""
-    return fs.file_catalog(spark, _write_survey_csv(spark, sf_dir) + "/*.csv")
+    return fs.file_catalog_with_columns(spark, _write_survey_csv(spark, sf_dir) + "/*.csv")
 
 
 register("supported_formats")(

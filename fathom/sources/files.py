@@ -177,6 +177,13 @@ def file_catalog(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                     F.col("length").alias("file_size_bytes"), "modificationTime")
 
 
+def file_catalog_with_columns(spark: SparkSession, paths: str | list[str], sep: str = ",") -> DataFrame:
+    """Catalogue plus each file's header columns (first line, trimmed)."""
+    cols = first_lines(spark, paths).select(
+        "path", F.transform(F.split(F.col("header"), sep), lambda c: F.trim(c)).alias("columns"))
+    return file_catalog(spark, paths).join(cols, "path", "left")
+
+
 def file_checksums(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """SHA-256 of every file's bytes (one task per file; files < 2 GB)."""
     b = spark.read.format("binaryFile").load(paths)
