@@ -29,3 +29,13 @@ def test_entry_and_registry(spark):
     df = E.entry(spark)
     assert df.count() == 8
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_topk_and_paging_plans(spark):
+    qs = E.queries()
+    top = qs["top_anomalies"](spark, SF)
+    top.collect()
+    assert "WindowGroupLimit" in _plan(top)  # partial top-k before the shuffle
+    page = qs["jobs_page"](spark, SF)
+    page.collect()
+    assert "TakeOrderedAndProject" in _plan(page)  # no global sort for a page
