@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fathom.operators import grid as gr
@@ -115,8 +115,14 @@ def convert(soundings: DataFrame, opts: ConvertOptions, out_dir: str | None = No
                                     .select("survey_id", "latitude", "longitude"), opts.resolution)
             g = gr.raster_bands(gr.densify(g, bounds, opts.resolution))
         product = g
+    metrics: dict = {}
     if out_dir:
-        pr.write_product(product, f"{out_dir}/{product_kind}")
+        # Row counts of the written product are observed during the write
+        # itself (no extra pass); the reference logs them per operation.
+        obs = Observation(f"convert_{product_kind}")
+        pr.write_product(product.observe(obs, F.count(F.lit(1)).alias("output_rows")),
+                         f"{out_dir}/{product_kind}")
+        metrics = dict(obs.get)
     # The run result is keyed by the original survey (the product carries the
     # hashed identifiers when anonymisation is on).
     counts = soundings.groupBy("survey_id").agg(F.count(F.lit(1)).alias("data_points_processed"))
@@ -124,4 +130,9 @@ def convert(soundings: DataFrame, opts: ConvertOptions, out_dir: str | None = No
                     .withColumns({"sensor_type": F.lit(opts.sensor), "output_format": F.lit(opts.output_format),
                                   "anonymized": F.lit(opts.anonymize), "overlay_applied": F.lit(opts.add_overlay)}))
     return {"qc": qc, "anomalies": rl.rule_anomalies(soundings, opts.sensor), "points": points,
-            "surface": surface, "product": product, "result": result}
+            "surface": surface, "product": product, "result": result, "metrics": metrics}
+
+
+def efficiency(input_rows: int, output_rows: int) -> float:
+    """output / input rows of an operation, 0 when there is no input."""
+    return output_rows / input_rows if input_rows > 0 else 0.0

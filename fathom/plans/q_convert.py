@@ -38,7 +38,8 @@ def q_convert(spark, sf_dir):
                           info=ProductInfo(run_ts=RUN_TS))
     out = scratch_table_path(spark, f"convert-{uuid.uuid4().hex}")
     res = convert(view(spark, sf_dir, "points_lidar"), opts, out_dir=out)
-    return r6(res["result"])
+    written = int(res["metrics"].get("output_rows", 0))
+    return r6(res["result"]).withColumn("product_rows_written", F.lit(written).cast("long"))
 
 
 def low_quality_model(pdf: pd.DataFrame) -> pd.DataFrame:
