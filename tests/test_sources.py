@@ -62,3 +62,13 @@ def test_catalog_and_checksum(spark):
     with open(os.path.join(DATA, "mbes_ping.csv"), "rb") as f:
         data = f.read()
     assert c.checksum == hashlib.sha256(data).hexdigest() and c.file_size_bytes == len(data)
+
+
+def test_json_records_array(spark, tmp_path):
+    p = tmp_path / "auv_track.json"
+    p.write_text('[{"time": "2024-01-01T00:00:00Z", "lat": 40.1, "lon": -74.2, "altitude": 55.5, "speed": 2.5},'
+                 ' {"time": "2024-01-01T00:00:05Z", "lat": 40.2, "lon": -74.1, "altitude": 60.0, "speed": 3.0}]')
+    df = fs.scan_surveys(spark, str(p), "auv", "json")
+    rows = sorted(df.collect(), key=lambda r: r.idx)
+    assert [(r.idx, r.latitude, r.depth, r.velocity, r.survey_id, r.sensor_type) for r in rows] == \
+        [(0, 40.1, 55.5, 2.5, "auv_track", "auv"), (1, 40.2, 60.0, 3.0, "auv_track", "auv")]
