@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.operators.ordered import sequence
+from fathom.session import materialize_small
 
 RESOLUTION = 0.001  # degrees, the reference's grid resolution
 
@@ -62,11 +63,21 @@ def cell_index(points: DataFrame, bounds: DataFrame, res: float = RESOLUTION) ->
                    & (F.col("col") >= 0) & (F.col("col") < F.col("n_cols")))
 
 
-def binned_points(df: DataFrame, sensor: str, res: float = RESOLUTION) -> DataFrame:
+def located(df: DataFrame) -> DataFrame:
+    return df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+
+
+def survey_grid_bounds(df: DataFrame, res: float = RESOLUTION) -> DataFrame:
+    """Grid bounds of the soundings with coordinates, materialised once (one
+    row per survey) because binning, coordinates and densifying all read it."""
+    return materialize_small(grid_bounds(located(df).select("survey_id", "latitude", "longitude"), res))
+
+
+def binned_points(df: DataFrame, sensor: str, res: float = RESOLUTION,
+                  bounds: DataFrame | None = None) -> DataFrame:
     """Soundings with z and (row, col), bounds from the points with coordinates."""
-    pts = (df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-             .select("survey_id", "idx", "latitude", "longitude", z_value(df, sensor).alias("z")))
-    return cell_index(pts, grid_bounds(pts, res), res)
+    pts = located(df).select("survey_id", "idx", "latitude", "longitude", z_value(df, sensor).alias("z"))
+    return cell_index(pts, bounds if bounds is not None else survey_grid_bounds(df, res), res)
 
 
 def cell_stats(binned: DataFrame) -> DataFrame:
@@ -101,19 +112,19 @@ def running_average(binned: DataFrame, order: list[str] | None = None) -> DataFr
 
 
 def attributed_grid(df: DataFrame, sensor: str, res: float = RESOLUTION,
-                    method: str = "mean") -> DataFrame:
+                    method: str = "mean", bounds: DataFrame | None = None) -> DataFrame:
     """Sparse attributed grid: (survey, row, col, lat, lon, elevation,
     uncertainty, density).  ``method='running'`` reproduces the reference's
     running average; ``'mean'`` is the true cell mean."""
-    b = binned_points(df, sensor, res)
+    bounds = bounds if bounds is not None else survey_grid_bounds(df, res)
+    b = binned_points(df, sensor, res, bounds)
     cells = cell_stats(b)
     if method == "running":
         cells = cells.join(running_average(b), ["survey_id", "row", "col"])
         elev = F.col("elevation_running")
     else:
         elev = F.col("elevation_mean")
-    bounds = b.select("survey_id", "min_lat", "min_lon").distinct()
-    return (cells.join(bounds, "survey_id")
+    return (cells.join(bounds.select("survey_id", "min_lat", "min_lon"), "survey_id")
                  .select("survey_id", "row", "col",
                          (F.col("min_lat") + F.col("row") * F.lit(res)).alias("lat"),
                          (F.col("min_lon") + F.col("col") * F.lit(res)).alias("lon"),

@@ -62,7 +62,13 @@ def _sum_cols(cols: list[str]):
     return reduce(lambda a, b: a + b, [F.col(c) for c in cols]) if cols else F.lit(0).cast("long")
 
 
-def rule_counts(df: DataFrame, sensor: str) -> DataFrame:
+def _unrealistic(df: DataFrame) -> Column:
+    if "depth" not in df.columns:
+        return F.lit(0).cast("long")
+    return F.count_if((F.col("depth") < det.DEPTH_LO) | (F.col("depth") > det.DEPTH_HI))
+
+
+def rule_counts(df: DataFrame, sensor: str, with_detector_base: bool = False) -> DataFrame:
     """Per survey: total points and rule-anomaly counts (all, high, by type)
     without materialising anomaly rows.
 
@@ -75,11 +81,19 @@ def rule_counts(df: DataFrame, sensor: str) -> DataFrame:
     cols = [r for r in rules if r in rl.RANGE_RULES and r in df.columns]
     aggs = [F.count(F.lit(1)).alias("total_points")]
     aggs += [F.count_if(rl.range_condition(c)).alias(f"_r_{c}") for c in cols]
+    if with_detector_base:  # the detector's per-survey counts ride on the same pass
+        aggs.append(_unrealistic(df).alias("_unreal"))
     outl = "depth_consistency" in rules and "depth" in df.columns
     if outl:
         aggs += [F.count("depth").alias("_n_values"), F.avg("depth").alias("_mean"),
                  F.stddev_samp("depth").alias("_std")]
     t = df.groupBy("survey_id").agg(*aggs)
+    if outl:
+        # The per-survey row feeds both the result and the 3-sigma pass; it is
+        # one small row per survey, so materialise it instead of scanning twice.
+        from fathom.session import checkpoint_dir
+        checkpoint_dir(df.sparkSession)
+        t = t.checkpoint(eager=True)
     types: dict[str, list[str]] = {}
     high: list[str] = []
     for c in cols:
@@ -101,32 +115,38 @@ def rule_counts(df: DataFrame, sensor: str) -> DataFrame:
     all_cols = [c for v in types.values() for c in v]
     return t.select("survey_id", "total_points",
                     _sum_cols(all_cols).alias("anomaly_count"), _sum_cols(high).alias("high_count"),
-                    *[_sum_cols(v).alias(f"n_{k}") for k, v in types.items()])
+                    *[_sum_cols(v).alias(f"n_{k}") for k, v in types.items()],
+                    *(["_unreal"] if with_detector_base else []))
 
 
-def detector_counts(df: DataFrame) -> DataFrame:
-    """Per survey: detector anomaly counts (all, high) without anomaly rows."""
-    base = df.groupBy("survey_id").agg(
-        F.count(F.lit(1)).alias("total_points"),
-        *([F.count_if((F.col("depth") < det.DEPTH_LO) | (F.col("depth") > det.DEPTH_HI)).alias("_unreal")]
-          if "depth" in df.columns else [F.lit(0).cast("long").alias("_unreal")]))
-    if "depth" not in df.columns:
-        return base.select("survey_id", "total_points", F.lit(0).cast("long").alias("anomaly_count"),
-                           F.lit(0).cast("long").alias("high_count"))
+def _detector_parts(df: DataFrame, t: DataFrame) -> DataFrame:
+    """Join the detector's jump and duplicate-coordinate counts onto ``t``
+    (one row per survey holding ``_unreal``)."""
     diff = F.col("depth") - F.col("prev_depth")
     jumps = (det.depth_sequence(df).groupBy("survey_id").agg(
         F.count_if((diff > det.MAX_DEPTH_JUMP) | (diff < -det.MAX_DEPTH_JUMP)).alias("_jump"),
         F.count_if(F.abs(diff) > det.HIGH_JUMP).alias("_jump_high")))
-    t = base.join(jumps, "survey_id", "left")
+    t = t.join(jumps, "survey_id", "left")
     if "latitude" in df.columns and "longitude" in df.columns:
         g = det.duplicate_coordinate_groups(df).groupBy("survey_id").agg(F.count(F.lit(1)).alias("_coord"))
         t = t.join(g, "survey_id", "left")
     else:
         t = t.withColumn("_coord", F.lit(0).cast("long"))
     t = t.fillna(0, subset=["_jump", "_jump_high", "_coord"])
-    return t.select("survey_id", "total_points",
-                    (F.col("_jump") + F.col("_unreal") + F.col("_coord")).alias("anomaly_count"),
-                    (F.col("_jump_high") + F.col("_unreal")).alias("high_count"))
+    return t.withColumns({"det_anomalies": F.col("_jump") + F.col("_unreal") + F.col("_coord"),
+                          "det_high": F.col("_jump_high") + F.col("_unreal")})
+
+
+def detector_counts(df: DataFrame) -> DataFrame:
+    """Per survey: detector anomaly counts (all, high) without anomaly rows."""
+    base = df.groupBy("survey_id").agg(F.count(F.lit(1)).alias("total_points"),
+                                       _unrealistic(df).alias("_unreal"))
+    if "depth" not in df.columns:
+        return base.select("survey_id", "total_points", F.lit(0).cast("long").alias("anomaly_count"),
+                           F.lit(0).cast("long").alias("high_count"))
+    t = _detector_parts(df, base)
+    return t.select("survey_id", "total_points", F.col("det_anomalies").alias("anomaly_count"),
+                    F.col("det_high").alias("high_count"))
 
 
 def anomaly_counts(anomalies: DataFrame, prefix: str) -> DataFrame:
@@ -184,12 +204,15 @@ def qc_summary(df: DataFrame, sensor: str, mode: str = "auto") -> DataFrame:
                              F.lit(None).cast("double").alias("rule_score"),
                              F.lit(None).cast("double").alias("detector_confidence"),
                              F.lit(None).cast("double").alias("quality_score"))
-    t = rule_counts(df, sensor).select("survey_id", "total_points", F.col("anomaly_count").alias("rule_anomalies"),
-                                       F.col("high_count").alias("rule_high"))
+    auto = mode == "auto" and "depth" in df.columns
+    rc = rule_counts(df, sensor, with_detector_base=auto)
+    t = rc.withColumnsRenamed({"anomaly_count": "rule_anomalies", "high_count": "rule_high"})
+    if auto:
+        # One aggregate pass serves the rules and the detector's unrealistic count.
+        t = _detector_parts(df, t)
+    elif mode == "auto":
+        t = t.withColumn("det_anomalies", F.lit(0).cast("long")).withColumn("det_high", F.lit(0).cast("long"))
     if mode == "auto":
-        d = detector_counts(df).select("survey_id", F.col("anomaly_count").alias("det_anomalies"),
-                                       F.col("high_count").alias("det_high"))
-        t = t.join(d, "survey_id", "left").fillna(0, subset=["det_anomalies", "det_high"])
         dconf = detector_confidence(F.col("det_anomalies"), F.col("det_high"), F.col("total_points"))
     else:
         t = t.withColumn("det_anomalies", F.lit(0).cast("long")).withColumn("det_high", F.lit(0).cast("long"))

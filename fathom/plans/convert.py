@@ -109,10 +109,9 @@ def convert(soundings: DataFrame, opts: ConvertOptions, out_dir: str | None = No
     if product_kind == "trajectory":
         product = pr.trajectory_table(points, opts.sensor)
     else:
-        g = gr.attributed_grid(points, opts.sensor, opts.resolution)
+        bounds = gr.survey_grid_bounds(points, opts.resolution)
+        g = gr.attributed_grid(points, opts.sensor, opts.resolution, bounds=bounds)
         if product_kind == "raster_bands":
-            bounds = gr.grid_bounds(points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-                                    .select("survey_id", "latitude", "longitude"), opts.resolution)
             g = gr.raster_bands(gr.densify(g, bounds, opts.resolution))
         product = g
     metrics: dict = {}

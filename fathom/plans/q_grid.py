@@ -111,8 +111,8 @@ SELECT survey_id, row, col, round(lat, 6) AS lat,
 
 def _dense(spark, sf_dir):
     pts = _mbes(spark, sf_dir)
-    grid = gr.attributed_grid(pts, "mbes", RES, "mean")
-    bounds = gr.grid_bounds(pts.select("survey_id", "latitude", "longitude"), RES)
+    bounds = gr.survey_grid_bounds(pts, RES)
+    grid = gr.attributed_grid(pts, "mbes", RES, "mean", bounds)
     return gr.densify(grid, bounds, RES), bounds
 
 

@@ -67,3 +67,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for an intermediate table."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize_small(df):
+    """Checkpoint a small per-key table (e.g. one row per survey) that several
+    branches of a plan read: one tiny write instead of repeating the full
+    scan that produced it in every branch."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
