@@ -46,6 +46,13 @@ def _key(c: str | Column) -> Column:
     return col.asc_nulls_first()
 
 
+def _and_all(left: DataFrame, right: DataFrame, ren: dict) -> Column:
+    cond = F.lit(True)
+    for c, r in ren.items():
+        cond = cond & left[c].eqNullSafe(F.col(r))
+    return cond
+
+
 def sequence(df: DataFrame, by: Sequence[str], order: Sequence[str],
              lags: Sequence[str] = (), pos_col: str = "pos",
              count_col: str | None = None, rank_from_end_col: str | None = None,
@@ -96,7 +103,12 @@ def sequence(df: DataFrame, by: Sequence[str], order: Sequence[str],
             F.max(F.col("_seq_off") + F.col("_seq_lnull")).over(Window.partitionBy(*by)), F.lit(-1)))
     summary = summary.drop("_seq_cnt", "_seq_lnull", *[f"_seq_last_{c}" for c in lags])
 
-    out = local.join(summary, on=[_PART, *by], how="inner")
+    # Null-safe on the group keys: a NULL group is a group, never dropped.
+    ren = {c: f"_seq_g_{i}" for i, c in enumerate(by)}
+    summary = summary.withColumnsRenamed(ren) if ren else summary
+    out = local.join(summary.withColumnRenamed(_PART, "_seq_part_s"),
+                     (local[_PART] == F.col("_seq_part_s")) & _and_all(local, summary, ren),
+                     how="inner").drop("_seq_part_s", *ren.values())
     out = out.withColumn(pos_col, F.col("_seq_off") + F.col("_seq_lpos"))
     for c in lags:
         out = out.withColumn(
