@@ -80,10 +80,22 @@ def binned_points(df: DataFrame, sensor: str, res: float = RESOLUTION,
     return cell_index(pts, bounds if bounds is not None else survey_grid_bounds(df, res), res)
 
 
+EXACT_MEAN_TYPE = "decimal(38,18)"
+
+
+def exact_mean(c: str) -> Column:
+    """Mean over the decimal values of ``c``: the sum is exact, so the result
+    does not depend on partitioning or on the order partial sums arrive in
+    (a double sum does, in its last bits).  Values that do not fit the decimal
+    type (|x| >= 1e20) fall back to the double mean."""
+    d = F.col(c).try_cast(EXACT_MEAN_TYPE)
+    return F.when(F.count(d) == F.count(c), F.avg(d).cast("double")).otherwise(F.avg(c))
+
+
 def cell_stats(binned: DataFrame) -> DataFrame:
     """density, true mean, uncertainty (1.0 where populated) per cell."""
     return binned.groupBy("survey_id", "row", "col").agg(
-        F.count(F.lit(1)).alias("density"), F.avg("z").alias("elevation_mean"),
+        F.count(F.lit(1)).alias("density"), exact_mean("z").alias("elevation_mean"),
         F.lit(1.0).alias("uncertainty"))
 
 

@@ -85,3 +85,29 @@ def sql_tier(rate: str, high: str, total: str, tiers, zero, rest) -> str:
     base = f"(CASE{zero_part}{whens} ELSE {rest} END)"
     return (f"CAST(CASE WHEN {total} = 0 THEN 0.0 WHEN {high} > 0 THEN least({base}, 0.6) "
             f"ELSE {base} END AS DOUBLE)")
+
+
+# Grid oracles: points, per-survey bounds, binned cells and node axes as CTEs.
+def sql_grid_cells(res=0.01, depth_filter=True, src="soundings_mbes", z="depth", where="latitude <= 90 AND longitude >= -180"):
+    r = f"CAST({res} AS DOUBLE)"
+    dfil = f" AND {z} IS NOT NULL" if depth_filter else ""
+    return f"""
+pts AS (SELECT survey_id, idx, latitude, longitude, {z} AS z FROM {src}
+        WHERE {where}{dfil}),
+b AS (SELECT survey_id, min(latitude) AS min_lat, max(latitude) AS max_lat, min(longitude) AS min_lon,
+             max(longitude) AS max_lon, count(*) AS valid_points,
+             CAST(ceil(((max(latitude) + {r}) - min(latitude)) / {r}) AS INT) AS n_rows,
+             CAST(ceil(((max(longitude) + {r}) - min(longitude)) / {r}) AS INT) AS n_cols
+      FROM pts GROUP BY survey_id),
+cells AS (SELECT * FROM (
+            SELECT p.survey_id, p.idx, p.z, CAST(floor((p.latitude - b.min_lat) / {r}) AS INT) AS row,
+                   CAST(floor((p.longitude - b.min_lon) / {r}) AS INT) AS col, b.n_rows, b.n_cols
+            FROM pts p JOIN b ON p.survey_id = b.survey_id) x
+          WHERE row >= 0 AND row < n_rows AND col >= 0 AND col < n_cols),
+nodes AS (SELECT survey_id, CAST(row AS INT) AS row, CAST(unnest(range(0, n_cols)) AS INT) AS col,
+                 min_lat + CAST(row AS INT) * {r} AS lat, min_lon * 1 AS min_lon
+          FROM (SELECT survey_id, min_lat, min_lon, n_cols, unnest(range(0, n_rows)) AS row FROM b) rr)"""
+
+
+def sql_with(ctes: str, body: str) -> str:
+    return f"WITH {ctes.strip()}\n{body}"

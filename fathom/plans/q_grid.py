@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from fathom.operators import grid as gr
 from fathom.operators import surface as su
 from fathom.plans.catalog import r6, register
+from fathom.plans.oracle import sql_grid_cells as _sql_cells
+from fathom.plans.oracle import sql_with as _with
 from fathom.plans.views import view
 
 RES = 0.01
@@ -23,31 +25,6 @@ def _mbes(spark, sf_dir, with_depth=True):
     return s.where("depth IS NOT NULL") if with_depth else s
 
 
-def _sql_cells(res=RES, depth_filter=True, src="soundings_mbes", z="depth", where=_IN):
-    r = f"CAST({res} AS DOUBLE)"
-    dfil = f" AND {z} IS NOT NULL" if depth_filter else ""
-    return f"""
-pts AS (SELECT survey_id, idx, latitude, longitude, {z} AS z FROM {src}
-        WHERE {where}{dfil}),
-b AS (SELECT survey_id, min(latitude) AS min_lat, max(latitude) AS max_lat, min(longitude) AS min_lon,
-             max(longitude) AS max_lon, count(*) AS valid_points,
-             CAST(ceil(((max(latitude) + {r}) - min(latitude)) / {r}) AS INT) AS n_rows,
-             CAST(ceil(((max(longitude) + {r}) - min(longitude)) / {r}) AS INT) AS n_cols
-      FROM pts GROUP BY survey_id),
-cells AS (SELECT * FROM (
-            SELECT p.survey_id, p.idx, p.z, CAST(floor((p.latitude - b.min_lat) / {r}) AS INT) AS row,
-                   CAST(floor((p.longitude - b.min_lon) / {r}) AS INT) AS col, b.n_rows, b.n_cols
-            FROM pts p JOIN b ON p.survey_id = b.survey_id) x
-          WHERE row >= 0 AND row < n_rows AND col >= 0 AND col < n_cols),
-nodes AS (SELECT survey_id, CAST(row AS INT) AS row, CAST(unnest(range(0, n_cols)) AS INT) AS col,
-                 min_lat + CAST(row AS INT) * {r} AS lat, min_lon * 1 AS min_lon
-          FROM (SELECT survey_id, min_lat, min_lon, n_cols, unnest(range(0, n_rows)) AS row FROM b) rr)"""
-
-
-def _with(ctes: str, body: str) -> str:
-    return f"WITH {ctes.strip()}\n{body}"
-
-
 register("grid_cell_index", _with(_sql_cells(), "SELECT survey_id, idx, row, col FROM cells"),
          ("soundings_mbes",))(
     lambda spark, sf_dir: gr.binned_points(_mbes(spark, sf_dir), "mbes", RES).select("survey_id", "idx", "row", "col"))
@@ -63,7 +40,8 @@ SELECT survey_id, row, col, CAST(1.0 AS DOUBLE) AS uncertainty FROM cells GROUP
     .select("survey_id", "row", "col", "uncertainty"))
 
 register("grid_elevation_mean", _with(_sql_cells(), """
-SELECT survey_id, row, col, round(avg(z), 6) AS elevation FROM cells GROUP BY ALL"""), ("soundings_mbes",))(
+SELECT survey_id, row, col, round(CAST(avg(CAST(CAST(z AS VARCHAR) AS DECIMAL(38,18))) AS DOUBLE), 6) AS elevation
+FROM cells GROUP BY ALL"""), ("soundings_mbes",))(
     lambda spark, sf_dir: r6(gr.cell_stats(gr.binned_points(_mbes(spark, sf_dir), "mbes", RES))
                              .select("survey_id", "row", "col", F.col("elevation_mean").alias("elevation"))))
 
@@ -120,7 +98,8 @@ _DENSE_SQL = """
 dense AS (SELECT n.survey_id, n.row, n.col, round(n.lat, 6) AS lat,
                  round(n.min_lon + n.col * CAST(0.01 AS DOUBLE), 6) AS lon,
                  round(g.elevation, 6) AS elevation, g.uncertainty, coalesce(g.density, 0) AS density
-          FROM nodes n LEFT JOIN (SELECT survey_id, row, col, avg(z) AS elevation,
+          FROM nodes n LEFT JOIN (SELECT survey_id, row, col,
+                                         CAST(avg(CAST(CAST(z AS VARCHAR) AS DECIMAL(38,18))) AS DOUBLE) AS elevation,
                                          CAST(1.0 AS DOUBLE) AS uncertainty, count(*) AS density
                                   FROM cells GROUP BY ALL) g
           ON n.survey_id = g.survey_id AND n.row = g.row AND n.col = g.col)"""

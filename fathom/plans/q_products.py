@@ -109,8 +109,8 @@ def q_sink_grid(spark, sf_dir):
 
 
 def _grid_meta_sql():
-    from fathom.plans.q_grid import _sql_cells, _with
-    return _with(_sql_cells(res=0.001, depth_filter=False, src="points_lidar", z="elevation",
+    from fathom.plans.oracle import sql_grid_cells, sql_with
+    return sql_with(sql_grid_cells(res=0.001, depth_filter=False, src="points_lidar", z="elevation",
                             where="latitude IS NOT NULL"), """
 SELECT b.survey_id, b.valid_points AS total_points, c.populated_cells
 FROM b JOIN (SELECT survey_id, count(DISTINCT (row, col)) AS populated_cells FROM cells GROUP BY survey_id) c
