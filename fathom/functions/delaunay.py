@@ -1,7 +1,10 @@
 """Small numpy kernels used inside Arrow batches of one tile / one partition.
 
 * ``delaunay``: Bowyer–Watson incremental triangulation, O(n^2) -- meant for
-  one tile of a few thousand points, never a whole survey;
+  one tile of a few thousand points, never a whole survey.  Optional tiny
+  per-point weights (``tie_weights``) make it the regular triangulation of a
+  globally consistent perturbation: cocircular points (regular grids) then
+  get the same diagonal in every tile;
 * ``locate_linear``: barycentric interpolation of query points in triangles;
 * ``convex_hull``: Andrew's monotone chain (counter-clockwise, no repeats).
 """
@@ -11,24 +14,51 @@ from __future__ import annotations
 import numpy as np
 
 
-def _circumcircles(px: np.ndarray, py: np.ndarray, tri: np.ndarray):
+# Tie-breaking perturbation: weight = TIE_SCALE * h(idx) * tile^2, with h a
+# fixed hash of the sounding's idx into [0, 1) that Spark SQL computes the same
+# way (``surface._tie_weight``).  h must not be affine in idx: on a regular
+# grid numbered row by row the weights of a square's corners would then cancel
+# in the in-circle decision.  A quadratic residue mod a prime keeps every
+# intermediate below 2^63.
+TIE_SCALE = 1e-9
+_H_MOD, _H_A, _H_B, _H_C = 1000003, 7919, 104729, 12345
+
+
+def tie_hash(idx: np.ndarray) -> np.ndarray:
+    m = np.asarray(idx, dtype=np.int64) % _H_MOD
+    return (((m * m) % _H_MOD) * _H_A + m * _H_B + _H_C) % _H_MOD / float(_H_MOD)
+
+
+def tie_weights(idx: np.ndarray, tile: float) -> np.ndarray:
+    return TIE_SCALE * tile * tile * tie_hash(idx)
+
+
+def _circumcircles(px: np.ndarray, py: np.ndarray, tri: np.ndarray, pw: np.ndarray | None = None):
+    """Orthocentre and squared radius (power) of each triangle; with zero
+    weights the circumcircle."""
     ax, ay = px[tri[:, 0]], py[tri[:, 0]]
     bx, by = px[tri[:, 1]], py[tri[:, 1]]
     cx, cy = px[tri[:, 2]], py[tri[:, 2]]
-    d = 2.0 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-    a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+    if pw is None:
+        aw = bw = cw = 0.0
+    else:
+        aw, bw, cw = pw[tri[:, 0]], pw[tri[:, 1]], pw[tri[:, 2]]
+    det = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+    rb = (bx * bx + by * by - bw) - (ax * ax + ay * ay - aw)
+    rc = (cx * cx + cy * cy - cw) - (ax * ax + ay * ay - aw)
     with np.errstate(divide="ignore", invalid="ignore"):
-        ux = (a2 * (by - cy) + b2 * (cy - ay) + c2 * (ay - by)) / d
-        uy = (a2 * (cx - bx) + b2 * (ax - cx) + c2 * (bx - ax)) / d
-    r2 = (ax - ux) ** 2 + (ay - uy) ** 2
-    flat = ~np.isfinite(r2) | (np.abs(d) < 1e-300)
+        ux = (rb * (cy - ay) - rc * (by - ay)) / (2.0 * det)
+        uy = ((bx - ax) * rc - (cx - ax) * rb) / (2.0 * det)
+    r2 = (ax - ux) ** 2 + (ay - uy) ** 2 - aw
+    flat = ~np.isfinite(r2) | (np.abs(det) < 1e-300)
     ux[flat], uy[flat], r2[flat] = 0.0, 0.0, np.inf
     return ux, uy, r2
 
 
-def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def delaunay(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
     """Triangles (m, 3) of indices into x / y.  Duplicate points must be
-    removed beforehand; collinear input gives no triangles."""
+    removed beforehand; collinear input gives no triangles.  ``w`` are
+    optional tiny weights (input units squared) for consistent tie-breaking."""
     n = len(x)
     if n < 3:
         return np.empty((0, 3), dtype=np.int64)
@@ -36,12 +66,16 @@ def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     s = float(max(np.ptp(x), np.ptp(y))) or 1.0
     px = np.concatenate([(x - cx) / s, [-50.0, 50.0, 0.0]])
     py = np.concatenate([(y - cy) / s, [-50.0, -50.0, 50.0]])
+    pw = None if w is None else np.concatenate([np.asarray(w, float) / (s * s), [0.0, 0.0, 0.0]])
     tri = np.array([[n, n + 1, n + 2]], dtype=np.int64)
-    ux, uy, r2 = _circumcircles(px, py, tri)
+    ux, uy, r2 = _circumcircles(px, py, tri, pw)
     # Insert along x then y so each cavity stays small.
     for i in np.lexsort((py[:n], px[:n])):
         d2 = (ux - px[i]) ** 2 + (uy - py[i]) ** 2
-        bad = d2 <= r2 * (1.0 + 1e-12)
+        if pw is None:
+            bad = d2 <= r2 * (1.0 + 1e-12)
+        else:  # power test: the weights decide exact ties consistently
+            bad = d2 - pw[i] < r2
         if not bad.any():
             continue
         bt = tri[bad]
@@ -51,7 +85,7 @@ def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         uniq, inv, cnt = np.unique(key, return_inverse=True, return_counts=True)
         boundary = e[cnt[inv] == 1]
         new = np.column_stack([boundary, np.full(len(boundary), i, dtype=np.int64)])
-        nux, nuy, nr2 = _circumcircles(px, py, new)
+        nux, nuy, nr2 = _circumcircles(px, py, new, pw)
         keep = ~bad
         tri = np.concatenate([tri[keep], new])
         ux = np.concatenate([ux[keep], nux])
@@ -64,10 +98,13 @@ def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return tri[np.abs(area) > 1e-14]
 
 
-def circumcircles(x: np.ndarray, y: np.ndarray, tri: np.ndarray):
-    """Circumcentre and radius of each triangle, in the input coordinates."""
-    ux, uy, r2 = _circumcircles(x, y, tri)
-    return ux, uy, np.sqrt(r2)
+def circumcircles(x: np.ndarray, y: np.ndarray, tri: np.ndarray, w: np.ndarray | None = None):
+    """Centre and radius of each triangle's (ortho)circle, in the input
+    coordinates; with weights, the radius of the disc outside which no point
+    can conflict (power radius plus the largest weight)."""
+    ux, uy, r2 = _circumcircles(x, y, tri, w)
+    extra = 0.0 if w is None or len(w) == 0 else float(np.max(w))
+    return ux, uy, np.sqrt(np.maximum(r2 + extra, 0.0))
 
 
 def locate_linear(x, y, z, tri, qx, qy, chunk: int = 512, tol: float = 1e-9):

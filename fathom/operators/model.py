@@ -31,6 +31,8 @@ def predict_anomalies(df: DataFrame, model: BatchModel | None = None, columns: l
     """Anomaly rows from the default detector, or from ``model`` per Arrow batch."""
     if model is None:
         return det.detector_anomalies(df)
+    from fathom.session import ship_package
+    ship_package(df.sparkSession)
     cols = columns or df.columns
     out_cols = [c.split()[0] for c in MODEL_OUTPUT.split(", ")]
 

@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 import numpy as np
 
+from fathom.functions.delaunay import TIE_SCALE
 from fathom.operators.grid import RESOLUTION, grid_bounds, grid_nodes
-from fathom.session import checkpoint_dir
+from fathom.session import checkpoint_dir, ship_package
 
 EDGE_EPS = 1e-9  # degrees; keeps the acceptance test conservative under rounding
 TARGET_PER_BUCKET = 4.0
@@ -199,6 +200,7 @@ def survey_hulls(pts: DataFrame) -> DataFrame:
         hx, hy = convex_hull(pdf["longitude"].to_numpy(float), pdf["latitude"].to_numpy(float))
         return pd.DataFrame({"survey_id": int(pdf["survey_id"].iloc[0]), "longitude": hx, "latitude": hy})
 
+    ship_package(pts.sparkSession)
     schema = "survey_id long, longitude double, latitude double"
     p = pts.select(F.col("survey_id").cast("long").alias("survey_id"), "longitude", "latitude")
     h1 = p.mapInPandas(partial, schema).withColumn("_b", F.pmod(F.spark_partition_id(), F.lit(256)))
@@ -242,7 +244,7 @@ def _linear_tile(points, nodes):
     import numpy as np
     import pandas as pd
 
-    from fathom.functions.delaunay import circumcircles, delaunay, locate_linear
+    from fathom.functions.delaunay import circumcircles, delaunay, locate_linear, tie_weights
 
     cols = ["survey_id", "row", "col", "z", "kind", "a", "b", "c", *_VERT]
     if len(nodes) == 0 and len(points) == 0:
@@ -255,10 +257,12 @@ def _linear_tile(points, nodes):
     y = points["latitude"].to_numpy(float)
     z = points["z"].to_numpy(float)
     ids = points["idx"].to_numpy(np.int64)
-    tri = delaunay(x, y) if len(x) >= 3 else np.empty((0, 3), dtype=np.int64)
+    # Weights from the global idx: every tile breaks cocircular ties alike.
+    w = tie_weights(ids, float(meta["tile"]))
+    tri = delaunay(x, y, w) if len(x) >= 3 else np.empty((0, 3), dtype=np.int64)
     all_tri, ok = tri, np.zeros(len(tri), dtype=bool)
     if len(tri):
-        ux, uy, r = circumcircles(x, y, tri)
+        ux, uy, r = circumcircles(x, y, tri, w)
         bx0, bx1 = np.maximum(ux - r, meta["min_lon"]), np.minimum(ux + r, meta["max_lon"])
         by0, by1 = np.maximum(uy - r, meta["min_lat"]), np.minimum(uy + r, meta["max_lat"])
         m = 1e-9 * max(1.0, meta["tile"])
@@ -355,8 +359,18 @@ def _tile_frames(locs: DataFrame, todo: DataFrame, geo: DataFrame, halo: float,
     return fresh(rect(p)), fresh(rect(n))
 
 
+def _tie_weight(idx, tile):
+    """Spark form of ``delaunay.tie_weights`` (same hash, same scale)."""
+    from fathom.functions.delaunay import _H_A, _H_B, _H_C, _H_MOD
+    p = F.lit(_H_MOD)
+    m = F.pmod(idx, p)
+    h = F.pmod(F.pmod(m * m, p) * F.lit(_H_A) + m * F.lit(_H_B) + F.lit(_H_C), p) / p.cast("double")
+    return F.lit(TIE_SCALE) * tile * tile * h
+
+
 def _verify_candidates(cands: DataFrame, locs: DataFrame, geo: DataFrame) -> DataFrame:
-    """Keep candidate triangles whose circumcircle holds no sounding.
+    """Keep candidate triangles whose (ortho)circle holds no sounding
+    (power test with the kernel's tie-breaking weights).
 
     Each candidate is paired with the tiles its circle meets inside the
     survey box (equi-join on tile); only those tiles' soundings are tested.
@@ -364,12 +378,17 @@ def _verify_candidates(cands: DataFrame, locs: DataFrame, geo: DataFrame) -> Dat
     certify, so the pairs stay few."""
     c = cands.dropDuplicates(["survey_id", "a", "b", "c"]).join(geo, "survey_id")
     ax, ay, bx, by, cx, cy = (F.col(k) for k in ("ax", "ay", "bx", "by", "cx", "cy"))
-    d = F.lit(2.0) * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-    a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
-    ux = (a2 * (by - cy) + b2 * (cy - ay) + c2 * (ay - by)) / d
-    uy = (a2 * (cx - bx) + b2 * (ax - cx) + c2 * (bx - ax)) / d
-    c = c.withColumns({"ux": ux, "uy": uy})
-    c = c.withColumn("r", F.sqrt((F.col("ax") - F.col("ux")) ** 2 + (F.col("ay") - F.col("uy")) ** 2))
+    aw, bw, cw = (_tie_weight(F.col(k), F.col("tile")) for k in ("a", "b", "c"))
+    # Orthocircle of the weighted vertices (the kernel's tie-breaking weights).
+    det = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+    rb = (bx * bx + by * by - bw) - (ax * ax + ay * ay - aw)
+    rc = (cx * cx + cy * cy - cw) - (ax * ax + ay * ay - aw)
+    c = c.withColumns({"ux": (rb * (cy - ay) - rc * (by - ay)) / (F.lit(2.0) * det),
+                       "uy": ((bx - ax) * rc - (cx - ax) * rb) / (F.lit(2.0) * det),
+                       "aw": aw})
+    c = c.withColumn("r2", (F.col("ax") - F.col("ux")) ** 2 + (F.col("ay") - F.col("uy")) ** 2 - F.col("aw"))
+    wmax = F.lit(TIE_SCALE) * F.col("tile") * F.col("tile")
+    c = c.withColumn("r", F.sqrt(F.greatest(F.col("r2") + wmax, F.lit(0.0))))
     t = F.col("tile")
     x0 = F.greatest(F.col("ux") - F.col("r"), F.col("min_lon"))
     x1 = F.least(F.col("ux") + F.col("r"), F.col("max_lon"))
@@ -386,13 +405,14 @@ def _verify_candidates(cands: DataFrame, locs: DataFrame, geo: DataFrame) -> Dat
     pairs = pairs.where(F.sqrt(gx * gx + gy * gy) < F.col("r"))
     pts = (locs.join(geo.select("survey_id", "min_lat", "min_lon", "tile"), "survey_id")
                .select("survey_id", "idx", "latitude", "longitude",
+                       _tie_weight(F.col("idx"), F.col("tile")).alias("pw"),
                        F.floor((F.col("longitude") - F.col("min_lon")) / F.col("tile")).alias("tx"),
                        F.floor((F.col("latitude") - F.col("min_lat")) / F.col("tile")).alias("ty")))
     key = ["survey_id", "a", "b", "c"]
-    dist = F.sqrt((F.col("longitude") - F.col("ux")) ** 2 + (F.col("latitude") - F.col("uy")) ** 2)
+    d2 = (F.col("longitude") - F.col("ux")) ** 2 + (F.col("latitude") - F.col("uy")) ** 2
     inside = (pairs.join(pts, ["survey_id", "tx", "ty"])
                    .where(~F.col("idx").isin(F.col("a"), F.col("b"), F.col("c"))
-                          & (dist < F.col("r") * F.lit(1.0 - 1e-12)))
+                          & (d2 - F.col("pw") < F.col("r2")))
                    .select(*key).distinct())
     return (c.join(inside, key, "left_anti")
              .select("survey_id", "a", "b", "c", *_VERT))
@@ -400,6 +420,7 @@ def _verify_candidates(cands: DataFrame, locs: DataFrame, geo: DataFrame) -> Dat
 
 def _linear_levels(locs: DataFrame, todo: DataFrame, geo: DataFrame, emit_first: bool = False,
                    max_levels: int = len(HALO_STEPS), hull_pts: DataFrame | None = None):
+    ship_package(locs.sparkSession)
     results, triangles, cands = [], None, None
     tkeys = ["survey_id", "tx", "ty"]
     levels = HALO_STEPS[:max_levels]

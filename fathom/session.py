@@ -75,3 +75,34 @@ def materialize_small(df):
     scan that produced it in every branch."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``fathom`` importable in Python workers (executors).
+
+    Operators that run Python in tasks (mapInPandas / applyInPandas / cogroup
+    / applyInPandasWithState) pickle functions by module reference, so the
+    package must be on the executors' path.  The package is zipped once per
+    SparkContext and registered with ``addPyFile`` -- the programmatic form of
+    ``spark-submit --py-files``; Spark serves the archive to every executor.
+    A deployment that already installs fathom on the executors loses nothing.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="fathom-pyfiles-"), "fathom.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.join("fathom", os.path.relpath(full, root)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)

@@ -104,6 +104,8 @@ def _jump_fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
 
 def stream_depth_jumps(stream: DataFrame) -> DataFrame:
     """Depth jumps across micro-batches (stateful per survey), plus 'late' rows."""
+    from fathom.session import ship_package
+    ship_package(stream.sparkSession)
     s = stream.select(F.col("survey_id").cast("long").alias("survey_id"), F.col("idx").cast("long").alias("idx"),
                       "timestamp", F.col("depth").cast("double").alias("depth"))
     return s.groupBy("survey_id").applyInPandasWithState(

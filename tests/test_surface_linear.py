@@ -76,3 +76,24 @@ def test_candidate_path_small_tiles(spark, monkeypatch):
     assert (np.isnan(ref) == np.isnan(val)).all()
     ok = ~np.isnan(ref)
     assert np.abs(ref[ok] - val[ok]).max() < 1e-9
+
+
+def test_lattice_ties_are_consistent(spark, monkeypatch):
+    """Regular-grid soundings (every cell's corners cocircular): all tiles
+    break ties the same way, so the union of tiles is one triangulation."""
+    from fathom.functions.delaunay import tie_weights
+    monkeypatch.setattr(su, "TILE_POINTS", 40.0)
+    pts = [(i, j) for i in range(36) for j in range(24) if (i * 7 + j * 3) % 11]  # a few holes
+    rows = [(1, k, 40.0 + j * 0.01, -74.0 + i * 0.01, float((i * j) % 13)) for k, (i, j) in enumerate(pts)]
+    df = spark.createDataFrame(rows, "survey_id long, idx long, latitude double, longitude double, depth double")
+    x = np.array([r[3] for r in rows]); y = np.array([r[2] for r in rows]); z = np.array([r[4] for r in rows])
+    ids = np.arange(len(rows))
+    ref_tri = delaunay(x, y, tie_weights(ids, 0.05))
+    got = [tuple(r) for r in su.triangulation(df, 0.01).select("a", "b", "c").collect()]
+    assert len(got) == len(set(got)) and set(got) == {tuple(sorted(t)) for t in ref_tri.tolist()}
+    out = su.surface_linear(df, 0.005).toPandas()
+    ref, _ = locate_linear(x, y, z, ref_tri, out.lon.to_numpy(), out.lat.to_numpy())
+    val = out.z.to_numpy(dtype=float)
+    assert (np.isnan(ref) == np.isnan(val)).all()
+    ok = ~np.isnan(ref)
+    assert np.abs(ref[ok] - val[ok]).max() < 1e-9
