@@ -4,6 +4,7 @@ import numpy as np
 
 from fathom.functions.delaunay import convex_hull, delaunay, locate_linear
 from fathom.operators import surface as su
+from fathom.operators import surface_linear as sl
 
 
 def _rows():
@@ -58,8 +59,8 @@ def test_triangulation_equals_global(spark):
 def test_candidate_path_small_tiles(spark, monkeypatch):
     """Tiny tiles and two halo levels force hull slivers through the global
     empty-circle verification; results still equal one global triangulation."""
-    monkeypatch.setattr(su, "TILE_POINTS", 24.0)
-    monkeypatch.setattr(su, "HALO_STEPS", [0.5, 1.0])
+    monkeypatch.setattr(sl, "TILE_POINTS", 24.0)
+    monkeypatch.setattr(sl, "HALO_STEPS", [0.5, 1.0])
     rng = np.random.default_rng(11)
     x = -74 + rng.random(1200); y = 40 + rng.random(1200) * 0.5
     keep = (x + 73.5) ** 2 / 0.25 + (y - 40.25) ** 2 / 0.0625 < 1
@@ -82,7 +83,7 @@ def test_lattice_ties_are_consistent(spark, monkeypatch):
     """Regular-grid soundings (every cell's corners cocircular): all tiles
     break ties the same way, so the union of tiles is one triangulation."""
     from fathom.functions.delaunay import tie_weights
-    monkeypatch.setattr(su, "TILE_POINTS", 40.0)
+    monkeypatch.setattr(sl, "TILE_POINTS", 40.0)
     pts = [(i, j) for i in range(36) for j in range(24) if (i * 7 + j * 3) % 11]  # a few holes
     rows = [(1, k, 40.0 + j * 0.01, -74.0 + i * 0.01, float((i * j) % 13)) for k, (i, j) in enumerate(pts)]
     df = spark.createDataFrame(rows, "survey_id long, idx long, latitude double, longitude double, depth double")
