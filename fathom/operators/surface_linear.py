@@ -96,12 +96,29 @@ def _core(x, y, tri, meta):
 
 
 def _touches_core(x, y, tri, meta):
-    """Triangles whose bounding box meets the tile's core rectangle."""
-    tx0 = np.minimum(np.minimum(x[tri[:, 0]], x[tri[:, 1]]), x[tri[:, 2]])
-    tx1 = np.maximum(np.maximum(x[tri[:, 0]], x[tri[:, 1]]), x[tri[:, 2]])
-    ty0 = np.minimum(np.minimum(y[tri[:, 0]], y[tri[:, 1]]), y[tri[:, 2]])
-    ty1 = np.maximum(np.maximum(y[tri[:, 0]], y[tri[:, 1]]), y[tri[:, 2]])
-    return (tx1 >= meta["cx0"]) & (tx0 < meta["cx1"]) & (ty1 >= meta["cy0"]) & (ty0 < meta["cy1"])
+    """Triangles that intersect the tile's core rectangle (exact test by
+    separating axes: the two rectangle axes and the three edge normals)."""
+    import numpy as np
+    if len(tri) == 0:
+        return np.zeros(0, dtype=bool)
+    ax, ay = x[tri[:, 0]], y[tri[:, 0]]
+    bx, by = x[tri[:, 1]], y[tri[:, 1]]
+    cx, cy = x[tri[:, 2]], y[tri[:, 2]]
+    x0, x1, y0, y1 = meta["cx0"], meta["cx1"], meta["cy0"], meta["cy1"]
+    hit = ((np.maximum(np.maximum(ax, bx), cx) >= x0) & (np.minimum(np.minimum(ax, bx), cx) <= x1)
+           & (np.maximum(np.maximum(ay, by), cy) >= y0) & (np.minimum(np.minimum(ay, by), cy) <= y1))
+    corners = ((x0, y0), (x1, y0), (x1, y1), (x0, y1))
+    for (px, py), (qx, qy), (rx, ry) in (((ax, ay), (bx, by), (cx, cy)),
+                                         ((bx, by), (cx, cy), (ax, ay)),
+                                         ((cx, cy), (ax, ay), (bx, by))):
+        ex, ey = qx - px, qy - py
+        inside = np.sign(ex * (ry - py) - ey * (rx - px))
+        # Separated when every corner lies strictly on the other side of the edge.
+        apart = np.ones(len(tri), dtype=bool)
+        for kx, ky in corners:
+            apart &= np.sign(ex * (ky - py) - ey * (kx - px)) * inside < 0
+        hit &= ~apart
+    return hit
 
 
 def _linear_tile(points, nodes):
