@@ -124,14 +124,42 @@ def payloads(cat: DataFrame, files: DataFrame, info: ProductInfo = ProductInfo()
                     qc.alias("quality_control"), prov.alias("provenance"), comp.alias("compliance"))
 
 
-def manifest(payload: DataFrame, run_ts: str) -> DataFrame:
-    """manifest v1.0 per submission with its files[] (one per product file)."""
-    entry = F.struct(F.col("file_info.filename").alias("filename"),
-                     F.col("file_info.file_size_bytes").alias("file_size_bytes"),
-                     F.col("file_info.checksum").alias("checksum"),
-                     F.col("file_info.checksum_algorithm").alias("checksum_algorithm"),
-                     F.lit("data").alias("file_type"))
-    return payload.groupBy("submission_id").agg(
+def product_files(spark, product_path: str) -> DataFrame:
+    """Every file of a product written ``partitionBy("survey_id")``: survey,
+    file name, size and SHA-256 of its bytes (``binaryFile``)."""
+    from fathom.sources.files import file_checksums
+    f = file_checksums(spark, f"{product_path.rstrip('/')}/*/*.parquet")
+    return f.select(F.regexp_extract("path", r"survey_id=([^/]+)/", 1).alias("survey_id"),
+                    F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"),
+                    "file_size_bytes", "checksum")
+
+
+def survey_file_entries(files: DataFrame) -> DataFrame:
+    """One payload file entry per survey: its product folder, total size and a
+    checksum over its files' checksums (sorted, so it is deterministic).  The
+    list per survey is bounded by the product's files, not by rows."""
+    return files.groupBy("survey_id").agg(
+        F.concat(F.lit("survey_id="), F.first("survey_id")).alias("filename"),
+        F.sum("file_size_bytes").alias("file_size_bytes"),
+        F.sha2(F.array_join(F.sort_array(F.collect_list("checksum")), ","), 256).alias("checksum"))
+
+
+def manifest(payload: DataFrame, run_ts: str, files: DataFrame | None = None) -> DataFrame:
+    """manifest v1.0 per submission with its files[]: one entry per product
+    file when ``files`` (``product_files``) is given, else the payload's file."""
+    if files is not None:
+        rows = payload.select("survey_id", "submission_id", "metadata", "quality_control", "provenance",
+                              "compliance").join(files, "survey_id")
+        entry = F.struct("filename", "file_size_bytes", "checksum",
+                         F.lit("sha256").alias("checksum_algorithm"), F.lit("data").alias("file_type"))
+    else:
+        rows = payload
+        entry = F.struct(F.col("file_info.filename").alias("filename"),
+                         F.col("file_info.file_size_bytes").alias("file_size_bytes"),
+                         F.col("file_info.checksum").alias("checksum"),
+                         F.col("file_info.checksum_algorithm").alias("checksum_algorithm"),
+                         F.lit("data").alias("file_type"))
+    return rows.groupBy("submission_id").agg(
         F.lit("1.0").alias("manifest_version"), F.lit(run_ts).alias("created"),
         F.collect_list(entry).alias("files"), F.first("metadata").alias("metadata"),
         F.first("quality_control").alias("quality_control"), F.first("provenance").alias("provenance"),

@@ -167,14 +167,19 @@ def q_qc_report(spark, sf_dir):
 # ------------------------------------------------------------ submission
 
 
-def _payloads(spark, sf_dir):
+def _product_files(spark, sf_dir):
+    """Write the trajectory product of the mbes view and list its real files."""
+    s = view(spark, sf_dir, "soundings_mbes")
+    path = scratch_table_path(spark, f"traj-files-{uuid.uuid4().hex}")
+    pr.write_product(pr.trajectory_table(s, "mbes"), path)
+    return sb.product_files(spark, path).withColumn("survey_id", F.col("survey_id").cast("long"))
+
+
+def _payloads(spark, sf_dir, files=None):
     s = view(spark, sf_dir, "soundings_mbes")
     cat = sb.survey_catalog(s, "mbes", sc.qc_summary(s, "mbes", "auto"))
-    docs = view(spark, sf_dir, "soundings_mbes").select("survey_id").distinct()
-    files = docs.select("survey_id", F.concat(F.lit("mbes_"), F.col("survey_id").cast("string"), F.lit(".nc"))
-                        .alias("filename"), F.lit(1024).cast("long").alias("file_size_bytes"),
-                        F.sha2(F.col("survey_id").cast("string"), 256).alias("checksum"))
-    return sb.payloads(cat, files, INFO, anonymized=True, overlay="deepseaguard")
+    files = files if files is not None else _product_files(spark, sf_dir)
+    return sb.payloads(cat, sb.survey_file_entries(files), INFO, anonymized=True, overlay="deepseaguard")
 
 
 _QC_CTE = None
@@ -206,8 +211,12 @@ FROM soundings_mbes s JOIN q ON s.survey_id = q.survey_id GROUP BY s.survey_id""
 register("payload")(lambda spark, sf_dir: _payloads(spark, sf_dir).select(
     "survey_id", "submission_id", F.to_json(F.struct("*")).alias("payload_json")))
 
-register("manifest")(lambda spark, sf_dir: sb.manifest(_payloads(spark, sf_dir), RUN_TS).select(
-    "submission_id", "manifest_version", F.size("files").alias("n_files"), F.to_json("files").alias("files_json")))
+@register("manifest")
+def q_manifest(spark, sf_dir):
+    """Manifest per submission listing every real file of the written product (rows-only)."""
+    files = _product_files(spark, sf_dir)
+    return sb.manifest(_payloads(spark, sf_dir, files), RUN_TS, files).select(
+        "submission_id", "manifest_version", F.size("files").alias("n_files"), F.to_json("files").alias("files_json"))
 
 register("spatial_coverage", """
 SELECT survey_id, min(longitude) AS lon0, min(latitude) AS lat0, max(longitude) AS lon2, max(latitude) AS lat2,
