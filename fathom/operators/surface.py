@@ -8,7 +8,8 @@ Nearest node join:
   "group of copies" holding a third of the rows becomes one candidate);
 * locations are keyed by square cells of side b0, sized from the survey's
   point density; only the non-empty cells take part in the search;
-* level L groups cells into coarse buckets of 4^L x 4^L cells; every
+* level L groups cells into coarse buckets of 4^(L+s) x 4^(L+s) cells (s from
+  the survey's cell occupancy, so sparse surveys skip empty levels); every
   unresolved node is equi-joined to the non-empty cells of the 3 x 3 coarse
   buckets around it and gets U = min over cells of the distance to the
   cell's representative sounding -- an upper bound of its nearest distance;
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.operators.grid import RESOLUTION, grid_bounds, grid_nodes
-from fathom.session import checkpoint_dir
+from fathom.session import checkpoint_dir, materialize_small
 
 EDGE_EPS = 1e-9  # degrees; keeps the acceptance test conservative under rounding
 TARGET_PER_BUCKET = 4.0
@@ -77,13 +78,25 @@ def nearest_node_join(nodes: DataFrame, pts: DataFrame, bounds: DataFrame,
                  .select("survey_id", "cx", "cy", F.col("rep.latitude").alias("ry"),
                          F.col("rep.longitude").alias("rx"))
                  .checkpoint(eager=True))
+    # First level per survey from its cell occupancy: about 1/sqrt(occupancy)
+    # cells separate a node from the nearest non-empty cell, so sparse or
+    # clustered surveys skip the levels that would resolve nothing.
+    occ = (cells.groupBy("survey_id").agg(F.count(F.lit(1)).alias("n_cells"))
+                .join(ext.select("survey_id", "max_cx", "max_cy"), "survey_id")
+                .select("survey_id", (F.col("n_cells") / ((F.col("max_cx") + 1) * (F.col("max_cy") + 1)))
+                        .alias("occ")))
+    start = F.greatest(F.lit(0), F.floor(F.lit(-0.5) * F.log(F.col("occ")) / F.log(F.lit(float(GROWTH)))))
+    starts = materialize_small(occ.select("survey_id", start.cast("int").alias("start")))
+    ext = ext.join(starts, "survey_id")
+    cells = cells.join(starts, "survey_id")
     todo = (nodes.join(ext, "survey_id")
                  .withColumns({"ncx": F.floor((F.col("lon") - F.col("min_lon")) / F.col("b0")),
                                "ncy": F.floor((F.col("lat") - F.col("min_lat")) / F.col("b0"))}))
     eps = F.lit(EDGE_EPS)
     done = []
     for level in range(max_levels):
-        f = GROWTH ** level  # coarse bucket = f x f cells
+        # coarse bucket = f x f cells, f = 4^(level + the survey's start level)
+        f = F.pow(F.lit(float(GROWTH)), F.lit(level) + F.col("start"))
         n = todo.withColumns({"kx": F.floor(F.col("ncx") / f), "ky": F.floor(F.col("ncy") / f)})
         offs = F.array(*[F.lit(i) for i in (-1, 0, 1)])
         probe = (n.withColumn("dx", F.explode(offs)).withColumn("dy", F.explode(offs))
@@ -101,7 +114,7 @@ def nearest_node_join(nodes: DataFrame, pts: DataFrame, bounds: DataFrame,
         pairs = pairs.withColumns({"dmin": F.sqrt(gx * gx + gy * gy), "drep": F.sqrt(rx * rx + ry * ry)})
         bound = pairs.groupBy("survey_id", "row", "col").agg(F.min("drep").alias("ub"))
         # Distance from the node to the edge of the searched 3 x 3 coarse square.
-        span = F.col("b0") * F.lit(float(f))
+        span = F.col("b0") * f
         sx0 = F.col("min_lon") + (F.col("kx") - 1) * span
         sx1 = F.col("min_lon") + (F.col("kx") + 2) * span
         sy0 = F.col("min_lat") + (F.col("ky") - 1) * span
