@@ -2,7 +2,7 @@
 
 A plugin is a ``DataFrame -> DataFrame`` transformation with a name and a
 version; ``apply_overlay(df, name)`` is ``df.transform(plugin.apply)``.  The
-built-in ``deepseaguard`` overlay is one projection; ``water_quality`` joins
+built-in ``environment`` overlay is one projection; ``water_quality`` joins
 a gridded layer table to the soundings by grid cell (the reference's "would
 query an API" per point, re-aimed as an equi-join).
 """
@@ -30,8 +30,8 @@ class OverlayPlugin(ABC):
                 "description": f"Environmental overlay plugin: {self.name}"}
 
 
-class DeepSeaGuardOverlay(OverlayPlugin):
-    name = "DeepSeaGuard"
+class EnvironmentOverlay(OverlayPlugin):
+    name = "Environment"
     layers = ["plume_detection", "water_quality", "habitat_classification"]
 
     def apply(self, df: DataFrame, config: dict | None = None) -> DataFrame:
@@ -69,7 +69,7 @@ class WaterQualityOverlay(OverlayPlugin):
 
 
 OVERLAYS: dict[str, OverlayPlugin] = {
-    "deepseaguard": DeepSeaGuardOverlay(),
+    "environment": EnvironmentOverlay(),
     "water_quality": WaterQualityOverlay(),
 }
 

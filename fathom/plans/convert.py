@@ -35,7 +35,7 @@ class ConvertOptions:
     qc_mode: str = "auto"
     anonymize: bool = True
     add_overlay: bool = False
-    overlay: str = "deepseaguard"
+    overlay: str = "environment"
     salt: str = "default_salt"
     resolution: float = gr.RESOLUTION
     surface_method: str = "nearest"

@@ -220,7 +220,7 @@ SELECT survey_id, true AS qc_applied, 'automated' AS qc_method, 6 AS n_rules, to
         F.col("quality_control.anomaly_detection.quality_score").alias("quality_score"))))
 
 register("payload_provenance", """
-SELECT DISTINCT survey_id, 'L2' AS processing_level, true AS anonymized, 'deepseaguard' AS overlay_plugin
+SELECT DISTINCT survey_id, 'L2' AS processing_level, true AS anonymized, 'environment' AS overlay_plugin
 FROM soundings_mbes""", _M)(
     lambda spark, sf_dir: _payloads(spark, sf_dir).select(
         "survey_id", F.col("provenance.processing_level").alias("processing_level"),

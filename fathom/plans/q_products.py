@@ -36,7 +36,7 @@ SELECT survey_id, idx,
                                           AND depth > 100, false) THEN 'plume_detected' END,
                       CASE WHEN depth < 100 THEN 'shallow_water' END) AS risk_factors
 FROM soundings_mbes""", ("soundings_mbes",))(
-    lambda spark, sf_dir: r6(ov.apply_overlay(view(spark, sf_dir, "soundings_mbes"), "deepseaguard")
+    lambda spark, sf_dir: r6(ov.apply_overlay(view(spark, sf_dir, "soundings_mbes"), "environment")
                              .select("survey_id", "idx", "plume_detected", "water_temperature", "habitat_type",
                                      "environmental_risk", F.array_join("risk_factors", "|").alias("risk_factors"))))
 
@@ -64,11 +64,11 @@ def q_layer(spark, sf_dir):
 def q_registry(spark, sf_dir):
     """Every registered overlay applied by name; rows-only (counts per overlay)."""
     s = view(spark, sf_dir, "soundings_mbes")
-    a = ov.apply_overlay(s, "deepseaguard").groupBy("survey_id").agg(
+    a = ov.apply_overlay(s, "environment").groupBy("survey_id").agg(
         F.count_if("plume_detected").alias("plume_points"))
     b = ov.apply_overlay(s, "water_quality", {"layer": view(spark, sf_dir, "env_layer"), "resolution": 0.01})
     b = b.groupBy("survey_id").agg(F.count("dissolved_oxygen").alias("layer_points"))
-    info = ov.overlay_info("deepseaguard")
+    info = ov.overlay_info("environment")
     return a.join(b, "survey_id").withColumns({"overlays": F.lit(",".join(ov.available_overlays())),
                                                "plugin": F.lit(info["name"]), "version": F.lit(info["version"])})
 
@@ -179,7 +179,7 @@ def _payloads(spark, sf_dir, files=None):
     s = view(spark, sf_dir, "soundings_mbes")
     cat = sb.survey_catalog(s, "mbes", sc.qc_summary(s, "mbes", "auto"))
     files = files if files is not None else _product_files(spark, sf_dir)
-    return sb.payloads(cat, sb.survey_file_entries(files), INFO, anonymized=True, overlay="deepseaguard")
+    return sb.payloads(cat, sb.survey_file_entries(files), INFO, anonymized=True, overlay="environment")
 
 
 _QC_CTE = None

@@ -8,10 +8,10 @@ from fathom.operators import submission as sb
 from fathom.sinks.products import ProductInfo
 
 
-def test_deepseaguard_values(spark):
+def test_environment_values(spark):
     df = spark.createDataFrame([(1, 0, 40.7128, -74.0060, 10.5), (1, 1, 40.5, -73.5, 150.0)],
                                "survey_id long, idx long, latitude double, longitude double, depth double")
-    r = {x.idx: x for x in ov.apply_overlay(df, "deepseaguard").collect()}
+    r = {x.idx: x for x in ov.apply_overlay(df, "environment").collect()}
     assert (r[0].plume_detected, round(r[0].water_temperature, 4), r[0].habitat_type, r[0].environmental_risk,
             r[0].risk_factors) == (False, 19.5386, "shallow_water", "low", ["shallow_water"])
     assert (r[1].plume_detected, round(r[1].water_temperature, 4), r[1].habitat_type, r[1].environmental_risk,
@@ -23,10 +23,10 @@ def test_unknown_overlay(spark):
     try:
         ov.apply_overlay(df, "nope")
     except ValueError as e:
-        assert "deepseaguard" in str(e)
+        assert "environment" in str(e)
     else:
         raise AssertionError("expected ValueError")
-    assert ov.overlay_info("deepseaguard")["version"] == "1.0.0"
+    assert ov.overlay_info("environment")["version"] == "1.0.0"
 
 
 def test_layer_join(spark):
