@@ -8,7 +8,8 @@
 * ``idx`` (the 0-based position in the file, the reference's row index) is
   taken from the data when the file carries it; otherwise it is derived from
   the file split and the read order with the skew-safe ``sequence``.
-* Header sniffing reads only each file's first line.
+* Header sniffing lists files (no content) and reads only each file's first
+  64 KB inside tasks.
 """
 
 from __future__ import annotations
@@ -146,8 +147,51 @@ def scan_surveys(spark: SparkSession, paths: str | list[str], sensor: str, fmt:
     return std.withColumn("sensor_type", F.lit(sensor)).drop("_file", "_block")
 
 
+HEAD_BYTES = 64 * 1024
+
+
+def _read_heads(batches):
+    """mapInPandas body: first line of each listed file, reading at most
+    HEAD_BYTES through pyarrow's filesystem layer (local, HDFS, S3, ...)."""
+    import pandas as pd
+    from pyarrow import fs as pafs
+
+    for pdf in batches:
+        heads = []
+        for path in pdf["path"]:
+            uri = "file://" + path[len("file:"):] if path.startswith("file:/") and not path.startswith("file://") \
+                else path
+            try:
+                filesystem, inner = pafs.FileSystem.from_uri(uri)
+                with filesystem.open_input_stream(inner) as f:
+                    raw = f.read(HEAD_BYTES)
+                heads.append(raw.split(b"\n", 1)[0].decode("utf-8", "replace").rstrip("\r"))
+            except Exception:  # noqa: BLE001 - reported as NULL, the caller may rescan
+                heads.append(None)
+        yield pd.DataFrame({"path": pdf["path"], "header": heads})
+
+
 def first_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, header line) per file, reading only each file's first split."""
+    """(path, header line) per file.
+
+    The file list comes from ``binaryFile`` without its content column (a
+    listing); each task then reads only the head of its files.  Files whose
+    scheme pyarrow cannot open fall back to a text scan of their first split.
+    """
+    from fathom.session import ship_package
+    ship_package(spark)
+    listing = spark.read.format("binaryFile").load(paths).select("path")
+    heads = listing.mapInPandas(_read_heads, "path string, header string")
+    missing = heads.where(F.col("header").isNull()).select("path")
+    if missing.isEmpty():
+        return heads
+    return heads.where(F.col("header").isNotNull()).unionByName(
+        first_lines_scan(spark, paths).join(missing, "path", "left_semi"))
+
+
+def first_lines_scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, header line) per file by scanning text: rows of the first split
+    (block start 0), first in read order.  Reads whole files; fallback only."""
     t = (spark.read.text(paths)
               .select("value", F.col("_metadata.file_path").alias("path"),
                       F.col("_metadata.file_block_start").alias("_block"),
