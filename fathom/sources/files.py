@@ -121,15 +121,20 @@ def _reader(spark: SparkSession, fmt: str, sep: str | None, comment: str | None,
 
 def scan_surveys(spark: SparkSession, paths: str | list[str], sensor: str, fmt: str = "csv",
                  sep: str | None = None, comment: str | None = None, header: bool = True,
-                 names: list[str] | None = None, multiline: bool = True) -> DataFrame:
+                 names: list[str] | None = None, multiline: bool = True,
+                 schema: str | None = None) -> DataFrame:
     """Read survey files into the soundings schema (all files in one job).
 
     JSON files hold a records array (``multiline=True``) or one record per
-    line (``multiline=False``)."""
+    line (``multiline=False``); without ``schema`` (a DDL string of the raw
+    fields) Spark runs a field-discovery pass over JSON input first.  CSV never
+    infers types: every field is read as a string and cast afterwards."""
     if fmt == "txt":
         sep = sep or "\t"
     reader = _reader(spark, "json" if fmt == "json" else "csv", sep, comment, header, multiline)
-    if names is not None and fmt != "json":
+    if schema is not None:
+        reader = reader.schema(schema)
+    elif names is not None and fmt != "json":
         reader = reader.schema(", ".join(f"`{n}` STRING" for n in names))
     raw = reader.json(paths) if fmt == "json" else reader.csv(paths)
     raw = raw.select("*", F.col("_metadata.file_path").alias("_file"),
