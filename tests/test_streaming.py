@@ -28,3 +28,20 @@ def test_stateful_depth_jump_matches_batch(spark):
     ref = sorted((r.survey_id, r.idx, r.pos, round(r.value, 6)) for r in
                  det.jump_anomalies(det.depth_sequence(df)).collect())
     assert got == ref and len(ref) > 0
+
+
+def test_late_rows_are_dropped_and_counted(spark):
+    rows = [(1, i, f"2024-01-01 00:00:{i:02d}", 10.0 + i) for i in range(40)]
+    df = spark.createDataFrame(rows, "survey_id long, idx long, timestamp string, depth double") \
+              .withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    base = tempfile.mkdtemp(prefix="fathom-stream-late-")
+    landing, out, ckpt = os.path.join(base, "in"), os.path.join(base, "out"), os.path.join(base, "ckpt")
+    # The newer half arrives first; the older half is late relative to the kept state.
+    for part in (df.where("idx >= 20"), df.where("idx < 20")):
+        part.write.mode("append").parquet(landing)
+        q = (ss.stream_depth_jumps(ss.soundings_stream(spark, landing, df.schema)).writeStream
+               .format("parquet").option("path", out).option("checkpointLocation", ckpt)
+               .trigger(availableNow=True).start())
+        q.awaitTermination()
+    late = spark.read.parquet(out).where("kind = 'late'").collect()
+    assert [(r.survey_id, r.value) for r in late] == [(1, 20.0)]
