@@ -6,8 +6,9 @@
   ``try_cast`` (bad values -> NULL instead of failing the job), parses
   timestamps, and takes ``survey_id`` from the file name.
 * ``idx`` (the 0-based position in the file, the reference's row index) is
-  taken from the data when the file carries it; otherwise it is derived from
-  the file split and the read order with the skew-safe ``sequence``.
+  taken from the data when the file carries it; otherwise it comes from the
+  read order inside each file split plus a per-split offset table
+  (``file_positions``), without reordering the data.
 * Header sniffing lists files (no content) and reads only each file's first
   64 KB inside tasks.
 """
@@ -17,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.operators.ordered import sequence
 
 # Fixed values (must equal the reference's parsers): header aliases per sensor family.
 ALIASES = {
@@ -147,11 +147,31 @@ def scan_surveys(spark: SparkSession, paths: str | list[str], sensor: str, fmt:
     if "survey_id" not in std.columns:
         std = std.withColumn("survey_id", F.regexp_extract(F.col("_file"), r"([^/]+?)(\.[^./]*)?$", 1))
     if "idx" not in std.columns:
-        std = std.withColumn("_read", F.monotonically_increasing_id())
-        std = sequence(std, ["_file"], ["_block", "_read"], pos_col="idx").drop("_read")
+        std = file_positions(std)
     return std.withColumn("sensor_type", F.lit(sensor)).drop("_file", "_block")
 
 
+def file_positions(df: DataFrame, pos_col: str = "idx") -> DataFrame:
+    """0-based row position inside each file, from the scan itself.
+
+    A file split is read by one task in file order, so its rows carry
+    consecutive ``monotonically_increasing_id`` values.  A small table with
+    one row per (file, split) -- first id and row count -- gives each split's
+    offset as a running sum over the file's splits; joining it back places
+    every row without reordering or checkpointing the data.  Both reads of the
+    scan are planned identically, so their ids agree (also when a lost task
+    is re-read).
+    """
+    from pyspark.sql import Window
+    r = df.withColumn("_read", F.monotonically_increasing_id())
+    splits = r.groupBy("_file", "_block").agg(F.min("_read").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    return (r.join(splits, ["_file", "_block"])
+             .withColumn(pos_col, F.col("_off") + F.col("_read") - F.col("_first"))
+             .drop("_read", "_first", "_off"))
+
+
 HEAD_BYTES = 64 * 1024
 
 

@@ -72,3 +72,21 @@ def test_json_records_array(spark, tmp_path):
     rows = sorted(df.collect(), key=lambda r: r.idx)
     assert [(r.idx, r.latitude, r.depth, r.velocity, r.survey_id, r.sensor_type) for r in rows] == \
         [(0, 40.1, 55.5, 2.5, "auv_track", "auv"), (1, 40.2, 60.0, 3.0, "auv_track", "auv")]
+
+
+def test_file_positions_across_splits(spark, tmp_path):
+    """idx = line position even when a file is read as many splits."""
+    p = tmp_path / "long.csv"
+    with open(p, "w") as f:
+        f.write("timestamp,latitude,longitude,depth\n")
+        for i in range(60000):
+            f.write(f"2024-01-01T00:00:00Z,{i},-74.0,{i % 500}.5\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 * 1024))
+    try:
+        df = fs.scan_surveys(spark, str(p), "mbes")
+        bad = df.where("idx != CAST(latitude AS BIGINT)").count()
+        n = df.count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert n == 60000 and bad == 0
