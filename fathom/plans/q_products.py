@@ -182,9 +182,6 @@ def _payloads(spark, sf_dir, files=None):
     return sb.payloads(cat, sb.survey_file_entries(files), INFO, anonymized=True, overlay="environment")
 
 
-_QC_CTE = None
-
-
 def _qc_sql():
     from fathom.plans.q_qc import _qc_summary_sql
     return _qc_summary_sql("soundings_mbes", "mbes")

@@ -45,3 +45,27 @@ def test_late_rows_are_dropped_and_counted(spark):
         q.awaitTermination()
     late = spark.read.parquet(out).where("kind = 'late'").collect()
     assert [(r.survey_id, r.value) for r in late] == [(1, 20.0)]
+
+
+def test_watermark_drops_late_duplicates(spark):
+    """Counts per (survey, timestamp) in update mode; rows older than the
+    watermark (max event time - delay) are dropped, not counted."""
+    rows = [(1, i, f"2024-01-01 {h:02d}:00:00", 1.0) for i, h in enumerate([5, 5, 6, 9])]
+    late = [(1, 10, "2024-01-01 05:00:00", 1.0)]  # arrives after 09:00 was seen
+    schema = "survey_id long, idx long, timestamp string, depth double"
+    to_ts = lambda d: d.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    base = tempfile.mkdtemp(prefix="fathom-stream-wm-")
+    landing, out, ckpt = os.path.join(base, "in"), os.path.join(base, "out"), os.path.join(base, "ckpt")
+
+    def sink(batch, batch_id):
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+
+    for part in (rows, late):
+        to_ts(spark.createDataFrame(part, schema)).write.mode("append").parquet(landing)
+        s = ss.soundings_stream(spark, landing, to_ts(spark.createDataFrame(rows, schema)).schema)
+        q = (ss.stream_timestamp_counts(s, "1 hour").writeStream.outputMode("update").foreachBatch(sink)
+               .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+    final = {str(r.timestamp): r.n for r in
+             spark.read.parquet(out).groupBy("timestamp").agg(F.max("n").alias("n")).collect()}
+    assert final["2024-01-01 05:00:00"] == 2  # the late copy was dropped
