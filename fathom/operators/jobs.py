@@ -91,12 +91,17 @@ def cancel(jobs: DataFrame, requests: DataFrame, run_ts: str) -> DataFrame:
         F.when(asked & can, F.lit(run_ts)).alias("cancelled_at"))
 
 
-def map_summary(jobs: DataFrame) -> DataFrame:
-    """Counts by status and the mean quality in percent (1 dp)."""
+def map_summary(jobs: DataFrame, locations: DataFrame | None = None) -> DataFrame:
+    """Counts by status, the mean quality in percent (1 dp) and, given job
+    locations (job_id, latitude, longitude), the map centre (mean position)."""
     s = F.col("status")
-    return jobs.agg(F.count(F.lit(1)).alias("total_jobs"), F.count_if(s == "completed").alias("completed"),
-                    F.count_if(s == "processing").alias("processing"),
-                    F.round(F.avg("quality_score") * F.lit(100.0), 1).alias("avg_quality_pct"))
+    aggs = [F.count(F.lit(1)).alias("total_jobs"), F.count_if(s == "completed").alias("completed"),
+            F.count_if(s == "processing").alias("processing"),
+            F.round(F.avg("quality_score") * F.lit(100.0), 1).alias("avg_quality_pct")]
+    if locations is not None:
+        jobs = jobs.join(locations.select("job_id", "latitude", "longitude"), "job_id", "left")
+        aggs += [F.avg("latitude").alias("center_lat"), F.avg("longitude").alias("center_lon")]
+    return jobs.agg(*aggs)
 
 
 def duration_text(created: Column, completed: Column) -> Column:

@@ -321,8 +321,12 @@ FROM jobs""", ("jobs",))(
 register("jobs_map_summary", """
 SELECT count(*) AS total_jobs, count(*) FILTER (WHERE status = 'completed') AS completed,
        count(*) FILTER (WHERE status = 'processing') AS processing,
-       round(avg(quality_score) * 100.0, 1) AS avg_quality_pct FROM jobs""", ("jobs",))(
-    lambda spark, sf_dir: r6(jb.map_summary(view(spark, sf_dir, "jobs"))))
+       round(avg(quality_score) * 100.0, 1) AS avg_quality_pct,
+       round(avg(n.latitude), 6) AS center_lat, round(avg(n.longitude), 6) AS center_lon
+FROM jobs j LEFT JOIN soundings_nav n ON j.job_id = n.idx""", ("jobs", "soundings_nav"))(
+    lambda spark, sf_dir: r6(jb.map_summary(
+        view(spark, sf_dir, "jobs"),
+        view(spark, sf_dir, "soundings_nav").select(F.col("idx").alias("job_id"), "latitude", "longitude"))))
 
 register("job_duration", """
 SELECT job_id, CASE WHEN duration_s IS NULL THEN 'In progress...'
