@@ -364,19 +364,37 @@ def _conversion(spark, sf_dir):
     return r6(n.join(q, "survey_id").join(e, "survey_id").withColumn("status", F.lit("completed")))
 
 
-register("processing_metrics", """
+def _processing_sql():
+    from fathom.plans.oracle import sql_grid_cells, sql_with
+    return sql_with(sql_grid_cells(), """
 SELECT survey_id, 'drop_null_xyz' AS operation, count(*) AS input_size,
        count(*) FILTER (WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND depth IS NOT NULL) AS output_size,
        round(count(*) FILTER (WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND depth IS NOT NULL) / count(*), 6)
          AS efficiency
-FROM soundings_mbes GROUP BY survey_id""", ("soundings_mbes",))(
-    lambda spark, sf_dir: r6(view(spark, sf_dir, "soundings_mbes").groupBy("survey_id").agg(
+FROM soundings_mbes GROUP BY survey_id
+UNION ALL
+SELECT survey_id, 'grid_binning', count(*), count(DISTINCT (row, col)),
+       round(count(DISTINCT (row, col)) / count(*), 6)
+FROM cells GROUP BY survey_id""")
+
+
+@register("processing_metrics", _processing_sql(), ("soundings_mbes",))
+def q_processing(spark, sf_dir):
+    """Per survey and operation: input rows, output rows, efficiency = out / in (0 without input)."""
+    from fathom.operators import grid as gr
+    s = view(spark, sf_dir, "soundings_mbes")
+    xyz = s.groupBy("survey_id").agg(
         F.count(F.lit(1)).alias("input_size"),
         F.count_if(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("depth").isNotNull())
-        .alias("output_size"))
-        .withColumns({"operation": F.lit("drop_null_xyz"),
-                      "efficiency": F.when(F.col("input_size") > 0, F.col("output_size") / F.col("input_size"))
-                                     .otherwise(F.lit(0.0))})))
+        .alias("output_size")).withColumn("operation", F.lit("drop_null_xyz"))
+    binned = gr.binned_points(s.where("latitude <= 90 AND longitude >= -180 AND depth IS NOT NULL"), "mbes", 0.01)
+    grid = (binned.groupBy("survey_id").agg(F.count(F.lit(1)).alias("input_size"),
+                                            F.count_distinct("row", "col").alias("output_size"))
+                  .withColumn("operation", F.lit("grid_binning")))
+    out = xyz.unionByName(grid)
+    return r6(out.withColumn("efficiency", F.when(F.col("input_size") > 0, F.col("output_size") / F.col("input_size"))
+                                            .otherwise(F.lit(0.0))))
+
 
 # -------------------------------------------------------------- sources
 
