@@ -193,7 +193,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                              .otherwise(F.raise_error(F.lit("two texts share one SHA-256 digest")).cast("long"))).drop("texts")
     first = (rows.join(few, "fp", "left_semi").groupBy("fp", "sha")
              .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first")))
-    groups = first.join(texts, ["fp", "sha"]).select("fp", "sha", "first", "group_size")
+    # Stored, so that the join below has plain inputs, of which AQE splits a text that many rows share.
+    groups = stored(first.join(texts, ["fp", "sha"]).select("fp", "sha", "first", "group_size"), "exact-groups")
     out = rows.join(groups, ["fp", "sha"], "left")
     return out.select(
         F.col("doc_id").alias(id_col),
