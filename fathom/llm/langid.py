@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.llm.common import ship, training_fold
+from fathom.llm.common import fresh, ship, training_fold
 
 WORD = re.compile(r"[^\W\d_]+")
 #: log2 of the hashed trigram buckets; the model has so many numbers a language (256 kB), whatever the corpus.
@@ -112,8 +112,9 @@ def mixture(ll: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
     return out, sure if len(chosen) == 1 else 1.0
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: id, lang_pred, score, proportions.
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[str], text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: its columns ``carry`` and lang_pred,
+    score, proportions (named otherwise where ``carry`` has that name).
 
     ``und`` with score 0 where the text is null or has no letter, or nothing
     was learned.  The score is the predicted language's proportion, for a
@@ -123,8 +124,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast((model[0], model[1].astype(np.float32)))
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType()), T.StructField("proportions", T.MapType(T.StringType(), T.DoubleType()))])
+    rows = docs.select(*[F.col(f"`{c}`") for c in carry])
+    added = fresh(rows, "lang_pred", "score", "proportions", "text_read")
+    kinds = [T.StringType(), T.DoubleType(), T.MapType(T.StringType(), T.DoubleType())]
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, k) for n, k in zip(added, kinds, strict=False)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = shared.value
@@ -132,7 +135,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         known = np.zeros((0, len(langs)), np.float32)
         for b in batches:
             preds, scores, shares = [], [], []
-            for text in b.column(1):
+            for text in b.column(len(carry)):
                 words = WORD.findall(text.as_py().lower()) if text.is_valid and langs else []
                 c = Counter(words)
                 for w in [w for w in c if not any(map(str.isalpha, w))]:
@@ -159,15 +162,24 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                 preds.append(langs[best])
                 scores.append(min(1.0, float(theta[best]) * sure))
                 shares.append([(langs[i], float(theta[i])) for i in np.flatnonzero(theta)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()),
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(carry)], pa.array(preds, pa.string()), pa.array(scores, pa.float64()),
                                               pa.array(shares, pa.map_(pa.string(), pa.float64()))], schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).cast("string").alias(added[3])).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:
     """:func:`predict` for all rows with a model learned from the rows with a
     language outside fold 0; adds held_out (the row is in fold 0)."""
     held = training_fold(id_col, folds, 0)
-    out = predict(docs, train(docs.where(~held), text_col, lang_col), id_col, text_col)
+    out = predict(docs, train(docs.where(~held), text_col, lang_col), [id_col], text_col)
     return out.withColumn("held_out", held)
+
+
+def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:
+    """The rows of ``docs`` whose text is in an identified language: not ``und``,
+    and that language's score is at least ``least``; all their columns."""
+    model = train(docs.where(~training_fold(id_col, folds, 0)), text_col, lang_col)
+    out = predict(docs, model, docs.columns, text_col)
+    lang, score = out.columns[len(docs.columns):len(docs.columns) + 2]
+    return out.where((F.col(lang) != "und") & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import langid, packing, ppm, quotient, simhash
+from fathom.llm import langid, merkle, mixing, packing, ppm, quotient, secret_scan, simhash, surrogates, templates
 from fathom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@register("op1_document_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(documents(spark, sf_dir))
+
+
 @register("op2_simhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, radius=3).select("doc_id", "fingerprint", "component_id")
@@ -45,6 +50,29 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(documents(spark, sf_dir))
 
 
+@register("op5_secret_scans")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
+@register("op6_mixing_to_targets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(documents(spark, sf_dir))
+
+
+@register("op7_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = templates.drop_recurring_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@register("op8_pii_surrogates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("fathom.llm.surrogateKey", "check")  # a secret of the deployment
+    out = surrogates.replace_pii(documents(spark, sf_dir), key)
+    return out.select("doc_id", "text", *[f"n_{k}" for k in surrogates.KINDS])
+
+
 @register("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path(), capacity=2048, end_id=0)
