@@ -33,7 +33,7 @@ ORDER = 4
 #: Bytes that no UTF-8 text has: before a text's first byte, after its last.
 START, END = 0xFE, 0xFF
 #: Bytes of text in a bucket on average, and the least number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 12
+BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 12
 #: Successions counted at once.
 STEP = 1 << 21
 
