@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.operators.joins import join_null_safe
 from fathom.operators.ordered import sequence
 from fathom.session import materialize_small
 
@@ -55,7 +56,7 @@ def grid_bounds(points: DataFrame, res: float = RESOLUTION, valid_col: str | Non
 def cell_index(points: DataFrame, bounds: DataFrame, res: float = RESOLUTION) -> DataFrame:
     """Attach (row, col); keep points inside the grid shape.  ``bounds`` is
     one row per survey; AQE broadcasts it when small."""
-    j = points.join(bounds.select("survey_id", "min_lat", "min_lon", "n_rows", "n_cols"), "survey_id")
+    j = join_null_safe(points, bounds.select("survey_id", "min_lat", "min_lon", "n_rows", "n_cols"), ["survey_id"])
     row = F.floor((F.col("latitude") - F.col("min_lat")) / F.lit(res)).cast("int")
     col = F.floor((F.col("longitude") - F.col("min_lon")) / F.lit(res)).cast("int")
     j = j.withColumns({"row": row, "col": col})
@@ -132,11 +133,11 @@ def attributed_grid(df: DataFrame, sensor: str, res: float = RESOLUTION,
     b = binned_points(df, sensor, res, bounds)
     cells = cell_stats(b)
     if method == "running":
-        cells = cells.join(running_average(b), ["survey_id", "row", "col"])
+        cells = join_null_safe(cells, running_average(b), ["survey_id", "row", "col"])
         elev = F.col("elevation_running")
     else:
         elev = F.col("elevation_mean")
-    return (cells.join(bounds.select("survey_id", "min_lat", "min_lon"), "survey_id")
+    return (join_null_safe(cells, bounds.select("survey_id", "min_lat", "min_lon"), ["survey_id"])
                  .select("survey_id", "row", "col",
                          (F.col("min_lat") + F.col("row") * F.lit(res)).alias("lat"),
                          (F.col("min_lon") + F.col("col") * F.lit(res)).alias("lon"),

@@ -60,7 +60,12 @@ def positional_mapping(original: DataFrame, anonymized: DataFrame, key: list[str
 
 
 def deanonymize(df: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Replace hashed identifiers found in ``mapping`` by the original; keep others."""
+    """Replace hashed identifiers found in ``mapping`` by the original; keep others.
+
+    A hash that two originals share is ambiguous and stays as it is, so every
+    row comes out once."""
+    mapping = mapping.groupBy("hashed").agg(
+        F.when(F.count_distinct("original") == 1, F.min("original")).alias("original"))
     out = df
     for c in [c for c in ID_COLUMNS if c in df.columns]:
         m = mapping.select(F.col("hashed").alias(f"_h_{c}"), F.col("original").alias(f"_o_{c}"))

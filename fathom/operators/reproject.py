@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.operators.joins import join_null_safe
 from fathom.functions.geo import utm_to_wgs84_df
 
 WGS84 = "EPSG:4326"
@@ -37,7 +38,7 @@ def crs_profile(df: DataFrame, source_zone: int = 33, north: bool = True) -> Dat
 def reproject_to_wgs84(df: DataFrame, source_zone: int = 33, north: bool = True) -> DataFrame:
     """latitude/longitude in WGS84 degrees; ``source_crs`` says what was done."""
     prof = crs_profile(df, source_zone, north).select("survey_id", "is_wgs84", "source_crs")
-    j = df.join(prof, "survey_id")
+    j = join_null_safe(df, prof, ["survey_id"])
     move = (~F.col("is_wgs84")) & (F.col("source_crs") != WGS84)
     j = j.withColumn("reprojected", move)
     out = utm_to_wgs84_df(j, "longitude", "latitude", source_zone, north, keep=~F.col("reprojected"))

@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.operators.joins import join_null_safe
+
 # Fixed values (must equal the reference's): valid range per column, anomaly
 # type, severity, threshold text and the description text around the value.
 #   column:          lo,    hi,    type,                   severity, threshold,      description prefix,             suffix
@@ -152,7 +154,7 @@ def depth_outlier_anomalies(df: DataFrame, column: str = "depth") -> DataFrame:
     """|x - mean| > 3 * sample std, for surveys with >= 10 rows and >= 5 values."""
     stats = depth_stats(df, column).where(
         (F.col("n_rows") >= OUTLIER_MIN_ROWS) & (F.col("n_values") >= OUTLIER_MIN_VALUES))
-    j = df.select("survey_id", "idx", column).join(stats, "survey_id")
+    j = join_null_safe(df.select("survey_id", "idx", column), stats, ["survey_id"])
     bad = j.where(F.abs(F.col(column) - F.col("mean")) > F.lit(OUTLIER_SIGMAS) * F.col("std"))
     return bad.select(*_anomaly(
         F.col("survey_id"), F.col("idx"), "depth_consistency_check", "depth_outlier", "medium", column,
@@ -177,8 +179,7 @@ def duplicate_flags(df: DataFrame, keys: list[str]) -> DataFrame:
     (pandas ``duplicated(keep=False)``)?  Counted by a hash aggregate and
     joined back, so a hot key is a counter, not a window partition."""
     counts = df.groupBy("survey_id", *keys).agg(F.count(F.lit(1)).alias("_dup_n"))
-    return (df.select("survey_id", "idx", *keys)
-              .join(counts, ["survey_id", *keys], "left")
+    return (join_null_safe(df.select("survey_id", "idx", *keys), counts, ["survey_id", *keys], "left")
               .select("survey_id", "idx", (F.col("_dup_n") > 1).alias("is_duplicate")))
 
 

@@ -51,6 +51,8 @@ def sensor_statistics(df: DataFrame, sensor: str) -> DataFrame:
     cols = [c for c in STAT_COLUMNS.get(sensor, []) if c in df.columns]
     if sensor not in STAT_COLUMNS:
         return generic_statistics(df)
+    if not cols:
+        return df.select("survey_id").distinct()
     return df.groupBy("survey_id").agg(*[e for c in cols for e in _describe(c)])
 
 

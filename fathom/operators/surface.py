@@ -139,6 +139,8 @@ def nearest_node_join(nodes: DataFrame, pts: DataFrame, bounds: DataFrame,
         todo = judged.where(~F.col("ok")).drop("ok", "ub", "kx", "ky")
         if todo.isEmpty():
             break
+    else:
+        raise RuntimeError(f"nodes without a nearest location after {max_levels} levels; raise max_levels")
     out = done[0]
     for d_ in done[1:]:
         out = out.unionByName(d_)

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from fathom.operators.joins import join_null_safe
 from fathom.functions import environment as env
 from fathom.operators import overlay as ov
 from fathom.operators import rules as rl
@@ -143,11 +144,11 @@ def q_dup_semi(spark, sf_dir):
 @register("stats_broadcast_join", """
 SELECT v.survey_id, v.idx, round((v.depth - s.mean) / s.std, 6) AS zscore
 FROM soundings_mbes v JOIN (SELECT survey_id, avg(depth) AS mean, stddev_samp(depth) AS std FROM soundings_mbes
-                            GROUP BY survey_id) s ON v.survey_id = s.survey_id""", _M)
+                            GROUP BY survey_id) s ON v.survey_id IS NOT DISTINCT FROM s.survey_id""", _M)
 def q_zscore(spark, sf_dir):
     s = _mb(spark, sf_dir)
     st = rl.depth_stats(s)
-    return r6(s.join(st, "survey_id").select(
+    return r6(join_null_safe(s, st, ["survey_id"]).select(
         "survey_id", "idx", ((F.col("depth") - F.col("mean")) / F.col("std")).alias("zscore")))
 
 # --------------------------------------------------------- sensor unions

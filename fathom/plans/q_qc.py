@@ -81,6 +81,8 @@ register("qc_rules_mbes", sql_rule_anomalies("soundings_mbes", "mbes"), ("soundi
     _all_rules_query("soundings_mbes", "mbes"))
 register("qc_rules_sbes", sql_rule_anomalies("soundings_nav", "sbes"), ("soundings_nav",))(
     _all_rules_query("soundings_nav", "sbes"))
+register("qc_singlebeam", sql_rule_anomalies("soundings_nav", "singlebeam"), ("soundings_nav",))(
+    _all_rules_query("soundings_nav", "singlebeam"))
 register("qc_rules_auv", sql_rule_anomalies("soundings_nav", "auv"), ("soundings_nav",))(
     _all_rules_query("soundings_nav", "auv"))
 register("qc_rules_lidar", sql_rule_anomalies("points_lidar", "lidar"), ("points_lidar",))(

@@ -31,6 +31,7 @@ def _landing(spark, sf_dir, vname, cols):
     edges = [float("-inf")] + qs + [float("inf")]
     base = scratch_table_path(spark, f"stream-{uuid.uuid4().hex}")
     slices = [src.where((micros >= lo) & (micros < hi)) for lo, hi in zip(edges[:-1], edges[1:])]
+    slices[0] = slices[0].unionByName(src.where(micros.isNull()))
     return base, src.schema, slices
 
 

@@ -50,13 +50,15 @@ def build_session(master: str | None = None, app: str = "fathom",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for cutting lineage.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (tests, a laptop) a fresh scratch folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session; only in local mode (tests,
+    a laptop) a fresh scratch folder is created and registered when it is unset.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="fathom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -93,7 +95,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))

@@ -98,7 +98,8 @@ def _typed(df: DataFrame) -> DataFrame:
     casts = {}
     for c in df.columns:
         if c in NUMERIC:
-            casts[c] = F.col(c).try_cast("int" if c in INTEGER else "double")
+            number = F.col(c).try_cast("int" if c in INTEGER else "double")
+            casts[c] = number if c in INTEGER else F.nanvl(number, F.lit(None).cast("double"))  # NaN text is NULL
         elif c == "timestamp":
             casts[c] = normalize_timestamp(F.col(c))
         elif c == "idx":
@@ -172,13 +173,15 @@ def file_positions(df: DataFrame, pos_col: str = "idx") -> DataFrame:
              .drop("_read", "_first", "_off"))
 
 
-HEAD_BYTES = 64 * 1024
+HEAD_BYTES = 64 * 1024  # read at a time until the line ends
 
 
 def _read_heads(batches):
-    """mapInPandas body: first line of each listed file, reading at most
-    HEAD_BYTES through pyarrow's filesystem layer (local, HDFS, S3, ...)."""
+    """mapInPandas body: first line of each listed file, however long, through
+    pyarrow's filesystem layer (local, HDFS, S3, ...).  NULL where pyarrow has
+    no file system for the scheme; errors while reading are raised."""
     import pandas as pd
+    import pyarrow as pa
     from pyarrow import fs as pafs
 
     for pdf in batches:
@@ -188,11 +191,14 @@ def _read_heads(batches):
                 else path
             try:
                 filesystem, inner = pafs.FileSystem.from_uri(uri)
-                with filesystem.open_input_stream(inner) as f:
-                    raw = f.read(HEAD_BYTES)
-                heads.append(raw.split(b"\n", 1)[0].decode("utf-8", "replace").rstrip("\r"))
-            except Exception:  # noqa: BLE001 - reported as NULL, the caller may rescan
-                heads.append(None)
+            except (pa.ArrowInvalid, pa.ArrowNotImplementedError, ImportError, OSError):
+                heads.append(None)  # the caller scans it as text
+                continue
+            raw = b""
+            with filesystem.open_input_stream(inner) as f:
+                while b"\n" not in raw and (more := f.read(HEAD_BYTES)):
+                    raw += more
+            heads.append(raw.split(b"\n", 1)[0].decode("utf-8", "replace").rstrip("\r"))
         yield pd.DataFrame({"path": pdf["path"], "header": heads})
 
 
