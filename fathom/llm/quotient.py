@@ -130,8 +130,10 @@ def quotient_filters(rows: DataFrame, column: str, bits: int, range_bits: int) -
             new = b.iloc[:, 0].to_numpy(np.int64).view(np.uint64)
             fps, back = np.unique(np.concatenate([fps, new]), return_inverse=True)
             counts = np.bincount(back, np.concatenate([counts, np.ones(len(new), np.int64)]), len(fps)).astype(np.int64)
+        if not len(fps):
+            return
         part = fps >> np.uint64(inner)
-        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(fps) else []
+        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         out = []
         for a, b in zip(edges, [*edges[1:], len(fps)], strict=True):
             f = QuotientFilter.build(fps[a:b] & np.uint64((1 << inner) - 1), counts[a:b], inner)
