@@ -32,11 +32,16 @@ from fathom.session import checkpoint_dir, ship_package
 TILE_POINTS = 256.0
 HALO_STEPS = [0.5, 1.0, 2.0, 4.0]
 
-LINEAR_OUT = ("survey_id long, row int, col int, z double, kind string, a long, b long, c long, "
+LINEAR_OUT = ("row int, col int, z double, kind string, a long, b long, c long, "
               "ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double")
 _VERT = ["ax", "ay", "az", "bx", "by", "bz", "cx", "cy", "cz"]
 
 
+def survey_field(df: DataFrame) -> str:
+    """Schema text of the survey key: its own type, file names included."""
+    return f"survey_id {df.schema['survey_id'].dataType.simpleString()}"
+
+
 def survey_hulls(pts: DataFrame) -> DataFrame:
     """Convex hull per survey as coordinate arrays (counter-clockwise).
 
@@ -58,16 +63,16 @@ def survey_hulls(pts: DataFrame) -> DataFrame:
                 if s in acc:
                     x, y = np.concatenate([acc[s][0], x]), np.concatenate([acc[s][1], y])
                 acc[s] = convex_hull(x, y)
-        rows = [(int(s), float(a), float(b)) for s, (hx, hy) in acc.items() for a, b in zip(hx, hy)]
+        rows = [(s, float(a), float(b)) for s, (hx, hy) in acc.items() for a, b in zip(hx, hy)]
         yield pd.DataFrame(rows, columns=["survey_id", "longitude", "latitude"])
 
     def merge(pdf):
         hx, hy = convex_hull(pdf["longitude"].to_numpy(float), pdf["latitude"].to_numpy(float))
-        return pd.DataFrame({"survey_id": int(pdf["survey_id"].iloc[0]), "longitude": hx, "latitude": hy})
+        return pd.DataFrame({"survey_id": pdf["survey_id"].iloc[0], "longitude": hx, "latitude": hy})
 
     ship_package(pts.sparkSession)
-    schema = "survey_id long, longitude double, latitude double"
-    p = pts.select(F.col("survey_id").cast("long").alias("survey_id"), "longitude", "latitude")
+    schema = f"{survey_field(pts)}, longitude double, latitude double"
+    p = pts.select("survey_id", "longitude", "latitude")
     h1 = p.mapInPandas(partial, schema).withColumn("_b", F.pmod(F.spark_partition_id(), F.lit(256)))
     h2 = h1.groupBy("survey_id", "_b").applyInPandas(merge, schema)
     h3 = h2.groupBy("survey_id").applyInPandas(
@@ -88,37 +93,10 @@ def inside_hull(lon, lat, eps: float = 1e-12):
     return (F.col("n_hull") >= 3) & F.forall(F.sequence(F.lit(0), F.col("n_hull") - 1), edge_ok)
 
 
-def _core(x, y, tri, meta):
-    import numpy as np
-    cx_ = (x[tri[:, 0]] + x[tri[:, 1]] + x[tri[:, 2]]) / 3.0
-    cy_ = (y[tri[:, 0]] + y[tri[:, 1]] + y[tri[:, 2]]) / 3.0
-    return (cx_ >= meta["cx0"]) & (cx_ < meta["cx1"]) & (cy_ >= meta["cy0"]) & (cy_ < meta["cy1"])
-
-
-def _touches_core(x, y, tri, meta):
-    """Triangles that intersect the tile's core rectangle (exact test by
-    separating axes: the two rectangle axes and the three edge normals)."""
-    import numpy as np
-    if len(tri) == 0:
-        return np.zeros(0, dtype=bool)
-    ax, ay = x[tri[:, 0]], y[tri[:, 0]]
-    bx, by = x[tri[:, 1]], y[tri[:, 1]]
-    cx, cy = x[tri[:, 2]], y[tri[:, 2]]
-    x0, x1, y0, y1 = meta["cx0"], meta["cx1"], meta["cy0"], meta["cy1"]
-    hit = ((np.maximum(np.maximum(ax, bx), cx) >= x0) & (np.minimum(np.minimum(ax, bx), cx) <= x1)
-           & (np.maximum(np.maximum(ay, by), cy) >= y0) & (np.minimum(np.minimum(ay, by), cy) <= y1))
-    corners = ((x0, y0), (x1, y0), (x1, y1), (x0, y1))
-    for (px, py), (qx, qy), (rx, ry) in (((ax, ay), (bx, by), (cx, cy)),
-                                         ((bx, by), (cx, cy), (ax, ay)),
-                                         ((cx, cy), (ax, ay), (bx, by))):
-        ex, ey = qx - px, qy - py
-        inside = np.sign(ex * (ry - py) - ey * (rx - px))
-        # Separated when every corner lies strictly on the other side of the edge.
-        apart = np.ones(len(tri), dtype=bool)
-        for kx, ky in corners:
-            apart &= np.sign(ex * (ky - py) - ey * (kx - px)) * inside < 0
-        hit &= ~apart
-    return hit
+def _in_tile(x, y, meta):
+    """Soundings of the tile itself, by the same arithmetic as its key."""
+    return ((np.floor((x - meta["min_lon"]) / meta["tile"]) == meta["tx"])
+            & (np.floor((y - meta["min_lat"]) / meta["tile"]) == meta["ty"]))
 
 
 def _linear_tile(points, nodes):
@@ -132,6 +110,7 @@ def _linear_tile(points, nodes):
     if len(nodes) == 0 and len(points) == 0:
         return pd.DataFrame(columns=cols)
     meta = nodes.iloc[0] if len(nodes) else points.iloc[0]
+    survey = (nodes if len(nodes) else points)["survey_id"].iloc[0]
     # Tile + halo soundings plus the survey's hull vertices (may repeat a
     # sounding already present): the local hull is the survey's hull.
     points = points.drop_duplicates(subset=["idx"])
@@ -160,26 +139,28 @@ def _linear_tile(points, nodes):
         (vertices ordered by idx, like emitted triangles)."""
         t = np.take_along_axis(t, np.argsort(ids[t], axis=1), axis=1)
         v = ids[t]
-        return pd.DataFrame({"survey_id": int(meta["survey_id"]), "row": None, "col": None, "z": np.nan,
+        return pd.DataFrame({"survey_id": survey, "row": None, "col": None, "z": np.nan,
                              "kind": "candidate", "a": v[:, 0], "b": v[:, 1], "c": v[:, 2],
                              "ax": x[t[:, 0]], "ay": y[t[:, 0]], "az": z[t[:, 0]],
                              "bx": x[t[:, 1]], "by": y[t[:, 1]], "bz": z[t[:, 1]],
                              "cx": x[t[:, 2]], "cy": y[t[:, 2]], "cz": z[t[:, 2]]})
     out = []
     if meta.get("emit_triangles", False):
-        # Triangulation mode: certified triangles whose centroid is in this
-        # tile's core; the tile marker stays pending while any core triangle
-        # is not certified yet.
-        core_of = lambda t: _core(x, y, t, meta)
-        certified = tri[core_of(tri)] if len(tri) else tri
+        # Triangulation mode: a certified triangle belongs to the tile of its
+        # lowest idx (tiles over gaps hold no sounding, so a centroid may lie in
+        # none); the tile marker stays pending while a triangle at one of the
+        # tile's own soundings is not certified yet.
+        own = _in_tile(x, y, meta)
+        first = np.take_along_axis(tri, np.argmin(ids[tri], axis=1)[:, None], axis=1)[:, 0] if len(tri) else tri[:, 0]
+        certified = tri[own[first]]
         if len(certified):
             v = np.sort(ids[certified], axis=1)
-            out.append(pd.DataFrame({"survey_id": int(meta["survey_id"]), "row": None, "col": None, "z": np.nan,
+            out.append(pd.DataFrame({"survey_id": survey, "row": None, "col": None, "z": np.nan,
                                      "kind": "triangle", "a": v[:, 0], "b": v[:, 1], "c": v[:, 2]}))
-        if len(all_tri) and _touches_core(x, y, all_tri[~ok], meta).any() and len(nodes):
+        if len(all_tri) and own[all_tri[~ok]].any() and len(nodes):
             if final:
                 rest = all_tri[~ok]
-                out.append(candidates(rest[_touches_core(x, y, rest, meta)]))
+                out.append(candidates(rest[own[rest].any(axis=1)]))
             else:
                 out.append(pd.DataFrame({"survey_id": nodes["survey_id"], "row": nodes["row"],
                                          "col": nodes["col"], "z": np.nan, "kind": "pending",
@@ -310,7 +291,7 @@ def _linear_levels(locs: DataFrame, todo: DataFrame, geo: DataFrame, emit_first:
         final = level == len(levels) - 1
         p, n = _tile_frames(locs, todo, geo, halo, emit_first, final, hull_pts)
         res = (p.groupBy(*tkeys).cogroup(n.groupBy(*tkeys))
-                .applyInPandas(_linear_tile, LINEAR_OUT)
+                .applyInPandas(_linear_tile, f"{survey_field(locs)}, {LINEAR_OUT}")
                 .checkpoint(eager=True))
         if emit_first:
             tr = res.where(F.col("kind") == "triangle").select("survey_id", "a", "b", "c")
@@ -334,7 +315,7 @@ def _linear_levels(locs: DataFrame, todo: DataFrame, geo: DataFrame, emit_first:
 
 def _linear_inputs(df: DataFrame, res: float, z: str | None):
     z = z or ("depth" if "depth" in df.columns else "elevation")
-    pts = valid_points(df, z).withColumn("survey_id", F.col("survey_id").cast("long"))
+    pts = valid_points(df, z)
     locs = _distinct_locations(pts).checkpoint(eager=True)
     bounds = grid_bounds(pts, res)
     n_loc = locs.groupBy("survey_id").agg(F.count(F.lit(1)).alias("n_loc"))
@@ -402,7 +383,7 @@ def surface_linear(df: DataFrame, res: float = RESOLUTION, z: str | None = None)
 
 def triangulation(df: DataFrame, res: float = RESOLUTION, z: str | None = None) -> DataFrame:
     """Delaunay triangles (survey, a < b < c as sounding idx), each reported
-    once by the tile holding its centroid once its circumcircle is certified;
+    once by the tile of its lowest idx once its circumcircle is certified;
     tiles with uncertified triangles retry with wider halos."""
     checkpoint_dir(df.sparkSession)
     pts, locs, bounds, geo, _, hull_pts = _linear_inputs(df, res, z)
