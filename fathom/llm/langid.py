@@ -128,6 +128,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[st
     added = fresh(rows, "lang_pred", "score", "proportions", "text_read")
     kinds = [T.StringType(), T.DoubleType(), T.MapType(T.StringType(), T.DoubleType())]
     schema = T.StructType([*rows.schema.fields, *[T.StructField(n, k) for n, k in zip(added, kinds, strict=False)]])
+    # A carried text travels once.
+    carried = text_col in carry and isinstance(rows.schema[text_col].dataType, T.StringType)
+    at_text = carry.index(text_col) if carried else len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = shared.value
@@ -135,7 +138,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[st
         known = np.zeros((0, len(langs)), np.float32)
         for b in batches:
             preds, scores, shares = [], [], []
-            for text in b.column(len(carry)):
+            for text in b.column(at_text):
                 words = WORD.findall(text.as_py().lower()) if text.is_valid and langs else []
                 c = Counter(words)
                 for w in [w for w in c if not any(map(str.isalpha, w))]:
@@ -165,7 +168,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[st
             yield pa.RecordBatch.from_arrays([*b.columns[:len(carry)], pa.array(preds, pa.string()), pa.array(scores, pa.float64()),
                                               pa.array(shares, pa.map_(pa.string(), pa.float64()))], schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).cast("string").alias(added[3])).mapInArrow(run, schema)
+    text = [] if carried else [F.col(text_col).cast("string").alias(added[3])]
+    return docs.select(*[F.col(f"`{c}`") for c in carry], *text).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:

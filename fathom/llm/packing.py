@@ -33,8 +33,8 @@ CAPACITY = 2048
 LARGE = 1 / 16
 #: Groups of equal cardinality that large lengths are rounded within.
 GROUPS = 256
-#: Words whose ids a Python worker remembers (about 250 MB); past that it starts anew.
-MEMO = 1_000_000
+#: Words whose ids a task remembers (about 75 MB); past that it starts anew.
+MEMO = 300_000
 #: Marks that, behind letters, are a pre-token of their own.
 MARKS = b".,;:!?*%$&#)\"|"
 #: Texts whose new words are tokenized together.
@@ -149,6 +149,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())),
                                               *[pa.array(c, t) for c, t in zip(cols, types, strict=False)]], [f for f, _ in fields])
+        memo.clear()  # the worker goes on to other tasks; it keeps the tokenizer only
 
     schema = T.StructType([T.StructField(*f) for f in fields])
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
