@@ -1,6 +1,7 @@
 """Tiled linear surface and triangulation equal one global triangulation."""
 
 import numpy as np
+import pytest
 
 from fathom.functions.delaunay import convex_hull, delaunay, locate_linear
 from fathom.operators import surface as su
@@ -98,3 +99,32 @@ def test_lattice_ties_are_consistent(spark, monkeypatch):
     assert (np.isnan(ref) == np.isnan(val)).all()
     ok = ~np.isnan(ref)
     assert np.abs(ref[ok] - val[ok]).max() < 1e-9
+
+
+def test_string_survey_ids(spark):
+    """Survey ids are file names."""
+    rows = [("s1.csv", *r[1:]) for r in _rows() if r[0] == 2]
+    df = spark.createDataFrame(rows, "survey_id string, idx long, latitude double, longitude double, depth double")
+    got = [tuple(r) for r in su.triangulation(df, 0.005).collect()]
+    ref = {("s1.csv", *sorted(t)) for t in delaunay(np.array([r[3] for r in rows]), np.array([r[2] for r in rows])).tolist()}
+    assert len(got) == len(ref) and set(got) == ref
+
+
+@pytest.mark.xfail(strict=True, reason="triangles wider than the widest halo are lost: 1,582 of 1,585")
+def test_triangulation_two_clusters(spark):
+    """Triangles over the empty gap between two clusters are kept."""
+    rng = np.random.default_rng(5)
+    n = 400
+    x = np.r_[-74 + rng.random(n) * 0.05, -73.6 + rng.random(n) * 0.05]
+    y = 40 + rng.random(2 * n) * 0.05
+    rows = [("s1.csv", i, float(y[i]), float(x[i]), 1.0) for i in range(2 * n)]
+    df = spark.createDataFrame(rows, "survey_id string, idx long, latitude double, longitude double, depth double")
+    got = [tuple(r) for r in su.triangulation(df, 0.005).collect()]
+    tri = np.array([r[1:] for r in got])
+    hx, hy = convex_hull(x, y)
+    assert {r[0] for r in got} == {"s1.csv"} and len(set(got)) == len(got)
+    assert len(got) == 2 * 2 * n - 2 - len(hx)
+    ax, ay, bx, by, cx, cy = (v[tri[:, k]] for k in range(3) for v in (x, y))
+    area = np.abs((bx - ax) * (cy - ay) - (by - ay) * (cx - ax)).sum() / 2
+    hull = abs(np.dot(hx, np.roll(hy, -1)) - np.dot(hy, np.roll(hx, -1))) / 2
+    assert abs(area - hull) < 1e-9
