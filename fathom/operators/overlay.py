@@ -61,9 +61,12 @@ class WaterQualityOverlay(OverlayPlugin):
         from fathom.operators.grid import cell_index, grid_bounds
         config = config or {}
         layer, res = config["layer"], float(config.get("resolution", 0.001))
-        pts = df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+        located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+        pts = df.where(located)
         bounds = grid_bounds(pts.select("survey_id", "latitude", "longitude"), res)
         cells = cell_index(pts, bounds, res).drop("min_lat", "min_lon", "n_rows", "n_cols")
+        # Soundings without a position have no cell and stay, with NULL layer values.
+        cells = cells.unionByName(df.where(~located), allowMissingColumns=True)
         keys = [k for k in ("survey_id", "row", "col") if k in layer.columns]
         return cells.join(layer, keys, "left")
 

@@ -53,7 +53,9 @@ c AS (SELECT * FROM (SELECT p.survey_id, p.idx, CAST(floor((p.latitude - b.min_l
                      FROM pts p JOIN b ON p.survey_id = b.survey_id) x
       WHERE row >= 0 AND row < n_rows AND col >= 0 AND col < n_cols)
 SELECT c.survey_id, c.idx, c.row, c.col, e.dissolved_oxygen, e.ph_level, e.water_turbidity
-FROM c LEFT JOIN env_layer e ON c.row = e.row AND c.col = e.col""", ("soundings_mbes", "env_layer"))
+FROM c LEFT JOIN env_layer e ON c.row = e.row AND c.col = e.col
+UNION ALL SELECT survey_id, idx, NULL, NULL, NULL, NULL, NULL FROM soundings_mbes
+WHERE latitude IS NULL OR longitude IS NULL""", ("soundings_mbes", "env_layer"))
 def q_layer(spark, sf_dir):
     s = view(spark, sf_dir, "soundings_mbes")
     out = ov.apply_overlay(s, "water_quality", {"layer": view(spark, sf_dir, "env_layer"), "resolution": 0.01})
