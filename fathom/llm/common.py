@@ -9,6 +9,7 @@ consumer sees the same rows.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Mapping
 
@@ -32,6 +33,16 @@ def ship(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of the session take at most ``most`` bytes, so that what a
+    task holds does not grow with the texts; a lower limit stays as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]?)b?", spark.conf.get(key).lower()).groups()
+    now = int(number) << 10 * "kmgtp".index(unit) + 10 if unit and unit in "kmgtp" else int(number)
+    if not 0 < now <= most:
+        spark.conf.set(key, f"{most}b")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not use, in any letter case."""
     used = {c.lower() for c in df.columns}

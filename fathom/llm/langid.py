@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.llm.common import fresh, ship, training_fold
+from fathom.llm.common import fresh, ship, small_batches, training_fold
 
 WORD = re.compile(r"[^\W\d_]+")
 #: log2 of the hashed trigram buckets; the model has so many numbers a language (256 kB), whatever the corpus.
@@ -29,7 +29,7 @@ SMOOTHING = 0.5
 PENALTY = 3.0
 ROUNDS = 30
 #: Words whose likelihoods a Python worker remembers; words counted before they are summed into buckets.
-MEMO = 400_000
+MEMO = 100_000
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +46,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     """Languages in order and the log probabilities of their trigram buckets.
     Counts come from every row; what reaches the driver is languages x buckets."""
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(1 << BUCKET_BITS, np.int64))
@@ -123,6 +124,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[st
     """
     spark = docs.sparkSession
     ship(spark)
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((model[0], model[1].astype(np.float32)))
     rows = docs.select(*[F.col(f"`{c}`") for c in carry])
     added = fresh(rows, "lang_pred", "score", "proportions", "text_read")
