@@ -36,8 +36,10 @@ UNITS = {
     "lidar": {"latitude": "decimal_degrees", "longitude": "decimal_degrees", "elevation": "meters",
               "intensity": "0-255_scale", "classification": "integer_code"},
 }
+POSITION_UNITS = {"latitude": "decimal_degrees", "longitude": "decimal_degrees"}
 PARSER_VERSION = "1.0.0"
 
+_LONG = [("column", "string"), *[(c, "double") for c in ("min", "max", "mean", "std")]]
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -68,6 +70,8 @@ def generic_statistics(df: DataFrame, exclude=("survey_id",)) -> DataFrame:
     into long form afterwards (per survey, so it stays small).
     """
     cols = numeric_columns(df, exclude)
+    if not cols:
+        return df.select("survey_id", *[F.lit(None).cast(t).alias(c) for c, t in _LONG]).limit(0)
     wide = df.groupBy("survey_id").agg(*[e for c in cols for e in _describe(c)])
     args = ", ".join(f"'{c}', `{c}_min`, `{c}_max`, `{c}_mean`, `{c}_std`" for c in cols)
     long = wide.select("survey_id", F.expr(f"stack({len(cols)}, {args}) as (column, min, max, mean, std)"))
@@ -79,6 +83,8 @@ def parse_warnings(df: DataFrame, sensor: str) -> DataFrame:
     from fathom.operators.rules import range_condition
     cols = [c for c in PARSE_WARN_COLUMNS.get("sbes" if sensor in ("singlebeam", "auv") else sensor, [])
             if c in df.columns]
+    if not cols:
+        return df.select("survey_id", F.lit(None).cast("string").alias("column"), F.lit(None).cast("long").alias("out_of_range")).limit(0)
     wide = df.groupBy("survey_id").agg(*[F.count_if(range_condition(c)).alias(c) for c in cols])
     args = ", ".join(f"'{c}', `{c}`" for c in cols)
     return wide.select("survey_id", F.expr(f"stack({len(cols)}, {args}) as (column, out_of_range)"))
@@ -93,7 +99,7 @@ def parser_metadata(df: DataFrame, sensor: str) -> DataFrame:
     family = "sbes" if sensor in ("sbes", "singlebeam", "auv") else sensor
     ranges = {"mbes": ["latitude", "longitude", "depth", "beam_angle"],
               "sbes": ["latitude", "longitude", "depth"],
-              "lidar": ["latitude", "longitude", "elevation"]}[family]
+              "lidar": ["latitude", "longitude", "elevation"]}.get(family, ["latitude", "longitude"])
     aggs = [F.count(F.lit(1)).alias("total_points")]
     aggs += [_range(c).alias(f"{c}_range") for c in ranges if c in df.columns]
     if family == "sbes":
@@ -108,7 +114,7 @@ def parser_metadata(df: DataFrame, sensor: str) -> DataFrame:
     return df.groupBy("survey_id").agg(*aggs).withColumns({
         "parser_version": F.lit(PARSER_VERSION), "sensor_type": F.lit(family),
         "data_quality": F.lit("unknown"), "coordinate_system": F.lit("WGS84"),
-        "units": F.create_map(*[x for k, v in UNITS[family].items() for x in (F.lit(k), F.lit(v))])})
+        "units": F.create_map(*[x for k, v in UNITS.get(family, POSITION_UNITS).items() for x in (F.lit(k), F.lit(v))])})
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

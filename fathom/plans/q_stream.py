@@ -35,21 +35,18 @@ def _landing(spark, sf_dir, vname, cols):
     return base, src.schema, slices
 
 
-STATE_PARTITIONS = 8  # state-store partitions of the check streams (small inputs)
-
-
 def _run_slices(spark, base, slices, start_query):
     """Append each slice, then drain it with an availableNow run.
 
     Stateful streams fix their state partitions from
     ``spark.sql.shuffle.partitions`` at the first start (kept in the
-    checkpoint); the check streams are small, so the value is pinned while
-    the query starts and the session's own value is restored afterwards."""
+    checkpoint); it is one a task slot of the cluster while the query starts,
+    and the session's own value is restored afterwards."""
     landing = f"{base}/landing"
     previous = spark.conf.get("spark.sql.shuffle.partitions")
     for part in slices:
         part.write.mode("append").parquet(landing)
-        spark.conf.set("spark.sql.shuffle.partitions", str(STATE_PARTITIONS))
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
         try:
             q = start_query(landing)
         finally:
