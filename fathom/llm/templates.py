@@ -1,13 +1,17 @@
 """Line dedup with a log-template tree.
 
 Lines parse to a leaf of a tree of fixed depth: the number of tokens, then the
-leading tokens, variable fields (tokens with digits) as wildcards.  Only
-leaves that several documents reach can hold a recurring template.  In a leaf,
-a token that several documents have at its place is constant and any other is
-a variable field; the line's template is what is constant.  Lines whose
-template recurs across documents are dropped.  Counts are partial sums keyed by
-hashes, so neither a leaf nor a line that a third of all documents have is
-gathered, and no step depends on the order of lines.
+leading tokens, variable fields (tokens with digits) as wildcards.  A leading
+place with several children has a further leaf with a wildcard in that place.
+Only leaves that several documents reach can hold a recurring template.  In a
+leaf, a token is constant from a share of the leaf's documents on and any
+other is a variable field; the line's template is what is constant.  Shares
+run from coarse to fine, the finest is a fixed number of documents, so fields
+stay variable however often their values come back in a large corpus.  Lines
+whose template recurs across documents are dropped, and long lines that two
+documents have word for word.  Counts are partial sums keyed by hashes, so
+neither a leaf nor a line that a third of all documents have is gathered, and
+no step depends on the order of lines.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ DEPTH = 3
 DOCUMENTS = 3
 #: Share of a line's tokens that have to be constant.
 CONSTANT = 0.5
+#: Shares of a leaf's documents from which a token is constant, coarse to fine.
+SHARES = (1 / 2, 1 / 8, 1 / 32)
+#: A line of so many tokens recurs word for word from two documents on; shorter ones meet by chance.
+LONG = 10
 #: Shorter lines are never templates.
 TOKENS = 3
 VARIABLE = re.compile(rb"[0-9]")
@@ -41,65 +49,100 @@ def _tokens(line: bytes) -> list[bytes]:
     return [b"\0" if VARIABLE.search(t) else t for t in line.split()]
 
 
-def _lines(texts: DataFrame, depth: int, tokens: int, with_places: bool) -> DataFrame:
-    """(key, line, leaf) of the lines that can be templates; with places also
-    the hashes of the tokens, each with its leaf and place."""
-    schema = "key binary, line int, leaf long" + ", places array<long>" * with_places
+def _lines(texts: DataFrame, depth: int, tokens: int, long: int, with_places: bool) -> DataFrame:
+    """(key, line, leaf, wild, whole) of the lines that can be templates: wild has
+    the leaves with a wildcard in one leading place, whole stands for a long
+    line word for word; with places the hashes of the tokens and their places instead of whole."""
+    schema = "key binary, line int, leaf long, wild array<long>, " + ("places array<long>" if with_places else "whole long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, lines, leaves, places = [], [], [], []
+            keys, lines, leaves, wild, last = [], [], [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for i, line in enumerate(text.split(b"\n")):
                     found = _tokens(line)
                     if len(found) < tokens:
                         continue
-                    leaf = b"%d " % len(found) + b" ".join(found[:depth])
+                    head = found[:depth]
+                    leaf = b"%d " % len(found)
                     keys.append(key)
                     lines.append(i)
-                    leaves.append(_hash(leaf))
+                    leaves.append(_hash(leaf + b" ".join(head)))
+                    wild.append([_hash(leaf + b" ".join([*head[:k], b"\0\0", *head[k + 1:]])) for k in range(len(head))])
                     if with_places:
-                        places.append([_hash(b"%s\n%d\n%s" % (leaf, k, t)) for k, t in enumerate(found)])
-            cols = [pa.array(keys, pa.binary()), pa.array(lines, pa.int32()), pa.array(leaves, pa.int64())]
-            cols += [pa.array(places, pa.list_(pa.int64()))] * with_places
-            yield pa.RecordBatch.from_arrays(cols, ["key", "line", "leaf", "places"][:len(cols)])
+                        last.append([_hash(b"%d\n%s" % (k, t)) for k, t in enumerate(found)])
+                    else:
+                        last.append(_hash(b" ".join(line.split())) if len(found) >= long else None)
+            cols = [pa.array(keys, pa.binary()), pa.array(lines, pa.int32()), pa.array(leaves, pa.int64()), pa.array(wild, pa.list_(pa.int64())),
+                    pa.array(last, pa.list_(pa.int64()) if with_places else pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "line", "leaf", "wild", "places" if with_places else "whole"])
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema).withColumn("mark", F.xxhash64("key"))
 
 
 def _recurring(rows: DataFrame, column: str, documents: int) -> DataFrame:
-    """Values of a column that rows of so many different texts have."""
-    return rows.select(column, "key").distinct().groupBy(column).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= documents).select(column)
+    """Values of a column that rows of so many different texts have, and that number."""
+    return rows.select(column, "mark").distinct().groupBy(column).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= documents)
+
+
+def _leaves(lines: DataFrame) -> DataFrame:
+    """A row for each leaf of a line; ``at`` is its wildcard's place, -1 without one."""
+    return lines.select("*", F.posexplode(F.concat(F.array("leaf"), "wild")).alias("at", "node")).drop("leaf", "wild").withColumn("at", F.col("at") - 1)
 
 
 def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, documents: int = DOCUMENTS,
-                    constant: float = CONSTANT, tokens: int = TOKENS) -> DataFrame:
+                    constant: float = CONSTANT, tokens: int = TOKENS, long: int = LONG) -> DataFrame:
     """(key, line, template, first): lines of distinct texts (by their key) whose
-    template recurs in ``documents`` texts; first: no text with a lesser key has it."""
+    template recurs in ``documents`` texts, or that two texts have word for
+    word if of ``long`` tokens; of a line's templates the coarsest; first: no
+    text with a lesser key has it."""
     ship(docs.sparkSession)
     texts = docs.where(F.col(text_col).isNotNull()).select(text_key(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    every = stored(_lines(texts, depth, tokens, False), "lines")
-    leaves = stored(_recurring(every, "leaf", documents), "leaves")
-    leaves = small_side(leaves, leaves.count())
+    every = stored(_lines(texts, depth, tokens, long, False), "lines")
+    # Two texts are told apart by the least and the greatest of their marks.
+    whole = every.where(F.col("whole").isNotNull()).groupBy("whole").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a != b").select("whole")
+    whole = stored(whole, "whole-lines")
+    copied = every.join(small_side(whole, whole.count()), "whole", "left_semi")
+    # A wildcard needs several children, which are leaves without one.
+    children = every.select("leaf", "wild").dropDuplicates(["leaf"]).select(F.explode("wild").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    children = stored(children.where(F.col("n") >= documents).select("node"), "children")
+    wild = every.select("mark", F.explode("wild").alias("node")).join(small_side(children, children.count()), "node", "left_semi")
+    nodes = _recurring(every.withColumnRenamed("leaf", "node"), "node", documents).unionByName(_recurring(wild, "node", documents))
+    nodes = stored(nodes, "leaves")
+    nodes = small_side(nodes, nodes.count())
     # Few lines reach a leaf that other documents reach; only their tokens are hashed and counted.
-    reach = every.join(leaves, "leaf", "left_semi").select("key").distinct()
-    reach = stored(reach, "reach")
+    reach = stored(_leaves(every).join(nodes, "node", "left_semi").select("key").distinct(), "reach")
     some = texts.join(small_side(reach, reach.count()), "key", "left_semi").dropDuplicates(["key"])
-    lines = stored(_lines(some, depth, tokens, True).join(leaves, "leaf", "left_semi"), "line-places")
-    place = lines.select("key", "line", F.posexplode("places").alias("at", "place"))
-    fixed = stored(_recurring(place.select("key", "place"), "place", documents), "places")
-    # The template: places and tokens of the constants, in order; a group is one line.
-    parts = place.join(fixed, "place").groupBy("key", "line").agg(F.sort_array(F.collect_list(F.struct("at", "place"))).alias("constants"))
-    template = F.xxhash64(F.transform("constants", lambda x: x["place"]))
-    found = lines.join(parts, ["key", "line"]).where(F.size("constants") >= constant * F.size("places")).select("key", "line", F.xxhash64("leaf", template).alias("template"))
-    found = stored(found, "templates")
-    kept = found.groupBy("template").agg(F.count_distinct("key").alias("n"), F.min(F.struct("key", "line")).alias("first")).where(F.col("n") >= documents)
-    return found.join(kept, "template").select("key", "line", "template", ((F.col("key") == F.col("first.key")) & (F.col("line") == F.col("first.line"))).alias("first"))
+    lines = stored(_leaves(_lines(some, depth, tokens, long, True)).join(nodes, "node"), "line-places")
+    place = lines.select("key", "mark", "line", "at", "node", "n", F.size("places").alias("tokens"), F.posexplode("places").alias("nth", "place"))
+    place = place.where(F.col("nth") != F.col("at")).withColumn("place", F.xxhash64("node", "place"))
+    fixed = stored(_recurring(place, "place", documents).withColumnRenamed("n", "texts"), "places")
+    # A group is one line in one leaf.
+    parts = place.join(fixed, "place").groupBy("key", "mark", "line", "at", "node", "n", "tokens").agg(
+        F.sort_array(F.collect_list(F.struct("nth", "place", "texts"))).alias("found"))
+
+    def level(rank: int, share: float) -> Column:
+        held = F.filter("found", lambda x: x["texts"] >= share * F.col("n"))
+        # By shares, more than the leading tokens has to be constant; a wildcard's leaf has shares only.
+        enough = (F.size(held) > depth) if share else (F.col("at") < 0)
+        return F.when(enough & (F.size(held) >= constant * F.col("tokens")), F.struct(
+            (F.when(F.col("at") < 0, 10).otherwise(0) + rank).alias("rank"), F.xxhash64("node", F.transform(held, lambda x: x["place"])).alias("template")))
+
+    levels = F.array_compact(F.array(*[level(i, s) for i, s in enumerate([*SHARES, 0.0])]))
+    found = stored(parts.select("key", "mark", "line", F.explode(levels).alias("x")).select("key", "mark", "line", "x.*"), "templates")
+    kept = _recurring(found, "template", documents).select("template")
+    of = found.join(kept, "template", "left_semi").select("key", "line", "rank", "template")
+    of = of.unionByName(copied.select("key", "line", F.lit(99).alias("rank"), F.col("whole").alias("template")))
+    # A group is the templates of one line.
+    of = stored(of.groupBy("key", "line").agg(F.min(F.struct("rank", "template")).alias("x")).select("key", "line", "x.template"), "line-templates")
+    first = of.groupBy("template").agg(F.min(F.struct("key", "line")).alias("first"))
+    return of.join(first, "template").select("key", "line", "template", ((F.col("key") == F.col("first.key")) & (F.col("line") == F.col("first.line"))).alias("first"))
 
 
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text", keep_first: bool = False, depth: int = DEPTH,
-                         documents: int = DOCUMENTS, constant: float = CONSTANT, tokens: int = TOKENS) -> DataFrame:
-    """``docs`` without the lines whose template recurs across documents; adds n_lines and n_dropped.
+                         documents: int = DOCUMENTS, constant: float = CONSTANT, tokens: int = TOKENS, long: int = LONG) -> DataFrame:
+    """``docs`` without the lines whose template recurs across documents, and
+    without long ones that two documents have; adds n_lines and n_dropped.
 
     Documents with equal texts count as one, so a copied document does not make
     its own lines recur.  ``keep_first`` leaves one line of every template.
@@ -107,7 +150,7 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", keep_first: bo
     Repeated rows are treated alike and stay.  An empty table gives an empty
     result; columns of the caller named like an added one are replaced.
     """
-    found = recurring_lines(docs, text_col, depth, documents, constant, tokens)
+    found = recurring_lines(docs, text_col, depth, documents, constant, tokens, long)
     if keep_first:
         found = found.where(~F.col("first"))
     # A group is the lines of one text.

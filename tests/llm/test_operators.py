@@ -279,6 +279,23 @@ def test_line_templates(docs):
     assert sum("reserved" in (r.text or "") for r in templates.drop_recurring_lines(docs, keep_first=True).collect()) == 1
 
 
+@pytest.mark.parametrize("lead", ["'Weather report today'", "concat('station-', translate(cast(id as string), '0123456789', 'abcdefghij'), ' report today')"])
+def test_fields_stay_variable_in_a_large_corpus(spark, lead):
+    field = "translate(cast(pmod(hash(id, {}), 200) as string), '0123456789', 'abcdefghij')"  # 200 values without digits
+    line = f"concat({lead}, ' from c', {field.format(1)}, ' says sky s', {field.format(2)}, ' and wind w', {field.format(3)}, ' now')"
+    df = spark.range(3000).selectExpr("id as doc_id", f"concat('own ', cast(id as string), '\n', {line}) as text")
+    got = templates.drop_recurring_lines(df).agg(F.sum("n_dropped").alias("n"), F.min("n_dropped").alias("least")).first()
+    assert (got.n, got.least) == (3000, 1)
+
+
+def test_long_lines_recur_from_two_documents(spark):
+    long, short = " ".join(f"word{chr(97 + i)}" for i in range(20)), "only four words here"
+    df = spark.createDataFrame([(i, f"own {chr(97 + i)}\n{long}\n{short}") for i in range(2)] + [(2, f"{long} more")], "doc_id long, text string")
+    got = {r.doc_id: r for r in templates.drop_recurring_lines(df).collect()}
+    assert [got[i].n_dropped for i in range(3)] == [1, 1, 0] and got[0].text == f"own a\n{short}"
+    assert sum(r.n_dropped for r in templates.drop_recurring_lines(df, keep_first=True).collect()) == 1
+
+
 def test_surrogates(docs):
     got = {r.doc_id: r for r in surrogates.replace_pii(docs, "k").collect()}
     mail = [re.search(r"\S+@[\w.-]+\w", got[i].text)[0].lower() for i in (10, 12)]
