@@ -1,9 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Patterns find candidate spans; a value's hash is then counted over the whole
-corpus by distinct owners and repositories.  A value that many owners have is
-a copied example; one that a single owner has and that looks live is a
-credential.  Candidates of the broad ``token`` pattern become spans only by
+corpus by distinct owners and repositories.  A value that several owners or many
+repositories have is a copied example; one that a single owner has in few
+repositories and that looks live is a credential.  Candidates of the broad ``token`` pattern become spans only by
 that verdict; the spans of the base patterns always stay.  Values leave the
 scan as SHA-256 hashes only.  DataFrame functions only.
 """
@@ -26,6 +26,8 @@ BASE = [
 TOKEN = ("token", r"(?:gh[pousr]_|xox[baprs]-|sk-|eyJ)[A-Za-z0-9_.-]{16,}|[A-Za-z0-9+/_-]{32,}", 20, 0)
 #: Distinct owners from which a value is a copied example.
 EXAMPLE_OWNERS = 3
+#: Distinct repositories, within one owner too, from which a value is a copied example.
+EXAMPLE_REPOSITORIES = 10
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|your|changeme|xxxx|1234567|abcdef|(.)\1{5}"
 KINDS = [*BASE, TOKEN]
 
@@ -59,16 +61,18 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
     return rows.select("uid", "doc_id"), stored(out, "secret-candidates")
 
 
-def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """(hash, owners, repositories, verdict) over all candidates: ``copied`` from
-    ``example_owners`` distinct owners on, else ``live`` if it looks so, else
+    ``example_owners`` distinct owners or ``example_repositories`` distinct
+    repositories on, else ``live`` if a single owner has it and it looks so, else
     ``unsure``.  A null owner or repository counts as one.  Sums are partial
     at each step, so a value in a third of all rows is a few counters a task."""
     by_repository = found.groupBy("hash", "owner", "repository").agg(F.max("live_looking").alias("live_looking"))
     by_owner = by_repository.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.max("live_looking").alias("live_looking"))
     return by_owner.groupBy("hash").agg(
         F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"),
-        F.when(F.count(F.lit(1)) >= example_owners, "copied").when(F.max("live_looking"), "live").otherwise("unsure").alias("verdict"))
+        F.when((F.count(F.lit(1)) >= example_owners) | (F.sum("repositories") >= example_repositories), "copied")
+        .when((F.count(F.lit(1)) == 1) & F.max("live_looking"), "live").otherwise("unsure").alias("verdict"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id") -> DataFrame:

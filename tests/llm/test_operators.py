@@ -216,6 +216,14 @@ def test_copied_examples_are_not_live(spark):
     assert all(not got[i].spans for i in range(5)) and got[9].spans.startswith("token:4:")
 
 
+def test_copies_within_one_source_are_not_live(spark):
+    value = "ghp_" + "a1B2c3D4e5" * 4
+    rows = [(i, f"use {value}", "hot") for i in range(30)] + [(40 + i, "use " + value.replace("a1", "z9"), f"s{i}") for i in range(2)]
+    rows += [(50 + i, "use " + value.replace("a1", "y8"), None) for i in range(30)] + [(90, "use " + value.replace("a1", "x7"), "hot")]
+    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(not r.spans and r.n_live == 0 for i, r in got.items() if i != 90) and got[90].spans.startswith("token:4:")
+
+
 def test_merkle(docs):
     got = merkle.fingerprints(docs).collect()
     assert len(got) == len(rows())
