@@ -5,7 +5,8 @@ lower-case address, words of a name); every distinct value gets one keyed
 surrogate, so an entity is the same everywhere it is mentioned, and the
 surrogate is written in the form of each mention: letters stay letters of
 their script and case, digits digits, a card keeps its issuer digit and its
-check sum, a name its title's gender.  Surrogates that two values share, or
+check sum, a name its title's gender.  Names go by word, so a surname is the same
+behind any title, with a given name and bare in the text of a mention.  Surrogates that two values share, or
 that are a real value of the corpus, are drawn again until all are distinct.
 DataFrame functions only.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import fresh, stored, text_key
+from fathom.llm.common import fresh, small_side, stored, text_key
 
 # Titles by gender, and given names and syllables of surnames by script.
 TITLES_M = "Mr|Herr|Monsieur|Señor|Sr|Господин|Г-н|Κύριος"
@@ -56,10 +57,10 @@ def _gender(raw: Column) -> Column:
 
 
 def canonical(kind: Column, raw: Column) -> Column:
-    """What mentions of one entity have in common; a name's gender is part of it."""
+    """What mentions of one entity have in common; names go by word (:func:`name_words`)."""
     return (F.when(kind == "email", F.lower(raw)).when(kind == "card", F.regexp_replace(raw, r"\D", ""))
             .when(kind == "phone", F.concat_ws("-", F.regexp_extract(raw, r"^\+(\d+)", 1), F.regexp_replace(F.regexp_replace(raw, r"^\+\d+", ""), r"\D", "")))
-            .when(kind == "name", F.concat(_gender(raw), F.lit(" "), F.lower(_words(raw)))).otherwise(raw))
+            .otherwise(raw))
 
 
 def _draw(digest: Column, place: Column | int, n: int) -> Column:
@@ -89,41 +90,46 @@ def _luhn(digits: Column) -> Column:
     return F.concat(digits, F.pmod(10 - total % 10, F.lit(10)).cast("string"))
 
 
-def _name(canon: Column, digest_of) -> Column:
-    """Given names by gender and script, the surname from syllables; a surname
-    alone and behind a given name is drawn alike, so both mentions agree."""
-    gender, words = F.substring(canon, 1, 1), F.split(F.expr("substring(value, 3)"), " ")
+def _name(value: Column, digest: Column, attempt: Column) -> tuple[Column, Column]:
+    """Surname and given name, by script and gender, of a canonical name word;
+    both get a syllable more each attempt."""
+    gender = F.substring(value, 1, 1)
 
-    def named(script: str) -> Column:
+    def drawn(script: str, surname: bool) -> Column:
         male, female = GIVEN[script]
         syllables = SYLLABLES[script]
 
-        def word(w: Column, i: Column) -> Column:
-            d = digest_of(w)
-            given = F.when(gender == "f", _pick(female, _draw(d, 0, len(female)))).when(gender == "m", _pick(male, _draw(d, 0, len(male)))).otherwise(
-                _pick(male + female, _draw(d, 0, len(male) * 2)))
-            surname = F.initcap(F.concat(*[_pick(syllables, _draw(d, k, len(syllables))) for k in range(1, 5)]))
-            return F.when(i < F.size(words) - 1, given).otherwise(surname)
+        def tail(least: int) -> Column:
+            more = F.transform(F.sequence(F.lit(0), attempt + least), lambda k: _pick(syllables, _draw(digest, k + 1, len(syllables))))
+            return F.array_join(F.slice(more, F.lit(1), attempt + least), "")
 
-        return F.array_join(F.transform(words, word), " ")
+        if surname:
+            return F.initcap(tail(4))
+        given = F.when(gender == "f", _pick(female, _draw(digest, 0, len(female)))).when(gender == "m", _pick(male, _draw(digest, 0, len(male)))).otherwise(
+            _pick(male + female, _draw(digest, 0, len(male) * 2)))
+        return F.concat(given, tail(0))
 
-    return F.when(canon.rlike(r"\p{IsCyrillic}"), named("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), named("greek")).otherwise(named("latin"))
+    return tuple(F.when(value.rlike(r"\p{IsCyrillic}"), drawn("cyrillic", x)).when(value.rlike(r"\p{IsGreek}"), drawn("greek", x)).otherwise(drawn("latin", x))
+                 for x in (True, False))
 
 
 def _surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """Canonical surrogate of a canonical value."""
-    def digest_of(x: Column) -> Column:
-        return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"), x), 256)
-
-    digest = digest_of(value)
+    """Canonical surrogate of a canonical value; the space it is drawn from grows with the attempt."""
+    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"), value), 256)
+    # Numbers of a fixed form grow late, when their form is nearly used up.
+    late = F.greatest(attempt - 7, F.lit(0))
+    more = F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda k: _pick([chr(97 + k) for k in range(26)], _draw(digest, 1000 + k, 26))), "")
+    digits = F.array_join(F.transform(F.sequence(F.lit(0), late), lambda k: _draw(digest, 2000 + k, 10).cast("string")), "")
     local, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    email = F.concat(_shaped(local, digest), F.lit("@"), _shaped(F.substring_index(host, ".", 1), F.sha2(digest, 256)), F.lit(".example."),
+    email = F.concat(_shaped(local, digest), F.substring(more, F.lit(1), attempt), F.lit("@"), _shaped(F.substring_index(host, ".", 1), F.sha2(digest, 256)), F.lit(".example."),
                      F.when(host.rlike(r"\.(com|net|org)$"), F.substring_index(host, ".", -1)).otherwise("org"))
     ip = F.concat_ws(".", *[(_draw(digest, i, 223 if i == 0 else 254) + 1).cast("string") for i in range(4)])
+    ip = F.when(late > 0, F.concat(ip, F.lit(":1"), F.substring(digits, F.lit(1), late))).otherwise(ip)
     card = _luhn(F.concat(F.substring(value, 1, 1), *[_draw(digest, i, 10).cast("string") for i in range(14)]))
     # The country code before the hyphen stays, no number starts with 0 or 1.
-    phone = F.concat(F.substring_index(value, "-", 1), F.lit("-"), (_draw(digest, -1, 8) + 2).cast("string"), _shaped(F.expr("substring(substring_index(value, '-', -1), 2)"), digest))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).otherwise(_name(value, digest_of))
+    phone = F.concat(F.substring_index(value, "-", 1), F.lit("-"), (_draw(digest, -1, 8) + 2).cast("string"), _shaped(F.expr("substring(substring_index(value, '-', -1), 2)"), digest), F.substring(digits, F.lit(1), late))
+    surname, given = _name(value, digest, attempt)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "surname", surname).otherwise(given)
 
 
 def surrogate_table(values: DataFrame, key: str) -> DataFrame:
@@ -133,14 +139,15 @@ def surrogate_table(values: DataFrame, key: str) -> DataFrame:
     the corpus, is drawn again; rounds end when none is, so equal surrogates
     mean equal values.
     """
-    real = values.select(F.col("kind").alias("r_kind"), F.when(F.col("kind") == "name", F.expr("substring(value, 3)")).otherwise(F.col("value")).alias("r_value")).distinct()
+    word = F.col("kind").isin("surname", "given")  # neither kind of name word takes a real one of the other
+    real = values.select(F.when(word, "word").otherwise(F.col("kind")).alias("r_kind"), F.when(F.col("kind") == "given", F.expr("substring(value, 3)")).otherwise(F.col("value")).alias("r_value")).distinct()
     settled, open_, attempt = None, values, 0
     while True:
         now = stored(open_.withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), F.lit(attempt), key)), "surrogates")
         first = now.groupBy("kind", "surrogate").agg(F.min("value").alias("first"))
         if settled is not None:
             first = first.join(settled.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        first = first.join(real, (F.col("kind") == F.col("r_kind")) & (F.lower("surrogate") == F.col("r_value")), "left_anti")
+        first = first.join(real, (F.when(word, "word").otherwise(F.col("kind")) == F.col("r_kind")) & (F.lower("surrogate") == F.col("r_value")), "left_anti")
         good = now.join(first.select("kind", F.col("first").alias("value")), ["kind", "value"], "left_semi")
         good = stored(good, "surrogates")
         settled = good if settled is None else settled.unionByName(good)
@@ -155,13 +162,30 @@ def _written(kind: Column, raw: Column, surrogate: Column) -> Column:
     places = F.split(raw, "")
     digits = F.split(F.regexp_replace(surrogate, r"\D", ""), "")
     number = F.transform(places, lambda c, i: F.when(c.rlike("[0-9]"), F.element_at(digits, F.size(F.filter(F.slice(places, F.lit(1), i + 1), lambda x: x.rlike("[0-9]"))))).otherwise(c))
-    named = F.concat(F.expr("substring(raw, 1, length(raw) - length(words))"), surrogate)
-    return F.when(kind.isin("phone", "card"), F.array_join(number, "")).when(kind == "name", named).otherwise(surrogate)
+    extra = F.when(kind == "phone", F.array_join(F.slice(digits, F.length(F.regexp_replace(raw, r"\D", "")) + 1, F.size(digits)), "")).otherwise("")
+    return F.when(kind.isin("phone", "card"), F.concat(F.array_join(number, ""), extra)).otherwise(surrogate)
+
+
+def name_words(raws: DataFrame) -> DataFrame:
+    """(raw, nth, word, kind, value) of the words of name mentions.  The last one
+    is the surname, whatever the title; a given name behind a title without
+    gender has that of its other mentions, if they agree."""
+    word = raws.select("raw", _gender(F.col("raw")).alias("gender"), F.split(_words(F.col("raw")), " ").alias("words"))
+    word = word.select("raw", "gender", F.size("words").alias("n"), F.posexplode("words").alias("nth", "word")).withColumn("low", F.lower("word"))
+    last = F.col("nth") == F.col("n") - 1
+    seen = stored(word.where(~last).groupBy("low").agg(F.max(F.col("gender") == "f").alias("f"), F.max(F.col("gender") == "m").alias("m")), "pii-given")
+    word = word.join(small_side(seen, seen.count()), "low", "left")
+    gender = F.when(F.col("gender") != "n", F.col("gender")).when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").otherwise("n")
+    return word.select("raw", "nth", "word", F.when(last, "surname").otherwise("given").alias("kind"),
+                       F.when(last, F.col("low")).otherwise(F.concat_ws(" ", gender, "low")).alias("value"))
 
 
 def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every detected entity of the text replaced; adds n_<kind> columns.
 
+    Words of a name detected in a text are replaced in all of that text, as
+    written or in capitals; n_name counts the mentions with a title.
+
     A null text stays null, texts without entities stay as they are, repeated
     rows are treated alike and stay.  An empty table gives an empty result;
     columns of the caller that are named like an added one are replaced.
@@ -173,18 +197,29 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     found = stored(found.dropDuplicates(["key"]), "pii-texts")  # equal texts are solved once
     mentions = found.select("key", F.posexplode("raws").alias("nth", "raw")).withColumn("kind", kind_of(F.col("raw")))
     raws = stored(mentions.select("kind", "raw").distinct().withColumn("value", canonical(F.col("kind"), F.col("raw"))), "pii-mentions")
-    table = surrogate_table(raws.select("kind", "value").distinct(), key)
-    written = stored(raws.join(table, ["kind", "value"]).withColumn("words", _words(F.col("raw")))
-                     .select("kind", "raw", _written(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("new")), "pii-written")
+    plain, names = raws.where("kind != 'name'"), stored(name_words(raws.where("kind = 'name'")), "pii-words")
+    table = surrogate_table(plain.select("kind", "value").unionByName(names.select("kind", "value")).distinct(), key)
+    names = stored(names.join(table, ["kind", "value"]).select("raw", "nth", "word", "kind", "surrogate"), "pii-words")
+    # A group is the words of one mention.
+    named = names.groupBy("raw").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "surrogate"))), lambda x: x["surrogate"]), " ").alias("surrogate"))
+    named = named.select(F.lit("name").alias("kind"), "raw", F.concat(F.col("raw").substr(F.lit(1), F.length("raw") - F.length(_words(F.col("raw")))), F.col("surrogate")).alias("new"))
+    written = plain.join(table, ["kind", "value"]).select("kind", "raw", _written(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("new"))
+    written = stored(written.unionByName(named), "pii-written")
+    # A group is the name words of one text; a word that is both a surname and a given name stands for the surname.
+    bare = mentions.where("kind = 'name'").select("key", "raw").distinct().join(names.select("raw", "word", "kind", "surrogate"), "raw")
+    bare = bare.select("key", F.col("kind").alias("rank"), F.explode(F.array(F.struct("word", "surrogate"), F.struct(F.upper("word").alias("word"), F.upper("surrogate").alias("surrogate")))).alias("x"))
+    bare = bare.groupBy("key", "x.word").agg(F.max(F.struct("rank", "x.surrogate")).alias("x")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("word", "x.surrogate"))).alias("bare"))
     counts = [F.count_if(F.col("kind") == k).cast("long").alias(f"n_{k}") for k in KINDS]
     # A group is the mentions of one text.
     per_text = mentions.join(written, ["kind", "raw"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("nth", "new"))).alias("news"), *counts)
-    per_text = stored(per_text.select("key", F.transform("news", lambda x: x["new"]).alias("news"), *[f"n_{k}" for k in KINDS]), "pii-news")
-    mark, news = fresh(keyed, "pii_mark", "pii_news")
+    per_text = stored(per_text.join(bare, "key", "left").select("key", "bare", F.transform("news", lambda x: x["new"]).alias("news"), *[f"n_{k}" for k in KINDS]), "pii-news")
+    mark, news, own = fresh(keyed, "pii_mark", "pii_news", "pii_bare")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
-    right = per_text.withColumnsRenamed({"key": mark, "news": news, **{f"n_{k}": f"{mark}_{k}" for k in KINDS}})
+    right = per_text.withColumnsRenamed({"key": mark, "news": news, "bare": own, **{f"n_{k}": f"{mark}_{k}" for k in KINDS}})
     changed = keyed.where(flagged).join(right, F.col(inner) == F.col(mark))
     between = F.split(F.col(text_col), ANY, -1)
+    runs = F.transform(between, lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit(r"\p{L}+|\P{L}+"), F.lit(0)), lambda w: F.coalesce(F.element_at(F.col(own), w), w)), ""))
+    between = F.when(F.col(own).isNull(), between).otherwise(runs)
     text = F.array_join(F.zip_with(between, F.concat(F.col(news), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     changed = changed.select(*[text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in {f"n_{k}" for k in KINDS}],
                              *[F.col(f"{mark}_{k}").alias(f"n_{k}") for k in KINDS])

@@ -325,6 +325,23 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(got)) == 400
 
 
+def test_names_go_by_word(spark):
+    texts = ["Mr Miller came", "Dr Miller left", "Mr John Miller spoke", "Mrs. Jane Miller wrote. MILLER said, and Miller's friend Jane", "Dr Jane Miller", "Prof Bob Carter"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in surrogates.replace_pii(df, "k").collect()}
+    last = got[0].split()[1]
+    assert last == got[1].split()[1] == got[2].split()[2] == got[4].split()[2] != got[5].split()[2]
+    jane = got[4].split()[1]
+    assert got[3] == f"Mrs. {jane} {last} wrote. {last.upper()} said, and {last}'s friend {jane}" and jane in surrogates.GIVEN["latin"][1]
+
+
+def test_surrogates_outgrow_their_space(spark):
+    letter = "substr('abcdefghijklmnopqrstuvwxyz', 1 + cast({} as int) % 26, 1)"
+    df = spark.range(676).selectExpr("id as doc_id", f"concat('to ', {letter.format('id')}, '@', {letter.format('id / 26')}, '.com') as text")
+    got = [r.text for r in surrogates.replace_pii(df, "k").collect()]
+    assert len(set(got)) == 676
+
+
 def check_packing(got, ids_of, capacity):
     seqs, per = defaultdict(list), defaultdict(list)
     for r in got:
