@@ -19,8 +19,8 @@ from fathom.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters or without a language that half of them is in."""
-    return langid.keep_identified(docs, least=0.5)
+    """Rejects texts without letters or in no learned language."""
+    return langid.keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ BUCKET_BITS = 16
 SMOOTHING = 0.5
 #: Log likelihood that a further language has to gain, a log of the word count.
 PENALTY = 3.0
+#: How far a trigram's mean log likelihood may lie below that of the languages' own training texts.
+LEAST_FIT = -4.0
 ROUNDS = 30
 #: Words whose likelihoods a Python worker remembers; words counted before they are summed into buckets.
 MEMO = 100_000
@@ -42,8 +44,8 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), first
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages in order and the log probabilities of their trigram buckets.
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages in order, the log probabilities of their trigram buckets and their means over the training texts.
     Counts come from every row; what reaches the driver is languages x buckets."""
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
@@ -75,12 +77,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     langs = sorted(counts["lang"].unique())
     table = np.zeros((1 << BUCKET_BITS, len(langs)))
     table[counts["bucket"], [langs.index(x) for x in counts["lang"]]] = counts["n"]
-    return langs, np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * (1 << BUCKET_BITS)))
+    logs = np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * (1 << BUCKET_BITS)))
+    return langs, logs, (table * logs).sum(axis=0) / np.maximum(table.sum(axis=0), 1)
 
 
-def mixture(ll: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
-    """Proportions of the languages and the probability of the set's best one,
-    from log likelihoods (distinct words x languages) and word counts."""
+def mixture(ll: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Proportions of the languages, the probability of the set's best one and
+    the set's log likelihood, from log likelihoods (distinct words x languages) and word counts."""
     single = n @ ll
     best = int(np.argmax(single))
     chosen, value, share = [best], float(single[best]), np.ones(1)
@@ -110,36 +113,38 @@ def mixture(ll: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
         value, _, chosen, share = gain
     out = np.zeros(ll.shape[1])
     out[chosen] = share
-    return out, sure if len(chosen) == 1 else 1.0
+    return out, sure if len(chosen) == 1 else 1.0, value
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[str], text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], carry: list[str], text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its columns ``carry`` and lang_pred,
-    score, proportions (named otherwise where ``carry`` has that name).
+    score, proportions, fit (named otherwise where ``carry`` has that name).
 
     ``und`` with score 0 where the text is null or has no letter, or nothing
     was learned.  The score is the predicted language's proportion, for a
-    single language its probability against the others.  Ties go to the first
+    single language its probability against the others.  The fit is the mean log
+    likelihood of a trigram in the whole set of languages, less that of their
+    training texts; null where ``und``.  Ties go to the first
     language in code-point order.  Repeated rows each get a row.
     """
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
-    shared = spark.sparkContext.broadcast((model[0], model[1].astype(np.float32)))
+    shared = spark.sparkContext.broadcast((model[0], model[1].astype(np.float32), model[2]))
     rows = docs.select(*[F.col(f"`{c}`") for c in carry])
-    added = fresh(rows, "lang_pred", "score", "proportions", "text_read")
-    kinds = [T.StringType(), T.DoubleType(), T.MapType(T.StringType(), T.DoubleType())]
+    added = fresh(rows, "lang_pred", "score", "proportions", "fit", "text_read")
+    kinds = [T.StringType(), T.DoubleType(), T.MapType(T.StringType(), T.DoubleType()), T.DoubleType()]
     schema = T.StructType([*rows.schema.fields, *[T.StructField(n, k) for n, k in zip(added, kinds, strict=False)]])
     # A carried text travels once.
     carried = text_col in carry and isinstance(rows.schema[text_col].dataType, T.StringType)
     at_text = carry.index(text_col) if carried else len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, table = shared.value
+        langs, table, usual = shared.value
         memo: dict[str, int] = {}
         known = np.zeros((0, len(langs)), np.float32)
         for b in batches:
-            preds, scores, shares = [], [], []
+            preds, scores, shares, fits = [], [], [], []
             for text in b.column(at_text):
                 words = WORD.findall(text.as_py().lower()) if text.is_valid and langs else []
                 c = Counter(words)
@@ -149,6 +154,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[st
                     preds.append("und")
                     scores.append(0.0)
                     shares.append([])
+                    fits.append(None)
                     continue
                 new = [w for w in c if w not in memo]
                 if len(memo) + len(new) > MEMO:
@@ -162,15 +168,17 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[st
                         known = np.concatenate([known[:at], np.zeros((max(len(new), at, 1024), len(langs)), np.float32)])
                     known[at:at + len(new)] = np.add.reduceat(table[bucket], first)
                 ll = known[np.fromiter(map(memo.__getitem__, c), np.int64, len(c))].astype(float)
-                theta, sure = mixture(ll, np.fromiter(c.values(), float, len(c)))
+                n = np.fromiter(c.values(), float, len(c))
+                theta, sure, value = mixture(ll, n)
+                fits.append(float(value / (n @ np.fromiter(map(len, c), float, len(c))) - theta @ usual))
                 best = int(np.argmax(theta))
                 preds.append(langs[best])
                 scores.append(min(1.0, float(theta[best]) * sure))
                 shares.append([(langs[i], float(theta[i])) for i in np.flatnonzero(theta)])
             yield pa.RecordBatch.from_arrays([*b.columns[:len(carry)], pa.array(preds, pa.string()), pa.array(scores, pa.float64()),
-                                              pa.array(shares, pa.map_(pa.string(), pa.float64()))], schema.names)
+                                              pa.array(shares, pa.map_(pa.string(), pa.float64())), pa.array(fits, pa.float64())], schema.names)
 
-    text = [] if carried else [F.col(text_col).cast("string").alias(added[3])]
+    text = [] if carried else [F.col(text_col).cast("string").alias(added[4])]
     return docs.select(*[F.col(f"`{c}`") for c in carry], *text).mapInArrow(run, schema)
 
 
@@ -182,10 +190,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return out.withColumn("held_out", held)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose text is in an identified language: not ``und``,
-    and that language's score is at least ``least``; all their columns."""
+def keep_identified(docs: DataFrame, least: float = LEAST_FIT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:
+    """The rows of ``docs`` whose text is in identified languages, in however many:
+    not ``und``, and the fit of all of them is at least ``least``; all their columns."""
     model = train(docs.where(~training_fold(id_col, folds, 0)), text_col, lang_col)
     out = predict(docs, model, docs.columns, text_col)
-    lang, score = out.columns[len(docs.columns):len(docs.columns) + 2]
-    return out.where((F.col(lang) != "und") & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, _, _, fit = out.columns[len(docs.columns):len(docs.columns) + 4]
+    return out.where((F.col(lang) != "und") & (F.col(fit) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -156,6 +156,21 @@ def test_language_identification(docs, spark):
     assert kept.columns == docs.columns and kept.where("doc_id in (4,5,6,7)").count() == 0
 
 
+def test_texts_in_several_languages_are_kept(spark):
+    de = "der hund und die katze sind in diesem haus für die nacht und den morgen. "
+    es = "el perro y los gatos están por aquella casa durante muchas noches hasta mañana. "
+    table = [(i, t * (2 + i % 3), lang) for i, (t, lang) in enumerate([(EN, "en"), (FR, "fr"), (de, "de"), (es, "es")] * 10)]
+    table += [(100, EN * 4 + FR * 4 + de * 4, "en"), (101, EN * 3 + FR * 3 + de * 3 + es * 3, "fr"), (102, "щчъ ыьэ юяё жзй " * 20, "en")]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string").where("crc32(cast(doc_id as string)) % 5 = 0 or doc_id < 100")
+    held = {r.doc_id for r in langid.identify(df).where("held_out").collect()}
+    model = langid.train(df.where("doc_id < 100"))
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(table, df.schema), model, ["doc_id"]).collect()}
+    assert held and max(got[100].proportions.values()) < 0.5 and max(got[101].proportions.values()) < 0.5
+    kept = {r.doc_id for r in langid.keep_identified(spark.createDataFrame(table[:42], df.schema)).collect()}
+    assert kept == set(range(40)) | {100, 101}
+    assert got[102].fit < langid.LEAST_FIT < min(r.fit for i, r in got.items() if i != 102)
+
+
 def brute_ppm(train, text, order=ppm.ORDER):
     cnt = defaultdict(Counter)
     for t in train:
