@@ -8,8 +8,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import langid, merkle, mixing, packing, ppm, quotient, secret_scan, simhash, surrogates, templates
-from fathom.llm.common import documents
+from fathom.llm import (
+    langid,
+    manifest,
+    merkle,
+    mixing,
+    packing,
+    ppm,
+    quotient,
+    secret_scan,
+    simhash,
+    sql,
+    surrogates,
+    templates,
+    toxicity,
+    variants,
+)
+from fathom.llm.common import documents, training_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +101,21 @@ FROM d WINDOW w AS (PARTITION BY t)
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotient.exact_duplicates(documents(spark, sf_dir)).drop("fp")
+
+
+@register("op11_toxicity")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", training_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted", "n_tokens", "passages")
+
+
+@register("op12_spelling_variants", sql.OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(documents(spark, sf_dir), damage=199)
+
+
+@register("op13_merkle_manifest", sql.OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir), tampered=training_fold("doc_id", 3, 0))
