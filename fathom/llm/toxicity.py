@@ -30,7 +30,7 @@ from fathom.llm.common import fresh, ship, small_batches, small_side, stored, tr
 WORD = re.compile(r"[^\W\d_]+")
 #: log2 of the hashed token buckets; the model has so many numbers, whatever the corpus.
 BUCKET_BITS = 18
-INNER = 4
+INNER = 2
 #: Strength of the Dirichlet prior in texts, shared between the classes in proportion to their sizes.
 PRIOR = 4.0
 #: What each token costs a segment.
@@ -131,16 +131,18 @@ def _counts(training: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ship(training.sparkSession)
     small_batches(training.sparkSession)
     rows = (training.mapInArrow(count, "fold int, bucket int, toxic long, clean long, tokens long")
-            .groupBy("fold", "bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("tokens").alias("tokens")).toPandas())
-    out = np.zeros((3, INNER, size))
-    for i, c in enumerate(("toxic", "clean", "tokens")):
-        out[i, rows["fold"], rows["bucket"]] = rows[c]
+            .groupBy("fold", "bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("tokens").alias("tokens")).toArrow())
+    out = np.zeros((3, INNER, size), np.float32)
+    for b in rows.to_batches():
+        fold, bucket, *values = [c.to_numpy() for c in b.columns]
+        for i, v in enumerate(values):
+            out[i, fold, bucket] = v
     return out[0], out[1], out[2]
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     """Log-odds of a token against those of all tokens, zero without evidence."""
-    t, c = toxic.sum(), clean.sum()
+    t, c = float(toxic.sum(dtype=np.float64)), float(clean.sum(dtype=np.float64))
     if not t or not c:
         return np.zeros(toxic.shape)
     return np.log((toxic + PRIOR * t / (t + c)) / (clean + PRIOR * c / (t + c))) - np.log(t / c)
@@ -150,7 +152,8 @@ def decay(score: np.ndarray, n: np.ndarray) -> float:
     """lambda > 0 with mean exp(lambda score) = 1 over ``n`` tokens a score; 1
     where there is none as no score, or all on the mean, is above zero."""
     use = n > 0
-    score, n = score[use].astype(float), n[use] / max(n.sum(), 1)
+    score, n = score[use].astype(float), n[use].astype(float)
+    n /= max(n.sum(), 1)
     if not len(score) or score.max() <= 0 or score @ n >= 0:
         return 1.0
     low, high = 0.0, 1.0
