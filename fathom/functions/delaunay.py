@@ -1,162 +1,165 @@
-"""Small numpy kernels used inside Arrow batches of one tile / one partition.
-
-* ``delaunay``: Bowyer–Watson incremental triangulation, O(n^2) -- meant for
-  one tile of a few thousand points, never a whole survey.  Optional tiny
-  per-point weights (``tie_weights``) make it the regular triangulation of a
-  globally consistent perturbation: cocircular points (regular grids) then
-  get the same diagonal in every tile;
-* ``locate_linear``: barycentric interpolation of query points in triangles;
-* ``convex_hull``: Andrew's monotone chain (counter-clockwise, no repeats).
-"""
-
-from __future__ import annotations
-
-import numpy as np
+"""Exact Delaunay triangulation of the soundings of one block.
 
+Points are inserted one by one: a walk finds the triangle around the point, the
+triangles whose circle holds it are dug out and the cavity is joined to it.  A
+vertex at infinity (``GHOST``) closes the hull, so points on hull edges and far
+outside need no special size of frame.
 
-# Tie-breaking perturbation: weight = TIE_SCALE * h(idx) * tile^2, with h a
-# fixed hash of the sounding's idx into [0, 1) that Spark SQL computes the same
-# way (``surface._tie_weight``).  h must not be affine in idx: on a regular
-# grid numbered row by row the weights of a square's corners would then cancel
-# in the in-circle decision.  A quadratic residue mod a prime keeps every
-# intermediate below 2^63.
-TIE_SCALE = 1e-9
-_H_MOD, _H_A, _H_B, _H_C = 1000003, 7919, 104729, 12345
-
-
-def tie_hash(idx: np.ndarray) -> np.ndarray:
-    m = np.asarray(idx, dtype=np.int64) % _H_MOD
-    return (((m * m) % _H_MOD) * _H_A + m * _H_B + _H_C) % _H_MOD / float(_H_MOD)
+Orientation and in-circle tests are exact: coordinates become integers by one
+power of two.  Where four points lie on one circle, the point of least id counts
+as lifted a little, which decides every tie the same way in any block that has
+the points; the triangulation of a set is therefore unique.
+"""
 
+from __future__ import annotations
 
-def tie_weights(idx: np.ndarray, tile: float) -> np.ndarray:
-    return TIE_SCALE * tile * tile * tie_hash(idx)
+from fractions import Fraction
 
+import numpy as np
 
-def _circumcircles(px: np.ndarray, py: np.ndarray, tri: np.ndarray, pw: np.ndarray | None = None):
-    """Orthocentre and squared radius (power) of each triangle; with zero
-    weights the circumcircle."""
-    ax, ay = px[tri[:, 0]], py[tri[:, 0]]
-    bx, by = px[tri[:, 1]], py[tri[:, 1]]
-    cx, cy = px[tri[:, 2]], py[tri[:, 2]]
-    if pw is None:
-        aw = bw = cw = 0.0
-    else:
-        aw, bw, cw = pw[tri[:, 0]], pw[tri[:, 1]], pw[tri[:, 2]]
-    det = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
-    rb = (bx * bx + by * by - bw) - (ax * ax + ay * ay - aw)
-    rc = (cx * cx + cy * cy - cw) - (ax * ax + ay * ay - aw)
+GHOST = -1
+
+
+def integers(x: np.ndarray, y: np.ndarray) -> tuple[list[int], list[int]]:
+    """Coordinates from the least ones on, in units of one power of two, without rounding."""
+    parts = [[Fraction(float(v)) for v in c] for c in (x, y)]
+    unit = max(f.denominator for p in parts for f in p)
+    out = []
+    for p in parts:
+        whole = [f.numerator * (unit // f.denominator) for f in p]
+        least = min(whole)
+        out.append([w - least for w in whole])
+    return out[0], out[1]
+
+
+class Triangulation:
+    """Delaunay triangulation of distinct points; ``apex`` has the third vertex
+    of the triangle on the left of each directed edge."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, ids: np.ndarray):
+        self.apex: dict[tuple[int, int], int] = {}
+        if len(x) < 3:
+            return
+        self.x, self.y = integers(x, y)
+        self.ids = [int(i) for i in ids]
+        order = _snake(x, y)
+        a, b = order[0], order[1]
+        c = next((i for i in order[2:] if self._turn(a, b, i)), None)
+        if c is None:
+            return
+        if self._turn(a, b, c) < 0:
+            a, b = b, a
+        for u, v in ((a, b), (b, c), (c, a)):
+            self.apex[u, v] = a + b + c - u - v
+            self._join(v, u, GHOST)
+        self.at = (a, b)
+        for p in order:
+            if p not in (a, b, c):
+                self._insert(p)
+
+    def triangles(self) -> np.ndarray:
+        """Vertices in counter-clockwise order, the least index first."""
+        t = [(u, v, w) for (u, v), w in self.apex.items() if GHOST not in (u, v, w) and u < v and u < w]
+        return np.array(t, np.int64).reshape(-1, 3)
+
+    def _turn(self, a: int, b: int, c: int) -> int:
+        """Above zero where a, b, c turn left."""
+        x, y = self.x, self.y
+        return (x[b] - x[a]) * (y[c] - y[a]) - (y[b] - y[a]) * (x[c] - x[a])
+
+    def _holds(self, a: int, b: int, c: int, p: int) -> bool:
+        """The circle of the triangle has p inside; for a hull edge, p is beyond it or on it."""
+        if a == GHOST:
+            a, b, c = b, c, a
+        elif b == GHOST:
+            a, b, c = c, a, b
+        if c == GHOST:
+            side = self._turn(a, b, p)
+            if side:
+                return side > 0
+            x, y = self.x, self.y
+            return (x[a] - x[p]) * (x[b] - x[p]) + (y[a] - y[p]) * (y[b] - y[p]) < 0
+        x, y = self.x, self.y
+        ax, ay, bx, by, cx, cy = x[a] - x[p], y[a] - y[p], x[b] - x[p], y[b] - y[p], x[c] - x[p], y[c] - y[p]
+        det = ((ax * ax + ay * ay) * (bx * cy - cx * by) + (bx * bx + by * by) * (cx * ay - ax * cy)
+               + (cx * cx + cy * cy) * (ax * by - bx * ay))
+        if det:
+            return det > 0
+        ids = self.ids
+        low = min(ids[a], ids[b], ids[c], ids[p])
+        if ids[p] == low:
+            return False
+        if ids[b] == low:
+            a, b, c = b, c, a
+        elif ids[c] == low:
+            a, b, c = c, a, b
+        return self._turn(p, b, c) > 0
+
+    def _join(self, a: int, b: int, c: int) -> None:
+        self.apex[a, b], self.apex[b, c], self.apex[c, a] = c, a, b
+
+    def _around(self, p: int) -> tuple[int, int]:
+        """An edge of a triangle that holds p: of the one around it, or at the hull where it is outside."""
+        u, v = self.at
+        while True:
+            w = self.apex[u, v]
+            if w == GHOST:
+                return u, v
+            if self._turn(v, w, p) < 0:
+                u, v = w, v
+            elif self._turn(w, u, p) < 0:
+                u, v = u, w
+            elif self._turn(u, v, p) < 0:
+                u, v = v, u
+            else:
+                return u, v
+
+    def _insert(self, p: int) -> None:
+        u, v = self._around(p)
+        w = self.apex[u, v]
+        stack = []
+        for e in ((u, v), (v, w), (w, u)):
+            del self.apex[e]
+            stack.append(e)
+        rim = []
+        while stack:
+            u, v = stack.pop()
+            w = self.apex.get((v, u))
+            if w is None:  # dug out from both sides
+                continue
+            if self._holds(v, u, w, p):
+                del self.apex[v, u], self.apex[u, w], self.apex[w, v]
+                stack += ((u, w), (w, v))
+            else:
+                rim.append((u, v))
+        for u, v in rim:
+            self._join(u, v, p)
+            if GHOST not in (u, v):
+                self.at = (u, v)
+
+
+def _snake(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Points in rows, each run the other way than the last, so that neighbours follow each other."""
+    rows = max(1, int(np.sqrt(len(x) / 3)))
+    span = float(np.ptp(y)) or 1.0
+    row = np.minimum(((y - y.min()) / span * rows).astype(np.int64), rows - 1)
+    return np.lexsort((np.where(row % 2, -x, x), row)).tolist()
+
+
+def circles_within(x: np.ndarray, y: np.ndarray, tri: np.ndarray, region: tuple[float, float, float, float]) -> np.ndarray:
+    """Triangles whose circle surely lies inside the open rectangle (x0, x1, y0, y1).
+
+    Slivers, whose circle floats do not settle, count as not inside, unless the
+    rectangle is the whole plane."""
+    x0, x1, y0, y1 = region
+    if x0 == y0 == -np.inf and x1 == y1 == np.inf:
+        return np.ones(len(tri), bool)
+    a, b, c = tri.T
+    bx, by, cx, cy = x[b] - x[a], y[b] - y[a], x[c] - x[a], y[c] - y[a]
+    det, bb, cc = bx * cy - by * cx, bx * bx + by * by, cx * cx + cy * cy
     with np.errstate(divide="ignore", invalid="ignore"):
-        ux = (rb * (cy - ay) - rc * (by - ay)) / (2.0 * det)
-        uy = ((bx - ax) * rc - (cx - ax) * rb) / (2.0 * det)
-    r2 = (ax - ux) ** 2 + (ay - uy) ** 2 - aw
-    flat = ~np.isfinite(r2) | (np.abs(det) < 1e-300)
-    ux[flat], uy[flat], r2[flat] = 0.0, 0.0, np.inf
-    return ux, uy, r2
-
-
-def delaunay(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
-    """Triangles (m, 3) of indices into x / y.  Duplicate points must be
-    removed beforehand; collinear input gives no triangles.  ``w`` are
-    optional tiny weights (input units squared) for consistent tie-breaking."""
-    n = len(x)
-    if n < 3:
-        return np.empty((0, 3), dtype=np.int64)
-    cx, cy = float(np.mean(x)), float(np.mean(y))
-    s = float(max(np.ptp(x), np.ptp(y))) or 1.0
-    px = np.concatenate([(x - cx) / s, [-50.0, 50.0, 0.0]])
-    py = np.concatenate([(y - cy) / s, [-50.0, -50.0, 50.0]])
-    pw = None if w is None else np.concatenate([np.asarray(w, float) / (s * s), [0.0, 0.0, 0.0]])
-    tri = np.array([[n, n + 1, n + 2]], dtype=np.int64)
-    ux, uy, r2 = _circumcircles(px, py, tri, pw)
-    # Insert along x then y so each cavity stays small.
-    for i in np.lexsort((py[:n], px[:n])):
-        d2 = (ux - px[i]) ** 2 + (uy - py[i]) ** 2
-        if pw is None:
-            bad = d2 <= r2 * (1.0 + 1e-12)
-        else:  # power test: the weights decide exact ties consistently
-            bad = d2 - pw[i] < r2
-        if not bad.any():
-            continue
-        bt = tri[bad]
-        e = np.concatenate([bt[:, [0, 1]], bt[:, [1, 2]], bt[:, [2, 0]]])
-        e.sort(axis=1)
-        key = e[:, 0] * (n + 3) + e[:, 1]
-        uniq, inv, cnt = np.unique(key, return_inverse=True, return_counts=True)
-        boundary = e[cnt[inv] == 1]
-        new = np.column_stack([boundary, np.full(len(boundary), i, dtype=np.int64)])
-        nux, nuy, nr2 = _circumcircles(px, py, new, pw)
-        keep = ~bad
-        tri = np.concatenate([tri[keep], new])
-        ux = np.concatenate([ux[keep], nux])
-        uy = np.concatenate([uy[keep], nuy])
-        r2 = np.concatenate([r2[keep], nr2])
-    tri = tri[(tri < n).all(axis=1)]
-    # Drop zero-area triangles (collinear triples on the hull).
-    ax, ay = px[tri[:, 0]], py[tri[:, 0]]
-    area = (px[tri[:, 1]] - ax) * (py[tri[:, 2]] - ay) - (px[tri[:, 2]] - ax) * (py[tri[:, 1]] - ay)
-    return tri[np.abs(area) > 1e-14]
-
-
-def circumcircles(x: np.ndarray, y: np.ndarray, tri: np.ndarray, w: np.ndarray | None = None):
-    """Centre and radius of each triangle's (ortho)circle, in the input
-    coordinates; with weights, the radius of the disc outside which no point
-    can conflict (power radius plus the largest weight)."""
-    ux, uy, r2 = _circumcircles(x, y, tri, w)
-    extra = 0.0 if w is None or len(w) == 0 else float(np.max(w))
-    return ux, uy, np.sqrt(np.maximum(r2 + extra, 0.0))
-
-
-def locate_linear(x, y, z, tri, qx, qy, chunk: int = 512, tol: float = 1e-9):
-    """Linear interpolation of (qx, qy) in the triangles; NaN where no
-    triangle contains the point.  Also returns the containing triangle index."""
-    out = np.full(len(qx), np.nan)
-    where = np.full(len(qx), -1, dtype=np.int64)
-    if len(tri) == 0 or len(qx) == 0:
-        return out, where
-    ax, ay = x[tri[:, 0]], y[tri[:, 0]]
-    bx, by = x[tri[:, 1]], y[tri[:, 1]]
-    cx, cy = x[tri[:, 2]], y[tri[:, 2]]
-    det = (by - cy) * (ax - cx) + (cx - bx) * (ay - cy)
-    for s in range(0, len(qx), chunk):
-        px, py = qx[s:s + chunk, None], qy[s:s + chunk, None]
-        l1 = ((by - cy) * (px - cx) + (cx - bx) * (py - cy)) / det
-        l2 = ((cy - ay) * (px - cx) + (ax - cx) * (py - cy)) / det
-        l3 = 1.0 - l1 - l2
-        inside = (l1 >= -tol) & (l2 >= -tol) & (l3 >= -tol)
-        hit = inside.any(axis=1)
-        k = np.argmax(inside, axis=1)
-        rows = np.nonzero(hit)[0]
-        t = k[rows]
-        zz = (l1[rows, t] * z[tri[t, 0]] + l2[rows, t] * z[tri[t, 1]] + l3[rows, t] * z[tri[t, 2]])
-        out[s + rows] = zz
-        where[s + rows] = t
-    return out, where
-
-
-def convex_hull(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counter-clockwise hull vertices (collinear boundary points dropped)."""
-    pts = np.unique(np.column_stack([x, y]), axis=0)
-    if len(pts) < 3:
-        return pts[:, 0], pts[:, 1]
-    if len(pts) > 64:
-        # Akl-Toussaint: drop points strictly inside the extreme quadrilateral.
-        q = pts[[np.argmin(pts[:, 0]), np.argmin(pts[:, 1]), np.argmax(pts[:, 0]), np.argmax(pts[:, 1])]]
-        inside = np.ones(len(pts), dtype=bool)
-        for a, b in zip(q, np.roll(q, -1, axis=0)):
-            inside &= ((b[0] - a[0]) * (pts[:, 1] - a[1]) - (b[1] - a[1]) * (pts[:, 0] - a[0])) > 0
-        pts = pts[~inside]
-
-    def half(points):
-        h = []
-        for p in points:
-            while len(h) >= 2 and ((h[-1][0] - h[-2][0]) * (p[1] - h[-2][1])
-                                   - (h[-1][1] - h[-2][1]) * (p[0] - h[-2][0])) <= 0:
-                h.pop()
-            h.append(p)
-        return h
-
-    lower = half(pts)
-    upper = half(pts[::-1])
-    hull = np.array(lower[:-1] + upper[:-1])
-    return hull[:, 0], hull[:, 1]
+        ux, uy = (cy * bb - by * cc) / (2 * det), (bx * cc - cx * bb) / (2 * det)
+        sure = np.abs(det) > 1e-6 * np.sqrt(bb * cc)
+        r = np.hypot(ux, uy) * (1 + 1e-6) + 1e-9 * (np.abs(x[a]) + np.abs(y[a])) * 1e-3
+        ux, uy = ux + x[a], uy + y[a]
+        return sure & (ux - r > x0) & (ux + r < x1) & (uy - r > y0) & (uy + r < y1)

@@ -162,7 +162,7 @@ def surface_bounds(df: DataFrame, res: float = RESOLUTION, z: str | None = None)
     return grid_bounds(valid_points(df, z), res)
 
 
-_LINEAR = ("survey_hulls", "surface_linear", "triangulation")
+_LINEAR = ("surface_linear", "triangulation")
 
 
 def __getattr__(name):

@@ -1,334 +1,182 @@
-"""Piecewise-linear surface over the Delaunay triangulation, and the
-triangulation itself, computed per tile.
-
-A tile's soundings plus a halo (and the survey's convex-hull vertices) are
-triangulated in an Arrow batch (numpy Bowyer–Watson, ``functions/delaunay``);
-a local triangle is certainly a triangle of the survey's triangulation when
-its circumcircle, clipped to the survey's bounding box, lies inside the tile +
-halo rectangle (every point that could fall inside it is present locally).
-Tiles with uncertified triangles touching their core retry with a wider halo;
-after the widest halo the few leftovers (hull slivers) are verified globally
-by an empty-circle join over only the tiles each circle meets.  Nodes outside
-the survey's convex hull are NULL without any triangulation (the reference's
-fill value).  Cocircular soundings (regular grids) are resolved identically
-in every tile by tiny weights hashed from the global idx (a regular
-triangulation of a consistent perturbation).
+"""Delaunay triangulation of each survey's soundings and the piecewise-linear
+surface over it.
+
+A survey's locations are cut into tiles of about ``TILE_POINTS`` by their own
+ranks (strips of equal count along the longitude, then along the latitude inside
+a strip), so clusters and far-off fixes make no large tile.  Each tile is
+triangulated by itself.  A triangle is final when its circle lies in the open
+rectangle that holds no other tile's locations.  What a tile hands on are the
+vertices of its other triangles and of its hull, and the edges around its final
+part; blocks of tiles are triangulated from these alone.  All triangles that are
+not final yet have only such vertices, and the edges tell which triangles of the
+block merely span a part that is final already.  So every block adds exactly the
+triangles that cross its tiles, and the last block, with the whole plane as its
+rectangle, adds the rest: those over gaps and along the hull.
+
+A block has the locations near its tiles' borders, about the square root of
+their number.  Soundings almost on one line, whose circles are all large, are
+the exception: most of them stay until the last block.
+
+The surface is read off the triangles: each covers the nodes of its rows between
+its two edges there, which needs no join.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.functions.delaunay import TIE_SCALE
+from fathom.functions.delaunay import Triangulation, circles_within
 from fathom.operators.grid import RESOLUTION, grid_bounds, grid_nodes
+from fathom.operators.joins import join_null_safe
+from fathom.operators.ordered import sequence
 from fathom.operators.surface import _distinct_locations, nearest_node_join, valid_points
 from fathom.session import checkpoint_dir, ship_package
 
-# A tile holds about TILE_POINTS locations at the survey's mean density; the
-# widest halo (4 tiles) bounds a retry group at 81 tiles (~20k locations), so
-# the O(n^2) per-tile kernel never sees a whole survey.
-TILE_POINTS = 256.0
-HALO_STEPS = [0.5, 1.0, 2.0, 4.0]
-
-LINEAR_OUT = ("row int, col int, z double, kind string, a long, b long, c long, "
-              "ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double")
-_VERT = ["ax", "ay", "az", "bx", "by", "bz", "cx", "cy", "cz"]
-
-
-def survey_field(df: DataFrame) -> str:
-    """Schema text of the survey key: its own type, file names included."""
-    return f"survey_id {df.schema['survey_id'].dataType.simpleString()}"
-
-
-def survey_hulls(pts: DataFrame) -> DataFrame:
-    """Convex hull per survey as coordinate arrays (counter-clockwise).
-
-    Tree reduction: a running hull per partition (mapInPandas), a hull of
-    those per (survey, bucket of partitions), then per survey -- every group
-    holds hull vertices only.
-    """
-    import numpy as np
-    import pandas as pd
-
-    from fathom.functions.delaunay import convex_hull
-
-    def partial(it):
-        acc: dict = {}
-        for pdf in it:
-            for s, g in pdf.groupby("survey_id"):
-                x = g["longitude"].to_numpy(float)
-                y = g["latitude"].to_numpy(float)
-                if s in acc:
-                    x, y = np.concatenate([acc[s][0], x]), np.concatenate([acc[s][1], y])
-                acc[s] = convex_hull(x, y)
-        rows = [(s, float(a), float(b)) for s, (hx, hy) in acc.items() for a, b in zip(hx, hy)]
-        yield pd.DataFrame(rows, columns=["survey_id", "longitude", "latitude"])
-
-    def merge(pdf):
-        hx, hy = convex_hull(pdf["longitude"].to_numpy(float), pdf["latitude"].to_numpy(float))
-        return pd.DataFrame({"survey_id": pdf["survey_id"].iloc[0], "longitude": hx, "latitude": hy})
-
-    ship_package(pts.sparkSession)
-    schema = f"{survey_field(pts)}, longitude double, latitude double"
-    p = pts.select("survey_id", "longitude", "latitude")
-    h1 = p.mapInPandas(partial, schema).withColumn("_b", F.pmod(F.spark_partition_id(), F.lit(256)))
-    h2 = h1.groupBy("survey_id", "_b").applyInPandas(merge, schema)
-    h3 = h2.groupBy("survey_id").applyInPandas(
-        lambda pdf: merge(pdf).assign(_i=lambda d: range(len(d))), schema + ", _i long")
-    return (h3.groupBy("survey_id")
-              .agg(F.sort_array(F.collect_list(F.struct("_i", "longitude", "latitude"))).alias("h"))
-              .select("survey_id", F.col("h.longitude").alias("hx"), F.col("h.latitude").alias("hy"),
-                      F.size("h").alias("n_hull")))
-
-
-def inside_hull(lon, lat, eps: float = 1e-12):
-    """Column: point inside (or on) the counter-clockwise hull arrays hx / hy."""
-    def edge_ok(i):
-        j = (i + 1) % F.col("n_hull")
-        hx, hy = F.col("hx"), F.col("hy")
-        cross = ((hx[j] - hx[i]) * (lat - hy[i]) - (hy[j] - hy[i]) * (lon - hx[i]))
-        return cross >= F.lit(-eps)
-    return (F.col("n_hull") >= 3) & F.forall(F.sequence(F.lit(0), F.col("n_hull") - 1), edge_ok)
-
-
-def _in_tile(x, y, meta):
-    """Soundings of the tile itself, by the same arithmetic as its key."""
-    return ((np.floor((x - meta["min_lon"]) / meta["tile"]) == meta["tx"])
-            & (np.floor((y - meta["min_lat"]) / meta["tile"]) == meta["ty"]))
-
-
-def _linear_tile(points, nodes):
-    """cogroup body: triangulate a tile + halo, answer its pending nodes."""
-    import numpy as np
-    import pandas as pd
-
-    from fathom.functions.delaunay import circumcircles, delaunay, locate_linear, tie_weights
-
-    cols = ["survey_id", "row", "col", "z", "kind", "a", "b", "c", *_VERT]
-    if len(nodes) == 0 and len(points) == 0:
-        return pd.DataFrame(columns=cols)
-    meta = nodes.iloc[0] if len(nodes) else points.iloc[0]
-    survey = (nodes if len(nodes) else points)["survey_id"].iloc[0]
-    # Tile + halo soundings plus the survey's hull vertices (may repeat a
-    # sounding already present): the local hull is the survey's hull.
-    points = points.drop_duplicates(subset=["idx"])
-    x = points["longitude"].to_numpy(float)
-    y = points["latitude"].to_numpy(float)
-    z = points["z"].to_numpy(float)
-    ids = points["idx"].to_numpy(np.int64)
-    # Weights from the global idx: every tile breaks cocircular ties alike.
-    w = tie_weights(ids, float(meta["tile"]))
-    tri = delaunay(x, y, w) if len(x) >= 3 else np.empty((0, 3), dtype=np.int64)
-    all_tri, ok = tri, np.zeros(len(tri), dtype=bool)
-    if len(tri):
-        ux, uy, r = circumcircles(x, y, tri, w)
-        bx0, bx1 = np.maximum(ux - r, meta["min_lon"]), np.minimum(ux + r, meta["max_lon"])
-        by0, by1 = np.maximum(uy - r, meta["min_lat"]), np.minimum(uy + r, meta["max_lat"])
-        m = 1e-9 * max(1.0, meta["tile"])
-        ok = ((bx0 >= meta["rx0"] + m) | (meta["rx0"] <= meta["min_lon"])) & \
-             ((bx1 <= meta["rx1"] - m) | (meta["rx1"] >= meta["max_lon"])) & \
-             ((by0 >= meta["ry0"] + m) | (meta["ry0"] <= meta["min_lat"])) & \
-             ((by1 <= meta["ry1"] - m) | (meta["ry1"] >= meta["max_lat"]))
-        tri = tri[ok]
-    final = bool(meta.get("final_level", False))
-
-    def candidates(t):
-        """Uncertified triangles, with vertex coordinates, for the global check
-        (vertices ordered by idx, like emitted triangles)."""
-        t = np.take_along_axis(t, np.argsort(ids[t], axis=1), axis=1)
-        v = ids[t]
-        return pd.DataFrame({"survey_id": survey, "row": None, "col": None, "z": np.nan,
-                             "kind": "candidate", "a": v[:, 0], "b": v[:, 1], "c": v[:, 2],
-                             "ax": x[t[:, 0]], "ay": y[t[:, 0]], "az": z[t[:, 0]],
-                             "bx": x[t[:, 1]], "by": y[t[:, 1]], "bz": z[t[:, 1]],
-                             "cx": x[t[:, 2]], "cy": y[t[:, 2]], "cz": z[t[:, 2]]})
-    out = []
-    if meta.get("emit_triangles", False):
-        # Triangulation mode: a certified triangle belongs to the tile of its
-        # lowest idx (tiles over gaps hold no sounding, so a centroid may lie in
-        # none); the tile marker stays pending while a triangle at one of the
-        # tile's own soundings is not certified yet.
-        own = _in_tile(x, y, meta)
-        first = np.take_along_axis(tri, np.argmin(ids[tri], axis=1)[:, None], axis=1)[:, 0] if len(tri) else tri[:, 0]
-        certified = tri[own[first]]
-        if len(certified):
-            v = np.sort(ids[certified], axis=1)
-            out.append(pd.DataFrame({"survey_id": survey, "row": None, "col": None, "z": np.nan,
-                                     "kind": "triangle", "a": v[:, 0], "b": v[:, 1], "c": v[:, 2]}))
-        if len(all_tri) and own[all_tri[~ok]].any() and len(nodes):
-            if final:
-                rest = all_tri[~ok]
-                out.append(candidates(rest[own[rest].any(axis=1)]))
-            else:
-                out.append(pd.DataFrame({"survey_id": nodes["survey_id"], "row": nodes["row"],
-                                         "col": nodes["col"], "z": np.nan, "kind": "pending",
-                                         "a": None, "b": None, "c": None}))
-    elif len(nodes):
-        zz, _ = locate_linear(x, y, z, tri, nodes["lon"].to_numpy(float), nodes["lat"].to_numpy(float))
-        hit = ~np.isnan(zz)
-        out.append(pd.DataFrame({"survey_id": nodes["survey_id"], "row": nodes["row"], "col": nodes["col"],
-                                 "z": np.where(hit, zz, np.nan),
-                                 "kind": np.where(hit, "linear", "pending"),
-                                 "a": None, "b": None, "c": None}))
-        if final and (~hit).any() and len(all_tri):
-            rest = all_tri[~ok]
-            if len(rest):
-                _, where = locate_linear(x, y, z, rest, nodes["lon"].to_numpy(float)[~hit],
-                                         nodes["lat"].to_numpy(float)[~hit])
-                used = np.unique(where[where >= 0])
-                if len(used):
-                    out.append(candidates(rest[used]))
-    return pd.concat(out, ignore_index=True).reindex(columns=cols) if out else pd.DataFrame(columns=cols)
-
-
-def _tile_frames(locs: DataFrame, todo: DataFrame, geo: DataFrame, halo: float, emit: bool,
-                 final: bool = False, hull_pts: DataFrame | None = None):
-    """Point copies per tile + halo and pending nodes per tile, with the
-    per-survey constants the tile function needs."""
-    t = F.col("tile")
-    h = t * F.lit(halo)
-    tkeys = ["survey_id", "tx", "ty"]
-    # Fresh attributes for the node side: both cogroup inputs derive from geo.
-    geo_n = geo.select(*[F.col(c).alias(c) for c in geo.columns])
-    n = (todo.join(geo_n, "survey_id")
-             .withColumns({"tx": F.floor((F.col("lon") - F.col("min_lon")) / t),
-                           "ty": F.floor((F.col("lat") - F.col("min_lat")) / t)}))
-    active = n.select(*[F.col(k).alias(k) for k in tkeys]).distinct()
-    p = locs.join(geo, "survey_id")
-    lo_x = F.floor((F.col("longitude") - h - F.col("min_lon")) / t)
-    hi_x = F.floor((F.col("longitude") + h - F.col("min_lon")) / t)
-    lo_y = F.floor((F.col("latitude") - h - F.col("min_lat")) / t)
-    hi_y = F.floor((F.col("latitude") + h - F.col("min_lat")) / t)
-    p = (p.withColumn("tx", F.explode(F.sequence(lo_x, hi_x)))
-          .withColumn("ty", F.explode(F.sequence(lo_y, hi_y)))
-          .join(active, tkeys, "left_semi"))
-    if hull_pts is not None:
-        # Every active tile also gets its survey's hull vertices (few per survey).
-        hp = hull_pts.join(geo, "survey_id").join(active, "survey_id")
-        p = p.unionByName(hp.select(*p.columns))
-
-    def rect(df):
-        return df.withColumns({
-            "cx0": F.col("min_lon") + F.col("tx") * t, "cx1": F.col("min_lon") + (F.col("tx") + 1) * t,
-            "cy0": F.col("min_lat") + F.col("ty") * t, "cy1": F.col("min_lat") + (F.col("ty") + 1) * t,
-            "rx0": F.col("min_lon") + F.col("tx") * t - h, "rx1": F.col("min_lon") + (F.col("tx") + 1) * t + h,
-            "ry0": F.col("min_lat") + F.col("ty") * t - h, "ry1": F.col("min_lat") + (F.col("ty") + 1) * t + h,
-            "emit_triangles": F.lit(emit), "final_level": F.lit(final)})
-
-    def fresh(df):  # new attribute ids: both sides share lineage (same survey keys)
-        return df.select(*[F.col(c).alias(c) for c in df.columns])
-    return fresh(rect(p)), fresh(rect(n))
-
-
-def _tie_weight(idx, tile):
-    """Spark form of ``delaunay.tie_weights`` (same hash, same scale)."""
-    from fathom.functions.delaunay import _H_A, _H_B, _H_C, _H_MOD
-    p = F.lit(_H_MOD)
-    m = F.pmod(idx, p)
-    h = F.pmod(F.pmod(m * m, p) * F.lit(_H_A) + m * F.lit(_H_B) + F.lit(_H_C), p) / p.cast("double")
-    return F.lit(TIE_SCALE) * tile * tile * h
-
-
-def _verify_candidates(cands: DataFrame, locs: DataFrame, geo: DataFrame) -> DataFrame:
-    """Keep candidate triangles whose (ortho)circle holds no sounding
-    (power test with the kernel's tie-breaking weights).
-
-    Each candidate is paired with the tiles its circle meets inside the
-    survey box (equi-join on tile); only those tiles' soundings are tested.
-    Candidates are the few triangles (hull slivers) no bounded halo could
-    certify, so the pairs stay few."""
-    c = cands.dropDuplicates(["survey_id", "a", "b", "c"]).join(geo, "survey_id")
-    ax, ay, bx, by, cx, cy = (F.col(k) for k in ("ax", "ay", "bx", "by", "cx", "cy"))
-    aw, bw, cw = (_tie_weight(F.col(k), F.col("tile")) for k in ("a", "b", "c"))
-    # Orthocircle of the weighted vertices (the kernel's tie-breaking weights).
-    det = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
-    rb = (bx * bx + by * by - bw) - (ax * ax + ay * ay - aw)
-    rc = (cx * cx + cy * cy - cw) - (ax * ax + ay * ay - aw)
-    c = c.withColumns({"ux": (rb * (cy - ay) - rc * (by - ay)) / (F.lit(2.0) * det),
-                       "uy": ((bx - ax) * rc - (cx - ax) * rb) / (F.lit(2.0) * det),
-                       "aw": aw})
-    c = c.withColumn("r2", (F.col("ax") - F.col("ux")) ** 2 + (F.col("ay") - F.col("uy")) ** 2 - F.col("aw"))
-    wmax = F.lit(TIE_SCALE) * F.col("tile") * F.col("tile")
-    c = c.withColumn("r", F.sqrt(F.greatest(F.col("r2") + wmax, F.lit(0.0))))
-    t = F.col("tile")
-    x0 = F.greatest(F.col("ux") - F.col("r"), F.col("min_lon"))
-    x1 = F.least(F.col("ux") + F.col("r"), F.col("max_lon"))
-    y0 = F.greatest(F.col("uy") - F.col("r"), F.col("min_lat"))
-    y1 = F.least(F.col("uy") + F.col("r"), F.col("max_lat"))
-    pairs = (c.withColumn("tx", F.explode(F.sequence(F.floor((x0 - F.col("min_lon")) / t),
-                                                     F.floor((x1 - F.col("min_lon")) / t))))
-              .withColumn("ty", F.explode(F.sequence(F.floor((y0 - F.col("min_lat")) / t),
-                                                     F.floor((y1 - F.col("min_lat")) / t)))))
-    gx = F.greatest(F.lit(0.0), F.col("min_lon") + F.col("tx") * t - F.col("ux"),
-                    F.col("ux") - (F.col("min_lon") + (F.col("tx") + 1) * t))
-    gy = F.greatest(F.lit(0.0), F.col("min_lat") + F.col("ty") * t - F.col("uy"),
-                    F.col("uy") - (F.col("min_lat") + (F.col("ty") + 1) * t))
-    pairs = pairs.where(F.sqrt(gx * gx + gy * gy) < F.col("r"))
-    pts = (locs.join(geo.select("survey_id", "min_lat", "min_lon", "tile"), "survey_id")
-               .select("survey_id", "idx", "latitude", "longitude",
-                       _tie_weight(F.col("idx"), F.col("tile")).alias("pw"),
-                       F.floor((F.col("longitude") - F.col("min_lon")) / F.col("tile")).alias("tx"),
-                       F.floor((F.col("latitude") - F.col("min_lat")) / F.col("tile")).alias("ty")))
-    key = ["survey_id", "a", "b", "c"]
-    d2 = (F.col("longitude") - F.col("ux")) ** 2 + (F.col("latitude") - F.col("uy")) ** 2
-    inside = (pairs.join(pts, ["survey_id", "tx", "ty"])
-                   .where(~F.col("idx").isin(F.col("a"), F.col("b"), F.col("c"))
-                          & (d2 - F.col("pw") < F.col("r2")))
-                   .select(*key).distinct())
-    return (c.join(inside, key, "left_anti")
-             .select("survey_id", "a", "b", "c", *_VERT))
-
-
-def _linear_levels(locs: DataFrame, todo: DataFrame, geo: DataFrame, emit_first: bool = False,
-                   max_levels: int = len(HALO_STEPS), hull_pts: DataFrame | None = None):
+TILE_POINTS = 1000
+#: Tiles, then strips, that make a block.
+FANOUT = 4
+#: How far outside a triangle, as a share of it, a node still counts as on its edge.
+EDGE = 1e-9
+
+_VERTICES = [f"{v}{c}" for v in "abc" for c in "xyz"]
+_RECT = ["x0", "x1", "y0", "y1"]
+#: Rows of a tile: ``point`` (a, with ax ay az), ``edge`` (a to b, its final part on the left), ``triangle``.
+_STATE = ["key", "strip", "tile", "kind", "a", "b", "c", *_VERTICES, *_RECT]
+_SCHEMA = ", ".join(["key string, strip long, tile long, kind string, a long, b long, c long",
+                     *[f"{c} double" for c in [*_VERTICES, *_RECT]]])
+
+
+def settle(part: pd.DataFrame) -> pd.DataFrame:
+    """Triangulate a block: its new final triangles, and what it hands on."""
+    points = part[part["kind"] == "point"].sort_values("a", ignore_index=True)
+    ids = points["a"].to_numpy(np.int64)
+    x, y, z = (points[c].to_numpy(float) for c in ("ax", "ay", "az"))
+    region = (part["x0"].min(), part["x1"].max(), part["y0"].min(), part["y1"].max())
+    mesh = Triangulation(x, y, ids)
+    tri = mesh.triangles()
+    left = {e: t for t, (a, b, c) in enumerate(tri.tolist()) for e in ((a, b), (b, c), (c, a))}
+    final = circles_within(x, y, tri, region)
+
+    # Triangles over what is final already: from its edges on, up to its edges.
+    known = part[part["kind"] == "edge"]
+    rim = set(zip(np.searchsorted(ids, known["a"].to_numpy(np.int64)).tolist(), np.searchsorted(ids, known["b"].to_numpy(np.int64)).tolist(), strict=True))
+    old = np.zeros(len(tri), bool)
+    stack = [left[e] for e in rim]
+    while stack:
+        t = stack.pop()
+        if not old[t]:
+            old[t] = True
+            a, b, c = tri[t].tolist()
+            stack += [left[v, u] for u, v in ((a, b), (b, c), (c, a)) if (u, v) not in rim and (v, u) in left]
+
+    new = tri[final & ~old]
+    new = np.take_along_axis(new, np.argsort(ids[new], axis=1), axis=1)
+    out = [pd.DataFrame({"kind": "triangle", **{v: ids[new[:, k]] for k, v in enumerate("abc")},
+                         **{f"{v}{c}": w[new[:, k]] for k, v in enumerate("abc") for c, w in (("x", x), ("y", y), ("z", z))}})]
+    if np.isfinite(region).any():
+        done = final | old
+        edges, stays = [], np.zeros(len(ids), bool)
+        stays[tri[~done]] = True
+        if not len(tri):
+            stays[:] = True
+        for (u, v), t in left.items():
+            other = left.get((v, u))
+            if other is None:
+                stays[[u, v]] = True
+            if done[t] and (other is None or not done[other]):
+                edges.append((ids[u], ids[v]))
+        out.append(pd.DataFrame({"kind": "point", "a": ids[stays], "ax": x[stays], "ay": y[stays], "az": z[stays]}))
+        out.append(pd.DataFrame(edges, columns=["a", "b"]).assign(kind="edge"))
+    out = pd.concat([o.astype({c: "Int64" for c in "abc" if c in o}) for o in out if len(o)], ignore_index=True) if any(map(len, out)) else pd.DataFrame()
+    out = out.reindex(columns=_STATE)
+    out["key"], out["strip"], out["tile"] = part["key"].iloc[0], part["strip"].iloc[0], part["tile"].iloc[0]
+    out[_RECT] = region
+    return out.astype({"key": object, "kind": object})
+
+
+def _tiles(locs: DataFrame) -> DataFrame:
+    """Locations with strip, tile and the open rectangle around the tile that holds no other tile's."""
+    side = F.ceil(F.sqrt(F.col("n") / F.lit(float(TILE_POINTS))))
+    rows = locs.select(F.col("survey_id").cast("string").alias("key"), "idx", F.col("longitude").alias("ax"), F.col("latitude").alias("ay"), F.col("z").alias("az"))
+    rows = sequence(rows, by=["key"], order=["ax", "ay"], count_col="n").withColumn("side", side)
+    rows = rows.withColumn("strip", F.floor(F.col("pos") * F.col("side") / F.col("n"))).drop("pos", "n")
+    rows = sequence(rows, by=["key", "strip"], order=["ay", "ax"], count_col="n")
+    rows = rows.withColumn("tile", F.floor(F.col("pos") * F.col("side") / F.col("n"))).drop("pos", "n", "side")
+
+    def between(by: list[str], at: str, c: str, names: tuple[str, str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(at)
+        ends = rows.groupBy(*by, at).agg(F.min(c).alias("first"), F.max(c).alias("last"))
+        return ends.select(*by, at, F.coalesce(F.lag("last").over(w), F.lit(float("-inf"))).alias(names[0]),
+                           F.coalesce(F.lead("first").over(w), F.lit(float("inf"))).alias(names[1]))
+
+    rows = join_null_safe(rows, between(["key"], "strip", "ax", ("x0", "x1")), ["key", "strip"])
+    rows = join_null_safe(rows, between(["key", "strip"], "tile", "ay", ("y0", "y1")), ["key", "strip", "tile"])
+    none = {c: F.lit(None).cast("long") for c in "bc"} | {c: F.lit(None).cast("double") for c in _VERTICES[3:]}
+    return rows.withColumns({"kind": F.lit("point"), "a": F.col("idx"), **none}).select(*_STATE)
+
+
+def _triangles(locs: DataFrame) -> DataFrame:
+    """(survey_id, a < b < c, their coordinates and values) of all surveys."""
+    checkpoint_dir(locs.sparkSession)
     ship_package(locs.sparkSession)
-    results, triangles, cands = [], None, None
-    tkeys = ["survey_id", "tx", "ty"]
-    levels = HALO_STEPS[:max_levels]
-    for level, halo in enumerate(levels):
-        final = level == len(levels) - 1
-        p, n = _tile_frames(locs, todo, geo, halo, emit_first, final, hull_pts)
-        res = (p.groupBy(*tkeys).cogroup(n.groupBy(*tkeys))
-                .applyInPandas(_linear_tile, f"{survey_field(locs)}, {LINEAR_OUT}")
-                .checkpoint(eager=True))
-        if emit_first:
-            tr = res.where(F.col("kind") == "triangle").select("survey_id", "a", "b", "c")
-            triangles = tr if triangles is None else triangles.unionByName(
-                tr.join(triangles, ["survey_id", "a", "b", "c"], "left_anti"))
-        if final:
-            cands = res.where(F.col("kind") == "candidate")
-        results.append(res.where(F.col("kind") == "linear").select("survey_id", "row", "col", "z"))
-        todo = (res.where(F.col("kind") == "pending").select("survey_id", "row", "col")
-                   .join(todo, ["survey_id", "row", "col"]))
-        if todo.isEmpty():
-            break
-    verified = None
-    if cands is not None and not cands.isEmpty():
-        verified = _verify_candidates(cands, locs, geo).checkpoint(eager=True)
-        if emit_first:
-            v = verified.select("survey_id", "a", "b", "c")
-            triangles = triangles.unionByName(v.join(triangles, ["survey_id", "a", "b", "c"], "left_anti"))
-    return results, todo, triangles, verified
-
-
-def _linear_inputs(df: DataFrame, res: float, z: str | None):
-    z = z or ("depth" if "depth" in df.columns else "elevation")
-    pts = valid_points(df, z)
-    locs = _distinct_locations(pts).checkpoint(eager=True)
-    bounds = grid_bounds(pts, res)
-    n_loc = locs.groupBy("survey_id").agg(F.count(F.lit(1)).alias("n_loc"))
-    area = (F.greatest(F.col("max_lat") - F.col("min_lat"), F.lit(res))
-            * F.greatest(F.col("max_lon") - F.col("min_lon"), F.lit(res)))
-    geo = (bounds.join(n_loc, "survey_id")
-                 .select("survey_id", "min_lat", "max_lat", "min_lon", "max_lon",
-                         F.greatest(F.lit(res), F.sqrt(area / F.col("n_loc") * F.lit(TILE_POINTS))).alias("tile")))
-    hulls = survey_hulls(locs).checkpoint(eager=True)
-    verts = hulls.select("survey_id", F.explode(F.arrays_zip("hx", "hy")).alias("v")).select(
-        "survey_id", F.col("v.hx").alias("longitude"), F.col("v.hy").alias("latitude"))
-    hull_pts = locs.join(verts, ["survey_id", "longitude", "latitude"], "left_semi")
-    return pts, locs, bounds, geo, hulls, hull_pts
+    kind = locs.schema["survey_id"].dataType
+    state = _tiles(locs).checkpoint(eager=True)
+    most = state.agg(F.max("tile"), F.max("strip")).first()
+    found = []
+    levels = [("tile", most[0] or 0), ("strip", most[1] or 0)]
+    state = state.groupBy("key", "strip", "tile").applyInPandas(settle, _SCHEMA).checkpoint(eager=True)
+    for name, last in levels:
+        while last > 0:
+            found.append(state.where(F.col("kind") == "triangle"))
+            last //= FANOUT
+            state = (state.where(F.col("kind") != "triangle").withColumn(name, F.floor(F.col(name) / FANOUT))
+                     .groupBy("key", "strip", "tile").applyInPandas(settle, _SCHEMA).checkpoint(eager=True))
+    out = state.where(F.col("kind") == "triangle")
+    for f in found:
+        out = out.unionByName(f)
+    return out.select(F.col("key").cast(kind).alias("survey_id"), "a", "b", "c", *_VERTICES)
+
+
+def _covered(triangles: DataFrame, bounds: DataFrame, res: float) -> DataFrame:
+    """(survey_id, row, col, z) of the nodes in triangles: rows of a triangle
+    first, then the columns between its edges there; of the triangles that share
+    a node's edge the least (a, b, c) counts."""
+    t = join_null_safe(triangles, bounds.select("survey_id", "min_lat", "min_lon", "n_rows", "n_cols"), ["survey_id"])
+
+    def span(least, most, start, count):
+        """Numbers of the axis places within [least, most], one more on each side for rounding."""
+        first = F.greatest(F.floor((least - F.col(start)) / res) - 1, F.lit(0))
+        last = F.least(F.ceil((most - F.col(start)) / res) + 1, F.col(count) - 1)
+        return F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    ax, ay, az, bx, by, bz, cx, cy, cz = map(F.col, _VERTICES)
+    t = t.select("*", F.explode(span(F.least(ay, by, cy), F.greatest(ay, by, cy), "min_lat", "n_rows")).alias("row"))
+    t = t.withColumn("lat", F.col("min_lat") + F.col("row") * F.lit(res))
+
+    def crossing(px, py, qx, qy):
+        """Where the row meets an edge; the edge's ends where it has no height there."""
+        share = F.least(F.greatest((F.col("lat") - py) / F.nullif(qy - py, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+        return px + (qx - px) * share, px, qx, F.col("lat").between(F.least(py, qy) - F.lit(res), F.greatest(py, qy) + F.lit(res))
+
+    lows, highs = [], []
+    for e in (crossing(ax, ay, bx, by), crossing(bx, by, cx, cy), crossing(cx, cy, ax, ay)):
+        at, p, q, near = e
+        lows.append(F.when(near, F.coalesce(at, F.least(p, q))))
+        highs.append(F.when(near, F.coalesce(at, F.greatest(p, q))))
+    t = t.withColumns({"west": F.least(*lows), "east": F.greatest(*highs)}).where(F.col("west").isNotNull())
+    # A large triangle's rows go to many tasks before their columns are written out.
+    t = t.repartition("survey_id", "a", "b", "c", "row")
+    t = t.select("*", F.explode(span(F.col("west"), F.col("east"), "min_lon", "n_cols")).alias("col"))
+    px, py = F.col("min_lon") + F.col("col") * F.lit(res), F.col("lat")
+    det = (by - cy) * (ax - cx) + (cx - bx) * (ay - cy)
+    t = t.withColumns({"l1": ((by - cy) * (px - cx) + (cx - bx) * (py - cy)) / det,
+                       "l2": ((cy - ay) * (px - cx) + (ax - cx) * (py - cy)) / det})
+    t = t.withColumn("l3", F.lit(1.0) - F.col("l1") - F.col("l2")).where(F.least("l1", "l2", "l3") >= -EDGE)
+    z = F.col("l1") * az + F.col("l2") * bz + F.col("l3") * cz
+    return t.groupBy("survey_id", "row", "col").agg(F.min_by(z, F.struct("a", "b", "c")).alias("z"))
 
 
 def surface_linear(df: DataFrame, res: float = RESOLUTION, z: str | None = None) -> DataFrame:
@@ -336,64 +184,29 @@ def surface_linear(df: DataFrame, res: float = RESOLUTION, z: str | None = None)
     NULL outside the convex hull; surveys with < 3 valid points or collinear
     points fall back to the nearest sounding (as the reference does).
 
-    ``method`` is 'linear', 'outside', 'nearest' or 'uncovered' (inside the
-    hull but no certified triangle within the widest halo; z NULL -- kept as
-    a row, never dropped)."""
-    checkpoint_dir(df.sparkSession)
-    pts, locs, bounds, geo, hulls, hull_pts = _linear_inputs(df, res, z)
-    nodes = grid_nodes(bounds, res).join(hulls, "survey_id", "left").fillna(0, subset=["n_hull"])
-    degenerate = F.col("n_hull") < 3
-    inside = inside_hull(F.col("lon"), F.col("lat"))
-    nodes = nodes.withColumn("_cls", F.when(degenerate, "nearest").when(inside, "in").otherwise("outside"))
-    nodes = nodes.select("survey_id", "row", "col", "lat", "lon", "_cls").checkpoint(eager=True)
+    ``method`` is 'linear', 'outside' or 'nearest'.  A NULL survey is a survey."""
+    z = z or ("depth" if "depth" in df.columns else "elevation")
+    pts = valid_points(df, z)
+    bounds = grid_bounds(pts, res)
+    triangles = _triangles(_distinct_locations(pts))
+    has = triangles.select("survey_id").distinct().withColumn("has", F.lit(True))
+    bounds = join_null_safe(bounds, has, ["survey_id"], "left").checkpoint(eager=True)
     keys = ["survey_id", "row", "col"]
-    out = nodes.where(F.col("_cls") == "outside").select(
-        *keys, "lat", "lon", F.lit(None).cast("double").alias("z"), F.lit("outside").alias("method"))
-    near_nodes = nodes.where(F.col("_cls") == "nearest").select(*keys, "lat", "lon")
-    if not near_nodes.isEmpty():
-        near = nearest_node_join(near_nodes, pts, bounds, res).select(
-            *keys, "lat", "lon", "z", F.lit("nearest").alias("method"))
-        out = out.unionByName(near)
-    todo = nodes.where(F.col("_cls") == "in").select(*keys, "lat", "lon")
-    results, left, _, verified = _linear_levels(locs, todo, geo, hull_pts=hull_pts)
-    if verified is not None:
-        # Pending nodes inside a verified triangle: barycentric interpolation
-        # (equi-join on survey; both sides hold only the few leftovers).
-        ax, ay, bx, by, cx, cy = (F.col(k) for k in ("ax", "ay", "bx", "by", "cx", "cy"))
-        px, py = F.col("lon"), F.col("lat")
-        det = (by - cy) * (ax - cx) + (cx - bx) * (ay - cy)
-        l1 = ((by - cy) * (px - cx) + (cx - bx) * (py - cy)) / det
-        l2 = ((cy - ay) * (px - cx) + (ax - cx) * (py - cy)) / det
-        l3 = F.lit(1.0) - l1 - l2
-        tol = F.lit(-1e-9)
-        hit = (left.join(verified, "survey_id")
-                   .withColumns({"l1": l1, "l2": l2, "l3": l3})
-                   .where((F.col("l1") >= tol) & (F.col("l2") >= tol) & (F.col("l3") >= tol))
-                   .withColumn("z", F.col("l1") * F.col("az") + F.col("l2") * F.col("bz") + F.col("l3") * F.col("cz"))
-                   .groupBy(*keys).agg(F.min_by("z", F.struct("a", "b", "c")).alias("z")))
-        results.append(hit)
-        left = left.join(hit.select(*keys), keys, "left_anti")
-    for r in results:
-        out = out.unionByName(r.join(nodes.select(*keys, "lat", "lon"), keys)
-                               .select(*keys, "lat", "lon", "z", F.lit("linear").alias("method")))
-    out = out.unionByName(left.select(*keys, "lat", "lon", F.lit(None).cast("double").alias("z"),
-                                      F.lit("uncovered").alias("method")))
-    return out
+    nodes = grid_nodes(bounds.where("has"), res)
+    out = join_null_safe(nodes, _covered(triangles, bounds, res), keys, "left").select(
+        *keys, "lat", "lon", "z", F.when(F.col("z").isNull(), "outside").otherwise("linear").alias("method"))
+    flat = bounds.where("has IS NULL").drop("has")
+    if flat.isEmpty():
+        return out
+    flat_pts = join_null_safe(pts, flat.select("survey_id"), ["survey_id"], "left_semi")
+    near = nearest_node_join(grid_nodes(flat, res), flat_pts, flat, res)
+    return out.unionByName(near.select(*keys, "lat", "lon", "z", F.lit("nearest").alias("method")))
 
 
 def triangulation(df: DataFrame, res: float = RESOLUTION, z: str | None = None) -> DataFrame:
-    """Delaunay triangles (survey, a < b < c as sounding idx), each reported
-    once by the tile of its lowest idx once its circumcircle is certified;
-    tiles with uncertified triangles retry with wider halos."""
-    checkpoint_dir(df.sparkSession)
-    pts, locs, bounds, geo, _, hull_pts = _linear_inputs(df, res, z)
-    tiles = (locs.join(geo, "survey_id")
-                 .select("survey_id", F.floor((F.col("longitude") - F.col("min_lon")) / F.col("tile")).alias("tx"),
-                         F.floor((F.col("latitude") - F.col("min_lat")) / F.col("tile")).alias("ty"),
-                         "min_lon", "min_lat", "tile")
-                 .distinct()
-                 .select("survey_id", F.col("tx").cast("int").alias("row"), F.col("ty").cast("int").alias("col"),
-                         (F.col("min_lat") + (F.col("ty") + 0.5) * F.col("tile")).alias("lat"),
-                         (F.col("min_lon") + (F.col("tx") + 0.5) * F.col("tile")).alias("lon")))
-    _, _, tri, _ = _linear_levels(locs, tiles, geo, emit_first=True, hull_pts=hull_pts)
-    return tri.select("survey_id", "a", "b", "c")
+    """Delaunay triangles of each survey's valid soundings (survey, a < b < c as
+    sounding idx), each once.  Of soundings at one place the least idx counts;
+    where four lie on one circle, the least idx decides.  A survey whose
+    soundings are on one line has none."""
+    z = z or ("depth" if "depth" in df.columns else "elevation")
+    return _triangles(_distinct_locations(valid_points(df, z))).select("survey_id", "a", "b", "c")
