@@ -6,23 +6,20 @@ Nearest node join:
 
 * soundings at the same coordinate collapse to the lowest idx first (a
   "group of copies" holding a third of the rows becomes one candidate);
-* locations are keyed by square cells of side b0, sized from the survey's
-  point density; only the non-empty cells take part in the search;
-* level L groups cells into coarse buckets of 4^(L+s) x 4^(L+s) cells (s from
-  the survey's cell occupancy, so sparse surveys skip empty levels); every
-  unresolved node is equi-joined to the non-empty cells of the 3 x 3 coarse
-  buckets around it and gets U = min over cells of the distance to the
-  cell's representative sounding -- an upper bound of its nearest distance;
-* when U is smaller than the node's distance to the edge of the searched
-  square (or the square covers the survey), every cell that can hold the
-  nearest sounding (nearest distance to the rectangle <= U) is inside it:
-  the node is compared with exactly those cells' soundings and keeps
-  ``min_by`` over (distance, idx) -- the brute-force answer, ties included;
-* other nodes go to level L + 1.  Work is bounded by cells, not points, in
-  sparse regions and by a few cells per node in dense ones.
-
-Each level's leftovers are checkpointed into ``spark.checkpoint.dir``; the
-driver only reads the leftover count (a bounded loop counter).
+* a survey's locations are ranked along a Z-order curve; runs of ``BOX``
+  locations are boxes with their own tight bounds, runs of ``FANOUT`` boxes are
+  boxes of the next level: a packed tree whose boxes follow the density, so a
+  dense spot is many small boxes and a far-off fix shares none with it;
+* nodes search in blocks of ``BLOCK`` x ``BLOCK``, from the top level down: the
+  nearest sounding of each node of a block is no farther than the least of the
+  boxes' greatest distances, and boxes that start beyond that go, with all below
+  them.  What is left is a handful of boxes a block;
+* each node drops more of these by its own bounds and is compared with the
+  locations of the others, ``min_by`` over (distance, idx): the brute-force
+  answer, ties included.
+
+Work is bounded by boxes near a block, whatever the density.  One plan, no
+rounds on the driver but the number of levels.
 """
 
 from __future__ import annotations
@@ -31,11 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.operators.grid import RESOLUTION, grid_bounds, grid_nodes
-from fathom.session import checkpoint_dir, materialize_small
+from fathom.operators.joins import join_null_safe
+from fathom.operators.ordered import sequence
+from fathom.session import checkpoint_dir
 
-EDGE_EPS = 1e-9  # degrees; keeps the acceptance test conservative under rounding
-TARGET_PER_BUCKET = 4.0
-GROWTH = 4  # bucket side multiplier per level
+EDGE_EPS = 1e-9  # degrees; keeps the bounds conservative under rounding
+#: Locations of a box, boxes of a box of the next level, nodes on a block's side.
+BOX = 32
+FANOUT = 16
+BLOCK = 8
+_BITS = 26
 
 
 def valid_points(df: DataFrame, z: str) -> DataFrame:
@@ -49,102 +51,89 @@ def _distinct_locations(pts: DataFrame) -> DataFrame:
                .select("survey_id", "latitude", "longitude", F.col("b.idx").alias("idx"), F.col("b.z").alias("z")))
 
 
-def nearest_node_join(nodes: DataFrame, pts: DataFrame, bounds: DataFrame,
-                      res: float = RESOLUTION, bucket_cells: int = 1, max_levels: int = 32) -> DataFrame:
+def _spread(v):
+    """The low bits of a number, one place apart from each other."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        v = (v.bitwiseOR(F.shiftleft(v, shift))).bitwiseAND(F.lit(mask))
+    return v
+
+
+def _z_order(lon, lat):
+    """Place on the Z-order curve over the survey's bounds."""
+    def steps(v, lo, hi):
+        return F.coalesce(F.floor((v - F.col(lo)) / F.nullif(F.col(hi) - F.col(lo), F.lit(0.0)) * F.lit(float((1 << _BITS) - 1))), F.lit(0)).cast("long")
+    return _spread(steps(lon, "min_lon", "max_lon")).bitwiseOR(F.shiftleft(_spread(steps(lat, "min_lat", "max_lat")), 1))
+
+
+def _gap(lo, hi, first, last):
+    """Distance along an axis between [lo, hi] and [first, last]."""
+    return F.greatest(F.lit(0.0), first - hi, lo - last)
+
+
+def _reach(lo, hi, first, last):
+    """Greatest distance along an axis between points of the two ranges."""
+    return F.greatest(last - lo, hi - first)
+
+
+def _bounds(x0, x1, y0, y1, box):
+    """Least and greatest distance between a rectangle and a box."""
+    gx, gy = _gap(x0, x1, box["x0"], box["x1"]), _gap(y0, y1, box["y0"], box["y1"])
+    rx, ry = _reach(x0, x1, box["x0"], box["x1"]), _reach(y0, y1, box["y0"], box["y1"])
+    return F.sqrt(gx * gx + gy * gy), F.sqrt(rx * rx + ry * ry)
+
+
+def _near(df: DataFrame, x0, x1, y0, y1) -> DataFrame:
+    """Keep of the array ``boxes`` those that may hold the nearest location of a point of the rectangle."""
+    most = F.array_min(F.transform("boxes", lambda b: _bounds(x0, x1, y0, y1, b)[1]))
+    # Exploded from an array of one, the bound is computed once a row, not once a box.
+    df = df.select("*", F.explode(F.array(most)).alias("most"))
+    return df.withColumn("boxes", F.filter("boxes", lambda b: _bounds(x0, x1, y0, y1, b)[0] <= F.col("most") + F.lit(EDGE_EPS))).drop("most")
+
+
+def nearest_node_join(nodes: DataFrame, pts: DataFrame, bounds: DataFrame, res: float = RESOLUTION) -> DataFrame:
     """(survey, row, col, lat, lon) x soundings -> nearest sounding per node."""
     checkpoint_dir(nodes.sparkSession)
-    locs = _distinct_locations(pts)
-    n_loc = locs.groupBy("survey_id").agg(F.count(F.lit(1)).alias("n_loc"))
-    ext = bounds.select("survey_id", "min_lat", "min_lon",
-                        (F.col("max_lat") - F.col("min_lat")).alias("ext_lat"),
-                        (F.col("max_lon") - F.col("min_lon")).alias("ext_lon"))
-    # Cell side per survey: about TARGET_PER_BUCKET locations per cell at the
-    # survey's mean density, never finer than a grid cell.
-    area = F.greatest(F.col("ext_lat"), F.lit(res)) * F.greatest(F.col("ext_lon"), F.lit(res))
-    b0 = F.greatest(F.lit(res * bucket_cells), F.sqrt(area / F.col("n_loc") * F.lit(TARGET_PER_BUCKET)))
-    ext = (ext.join(n_loc, "survey_id").withColumn("b0", b0).drop("n_loc")
-              .withColumns({"max_cx": F.floor(F.col("ext_lon") / F.col("b0")),
-                            "max_cy": F.floor(F.col("ext_lat") / F.col("b0"))}))
-    cell_x = F.floor((F.col("longitude") - F.col("min_lon")) / F.col("b0"))
-    cell_y = F.floor((F.col("latitude") - F.col("min_lat")) / F.col("b0"))
-    # Locations are read by every level: materialise them once (cut lineage).
-    locs = (locs.join(ext.select("survey_id", "min_lat", "min_lon", "b0"), "survey_id")
-                .withColumns({"cx": cell_x, "cy": cell_y}).drop("min_lat", "min_lon", "b0")
-                .checkpoint(eager=True))
-    # One representative sounding per non-empty cell: its distance is an upper
-    # bound of a node's nearest distance (it is an actual sounding).
-    rep = F.min_by(F.struct("latitude", "longitude"), F.col("idx"))
-    cells = (locs.groupBy("survey_id", "cx", "cy").agg(rep.alias("rep"))
-                 .select("survey_id", "cx", "cy", F.col("rep.latitude").alias("ry"),
-                         F.col("rep.longitude").alias("rx"))
-                 .checkpoint(eager=True))
-    # First level per survey from its cell occupancy: about 1/sqrt(occupancy)
-    # cells separate a node from the nearest non-empty cell, so sparse or
-    # clustered surveys skip the levels that would resolve nothing.
-    occ = (cells.groupBy("survey_id").agg(F.count(F.lit(1)).alias("n_cells"))
-                .join(ext.select("survey_id", "max_cx", "max_cy"), "survey_id")
-                .select("survey_id", (F.col("n_cells") / ((F.col("max_cx") + 1) * (F.col("max_cy") + 1)))
-                        .alias("occ")))
-    start = F.greatest(F.lit(0), F.floor(F.lit(-0.5) * F.log(F.col("occ")) / F.log(F.lit(float(GROWTH)))))
-    starts = materialize_small(occ.select("survey_id", start.cast("int").alias("start")))
-    ext = ext.join(starts, "survey_id")
-    cells = cells.join(starts, "survey_id")
-    todo = (nodes.join(ext, "survey_id")
-                 .withColumns({"ncx": F.floor((F.col("lon") - F.col("min_lon")) / F.col("b0")),
-                               "ncy": F.floor((F.col("lat") - F.col("min_lat")) / F.col("b0"))}))
-    eps = F.lit(EDGE_EPS)
-    done = []
-    for level in range(max_levels):
-        # coarse bucket = f x f cells, f = 4^(level + the survey's start level)
-        f = F.pow(F.lit(float(GROWTH)), F.lit(level) + F.col("start"))
-        n = todo.withColumns({"kx": F.floor(F.col("ncx") / f), "ky": F.floor(F.col("ncy") / f)})
-        offs = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        probe = (n.withColumn("dx", F.explode(offs)).withColumn("dy", F.explode(offs))
-                  .withColumns({"pkx": F.col("kx") + F.col("dx"), "pky": F.col("ky") + F.col("dy")}))
-        cl = cells.select("survey_id", "cx", "cy", "rx", "ry", F.floor(F.col("cx") / f).alias("pkx"),
-                          F.floor(F.col("cy") / f).alias("pky"))
-        pairs = probe.join(cl, ["survey_id", "pkx", "pky"])
-        # Distance bounds between the node and every point of a cell rectangle.
-        x0 = F.col("min_lon") + F.col("cx") * F.col("b0")
-        y0 = F.col("min_lat") + F.col("cy") * F.col("b0")
-        x1, y1 = x0 + F.col("b0"), y0 + F.col("b0")
-        gx = F.greatest(F.lit(0.0), x0 - F.col("lon"), F.col("lon") - x1)
-        gy = F.greatest(F.lit(0.0), y0 - F.col("lat"), F.col("lat") - y1)
-        rx, ry = F.col("rx") - F.col("lon"), F.col("ry") - F.col("lat")
-        pairs = pairs.withColumns({"dmin": F.sqrt(gx * gx + gy * gy), "drep": F.sqrt(rx * rx + ry * ry)})
-        bound = pairs.groupBy("survey_id", "row", "col").agg(F.min("drep").alias("ub"))
-        # Distance from the node to the edge of the searched 3 x 3 coarse square.
-        span = F.col("b0") * f
-        sx0 = F.col("min_lon") + (F.col("kx") - 1) * span
-        sx1 = F.col("min_lon") + (F.col("kx") + 2) * span
-        sy0 = F.col("min_lat") + (F.col("ky") - 1) * span
-        sy1 = F.col("min_lat") + (F.col("ky") + 2) * span
-        edge = F.least(F.col("lon") - sx0, sx1 - F.col("lon"), F.col("lat") - sy0, sy1 - F.col("lat"))
-        covers_all = (((F.col("kx") - 1) * f <= 0) & ((F.col("kx") + 2) * f > F.col("max_cx"))
-                      & ((F.col("ky") - 1) * f <= 0) & ((F.col("ky") + 2) * f > F.col("max_cy")))
-        judged = (n.join(bound, ["survey_id", "row", "col"], "left")
-                   .withColumn("ok", F.col("ub").isNotNull() & ((F.col("ub") + eps < edge) | covers_all))
-                   .checkpoint(eager=True))
-        # Exact step for resolved nodes: points of cells that can hold the nearest.
-        keys = ["survey_id", "row", "col"]
-        cand = (pairs.join(judged.where("ok").select(*keys, "ub"), keys)
-                     .where(F.col("dmin") <= F.col("ub") + eps)
-                     .select(*keys, "lat", "lon", "survey_id", "cx", "cy"))
-        dx, dy = F.col("longitude") - F.col("lon"), F.col("latitude") - F.col("lat")
-        near = (cand.join(locs, ["survey_id", "cx", "cy"])
-                    .withColumn("d", F.sqrt(dx * dx + dy * dy))
-                    .groupBy(*keys, "lat", "lon")
-                    .agg(F.min_by(F.struct("idx", "z"), F.struct("d", "idx")).alias("best")))
-        done.append(near.select(*keys, "lat", "lon", F.col("best.z").alias("z"), F.col("best.idx").alias("src_idx")))
-        todo = judged.where(~F.col("ok")).drop("ok", "ub", "kx", "ky")
-        if todo.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"nodes without a nearest location after {max_levels} levels; raise max_levels")
-    out = done[0]
-    for d_ in done[1:]:
-        out = out.unionByName(d_)
-    return out
+    locs = join_null_safe(_distinct_locations(pts), bounds.select("survey_id", "min_lat", "max_lat", "min_lon", "max_lon"), ["survey_id"])
+    locs = locs.select("survey_id", "idx", "latitude", "longitude", "z", _z_order(F.col("longitude"), F.col("latitude")).alias("curve"))
+    placed = sequence(locs, by=["survey_id"], order=["curve", "idx"]).withColumn("box", F.floor(F.col("pos") / BOX).cast("long"))
+    rect = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
+    leaves = (placed.groupBy("survey_id", "box").agg(
+        F.min("longitude").alias("x0"), F.max("longitude").alias("x1"), F.min("latitude").alias("y0"), F.max("latitude").alias("y1"),
+        F.collect_list(F.struct("longitude", "latitude", "idx", "z")).alias("locations")).checkpoint(eager=True))
+    last = leaves.agg(F.max("box")).first()[0] or 0
+    levels = [leaves.drop("locations")]
+    while last > 0:
+        last //= FANOUT
+        levels.append(levels[-1].withColumn("box", F.floor(F.col("box") / FANOUT).cast("long")).groupBy("survey_id", "box").agg(*rect))
+
+    # Blocks of nodes come down the levels with the boxes that may be nearest.
+    at = {"block_row": F.floor(F.col("row") / BLOCK), "block_col": F.floor(F.col("col") / BLOCK)}
+    key = ["survey_id", *at]
+    nodes = nodes.withColumns(at)
+    blocks = nodes.groupBy(*key).agg(F.min("lon").alias("bx0"), F.max("lon").alias("bx1"), F.min("lat").alias("by0"), F.max("lat").alias("by1"))
+    sides = ["bx0", "bx1", "by0", "by1"]
+    box = F.struct("box", "x0", "x1", "y0", "y1")
+    found = blocks.withColumn("box", F.lit(0).cast("long"))
+    for boxes in levels[::-1]:
+        found = join_null_safe(found, boxes, ["survey_id", "box"]).groupBy(*key, *sides).agg(F.collect_list(box).alias("boxes"))
+        found = _near(found, *map(F.col, sides))
+        if boxes is not levels[0]:
+            found = (found.select(*key, *sides, F.explode("boxes.box").alias("up"))
+                     .select(*key, *sides, F.explode(F.sequence(F.col("up") * FANOUT, F.col("up") * FANOUT + FANOUT - 1)).alias("box")))
+
+    cell = ["survey_id", "row", "col"]
+    found = join_null_safe(nodes, found.select(*key, "boxes"), key)
+    lon, lat = F.col("lon"), F.col("lat")
+    found = _near(found.select(*cell, "lat", "lon", "boxes"), lon, lon, lat, lat).select(*cell, "lat", "lon", F.explode("boxes.box").alias("box"))
+    found = join_null_safe(found, leaves.select("survey_id", "box", "locations"), ["survey_id", "box"])
+
+    def distance(p):
+        dx, dy = p["longitude"] - lon, p["latitude"] - lat
+        return F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), p["idx"].alias("idx"), p["z"].alias("z"))
+
+    best = F.array_min(F.transform("locations", distance))
+    return (found.select(*cell, "lat", "lon", best.alias("best")).groupBy(*cell, "lat", "lon").agg(F.min("best").alias("best"))
+            .select(*cell, "lat", "lon", F.col("best.z").alias("z"), F.col("best.idx").alias("src_idx")))
 
 
 def surface_nearest(df: DataFrame, res: float = RESOLUTION, z: str | None = None) -> DataFrame:

@@ -68,3 +68,18 @@ def test_nearest_equals_brute_force(spark):
                 y, x = la0 + r * res, lo0 + c * res
                 best = min(p, key=lambda q: (math.sqrt((q[2] - x) * (q[2] - x) + (q[1] - y) * (q[1] - y)), q[0]))
                 assert got[(s, r, c)] == (best[3], best[0]), (s, r, c)
+
+
+def test_nearest_on_clusters_and_null_surveys(spark):
+    """Dense spots, a far-off fix, ties, repeated positions; a NULL survey is a survey."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.random(900) * 1e-3, 5 + rng.integers(0, 9, 300) / 8, 90.0, rng.random(40) * 10]
+    y = np.r_[rng.random(900) * 1e-3, 1 + rng.integers(0, 9, 300) / 8, -45.0, rng.random(40) * 10]
+    rows = [(s, i, float(y[i]), float(x[i]), float(i)) for s in (None, 7) for i in range(len(x))]
+    df = spark.createDataFrame(rows, "survey_id long, idx long, latitude double, longitude double, depth double")
+    out = su.surface_nearest(df, 1.5).collect()
+    assert len(out) == 2 * len({(r.row, r.col) for r in out})
+    for r in out:
+        d = np.sqrt((x - r.lon) ** 2 + (y - r.lat) ** 2)
+        assert r.src_idx == int(np.argmin(d)) and r.z == float(r.src_idx)
