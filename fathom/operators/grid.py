@@ -165,7 +165,7 @@ def densify(grid: DataFrame, bounds: DataFrame, res: float = RESOLUTION) -> Data
     """Dense grid: every node, NULL elevation/uncertainty and 0 density where empty."""
     nodes = grid_nodes(bounds, res)
     g = grid.select("survey_id", "row", "col", "elevation", "uncertainty", "density")
-    return (nodes.join(g, ["survey_id", "row", "col"], "left")
+    return (join_null_safe(nodes, g, ["survey_id", "row", "col"], "left")
                  .withColumn("density", F.coalesce(F.col("density"), F.lit(0)).cast("long")))
 
 
@@ -181,7 +181,7 @@ def raster_info(bands: DataFrame, bounds: DataFrame) -> DataFrame:
     shape = bands.groupBy("survey_id").agg(
         (F.max("col") + 1).alias("width"), (F.max("row") + 1).alias("height"),
         F.countDistinct("band").alias("band_count"))
-    return (shape.join(bounds.select("survey_id", "min_lat", "max_lat", "min_lon", "max_lon"), "survey_id")
+    return (join_null_safe(shape, bounds.select("survey_id", "min_lat", "max_lat", "min_lon", "max_lon"), ["survey_id"])
                  .withColumns({
                      "pixel_width": (F.col("max_lon") - F.col("min_lon")) / F.col("width"),
                      "pixel_height": (F.col("max_lat") - F.col("min_lat")) / F.col("height"),

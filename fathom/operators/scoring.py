@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fathom.operators import detector as det
 from fathom.operators import rules as rl
+from fathom.operators.joins import join_null_safe
 
 # Anomaly-rate tiers of the rule score and the detector confidence.
 RULE_TIERS = [(0.01, 0.9), (0.05, 0.8), (0.1, 0.7), (0.2, 0.5)]
@@ -102,15 +103,15 @@ def rule_counts(df: DataFrame, sensor: str, with_detector_base: bool = False) ->
             high.append(f"_r_{c}")
     if "duplicate_timestamp" in rules and "timestamp" in df.columns:
         d = rl.duplicate_timestamp_counts(df).select("survey_id", F.lit(1).cast("long").alias("_g_dup"))
-        t = t.join(d, "survey_id", "left").fillna(0, subset=["_g_dup"])
+        t = join_null_safe(t, d, ["survey_id"], "left").fillna(0, subset=["_g_dup"])
         types["duplicate_timestamp"] = ["_g_dup"]
     if outl:
         ok = t.where((F.col("total_points") >= rl.OUTLIER_MIN_ROWS) & (F.col("_n_values") >= rl.OUTLIER_MIN_VALUES))
-        o = (df.select("survey_id", "depth").join(ok.select("survey_id", "_mean", "_std"), "survey_id")
+        o = (join_null_safe(df.select("survey_id", "depth"), ok.select("survey_id", "_mean", "_std"), ["survey_id"])
                .groupBy("survey_id")
                .agg(F.count_if(F.abs(F.col("depth") - F.col("_mean")) > F.lit(rl.OUTLIER_SIGMAS) * F.col("_std"))
                     .alias("_g_outlier")))
-        t = t.join(o, "survey_id", "left").fillna(0, subset=["_g_outlier"])
+        t = join_null_safe(t, o, ["survey_id"], "left").fillna(0, subset=["_g_outlier"])
         types["depth_outlier"] = ["_g_outlier"]
     all_cols = [c for v in types.values() for c in v]
     return t.select("survey_id", "total_points",
@@ -126,10 +127,10 @@ def _detector_parts(df: DataFrame, t: DataFrame) -> DataFrame:
     jumps = (det.depth_sequence(df).groupBy("survey_id").agg(
         F.count_if((diff > det.MAX_DEPTH_JUMP) | (diff < -det.MAX_DEPTH_JUMP)).alias("_jump"),
         F.count_if(F.abs(diff) > det.HIGH_JUMP).alias("_jump_high")))
-    t = t.join(jumps, "survey_id", "left")
+    t = join_null_safe(t, jumps, ["survey_id"], "left")
     if "latitude" in df.columns and "longitude" in df.columns:
         g = det.duplicate_coordinate_groups(df).groupBy("survey_id").agg(F.count(F.lit(1)).alias("_coord"))
-        t = t.join(g, "survey_id", "left")
+        t = join_null_safe(t, g, ["survey_id"], "left")
     else:
         t = t.withColumn("_coord", F.lit(0).cast("long"))
     t = t.fillna(0, subset=["_jump", "_jump_high", "_coord"])
@@ -156,7 +157,7 @@ def anomaly_counts(anomalies: DataFrame, prefix: str) -> DataFrame:
 
 
 def _with_counts(points: DataFrame, anomalies: DataFrame, prefix: str) -> DataFrame:
-    return (points.join(anomaly_counts(anomalies, prefix), "survey_id", "left")
+    return (join_null_safe(points, anomaly_counts(anomalies, prefix), ["survey_id"], "left")
                   .fillna(0, subset=[f"{prefix}_anomalies", f"{prefix}_high"]))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.operators.joins import join_null_safe
 from fathom.sinks.products import ProductInfo
 
 # Fixed values (must equal the reference's payload).
@@ -45,8 +46,8 @@ def survey_catalog(points: DataFrame, sensor: str, qc: DataFrame | None = None)
         F.count(F.lit(1)).alias("total_points"))
     cat = cat.withColumn("sensor_type", F.lit(sensor))
     if qc is not None:
-        cat = cat.join(qc.select("survey_id", "quality_score", F.col("total_anomalies").alias("anomaly_count"),
-                                 F.col("status").alias("qc_status")), "survey_id", "left")
+        cat = join_null_safe(cat, qc.select("survey_id", "quality_score", F.col("total_anomalies").alias("anomaly_count"),
+                                            F.col("status").alias("qc_status")), ["survey_id"], "left")
     return cat
 
 
@@ -94,7 +95,7 @@ def payload_metadata(cat: DataFrame) -> Column:
 def payloads(cat: DataFrame, files: DataFrame, info: ProductInfo = ProductInfo(),
              anonymized: bool = False, overlay: str | None = None, output_format: str = "netcdf") -> DataFrame:
     """One payload per survey: catalogue ⋈ file entry (filename, size, checksum)."""
-    j = cat.join(files.select("survey_id", "filename", "file_size_bytes", "checksum"), "survey_id", "left")
+    j = join_null_safe(cat, files.select("survey_id", "filename", "file_size_bytes", "checksum"), ["survey_id"], "left")
     md = payload_metadata(j)
     qs = md["data_quality"]["quality_score"]
     ac = md["data_quality"]["anomaly_count"]
@@ -148,8 +149,8 @@ def manifest(payload: DataFrame, run_ts: str, files: DataFrame | None = None) ->
     """manifest v1.0 per submission with its files[]: one entry per product
     file when ``files`` (``product_files``) is given, else the payload's file."""
     if files is not None:
-        rows = payload.select("survey_id", "submission_id", "metadata", "quality_control", "provenance",
-                              "compliance").join(files, "survey_id")
+        rows = join_null_safe(payload.select("survey_id", "submission_id", "metadata", "quality_control", "provenance", "compliance"),
+                              files, ["survey_id"])
         entry = F.struct("filename", "file_size_bytes", "checksum",
                          F.lit("sha256").alias("checksum_algorithm"), F.lit("data").alias("file_type"))
     else:
@@ -206,5 +207,5 @@ def submission_report(payload: DataFrame, api_key: bool = False) -> DataFrame:
     """Batch readiness report: validation + warnings per submission."""
     v = validate_payload(payload)
     w = warnings(payload, api_key)
-    return (v.join(w, ["survey_id", "submission_id"])
+    return (join_null_safe(v, w, ["survey_id", "submission_id"])
              .withColumn("dry_run_status", F.lit("dry_run_completed")))

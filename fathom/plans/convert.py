@@ -20,6 +20,7 @@ from fathom.operators import privacy as ap
 from fathom.operators import rules as rl
 from fathom.operators import scoring as sc
 from fathom.operators import surface as su
+from fathom.operators.joins import join_null_safe
 from fathom.operators.reproject import crs_profile, reproject_to_wgs84
 from fathom.sinks import products as pr
 
@@ -63,7 +64,7 @@ def build_surface(df: DataFrame, sensor: str | None, res: float = gr.RESOLUTION,
     meta = F.struct(F.lit(method).alias("method"), F.col("valid_points").alias("total_points"),
                     F.lit(res).alias("surface_resolution"),
                     F.struct("min_lon", "max_lon", "min_lat", "max_lat").alias("surface_bounds"))
-    return surf.join(b.select("survey_id", meta.alias("surface_generation")), "survey_id")
+    return join_null_safe(surf, b.select("survey_id", meta.alias("surface_generation")), ["survey_id"])
 
 
 def stage_metadata(df: DataFrame, opts: ConvertOptions) -> DataFrame:
@@ -76,7 +77,7 @@ def stage_metadata(df: DataFrame, opts: ConvertOptions) -> DataFrame:
         F.min("longitude").alias("min_lon"), F.max("longitude").alias("max_lon")))
     ts = F.lit(opts.info.run_ts)
     ovl = ov.overlay_metadata(opts.overlay, opts.info.run_ts) if opts.add_overlay else None
-    return ext.join(prof, "survey_id").select(
+    return join_null_safe(ext, prof, ["survey_id"]).select(
         "survey_id", "total_points",
         F.struct(F.lit(opts.anonymize).alias("applied"), F.lit(bool(opts.salt)).alias("salt_used"),
                  F.lit(opts.anonymize).alias("vessel_ids_hashed"), F.lit(False).alias("gps_jittered"),
@@ -125,7 +126,7 @@ def convert(soundings: DataFrame, opts: ConvertOptions, out_dir: str | None = No
     # The run result is keyed by the original survey (the product carries the
     # hashed identifiers when anonymisation is on).
     counts = soundings.groupBy("survey_id").agg(F.count(F.lit(1)).alias("data_points_processed"))
-    result = (counts.join(qc.select("survey_id", "status", "quality_score", "total_anomalies"), "survey_id", "left")
+    result = (join_null_safe(counts, qc.select("survey_id", "status", "quality_score", "total_anomalies"), ["survey_id"], "left")
                     .withColumns({"sensor_type": F.lit(opts.sensor), "output_format": F.lit(opts.output_format),
                                   "anonymized": F.lit(opts.anonymize), "overlay_applied": F.lit(opts.add_overlay)}))
     return {"qc": qc, "anomalies": rl.rule_anomalies(soundings, opts.sensor), "points": points,

@@ -13,6 +13,7 @@ from fathom.operators import scoring as sc
 from fathom.operators import stats as st
 from fathom.operators import submission as sb
 from fathom.operators.grid import attributed_grid
+from fathom.operators.joins import join_null_safe
 from fathom.plans.catalog import r6, register
 from fathom.plans.views import view
 from fathom.session import scratch_table_path
@@ -363,12 +364,12 @@ def _conversion(spark, sf_dir):
                                                 .alias("anomaly_count"))
     e = st.extent(s).select("survey_id", "min_lat", "max_lat", "min_depth", "max_depth")
     n = s.groupBy("survey_id").agg(F.count(F.lit(1)).alias("data_points_processed"))
-    return r6(n.join(q, "survey_id").join(e, "survey_id").withColumn("status", F.lit("completed")))
+    return r6(join_null_safe(join_null_safe(n, q, ["survey_id"]), e, ["survey_id"]).withColumn("status", F.lit("completed")))
 
 
 def _processing_sql():
     from fathom.plans.oracle import sql_grid_cells, sql_with
-    return sql_with(sql_grid_cells(), """
+    return sql_with(sql_grid_cells(depth_filter=False, where="latitude IS NOT NULL AND longitude IS NOT NULL"), """
 SELECT survey_id, 'drop_null_xyz' AS operation, count(*) AS input_size,
        count(*) FILTER (WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND depth IS NOT NULL) AS output_size,
        round(count(*) FILTER (WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND depth IS NOT NULL) / count(*), 6)
@@ -389,7 +390,7 @@ def q_processing(spark, sf_dir):
         F.count(F.lit(1)).alias("input_size"),
         F.count_if(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("depth").isNotNull())
         .alias("output_size")).withColumn("operation", F.lit("drop_null_xyz"))
-    binned = gr.binned_points(s.where("latitude <= 90 AND longitude >= -180 AND depth IS NOT NULL"), "mbes", 0.01)
+    binned = gr.binned_points(s, "mbes", 0.01)
     grid = (binned.groupBy("survey_id").agg(F.count(F.lit(1)).alias("input_size"),
                                             F.count_distinct("row", "col").alias("output_size"))
                   .withColumn("operation", F.lit("grid_binning")))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.operators.grid import z_column
+from fathom.operators.joins import join_null_safe
 
 # CF attributes of the trajectory variables.
 CF_ATTRS = {
@@ -120,10 +121,9 @@ def grid_metadata(grid: DataFrame, points: DataFrame, sensor: str, qc: DataFrame
         F.array(F.min("longitude"), F.max("longitude")).alias("longitude_range"),
         F.array(F.min(z), F.max(z)).alias(f"{z}_range"))
     cells = grid.groupBy("survey_id").agg(F.count(F.lit(1)).alias("populated_cells"))
-    out = stats.join(cells, "survey_id", "left")
+    out = join_null_safe(stats, cells, ["survey_id"], "left")
     if qc is not None:
-        out = out.join(qc.select("survey_id", F.col("total_anomalies").alias("anomaly_count"),
-                                 "quality_score"), "survey_id", "left")
+        out = join_null_safe(out, qc.select("survey_id", F.col("total_anomalies").alias("anomaly_count"), "quality_score"), ["survey_id"], "left")
     else:
         out = out.withColumns({"anomaly_count": F.lit(0).cast("long"), "quality_score": F.lit(0.0)})
     return out.withColumns({
@@ -141,7 +141,7 @@ def raster_tags(points: DataFrame, sensor: str, qc: DataFrame | None = None, res
     """Per survey: the raster tag map (software, datums, flags, totals, quality)."""
     n = points.groupBy("survey_id").agg(F.count(F.lit(1)).alias("total_points"))
     if qc is not None:
-        n = n.join(qc.select("survey_id", "quality_score", "total_anomalies"), "survey_id", "left")
+        n = join_null_safe(n, qc.select("survey_id", "quality_score", "total_anomalies"), ["survey_id"], "left")
     else:
         n = n.withColumns({"quality_score": F.lit(0.0), "total_anomalies": F.lit(0).cast("long")})
     kv = {

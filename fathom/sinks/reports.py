@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.operators import rules as rl
+from fathom.operators.joins import join_null_safe
 
 
 def rule_order(sensor: str):
@@ -34,6 +35,6 @@ def qc_report(summary: DataFrame, anomalies: DataFrame, sensor: str, k: int = 10
            .groupBy("survey_id")
            .agg(F.sort_array(F.collect_list(F.struct("rn", "idx", "type", "severity", "description")))
                 .alias("first_anomalies")))
-    return (summary.join(top, "survey_id", "left")
+    return (join_null_safe(summary, top, ["survey_id"], "left")
                    .withColumn("more_anomalies",
                                F.greatest(F.lit(0), F.col("total_anomalies") - F.lit(k))))
