@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from fathom.operators.joins import join_null_safe
 from pyspark.sql import types as T
 
 # The columns each sensor's statistics describe.
@@ -111,7 +113,12 @@ def parser_metadata(df: DataFrame, sensor: str) -> DataFrame:
                  F.stddev_samp("quality").alias("quality_std")]
     if family == "lidar" and "intensity" in df.columns:
         aggs += [_range("intensity").alias("intensity_range"), F.avg("intensity").alias("mean_intensity")]
-    return df.groupBy("survey_id").agg(*aggs).withColumns({
+    out = df.groupBy("survey_id").agg(*aggs)
+    if family == "lidar":
+        for c, name in (("classification", "classification_counts"), ("return_number", "return_number_distribution")):
+            if c in df.columns:
+                out = join_null_safe(out, value_count_map(df, c, name), ["survey_id"], "left")
+    return out.withColumns({
         "parser_version": F.lit(PARSER_VERSION), "sensor_type": F.lit(family),
         "data_quality": F.lit("unknown"), "coordinate_system": F.lit("WGS84"),
         "units": F.create_map(*[x for k, v in UNITS.get(family, POSITION_UNITS).items() for x in (F.lit(k), F.lit(v))])})
@@ -122,6 +129,14 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy("survey_id", column).agg(F.count(F.lit(1)).alias("count"))
 
 
+def value_count_map(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Value counts per survey as one map, values ascending; NULL values do not
+    count.  Counts are summed first, so a map holds distinct values only."""
+    counts = value_counts(df.where(F.col(column).isNotNull()), column)
+    entries = F.array_sort(F.collect_list(F.struct(F.col(column), F.col("count"))))
+    return counts.groupBy("survey_id").agg(F.map_from_entries(entries).alias(name))
+
+
 def extent(df: DataFrame) -> DataFrame:
     """min/max latitude, longitude, depth; a missing column reports 0."""
     def mm(c):

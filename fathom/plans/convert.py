@@ -67,14 +67,30 @@ def build_surface(df: DataFrame, sensor: str | None, res: float = gr.RESOLUTION,
     return join_null_safe(surf, b.select("survey_id", meta.alias("surface_generation")), ["survey_id"])
 
 
-def stage_metadata(df: DataFrame, opts: ConvertOptions) -> DataFrame:
+def stage_metadata(df: DataFrame, opts: ConvertOptions, files: DataFrame | None = None,
+                   qc: DataFrame | None = None) -> DataFrame:
     """Per survey: anonymisation, reprojection, surface, overlay and
-    conversion records (structs), stamped with the run timestamp."""
+    conversion records (structs), stamped with the run timestamp.
+
+    ``files`` (survey_id, file_size_bytes; several a survey add up) gives the
+    input size, ``qc`` (see ``qc_summary``) the quality metrics; without them
+    the size is NULL, the score and the count 0 and the status 'unknown'."""
     prof = crs_profile(df).select("survey_id", "is_wgs84", "source_crs")
     ext = (df.groupBy("survey_id").agg(
         F.count(F.lit(1)).alias("total_points"),
         F.min("latitude").alias("min_lat"), F.max("latitude").alias("max_lat"),
-        F.min("longitude").alias("min_lon"), F.max("longitude").alias("max_lon")))
+        F.min("longitude").alias("min_lon"), F.max("longitude").alias("max_lon"),
+        *[(f("depth").cast("double") if "depth" in df.columns else F.lit(0.0)).alias(n) for f, n in ((F.min, "min_depth"), (F.max, "max_depth"))]))
+    if files is not None:
+        ext = join_null_safe(ext, files.groupBy("survey_id").agg(F.sum("file_size_bytes").cast("long").alias("size")), ["survey_id"], "left")
+    else:
+        ext = ext.withColumn("size", F.lit(None).cast("long"))
+    if qc is not None:
+        ext = join_null_safe(ext, qc.select("survey_id", "quality_score", "total_anomalies", "status"), ["survey_id"], "left")
+    else:
+        ext = ext.withColumns({"quality_score": F.lit(0.0), "total_anomalies": F.lit(0).cast("long"), "status": F.lit(None).cast("string")})
+    quality = F.struct(F.coalesce("quality_score", F.lit(0.0)).alias("quality_score"), F.coalesce("total_anomalies", F.lit(0).cast("long")).alias("anomaly_count"),
+                       F.coalesce("status", F.lit("unknown")).alias("qc_status"))
     ts = F.lit(opts.info.run_ts)
     ovl = ov.overlay_metadata(opts.overlay, opts.info.run_ts) if opts.add_overlay else None
     return join_null_safe(ext, prof, ["survey_id"]).select(
@@ -89,8 +105,9 @@ def stage_metadata(df: DataFrame, opts: ConvertOptions) -> DataFrame:
                  F.lit(ovl["plugin"] if ovl else None).cast("string").alias("plugin"),
                  F.lit(ovl["version"] if ovl else None).cast("string").alias("version")).alias("environmental_overlay"),
         F.struct(ts.alias("conversion_timestamp"), F.lit(opts.info.version).alias("software_version"),
-                 F.lit("WGS84").alias("coordinate_system"),
-                 F.struct("min_lat", "max_lat", "min_lon", "max_lon").alias("data_extent")).alias("conversion"))
+                 F.col("size").alias("input_file_size_bytes"), F.lit("WGS84").alias("coordinate_system"),
+                 F.struct("min_lat", "max_lat", "min_lon", "max_lon", "min_depth", "max_depth").alias("data_extent"),
+                 quality.alias("quality_metrics")).alias("conversion"))
 
 
 def convert(soundings: DataFrame, opts: ConvertOptions, out_dir: str | None = None) -> dict[str, DataFrame]:

@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from fathom.operators.model import model_info, predict_anomalies
+from fathom.operators.scoring import qc_summary
 from fathom.plans.catalog import r6, register
 from fathom.plans.convert import ConvertOptions, convert, stage_metadata
+from fathom.plans.oracle import sql_rule_anomalies
 from fathom.plans.views import view
 from fathom.session import scratch_table_path
 from fathom.sinks.products import ProductInfo
@@ -31,6 +33,24 @@ def q_stage_metadata(spark, sf_dir):
                     F.col("reprojection.applied").alias("reprojected"), F.col("reprojection.source_crs").alias("source_crs"))
 
 
+def _conversion_sql():
+    return f"""
+SELECT s.survey_id, total_points, min_depth, max_depth, min_lat, max_lon, coalesce(a.n, 0) AS anomaly_count, 'completed' AS qc_status
+FROM (SELECT survey_id, count(*) AS total_points, min(depth) AS min_depth, max(depth) AS max_depth, min(latitude) AS min_lat, max(longitude) AS max_lon
+      FROM soundings_mbes GROUP BY survey_id) s
+LEFT JOIN (SELECT survey_id, count(*) AS n FROM ({sql_rule_anomalies('soundings_mbes', 'mbes')}) r GROUP BY survey_id) a ON s.survey_id = a.survey_id"""
+
+
+@register("conversion_record", _conversion_sql(), ("soundings_mbes",))
+def q_conversion_record(spark, sf_dir):
+    """The conversion record's extent and quality metrics (manual QC: rules only)."""
+    s = view(spark, sf_dir, "soundings_mbes")
+    m = stage_metadata(s, ConvertOptions("mbes", info=ProductInfo(run_ts=RUN_TS)), qc=qc_summary(s, "mbes", "manual"))
+    c = F.col("conversion")
+    return m.select("survey_id", "total_points", *[c["data_extent"][k].alias(k) for k in ("min_depth", "max_depth", "min_lat", "max_lon")],
+                    *[c["quality_metrics"][k].alias(k) for k in ("anomaly_count", "qc_status")])
+
+
 @register("convert")
 def q_convert(spark, sf_dir):
     """Full conversion of the LiDAR view to an attributed grid, written and reported (rows-only)."""

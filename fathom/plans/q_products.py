@@ -92,6 +92,18 @@ def q_gattrs(spark, sf_dir):
               .drop("attributes", "attributes_json"))
 
 
+register("trajectory_variables", """
+SELECT survey_id, variable, CAST(CASE WHEN variable = 'depth' THEN lo WHEN variable IN ('beam_angle', 'latitude') THEN -90
+                                      WHEN variable = 'longitude' THEN -180 WHEN variable = 'quality' THEN 0 END AS DOUBLE) AS valid_min,
+       CAST(CASE WHEN variable = 'depth' THEN hi WHEN variable IN ('beam_angle', 'latitude') THEN 90
+                 WHEN variable = 'longitude' THEN 180 WHEN variable = 'quality' THEN 100 END AS DOUBLE) AS valid_max
+FROM (SELECT survey_id, min(depth) AS lo, max(depth) AS hi,
+             unnest(['time', 'latitude', 'longitude', 'depth', 'quality', 'beam_angle']) AS variable FROM soundings_mbes GROUP BY survey_id)""",
+         ("soundings_mbes",))(
+    lambda spark, sf_dir: r6(pr.trajectory_variables(view(spark, sf_dir, "soundings_mbes"), "mbes").select(
+        "survey_id", "variable", *[F.col("attributes")[k].cast("double").alias(k) for k in ("valid_min", "valid_max")])))
+
+
 @register("validate_trajectory")
 def q_validate_traj(spark, sf_dir):
     """Write the trajectory product, read it back, check variables + attributes."""
@@ -131,12 +143,15 @@ def _grid_meta(spark, sf_dir):
 
 register("raster_tags", """
 SELECT survey_id, count(*) AS total_points, CAST(0.0 AS DOUBLE) AS quality_score, CAST(0 AS BIGINT) AS total_anomalies,
-       CAST(count(*) AS VARCHAR) AS tag_total_points, 'Float32' AS tag_datatype, 'LIDAR' AS tag_sensor
+       CAST(count(*) AS VARCHAR) AS tag_total_points, 'Float32' AS tag_datatype, 'LIDAR' AS tag_sensor,
+       'fathom 0.1.0 False False' AS tag_processing
 FROM points_lidar GROUP BY survey_id""", ("points_lidar",))(
     lambda spark, sf_dir: pr.raster_tags(view(spark, sf_dir, "points_lidar"), "lidar", None, 0.001, INFO)
     .select("survey_id", "total_points", "quality_score", "total_anomalies",
             F.col("tags")["TOTAL_POINTS"].alias("tag_total_points"),
-            F.col("tags")["GDAL_DATATYPE"].alias("tag_datatype"), F.col("tags")["SENSOR_TYPE"].alias("tag_sensor")))
+            F.col("tags")["GDAL_DATATYPE"].alias("tag_datatype"), F.col("tags")["SENSOR_TYPE"].alias("tag_sensor"),
+            F.concat_ws(" ", *[F.col("tags")[k] for k in ("PROCESSING_SOFTWARE", "PROCESSING_VERSION", "ANONYMIZATION", "ENVIRONMENTAL_OVERLAY")])
+            .alias("tag_processing")))
 
 
 @register("sink_dispatch")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fathom.operators import detector as det
@@ -9,10 +11,12 @@ from fathom.operators import rules as rl
 from fathom.operators import scoring as sc
 from fathom.operators import stats as st
 from fathom.operators.ordered import sequence
+from fathom.operators.joins import join_null_safe
 from fathom.plans.catalog import r6, register
 from fathom.plans.oracle import (sql_detector, sql_duplicate_ts, sql_outliers, sql_range,
                                  sql_rule_anomalies, sql_tier)
 from fathom.plans.views import view
+from fathom.session import materialize_small, scratch_table_path
 
 ANOM_COLS = ["survey_id", "idx", "rule", "type", "severity", "column", "value", "threshold"]
 MBES_TYPES = ["coordinate_range", "depth_range", "beam_angle_range", "quality_range",
@@ -167,6 +171,8 @@ def _meta_query(vname, sensor):
                 cols += [F.col(f.name)[0].alias(f"{base}_min"), F.col(f.name)[1].alias(f"{base}_max")]
         cols += [c for c in ("mean_quality", "min_quality", "max_quality", "quality_std", "mean_intensity")
                  if c in m.columns]
+        cols += [F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",").alias(c)
+                 for c in ("classification_counts", "return_number_distribution") if c in m.columns]
         return r6(m.select(*cols))
     return q
 
@@ -179,7 +185,10 @@ register("meta_nav", _meta_sql("soundings_nav", ["latitude", "longitude", "depth
                                                  "velocity"], _QUAL),
          ("soundings_nav",))(_meta_query("soundings_nav", "sbes"))
 register("meta_lidar", _meta_sql("points_lidar", ["latitude", "longitude", "elevation", "intensity"],
-                                 ", round(avg(intensity), 6) AS mean_intensity"),
+                                 ", round(avg(intensity), 6) AS mean_intensity"
+                                 + "".join(f", (SELECT string_agg(v || ':' || n, ',' ORDER BY v) FROM (SELECT {c} AS v, count(*) AS n FROM points_lidar q "
+                                           f"WHERE q.survey_id = points_lidar.survey_id AND {c} IS NOT NULL GROUP BY v)) AS {name}"
+                                           for c, name in (("classification", "classification_counts"), ("return_number", "return_number_distribution")))),
          ("points_lidar",))(_meta_query("points_lidar", "lidar"))
 
 register("classification_counts", """
@@ -253,6 +262,30 @@ register("detector_confidence_nav", _detector_qc_sql("soundings_nav"), ("soundin
     _detector_qc_query("soundings_nav"))
 
 
+@register("detector_report", f"""
+SELECT survey_id, total_points, anomaly_count, anomaly_rate, confidence, least(anomaly_count, 10) AS shown, greatest(0, anomaly_count - 10) AS more_anomalies,
+       true AS has_yaml, 6 + 2 * least(anomaly_count, 10) + CASE WHEN anomaly_count > 10 THEN 1 ELSE 0 END AS text_lines
+FROM ({_detector_qc_sql("soundings_nav")}) d""", ("soundings_nav",))
+def q_detector_report(spark, sf_dir):
+    """The detector's QC report per survey, rendered as JSON, YAML and text, written and read back."""
+    from fathom.sinks import reports
+    rep = materialize_small(reports.detector_report(view(spark, sf_dir, "soundings_nav"), "soundings_nav", "default", "2024-01-01T00:00:00Z"))
+    texts = [reports.rendered(rep, f).select("survey_id", F.lit(f).alias("format"), "report") for f in ("json", "yaml", "text")]
+    path = scratch_table_path(spark, f"detector-report-{uuid.uuid4().hex}")
+    texts[0].unionByName(texts[1]).unionByName(texts[2]).write.partitionBy("format").parquet(path)
+    back = spark.read.parquet(path)
+    fields = "timestamp string, results struct<total_points:long,anomaly_count:long,confidence:double,anomaly_rate:double,anomalies:array<struct<rn:int>>>"
+    r = F.from_json("report", fields)["results"]
+    js = back.where("format = 'json'").select("survey_id", r["total_points"].alias("total_points"), r["anomaly_count"].alias("anomaly_count"),
+                                              r["anomaly_rate"].alias("anomaly_rate"), r["confidence"].alias("confidence"),
+                                              F.size(r["anomalies"]).cast("long").alias("shown"))
+    lines = F.size(F.split("report", "\n")) - 1
+    other = back.groupBy("survey_id").agg(F.bool_or((F.col("format") == "yaml") & F.col("report").contains("results:\n  total_points: ")).alias("has_yaml"),
+                                          F.max(F.when(F.col("format") == "text", lines)).cast("long").alias("text_lines"))
+    out = join_null_safe(join_null_safe(js, rep.select("survey_id", "more_anomalies"), ["survey_id"]), other, ["survey_id"])
+    return r6(out)
+
+
 @register("anomaly_rate", f"""
 WITH pts AS (SELECT survey_id, count(*) AS total_points FROM soundings_nav GROUP BY survey_id),
 a AS ({sql_detector('soundings_nav')})

@@ -111,6 +111,27 @@ def q_stream_dups(spark, sf_dir):
         "survey_id", "idx", "rule", "type", "severity", "column", "value", "threshold"))
 
 
+@register("stream_coordinate_duplicates", """
+SELECT survey_id, latitude, longitude, count(*) AS n FROM soundings_nav
+WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY survey_id, latitude, longitude HAVING count(*) > 10""", ("soundings_nav",))
+def q_stream_coordinates(spark, sf_dir):
+    """Coordinates over the detector's threshold after the last file; equal to the batch rule's groups."""
+    cols = ["survey_id", "idx", "timestamp", "latitude", "longitude", "depth"]
+    base, schema, slices = _landing(spark, sf_dir, "soundings_nav", cols)
+    out, ckpt = f"{base}/out", f"{base}/ckpt"
+
+    def sink(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    def start(landing):
+        s = ss.soundings_stream(spark, landing, schema, "sbes")
+        return (ss.stream_coordinate_duplicates(s, keep_days=36500.0).writeStream.outputMode("update")
+                  .foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    _run_slices(spark, base, slices, start)
+    return (spark.read.parquet(out).groupBy("survey_id", "latitude", "longitude").agg(F.max("n").alias("n"))
+            .withColumn("survey_id", F.col("survey_id").cast("long")))
+
+
 @register("stream_depth_jump", """
 SELECT survey_id, idx, pos, CASE WHEN abs(diff) > 200 THEN 'high' ELSE 'medium' END AS severity,
        round(diff, 6) AS value, round(least(1.0, abs(diff) / 200.0), 6) AS confidence

@@ -64,6 +64,25 @@ def trajectory_table(df: DataFrame, sensor: str) -> DataFrame:
     return df.select(*cols)
 
 
+def trajectory_variables(df: DataFrame, sensor: str) -> DataFrame:
+    """(survey_id, variable, attributes): the CF attributes of each variable of
+    the trajectory product; depth and elevation have the range observed in the
+    survey as valid_min and valid_max (none where all values are NULL)."""
+    table = trajectory_table(df, sensor)
+    z = z_column(df, sensor)
+    ends = df.groupBy("survey_id").agg(F.min(z).cast("string").alias("valid_min"), F.max(z).cast("string").alias("valid_max"))
+
+    def attributes(c: str) -> Column:
+        fixed = F.create_map(*[F.lit(str(x)) for kv in CF_ATTRS[c].items() for x in kv])
+        if c != z:
+            return fixed
+        seen = F.map_from_arrays(F.array(F.lit("valid_min"), F.lit("valid_max")), F.array("valid_min", "valid_max"))
+        return F.map_concat(fixed, F.map_filter(seen, lambda _, v: v.isNotNull()))
+
+    rows = F.array(*[F.struct(F.lit(c).alias("variable"), attributes(c).alias("attributes")) for c in table.columns if c in CF_ATTRS])
+    return ends.withColumn("v", F.explode(rows)).select("survey_id", "v.variable", "v.attributes")
+
+
 def _s(c: Column) -> Column:
     return c.cast("string")
 
@@ -149,7 +168,8 @@ def raster_tags(points: DataFrame, sensor: str, qc: DataFrame | None = None, res
         "TIFFTAG_COPYRIGHT": F.lit(f"{info.license} License"), "GDAL_DATATYPE": F.lit("Float32"),
         "GDAL_NODATA": F.lit("nan"), "SENSOR_TYPE": F.lit(sensor.upper()), "DATA_SOURCE": F.lit("Ocean Mapping"),
         "COORDINATE_SYSTEM": F.lit("WGS84"), "VERTICAL_DATUM": F.lit("Mean Sea Level"),
-        "HORIZONTAL_DATUM": F.lit("WGS84"), "QUALITY_CONTROL": F.lit("Applied" if qc is not None else "Skipped"),
+        "HORIZONTAL_DATUM": F.lit("WGS84"), "PROCESSING_SOFTWARE": F.lit(info.software),
+        "PROCESSING_VERSION": F.lit(info.version), "PROCESSING_DATE": F.lit(info.run_ts), "QUALITY_CONTROL": F.lit("Applied" if qc is not None else "Skipped"),
         "ANONYMIZATION": F.lit(str(anonymized)), "ENVIRONMENTAL_OVERLAY": F.lit(str(overlay)),
         "TOTAL_POINTS": _s(F.col("total_points")), "GRID_RESOLUTION": F.lit(str(res)),
         "QUALITY_SCORE": _s(F.col("quality_score")), "ANOMALY_COUNT": _s(F.col("total_anomalies")),

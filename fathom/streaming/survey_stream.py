@@ -6,6 +6,9 @@
 * duplicate timestamps: event time cast to TIMESTAMP, ``withWatermark`` and
   a ``groupBy(survey, timestamp).count()`` in update mode; rows later than
   the watermark are dropped by Spark.
+* duplicate coordinates: ``applyInPandasWithState`` keeps one count a
+  coordinate, told once it is over the detector's threshold; event-time timers
+  drop coordinates that nothing came to for long.
 * depth jumps: ``applyInPandasWithState`` keyed by survey keeps the last
   (timestamp, idx, depth, position) across micro-batches; a micro-batch's
   rows of one survey are sorted and diffed in Arrow batches; rows older than
@@ -25,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fathom.operators import rules as rl
-from fathom.operators.detector import HIGH_JUMP, MAX_DEPTH_JUMP
+from fathom.operators.detector import DUPLICATE_COORD_MIN, HIGH_JUMP, MAX_DEPTH_JUMP
 from fathom.sources.files import standardize
 
 JUMP_SCHEMA = T.StructType([
@@ -61,6 +64,36 @@ def stream_timestamp_counts(stream: DataFrame, delay: str = "1 day") -> DataFram
                   .groupBy("survey_id", "timestamp").agg(F.count(F.lit(1)).alias("n")))
 
 
+def stream_coordinate_duplicates(stream: DataFrame, most: int = DUPLICATE_COORD_MIN, delay: str = "1 day", keep_days: float = 365.0) -> DataFrame:
+    """Coordinates of a survey that more than ``most`` soundings share, as they
+    arrive: (survey_id, latitude, longitude, n), again at each further arrival
+    (the last n counts).  The state of a coordinate is its count; it goes when
+    the watermark is ``keep_days`` past its last sounding.  Soundings without a
+    position have no coordinate; a NULL survey is a survey."""
+    fields = [stream.schema[c] for c in ("survey_id", "latitude", "longitude")]
+    schema = T.StructType([*fields, T.StructField("n", T.LongType())])
+    state_type = T.StructType([T.StructField("n", T.LongType()), T.StructField("last", T.LongType())])
+
+    def count(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, last = state.get if state.exists else (0, 0)
+        for b in batches:
+            n += len(b)
+            newest = b["timestamp"].max()
+            if not pd.isna(newest):
+                last = max(last, int(newest.timestamp() * 1000))
+        state.update((n, last))
+        state.setTimeoutTimestamp(max(last + int(keep_days * 86_400_000), state.getCurrentWatermarkMs() + 1))
+        if n > most:
+            yield pd.DataFrame({"survey_id": [key[0]], "latitude": [key[1]], "longitude": [key[2]], "n": [n]})
+
+    placed = stream.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).withWatermark("timestamp", delay)
+    return (placed.select("survey_id", "latitude", "longitude", "timestamp").groupBy("survey_id", "latitude", "longitude")
+            .applyInPandasWithState(count, schema, state_type, "update", GroupStateTimeout.EventTimeTimeout))
+
+
 def _jump_fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     survey = int(key[0])
     pdf = pd.concat(list(batches), ignore_index=True)
