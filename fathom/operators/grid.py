@@ -108,7 +108,9 @@ def running_average(binned: DataFrame, order: list[str] | None = None) -> DataFr
     2^-(m-1) for the first and 2^-r for the others (r = rank from the end).
     Ranks and the last NULL's position come from :func:`sequence` (its
     per-slice summary), which splits hot cells across tasks; one aggregate
-    over the ranked points finishes the cell values.
+    over the ranked points finishes the cell values.  Its terms are scaled by
+    powers of two and summed as decimals, without rounding, so the result has
+    the same bits for any partitioning; values of 1e20 and more sum as doubles.
     """
     order = order or ["idx"]
     keys = ["survey_id", "row", "col"]
@@ -117,8 +119,11 @@ def running_average(binned: DataFrame, order: list[str] | None = None) -> DataFr
     m = F.col("n") - 1 - F.col("last_null")
     r = F.col("n") - F.col("pos")
     w = F.when(r == m, F.pow(F.lit(2.0), -(m - 1))).otherwise(F.pow(F.lit(2.0), -r))
+    term = F.when(F.col("pos") > F.col("last_null"), w * F.col("z"))
+    exact = term.try_cast(EXACT_MEAN_TYPE)
+    total = F.when(F.count(exact) == F.count(term), F.sum(exact).cast("double")).otherwise(F.sum(term))
     return (s.groupBy(*keys)
-             .agg(F.sum(F.when(F.col("pos") > F.col("last_null"), w * F.col("z"))).alias("elevation_running"),
+             .agg(total.alias("elevation_running"),
                   F.max(F.col("last_null") == F.col("n") - 1).alias("_ends_null"))
              .select(*keys, F.when(F.col("_ends_null"), F.lit(None).cast("double"))
                      .otherwise(F.col("elevation_running")).alias("elevation_running")))

@@ -62,9 +62,9 @@ FROM cells GROUP BY ALL"""), ("soundings_mbes",))(
 _RUNNING_SQL = """
 SELECT survey_id, row, col,
        round(CASE WHEN max(last_null) = max(n) - 1 THEN NULL
-                  ELSE sum(CASE WHEN pos > last_null THEN z * CASE WHEN n - pos = n - 1 - last_null
+                  ELSE CAST(sum(CAST(CAST(CASE WHEN pos > last_null THEN z * CASE WHEN n - pos = n - 1 - last_null
                                                               THEN pow(2, -(n - 2 - last_null))
-                                                              ELSE pow(2, -(n - pos)) END END) END, 6) AS elevation
+                                                              ELSE pow(2, -(n - pos)) END END AS VARCHAR) AS DECIMAL(38,18))) AS DOUBLE) END, 6) AS elevation
 FROM (SELECT *, coalesce(max(CASE WHEN z IS NULL THEN pos END) OVER (PARTITION BY survey_id, row, col), -1) AS last_null
       FROM (SELECT survey_id, row, col, idx, z,
                    row_number() OVER (PARTITION BY survey_id, row, col ORDER BY idx) - 1 AS pos,

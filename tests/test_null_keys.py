@@ -57,3 +57,32 @@ def test_no_local_checkpoint_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError):
         session.checkpoint_dir(Session())
+
+
+def test_null_survey_has_the_scores_of_any_other(spark):
+    """Equal soundings under survey NULL and survey 1: equal QC, grids, reports and records."""
+    from fathom.operators import grid, scoring
+    from fathom.plans import convert
+    from fathom.sinks import products, reports
+    rows = [(s, i, f"2024-01-01 00:00:{i // 2 % 60:02d}", 10 + (i % 12) / 100, 20 + (i % 5) / 100, 900.0 if i % 9 == 0 else -1.0 if i == 4 else 10.0 + i, 50.0)
+            for s in (1, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "survey_id long, idx long, timestamp string, latitude double, longitude double, depth double, quality double")
+    df = df.withColumn("timestamp", df["timestamp"].cast("timestamp"))
+    qc = scoring.qc_summary(df, "mbes", "auto")
+    bounds = grid.survey_grid_bounds(df, 0.01)
+    cells = grid.attributed_grid(df, "mbes", 0.01, "running", bounds)
+    dense = grid.densify(cells, bounds, 0.01)
+    files_of = df.select("survey_id").distinct().selectExpr("survey_id", "'f.csv' AS filename", "7L AS file_size_bytes", "'00' AS checksum")
+    record = convert.stage_metadata(df, convert.ConvertOptions("mbes"), files_of, qc)
+    tables = [qc, scoring.rule_qc(df, "mbes"), scoring.detector_qc(df), dense, grid.raster_info(grid.raster_bands(dense), bounds), record,
+              products.grid_metadata(cells, df, "mbes", qc), products.raster_tags(df, "mbes", qc),
+              reports.rendered(reports.detector_report(df, "f.csv", "default", "2024-01-01"), "text"), products.trajectory_variables(df, "mbes")]
+    for t in tables:
+        got = {True: [], False: []}
+        for r in t.collect():
+            got[r.survey_id is None].append(repr([r[c] for c in t.columns if c != "survey_id"]))
+        assert got[True] and sorted(got[True]) == sorted(got[False])
+    r = qc.where("survey_id IS NULL").first()
+    assert r.detector_anomalies > 0 and r.rule_anomalies > 0 and dense.agg({"density": "sum"}).first()[0] == 120
+    c = record.where("survey_id IS NULL").first().conversion
+    assert c.input_file_size_bytes == 7 and c.quality_metrics.anomaly_count == r.total_anomalies and c.data_extent.max_depth == 900.0

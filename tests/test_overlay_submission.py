@@ -77,3 +77,19 @@ def test_job_metrics_and_cancel(spark):
     assert c[1] == ("completed", "rejected") and c[3] == ("cancelled", "cancelled") and c[4][1] == "unchanged"
     p = jb.page(jobs, None, 2, 1).collect()
     assert [r.job_id for r in p] == [4, 3] and p[0].total == 5 and p[0].has_more
+
+
+def test_detector_report_formats(spark):
+    """JSON reads back, YAML's strings are quoted, text has ten anomalies and the rest's number."""
+    import json
+
+    from fathom.sinks import reports
+    rows = [(1, i, 10.0, 20.0 + i, 500.0 if i % 2 else 10.0) for i in range(20)] + [(2, 0, 1.0, 1.0, 5.0)]
+    df = spark.createDataFrame(rows, "survey_id long, idx long, latitude double, longitude double, depth double")
+    rep = reports.detector_report(df, 'in "x".csv', "default", "2024-01-01T00:00:00Z")
+    out = {f: {r.survey_id: r.report for r in reports.rendered(rep, f).collect()} for f in ("json", "yaml", "text")}
+    js = json.loads(out["json"][1])
+    assert js["results"]["anomaly_count"] == 19 and len(js["results"]["anomalies"]) == 10 and js["input_file"] == 'in "x".csv'
+    assert out["yaml"][1].startswith('timestamp: "2024-01-01T00:00:00Z"\ninput_file: "in \\"x\\".csv"\n')
+    assert out["yaml"][1].count("- type: ") == 10 and "anomalies: []" in out["yaml"][2]
+    assert out["text"][1].endswith("... and 9 more\n") and "Anomaly rate: 95.00%" in out["text"][1] and "more" not in out["text"][2]

@@ -69,3 +69,26 @@ def test_watermark_drops_late_duplicates(spark):
     final = {str(r.timestamp): r.n for r in
              spark.read.parquet(out).groupBy("timestamp").agg(F.max("n").alias("n")).collect()}
     assert final["2024-01-01 05:00:00"] == 2  # the late copy was dropped
+
+
+def test_duplicate_coordinates_cross_the_threshold(spark):
+    """Told above ten soundings, over several files, for a NULL survey too; an idle coordinate's count is forgotten."""
+    def rows(n, day, lat=1.0):
+        return [(s, i, f"2024-01-{day:02d} 00:00:00", lat, 2.0) for s in ("a", None) for i in range(n)]
+    schema = "survey_id string, idx long, timestamp string, latitude double, longitude double"
+    base = tempfile.mkdtemp(prefix="fathom-stream-coord-")
+    landing, out, ckpt = os.path.join(base, "in"), os.path.join(base, "out"), os.path.join(base, "ckpt")
+
+    def sink(batch, batch_id):
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+
+    # The third file's other coordinate moves the watermark past the first one's ten days.
+    for part in (rows(8, 1), rows(4, 2), rows(1, 25, 9.0), rows(1, 26, 9.0), rows(5, 27)):
+        df = spark.createDataFrame(part, schema).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+        df.write.mode("append").parquet(landing)
+        s = ss.soundings_stream(spark, landing, df.schema)
+        q = (ss.stream_coordinate_duplicates(s, keep_days=10.0).writeStream.outputMode("update").foreachBatch(sink)
+               .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+    got = sorted(((r.survey_id or "", r.latitude, r.n) for r in spark.read.parquet(out).collect()))
+    assert got == [("", 1.0, 12), ("a", 1.0, 12)]
