@@ -124,9 +124,8 @@ SELECT job_id, CAST((created_at IS NOT NULL)::INT + (duration_s IS NOT NULL)::IN
 SELECT job_id, 'duration_s' AS field FROM jobs WHERE duration_s IS NULL""", ("jobs",))
 def q_required_anti(spark, sf_dir):
     j = view(spark, sf_dir, "jobs")
-    required = j.select("job_id", F.explode(F.array(*[F.lit(c) for c in REQUIRED_JOB_FIELDS])).alias("field"))
-    present = j.select("job_id", F.explode(_present(REQUIRED_JOB_FIELDS)).alias("field"))
-    return required.join(present, ["job_id", "field"], "left_anti")
+    absent = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED_JOB_FIELDS]))
+    return j.select("job_id", F.explode(absent).alias("field"))
 
 
 @register("duplicate_semi", """

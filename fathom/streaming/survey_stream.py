@@ -32,7 +32,7 @@ from fathom.operators.detector import DUPLICATE_COORD_MIN, HIGH_JUMP, MAX_DEPTH_
 from fathom.sources.files import standardize
 
 JUMP_SCHEMA = T.StructType([
-    T.StructField("survey_id", T.LongType()), T.StructField("kind", T.StringType()),
+    T.StructField("kind", T.StringType()),
     T.StructField("idx", T.LongType()), T.StructField("pos", T.LongType()),
     T.StructField("value", T.DoubleType()), T.StructField("severity", T.StringType()),
     T.StructField("confidence", T.DoubleType())])
@@ -95,7 +95,7 @@ def stream_coordinate_duplicates(stream: DataFrame, most: int = DUPLICATE_COORD_
 
 
 def _jump_fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    survey = int(key[0])
+    survey = None if pd.isna(key[0]) else key[0]
     pdf = pd.concat(list(batches), ignore_index=True)
     pdf["ts"] = pd.to_datetime(pdf["timestamp"]).astype("int64") // 1000
     pdf = pdf.sort_values(["ts", "idx"], kind="mergesort")
@@ -131,18 +131,19 @@ def _jump_fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
         last_d = depth[-1]
         state.update((int(tail["ts"]), int(tail["idx"]), None if last_d != last_d else float(last_d),
                       int(pos[-1]), last_d == last_d))
-    cols = [f.name for f in JUMP_SCHEMA.fields]
+    cols = ["survey_id", *[f.name for f in JUMP_SCHEMA.fields]]
     yield pd.concat(out, ignore_index=True)[cols] if out else pd.DataFrame(columns=cols)
 
 
 def stream_depth_jumps(stream: DataFrame) -> DataFrame:
-    """Depth jumps across micro-batches (stateful per survey), plus 'late' rows."""
+    """Depth jumps across micro-batches (stateful per survey), plus 'late' rows.
+    Survey ids keep their type; a NULL survey is a survey."""
     from fathom.session import ship_package
     ship_package(stream.sparkSession)
-    s = stream.select(F.col("survey_id").cast("long").alias("survey_id"), F.col("idx").cast("long").alias("idx"),
+    s = stream.select("survey_id", F.col("idx").cast("long").alias("idx"),
                       "timestamp", F.col("depth").cast("double").alias("depth"))
     return s.groupBy("survey_id").applyInPandasWithState(
-        _jump_fn, JUMP_SCHEMA, JUMP_STATE, "append", GroupStateTimeout.NoTimeout)
+        _jump_fn, T.StructType([stream.schema["survey_id"], *JUMP_SCHEMA.fields]), JUMP_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def convert_each_batch(plan: Callable[[DataFrame], DataFrame], out_path: str) -> Callable[[DataFrame, int], None]:

@@ -92,3 +92,20 @@ def test_duplicate_coordinates_cross_the_threshold(spark):
         q.awaitTermination()
     got = sorted(((r.survey_id or "", r.latitude, r.n) for r in spark.read.parquet(out).collect()))
     assert got == [("", 1.0, 12), ("a", 1.0, 12)]
+
+
+def test_depth_jumps_keep_any_survey_id(spark):
+    """Survey ids that are file names, and NULL."""
+    rows = [(s, i, f"2024-01-01 00:00:{i:02d}", 10.0 + 150.0 * (i % 5 == 4)) for s in ("a.csv", None) for i in range(20)]
+    df = spark.createDataFrame(rows, "survey_id string, idx long, timestamp string, depth double") \
+              .withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    base = tempfile.mkdtemp(prefix="fathom-stream-id-")
+    landing, out, ckpt = os.path.join(base, "in"), os.path.join(base, "out"), os.path.join(base, "ckpt")
+    for part in ("idx < 9", "idx >= 9"):
+        df.where(part).write.mode("append").parquet(landing)
+        q = (ss.stream_depth_jumps(ss.soundings_stream(spark, landing, df.schema)).writeStream.format("parquet")
+               .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+    got = sorted((r.survey_id or "", r.idx, r.value) for r in spark.read.parquet(out).collect())
+    want = sorted((r.survey_id or "", r.idx, r.value) for r in det.jump_anomalies(det.depth_sequence(df)).collect())
+    assert got == want and len(got) == 14
