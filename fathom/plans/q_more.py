@@ -382,15 +382,17 @@ def q_sink_traj(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.min("depth").alias("depth_min"))
 
 
-@register("validate_grid")
+@register("validate_grid", """
+SELECT survey_id, true AS non_empty, 3 AS bands, 'EPSG:4326' AS crs, true AS has_transform
+FROM points_lidar WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY survey_id""", ("points_lidar",))
 def q_validate_grid(spark, sf_dir):
-    """Written attributed grid: non-empty, bands present, CRS/transform recorded (rows-only)."""
+    """Written attributed grid: non-empty, bands present, CRS/transform recorded."""
     g = attributed_grid(view(spark, sf_dir, "points_lidar"), "lidar", 0.001)
     path = scratch_table_path(spark, f"grid-v-{uuid.uuid4().hex}")
     pr.write_product(g, path)
     back = spark.read.parquet(path)
     bands = [c for c in ("elevation", "uncertainty", "density") if c in back.columns]
-    return back.groupBy("survey_id").agg(
+    return back.groupBy(F.col("survey_id").cast("long").alias("survey_id")).agg(
         (F.count(F.lit(1)) > 0).alias("non_empty"), F.lit(len(bands)).alias("bands"),
         F.lit("EPSG:4326").alias("crs"),
         (F.min("lat").isNotNull() & F.min("lon").isNotNull()).alias("has_transform"))

@@ -85,11 +85,21 @@ SELECT survey_id, timestamp AS time, latitude, longitude, depth, quality, beam_a
 
 @register("trajectory_global_attrs", """
 SELECT survey_id, min(latitude) AS lat_min, max(latitude) AS lat_max, min(longitude) AS lon_min,
-       max(longitude) AS lon_max, min(depth) AS z_min, max(depth) AS z_max, count(*) AS total_points
+       max(longitude) AS lon_max, min(depth) AS z_min, max(depth) AS z_max, count(*) AS total_points,
+       'CF-1.8' AS conventions, 'Ocean Mapping Data - MBES' AS title, 'L2' AS processing_level, 'MBES' AS seabed2030_data_type,
+       min(latitude) AS geospatial_lat_min, max(longitude) AS geospatial_lon_max, max(depth) AS geospatial_vertical_max,
+       CAST(count(*) AS VARCHAR) AS points_attribute, true AS json_alike
 FROM soundings_mbes GROUP BY survey_id""", ("soundings_mbes",))
 def q_gattrs(spark, sf_dir):
-    return r6(pr.trajectory_global_attrs(view(spark, sf_dir, "soundings_mbes"), "mbes", INFO)
-              .drop("attributes", "attributes_json"))
+    out = pr.trajectory_global_attrs(view(spark, sf_dir, "soundings_mbes"), "mbes", INFO)
+    a = F.col("attributes")
+    alike = F.from_json("attributes_json", "map<string,string>")
+    same = F.map_filter(alike, lambda k, v: a[k] == v)
+    return r6(out.withColumns({
+        **{n: a[k] for n, k in (("conventions", "Conventions"), ("title", "title"), ("processing_level", "processing_level"),
+                                ("seabed2030_data_type", "seabed2030_data_type"), ("points_attribute", "total_points"))},
+        **{n: a[n].cast("double") for n in ("geospatial_lat_min", "geospatial_lon_max", "geospatial_vertical_max")},
+        "json_alike": F.size(same) == F.size(a)}).drop("attributes", "attributes_json"))
 
 
 register("trajectory_variables", """
@@ -104,31 +114,47 @@ FROM (SELECT survey_id, min(depth) AS lo, max(depth) AS hi,
         "survey_id", "variable", *[F.col("attributes")[k].cast("double").alias(k) for k in ("valid_min", "valid_max")])))
 
 
-@register("validate_trajectory")
+@register("validate_trajectory", """
+SELECT survey_id, CAST([] AS VARCHAR[]) AS missing_attributes, true AS valid FROM soundings_mbes GROUP BY survey_id""", ("soundings_mbes",))
 def q_validate_traj(spark, sf_dir):
     """Write the trajectory product, read it back, check variables + attributes."""
     s = view(spark, sf_dir, "soundings_mbes")
     path = scratch_table_path(spark, f"trajectory-{uuid.uuid4().hex}")
     pr.write_product(pr.trajectory_table(s, "mbes"), path)
     back = spark.read.parquet(path)
+    back = back.withColumn("survey_id", F.col("survey_id").cast("long"))
     return pr.validate_trajectory(back, pr.trajectory_global_attrs(back, "mbes", INFO))
 
 
-@register("sink_attributed_grid")
+def _sink_grid_sql():
+    from fathom.plans.oracle import sql_grid_cells, sql_with
+    return sql_with(sql_grid_cells(res=0.001, depth_filter=False, src="points_lidar", z="elevation",
+                                   where="latitude IS NOT NULL AND longitude IS NOT NULL"), """
+SELECT c.survey_id, c.row, c.col, round(min(b.min_lat) + c.row * CAST(0.001 AS DOUBLE), 6) AS lat,
+       round(min(b.min_lon) + c.col * CAST(0.001 AS DOUBLE), 6) AS lon,
+       round(CAST(avg(CAST(CAST(z AS VARCHAR) AS DECIMAL(38,18))) AS DOUBLE), 6) AS elevation,
+       CAST(1.0 AS DOUBLE) AS uncertainty, count(*) AS density
+FROM cells c JOIN b ON c.survey_id = b.survey_id GROUP BY c.survey_id, c.row, c.col""")
+
+
+@register("sink_attributed_grid", _sink_grid_sql(), ("points_lidar",))
 def q_sink_grid(spark, sf_dir):
-    """Write the attributed grid partitioned by survey and read it back (rows-only)."""
+    """Write the attributed grid partitioned by survey and read it back."""
     g = attributed_grid(view(spark, sf_dir, "points_lidar"), "lidar", 0.001, "mean")
     path = scratch_table_path(spark, f"grid-{uuid.uuid4().hex}")
     pr.write_product(g, path)
-    return spark.read.parquet(path)
+    return r6(spark.read.parquet(path).withColumn("survey_id", F.col("survey_id").cast("long")))
 
 
 def _grid_meta_sql():
     from fathom.plans.oracle import sql_grid_cells, sql_with
     return sql_with(sql_grid_cells(res=0.001, depth_filter=False, src="points_lidar", z="elevation",
                             where="latitude IS NOT NULL"), """
-SELECT b.survey_id, b.valid_points AS total_points, c.populated_cells
-FROM b JOIN (SELECT survey_id, count(DISTINCT (row, col)) AS populated_cells FROM cells GROUP BY survey_id) c
+SELECT b.survey_id, b.valid_points AS total_points, c.populated_cells, b.min_lat, b.max_lat, b.min_lon, b.max_lon, e.lo AS min_elevation, e.hi AS max_elevation,
+       '1.6' AS format_version, 'WGS84' AS coordinate_system, 'Mean Sea Level' AS vertical_datum, 'meters' AS elevation_units,
+       'points_per_cell' AS density_units, false AS qc_applied
+FROM b JOIN (SELECT survey_id, min(elevation) AS lo, max(elevation) AS hi FROM points_lidar GROUP BY survey_id) e ON b.survey_id = e.survey_id
+JOIN (SELECT survey_id, count(DISTINCT (row, col)) AS populated_cells FROM cells GROUP BY survey_id) c
   ON b.survey_id = c.survey_id""")
 
 
@@ -138,7 +164,11 @@ register("grid_metadata", _grid_meta_sql(), ("points_lidar",))(lambda spark, sf_
 def _grid_meta(spark, sf_dir):
     pts = view(spark, sf_dir, "points_lidar")
     g = attributed_grid(pts, "lidar", 0.001, "mean")
-    return pr.grid_metadata(g, pts, "lidar", None, INFO).select("survey_id", "total_points", "populated_cells")
+    m = pr.grid_metadata(g, pts, "lidar", None, INFO)
+    ends = [F.col(f"{c}_range")[i].alias(f"{n}_{a}") for c, a in (("latitude", "lat"), ("longitude", "lon"), ("elevation", "elevation"))
+            for i, n in enumerate(("min", "max"))]
+    return m.select("survey_id", "total_points", "populated_cells", *ends, "format_version", "coordinate_system", "vertical_datum",
+                    F.col("units")["elevation"].alias("elevation_units"), F.col("units")["density"].alias("density_units"), "qc_applied")
 
 
 register("raster_tags", """
@@ -154,9 +184,12 @@ FROM points_lidar GROUP BY survey_id""", ("points_lidar",))(
             .alias("tag_processing")))
 
 
-@register("sink_dispatch")
+@register("sink_dispatch", """
+SELECT output_format, count(*) AS jobs,
+       CASE output_format WHEN 'netcdf' THEN 'trajectory' WHEN 'bag' THEN 'attributed_grid' WHEN 'geotiff' THEN 'raster_bands' END AS product
+FROM jobs GROUP BY output_format""", ("jobs",))
 def q_sink_dispatch(spark, sf_dir):
-    """Each job's output format mapped to the product it produces (rows-only)."""
+    """Each job's output format mapped to the product it produces."""
     j = view(spark, sf_dir, "jobs")
     m = F.create_map(*[x for k, v in pr.SINKS.items() for x in (F.lit(k), F.lit(v))])
     return j.groupBy("output_format").agg(F.count(F.lit(1)).alias("jobs")).withColumn("product", m[F.col("output_format")])
