@@ -185,17 +185,38 @@ def brute_ppm(train, text, order=ppm.ORDER):
             c = {k: v for k, v in cnt.get(s[i - j:i], {}).items() if k not in out}
             if not c:
                 continue
-            room = sum(c.values()) + len(c)
+            room = sum(c.values())
             if s[i] in c:
-                lp += np.log10(c[s[i]] / room)
+                lp += np.log10((c[s[i]] - 0.5) / room)
                 break
-            lp += np.log10(len(c) / room)
+            lp += np.log10(0.5 * len(c) / room)
             out |= set(cnt[s[i - j:i]])
         else:
             lp -= np.log10(max(1, 256 - len(cnt.get(b"", {}))))
     return lp
 
 
+def test_lm_slices_long_texts(docs, monkeypatch):
+    monkeypatch.setattr(ppm, "STEP", 7)
+    texts = [b"", b"a", b"abcdefg", b"abcdefgh" * 5, "ж".encode() * 9]
+    got = defaultdict(list)
+    for places, held in ppm._slices(texts):
+        code, first = ppm.successions(held)
+        for p, x in zip(places, np.split(code, first[1:]), strict=True):
+            got[p] += x.tolist()
+    for i, t in enumerate(texts):
+        s = b"\xfe" * ppm.ORDER + t + b"\xff"
+        assert got[i] == [int.from_bytes(s[k:k + ppm.ORDER + 1], "big") for k in range(len(t) + 1)]
+    sums, all_codes = ppm._Sums(), Counter()
+    for i in range(20):
+        code = np.unique(np.random.default_rng(i).integers(0, 1 << 47, 50))
+        sums.add(code, np.full(len(code), i))
+        all_codes.update(dict.fromkeys(code.tolist(), i))
+    code, count = sums.get()
+    assert dict(zip(code.tolist(), count.tolist(), strict=True)) == all_codes
+    assert (ppm._unpack_codes(ppm._pack_codes(code)) == code).all()
+
+
 def test_lm_scores(docs):
     table = [r for r in rows() if len(r[1] or "") < 1000]
     small = docs.where("text is null or length(text) < 1000")
