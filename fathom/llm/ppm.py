@@ -116,6 +116,33 @@ def _unpack_codes(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(_unpack(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel())
 
 
+class _Table:
+    """Values by distinct codes: a hash table with linear probing, looked up many at a time."""
+
+    def __init__(self, code: np.ndarray, value: np.ndarray) -> None:
+        self.bits = max(4, int(2 * len(code)).bit_length())
+        self.code, self.value = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
+        slot = self._slot(code)
+        while len(code):
+            free = self.code[slot] < 0
+            self.code[slot[free]] = code[free]  # of several that want a slot one gets it
+            placed = self.code[slot] == code
+            self.value[slot[placed]] = value[placed]
+            code, value, slot = code[~placed], value[~placed], (slot[~placed] + 1) & (len(self.code) - 1)
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, code: np.ndarray) -> np.ndarray:
+        """Values of codes that are all there."""
+        slot = self._slot(code)
+        wrong = np.flatnonzero(self.code[slot] != code)
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) & (len(self.code) - 1)
+            wrong = wrong[self.code[slot[wrong]] != code[wrong]]
+        return self.value[slot]
+
+
 def _part(code: np.ndarray, parts: int) -> np.ndarray:
     """Part of a succession, by its last two context bytes."""
     return (((code >> 8) & 0xFFFF) * 40503 & 0xFFFFF) % parts
@@ -346,13 +373,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     unknown, of_end = math.log10(0.5 / floor), math.log10((ends + 0.5) / floor)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, got, code, logp, chance = None, None, None, None, None
+        now, got, table, chance = None, None, None, None
         for b in batches:
             buckets_of = b.column(0).to_numpy()
             for bucket in dict.fromkeys(buckets_of.tolist()):
                 of = pa.Table.from_batches([b]).filter(pa.array(buckets_of == bucket))
                 if bucket != now:
-                    now, got, code, chance = bucket, [], None, {}
+                    now, got, table, chance = bucket, [], None, {}
                 kind = of["kind"].to_numpy(zero_copy_only=False)
                 for k, keys, vals in zip(of["kind"].to_pylist(), of["keys"].to_pylist(), of["vals"].to_pylist(), strict=True):
                     if k == CODES:
@@ -363,10 +390,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 texts = of.filter(pa.array(kind > WORDS))
                 if not len(texts):
                     continue
-                if code is None:
-                    code, logp = (np.concatenate(x) for x in zip(*got, strict=True))
-                    order = np.argsort(code, kind="stable")
-                    code, logp, got = code[order], logp[order], []
+                if table is None:
+                    table, got = _Table(*(np.concatenate(x) for x in zip(*got, strict=True))), []
                 found = texts["text"].to_pylist()
                 tokens, hits, plain, full = (np.zeros(len(found), k) for k in (np.int64, np.int64, float, float))
                 for i, t in enumerate(found):
@@ -376,7 +401,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                     plain[i] = math.fsum(values) + of_end
                 for places, held in _slices(found):
                     at, first = successions(held)
-                    np.add.at(full, places, np.add.reduceat(logp[np.searchsorted(code, at)], first))
+                    np.add.at(full, places, np.add.reduceat(table.get(at), first))
                 cols = [texts["doc_id"].combine_chunks(), texts["held"].combine_chunks(), pa.array(tokens), pa.array(hits),
                         pa.array(np.full(len(found), n_train, np.int64)), pa.array(plain), pa.array(full)]
                 yield pa.RecordBatch.from_arrays(cols, schema.names)

@@ -215,6 +215,8 @@ def test_lm_slices_long_texts(docs, monkeypatch):
     code, count = sums.get()
     assert dict(zip(code.tolist(), count.tolist(), strict=True)) == all_codes
     assert (ppm._unpack_codes(ppm._pack_codes(code)) == code).all()
+    again = np.random.default_rng(0).integers(0, len(code), 5000)
+    assert (ppm._Table(code, count.astype(float)).get(code[again]) == count[again]).all()
 
 
 def test_lm_scores(docs):
