@@ -34,9 +34,13 @@ SYLLABLES = {"latin": "ba bel cor dan der fen gar hol jan kel lin mar nor ost pe
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
-CARD = r"(?<![\d-])[3-6]\d{3}(?:[ -]?\d{4}){3}(?![\d-])"
+CARD = r"(?<![\d-])(?:[3-6]\d{3}(?:[ -]?\d{4}){3}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\d-])"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"
-NAME = rf"(?<!\p{{L}})(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+){{0,2}}"
+#: Country calling codes of one and two digits; all others have three.
+CALLING = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+#: A word of a name, with hyphens and apostrophes inside.
+WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:-?\p{Lu}\p{Ll}+)*"
+NAME = rf"(?<!\p{{L}})(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.? {WORD}(?: {WORD}){{0,2}}"
 ANY = f"{EMAIL}|{IP}|{CARD}|{PHONE}|{NAME}"
 KINDS = ["email", "ip", "card", "phone", "name"]
 
@@ -44,7 +48,7 @@ KINDS = ["email", "ip", "card", "phone", "name"]
 def kind_of(raw: Column) -> Column:
     digits = F.length(F.regexp_replace(raw, r"\D", ""))
     return (F.when(raw.contains("@"), "email").when(raw.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip").when(raw.rlike(r"^\p{L}"), "name")
-            .when((digits == 16) & ~raw.startswith("+"), "card").otherwise("phone"))
+            .when((digits >= 15) & ~raw.startswith("+"), "card").otherwise("phone"))
 
 
 def _words(raw: Column) -> Column:
@@ -57,9 +61,14 @@ def _gender(raw: Column) -> Column:
 
 
 def canonical(kind: Column, raw: Column) -> Column:
-    """What mentions of one entity have in common; names go by word (:func:`name_words`)."""
-    return (F.when(kind == "email", F.lower(raw)).when(kind == "card", F.regexp_replace(raw, r"\D", ""))
-            .when(kind == "phone", F.concat_ws("-", F.regexp_extract(raw, r"^\+(\d+)", 1), F.regexp_replace(F.regexp_replace(raw, r"^\+\d+", ""), r"\D", "")))
+    """What mentions of one entity have in common; names go by word (:func:`name_words`).
+
+    A phone number is its calling code, a hyphen and the rest; one without a
+    plus sign has the form of calling code 1.
+    """
+    digits = F.regexp_replace(raw, r"\D", "")
+    phone = F.when(raw.startswith("+"), F.regexp_replace(digits, rf"^({CALLING}|\d{{3}})", "$1-")).otherwise(F.concat(F.lit("1-"), digits))
+    return (F.when(kind == "email", F.lower(raw)).when(kind == "card", digits).when(kind == "phone", phone)
             .otherwise(raw))
 
 
@@ -126,6 +135,9 @@ def _surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column
     ip = F.concat_ws(".", *[(_draw(digest, i, 223 if i == 0 else 254) + 1).cast("string") for i in range(4)])
     ip = F.when(late > 0, F.concat(ip, F.lit(":1"), F.substring(digits, F.lit(1), late))).otherwise(ip)
     card = _luhn(F.concat(F.substring(value, 1, 1), *[_draw(digest, i, 10).cast("string") for i in range(14)]))
+    # A card of 15 digits keeps the two of its issuer; a zero in front changes no check digit.
+    short = F.substring(_luhn(F.concat(F.lit("0"), F.substring(value, 1, 2), *[_draw(digest, i, 10).cast("string") for i in range(12)])), 2, 15)
+    card = F.when(F.length(value) == 15, short).otherwise(card)
     # The country code before the hyphen stays, no number starts with 0 or 1.
     phone = F.concat(F.substring_index(value, "-", 1), F.lit("-"), (_draw(digest, -1, 8) + 2).cast("string"), _shaped(F.expr("substring(substring_index(value, '-', -1), 2)"), digest), F.substring(digits, F.lit(1), late))
     surname, given = _name(value, digest, attempt)
@@ -160,7 +172,9 @@ def surrogate_table(values: DataFrame, key: str) -> DataFrame:
 def _written(kind: Column, raw: Column, surrogate: Column) -> Column:
     """The surrogate in the form of a mention."""
     places = F.split(raw, "")
-    digits = F.split(F.regexp_replace(surrogate, r"\D", ""), "")
+    # A mention without a plus sign has no calling code.
+    written = F.when((kind == "phone") & ~raw.startswith("+"), F.substring_index(surrogate, "-", -1)).otherwise(surrogate)
+    digits = F.split(F.regexp_replace(written, r"\D", ""), "")
     number = F.transform(places, lambda c, i: F.when(c.rlike("[0-9]"), F.element_at(digits, F.size(F.filter(F.slice(places, F.lit(1), i + 1), lambda x: x.rlike("[0-9]"))))).otherwise(c))
     extra = F.when(kind == "phone", F.array_join(F.slice(digits, F.length(F.regexp_replace(raw, r"\D", "")) + 1, F.size(digits)), "")).otherwise("")
     return F.when(kind.isin("phone", "card"), F.concat(F.array_join(number, ""), extra)).otherwise(surrogate)
@@ -218,7 +232,12 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     right = per_text.withColumnsRenamed({"key": mark, "news": news, "bare": own, **{f"n_{k}": f"{mark}_{k}" for k in KINDS}})
     changed = keyed.where(flagged).join(right, F.col(inner) == F.col(mark))
     between = F.split(F.col(text_col), ANY, -1)
-    runs = F.transform(between, lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit(r"\p{L}+|\P{L}+"), F.lit(0)), lambda w: F.coalesce(F.element_at(F.col(own), w), w)), ""))
+
+    def swapped(text: Column, runs: str, other) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(runs), F.lit(0)), lambda w: F.coalesce(F.element_at(F.col(own), w), other(w))), "")
+
+    # Words with hyphens and apostrophes as they are, else their parts.
+    runs = F.transform(between, lambda x: swapped(x, r"\p{L}+(?:['’-]\p{Lu}\p{L}*)*|\P{L}+", lambda w: F.when(w.rlike("^\\p{L}+['’-]"), swapped(w, r"\p{L}+|\P{L}+", lambda v: v)).otherwise(w)))
     between = F.when(F.col(own).isNull(), between).otherwise(runs)
     text = F.array_join(F.zip_with(between, F.concat(F.col(news), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     changed = changed.select(*[text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in {f"n_{k}" for k in KINDS}],

@@ -475,3 +475,25 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(ids["mixing_sources"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def test_surrogates_of_one_number_in_every_format(spark):
+    forms = ["+19745553436", "+1 974 555 3436", "(974) 555-3436", "974-555-3436"]
+    table = [(i, f"call {x} now") for i, x in enumerate(forms)]
+    table += [(10, "call +4915112345678 now"), (11, "call +49 151 12345678 now"), (12, "call +358401234567 now"), (20, "card 3782 822463 10005 or 378282246310005."),
+              (30, "Dr Anna Schmidt-Meyer and Mr. O'Brien met. Later Schmidt-Meyer left, O'Brien's car stayed, and so did Schmidt-Meyer's.")]
+    got = {r.doc_id: r for r in surrogates.replace_pii(spark.createDataFrame(table, "doc_id long, text string"), "k").collect()}
+    digits = {i: "".join(c for c in r.text if c.isdigit()) for i, r in got.items()}
+    assert digits[0] == digits[1] and digits[0][0] == "1" and digits[2] == digits[3] == digits[0][1:]
+    assert digits[10] == digits[11] and digits[10][:2] == "49" and digits[12][:3] == "358"
+    for i, text in table[:8]:
+        # The form stays, no run of six digits of the number does.
+        assert "".join("0" if c.isdigit() else c for c in got[i].text) == "".join("0" if c.isdigit() else c for c in text)
+        old = "".join(c for c in text if c.isdigit())
+        assert not any(old[k:k + 6] in digits[i] for k in range(len(old) - 5))
+    card = digits[20][:15]
+    assert digits[20] == card * 2 and card[:2] == "37" and card != "378282246310005" and got[20].n_card == 2
+    assert sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(card[::-1])) % 10 == 0
+    assert not any(x in got[30].text for x in ("Anna", "Schmidt", "Meyer", "Brien")) and got[30].n_name == 2
+    first = got[30].text.split()
+    assert first[2] == first[8] and first[5] == first[10].removesuffix("'s")
