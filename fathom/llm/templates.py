@@ -19,12 +19,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import fresh, ship, small_side, stored, text_key
+from fathom.llm.common import fresh, ship, small_batches, small_side, stored, text_key
 
 #: Leading tokens on a path of the tree.
 DEPTH = 3
@@ -39,45 +40,97 @@ LONG = 10
 #: Shorter lines are never templates.
 TOKENS = 3
 VARIABLE = re.compile(rb"[0-9]")
+#: Odd number that sets a token's hash apart by its place.
+PLACE = np.int64(-7046029254386353131)
+#: Token hashes that a task remembers before it starts afresh.
+MEMO = 200_000
 
 
 def _hash(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data) - (1 << 63)
 
 
-def _tokens(line: bytes) -> list[bytes]:
-    return [b"\0" if VARIABLE.search(t) else t for t in line.split()]
+def _masked(tokens: list[bytes]) -> list[bytes]:
+    return [b"\0" if VARIABLE.search(t) else t for t in tokens]
 
 
-def _lines(texts: DataFrame, depth: int, tokens: int, long: int, with_places: bool) -> DataFrame:
-    """(key, line, leaf, wild, whole) of the lines that can be templates: wild has
-    the leaves with a wildcard in one leading place, whole stands for a long
-    line word for word; with places the hashes of the tokens and their places instead of whole."""
-    schema = "key binary, line int, leaf long, wild array<long>, " + ("places array<long>" if with_places else "whole long")
+def _nodes(tokens: list[bytes], depth: int) -> list[int]:
+    """The leaf of a line, then those with a wildcard in one leading place."""
+    head = _masked(tokens[:depth])
+    paths = [head, *([*head[:k], b"\0\0", *head[k + 1:]] for k in range(len(head)))]
+    return [_hash(b"%d " % len(tokens) + b" ".join(p)) for p in paths]
 
+
+def _lines(texts: DataFrame, depth: int, tokens: int, long: int) -> DataFrame:
+    """(key, line, nodes, whole) of the lines that can be templates; whole stands for a long line word for word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, lines, nodes, whole = [], [], [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for i, line in enumerate(text.split(b"\n")):
+                    found = line.split()
+                    if len(found) >= tokens:
+                        keys.append(key)
+                        lines.append(i)
+                        nodes.append(_nodes(found, depth))
+                        whole.append(_hash(b" ".join(found)) if len(found) >= long else None)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lines, pa.int32()), pa.array(nodes, pa.list_(pa.int64())),
+                                              pa.array(whole, pa.int64())], ["key", "line", "nodes", "whole"])
+
+    return texts.mapInArrow(run, "key binary, line int, nodes array<long>, whole long").withColumn("mark", F.xxhash64("key"))
+
+
+def _places(texts: DataFrame, depth: int, tokens: int) -> DataFrame:
+    """(key, line, nodes, places, again) of the lines of different texts: places
+    are hashes of the tokens with their places; again has for each node the
+    places that an earlier line of the text has in it, NULL where none has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, int] = {}
         for b in batches:
-            keys, lines, leaves, wild, last = [], [], [], [], []
+            keys, lines, nodes, flat, ends, texts_end = [], [], [], [], [0], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for i, line in enumerate(text.split(b"\n")):
-                    found = _tokens(line)
+                    found = line.split()
                     if len(found) < tokens:
                         continue
-                    head = found[:depth]
-                    leaf = b"%d " % len(found)
                     keys.append(key)
                     lines.append(i)
-                    leaves.append(_hash(leaf + b" ".join(head)))
-                    wild.append([_hash(leaf + b" ".join([*head[:k], b"\0\0", *head[k + 1:]])) for k in range(len(head))])
-                    if with_places:
-                        last.append([_hash(b"%d\n%s" % (k, t)) for k, t in enumerate(found)])
-                    else:
-                        last.append(_hash(b" ".join(line.split())) if len(found) >= long else None)
-            cols = [pa.array(keys, pa.binary()), pa.array(lines, pa.int32()), pa.array(leaves, pa.int64()), pa.array(wild, pa.list_(pa.int64())),
-                    pa.array(last, pa.list_(pa.int64()) if with_places else pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "line", "leaf", "wild", "places" if with_places else "whole"])
-
-    return texts.mapInArrow(run, schema).withColumn("mark", F.xxhash64("key"))
+                    nodes.append(_nodes(found, depth))
+                    for t in found:
+                        h = memo.get(t)
+                        if h is None:
+                            h = memo[t] = _hash(b"\0" if VARIABLE.search(t) else t)
+                        flat.append(h)
+                    ends.append(len(flat))
+                texts_end.append(len(keys))
+                if len(memo) > MEMO:
+                    memo.clear()
+            offsets = np.array(ends, np.int64)
+            nth = np.arange(len(flat), dtype=np.int64) - np.repeat(offsets[:-1], np.diff(offsets))
+            places = np.array(flat, np.int64) + nth * PLACE
+            again: list[list | None] = [None] * len(keys)
+            start = 0
+            for end in texts_end:
+                seen: dict[int, int | set[int]] = {}
+                for r in range(start, end):
+                    for j, node in enumerate(nodes[r]):
+                        had = seen.setdefault(node, r)
+                        if isinstance(had, int):
+                            if had == r:
+                                continue
+                            had = seen[node] = set(places[ends[had]:ends[had + 1]].tolist())
+                        mine = places[ends[r]:ends[r + 1]].tolist()
+                        if again[r] is None:
+                            again[r] = [None] * len(nodes[r])
+                        again[r][j] = [p for p in mine if p in had]
+                        had.update(mine)
+                start = end
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array(lines, pa.int32()), pa.array(nodes, pa.list_(pa.int64())),
+                 pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(places)), pa.array(again, pa.list_(pa.list_(pa.int64())))],
+                ["key", "line", "nodes", "places", "again"])
+
+    return texts.mapInArrow(run, "key binary, line int, nodes array<long>, places array<long>, again array<array<long>>").withColumn("mark", F.xxhash64("key"))
 
 
 def _recurring(rows: DataFrame, column: str, documents: int) -> DataFrame:
@@ -85,58 +138,87 @@ def _recurring(rows: DataFrame, column: str, documents: int) -> DataFrame:
     return rows.select(column, "mark").distinct().groupBy(column).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= documents)
 
 
-def _leaves(lines: DataFrame) -> DataFrame:
-    """A row for each leaf of a line; ``at`` is its wildcard's place, -1 without one."""
-    return lines.select("*", F.posexplode(F.concat(F.array("leaf"), "wild")).alias("at", "node")).drop("leaf", "wild").withColumn("at", F.col("at") - 1)
+def _once(texts: DataFrame, marks: DataFrame, rows: int) -> DataFrame:
+    """The texts with these marks, one row each; only texts that come again travel."""
+    some = texts.withColumn("mark", F.xxhash64("key")).join(small_side(marks, rows), "mark", "left_semi")
+    copies = stored(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "copied-texts")
+    copies = small_side(copies, copies.count())
+    return (some.join(copies, "key", "left_anti").select("key", "text")
+            .unionByName(some.join(copies, "key", "left_semi").select("key", "text").dropDuplicates(["key"])))
 
 
-def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, documents: int = DOCUMENTS,
-                    constant: float = CONSTANT, tokens: int = TOKENS, long: int = LONG) -> DataFrame:
-    """(key, line, template, first): lines of distinct texts (by their key) whose
-    template recurs in ``documents`` texts, or that two texts have word for
-    word if of ``long`` tokens; of a line's templates the coarsest; first: no
-    text with a lesser key has it."""
-    ship(docs.sparkSession)
-    texts = docs.where(F.col(text_col).isNotNull()).select(text_key(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    every = stored(_lines(texts, depth, tokens, long, False), "lines")
+def _templates(texts: DataFrame, depth: int, documents: int, constant: float, tokens: int, long: int) -> DataFrame:
+    """(key, line, rank, template) of every template of a line that recurs, the least rank the coarsest."""
+    every = stored(_lines(texts, depth, tokens, long), "lines")
     # Two texts are told apart by the least and the greatest of their marks.
     whole = every.where(F.col("whole").isNotNull()).groupBy("whole").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a != b").select("whole")
     whole = stored(whole, "whole-lines")
     copied = every.join(small_side(whole, whole.count()), "whole", "left_semi")
     # A wildcard needs several children, which are leaves without one.
-    children = every.select("leaf", "wild").dropDuplicates(["leaf"]).select(F.explode("wild").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    wild = F.explode(F.slice("nodes", 2, depth)).alias("node")
+    children = every.select("nodes").distinct().select(wild).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     children = stored(children.where(F.col("n") >= documents).select("node"), "children")
-    wild = every.select("mark", F.explode("wild").alias("node")).join(small_side(children, children.count()), "node", "left_semi")
-    nodes = _recurring(every.withColumnRenamed("leaf", "node"), "node", documents).unionByName(_recurring(wild, "node", documents))
+    generalised = every.select("mark", wild).join(small_side(children, children.count()), "node", "left_semi")
+    nodes = _recurring(every.withColumn("node", F.col("nodes")[0]).select("mark", "node").unionByName(generalised.select("mark", "node")), "node", documents)
     nodes = stored(nodes, "leaves")
-    nodes = small_side(nodes, nodes.count())
-    # Few lines reach a leaf that other documents reach; only their tokens are hashed and counted.
-    reach = stored(_leaves(every).join(nodes, "node", "left_semi").select("key").distinct(), "reach")
-    some = texts.join(small_side(reach, reach.count()), "key", "left_semi").dropDuplicates(["key"])
-    lines = stored(_leaves(_lines(some, depth, tokens, long, True)).join(nodes, "node"), "line-places")
-    place = lines.select("key", "mark", "line", "at", "node", "n", F.size("places").alias("tokens"), F.posexplode("places").alias("nth", "place"))
-    place = place.where(F.col("nth") != F.col("at")).withColumn("place", F.xxhash64("node", "place"))
-    fixed = stored(_recurring(place, "place", documents).withColumnRenamed("n", "texts"), "places")
-    # A group is one line in one leaf.
-    parts = place.join(fixed, "place").groupBy("key", "mark", "line", "at", "node", "n", "tokens").agg(
-        F.sort_array(F.collect_list(F.struct("nth", "place", "texts"))).alias("found"))
-
-    def level(rank: int, share: float) -> Column:
-        held = F.filter("found", lambda x: x["texts"] >= share * F.col("n"))
+    n_nodes = nodes.count()
+    # Only the texts that reach such a leaf are read again, for their tokens.
+    reach = stored(every.select("mark", F.explode("nodes").alias("node")).join(small_side(nodes, n_nodes), "node", "left_semi").select("mark").distinct(), "reach")
+    lines = _places(_once(texts, reach, reach.count()), depth, tokens)
+    lines = lines.select("key", "mark", "line", "places", "again", F.posexplode("nodes").alias("at", "node")).join(small_side(nodes, n_nodes), "node")
+    lines = lines.select("key", "mark", "line", "node", "n", "at", "places", F.col("again")[F.col("at")].alias("again"))
+    lines = stored(lines.withColumn("id", F.monotonically_increasing_id()), "line-places")
+    # A text counts once for a token at a place of a leaf; the wildcard's place has no token.
+    counted = F.when(F.col("again").isNull(), F.col("places")).otherwise(F.array_except("places", "again"))
+    place = lines.select("node", F.when(F.col("at") > 0, F.col("places")[F.col("at") - 1]).alias("skip"), F.explode(counted).alias("place"))
+    place = place.where(F.col("skip").isNull() | (F.col("place") != F.col("skip"))).groupBy("node", "place").agg(F.count(F.lit(1)).alias("texts"))
+    fixed = stored(place.where(F.col("texts") >= documents), "places")
+    # At a share s of the texts a place has 1/s tokens at most, so a leaf's constants by shares are one bounded row.
+    shared = fixed.join(small_side(nodes, n_nodes), "node").where(F.col("texts") >= SHARES[-1] * F.col("n"))
+    held_by = [f"held_{i}" for i in range(len(SHARES))]
+    leaves = stored(shared.groupBy("node").agg(*[F.collect_list(F.when(F.col("texts") >= s * F.col("n"), F.col("place"))).alias(h)
+                                                 for s, h in zip(SHARES, held_by, strict=True)]), "leaf-constants")
+
+    def template(rank: int, held: Column, more: bool) -> Column:
         # By shares, more than the leading tokens has to be constant; a wildcard's leaf has shares only.
-        enough = (F.size(held) > depth) if share else (F.col("at") < 0)
-        return F.when(enough & (F.size(held) >= constant * F.col("tokens")), F.struct(
-            (F.when(F.col("at") < 0, 10).otherwise(0) + rank).alias("rank"), F.xxhash64("node", F.transform(held, lambda x: x["place"])).alias("template")))
-
-    levels = F.array_compact(F.array(*[level(i, s) for i, s in enumerate([*SHARES, 0.0])]))
-    found = stored(parts.select("key", "mark", "line", F.explode(levels).alias("x")).select("key", "mark", "line", "x.*"), "templates")
-    kept = _recurring(found, "template", documents).select("template")
-    of = found.join(kept, "template", "left_semi").select("key", "line", "rank", "template")
-    of = of.unionByName(copied.select("key", "line", F.lit(99).alias("rank"), F.col("whole").alias("template")))
-    # A group is the templates of one line.
+        enough = (F.size(held) > depth) if more else (F.col("at") == 0)
+        return F.when(enough & (F.size(held) >= constant * F.size("places")), F.struct(
+            (F.when(F.col("at") == 0, 10).otherwise(0) + rank).alias("rank"), F.xxhash64("node", held).alias("template")))
+
+    # In a leaf of so few texts the finest share is ``documents`` texts at most.
+    few = F.col("n") * SHARES[-1] <= documents
+    levels = [template(i, F.array_intersect("places", h), True) for i, h in enumerate(held_by)]
+    levels.append(F.when(few, template(len(SHARES), F.array_intersect("places", held_by[-1]), False)))
+    by_share = lines.join(small_side(leaves, leaves.count() * 4), "node").select("key", "mark", "line", F.explode(F.array_compact(F.array(*levels))).alias("x"))
+    # In a larger leaf without a wildcard the tokens of ``documents`` texts are unbounded: those of each line are joined.
+    large = lines.where((F.col("at") == 0) & ~few)
+    tokens_of = large.select("id", "node", F.explode("places").alias("place")).join(small_side(fixed.select("node", "place"), fixed.count()), ["node", "place"], "left_semi")
+    # A group is the tokens of one line.
+    tokens_of = tokens_of.groupBy("id").agg(F.collect_list("place").alias("held"))
+    by_number = large.join(tokens_of, "id").select("key", "mark", "line", template(len(SHARES), F.array_intersect("places", "held"), False).alias("x"))
+    found = by_share.unionByName(by_number.where(F.col("x").isNotNull())).select("key", "mark", "line", "x.rank", "x.template")
+    found = stored(found, "templates")
+    kept = stored(_recurring(found, "template", documents).select("template"), "recurring-templates")
+    of = found.join(small_side(kept, kept.count()), "template", "left_semi").select("key", "line", "rank", "template")
+    return of.unionByName(copied.select("key", "line", F.lit(99).alias("rank"), F.col("whole").alias("template")))
+
+
+def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, documents: int = DOCUMENTS,
+                    constant: float = CONSTANT, tokens: int = TOKENS, long: int = LONG) -> DataFrame:
+    """(key, line, rank, template), a row for each template: lines of distinct
+    texts (by their key) whose template recurs in ``documents`` texts, or that
+    two texts have word for word if of ``long`` tokens; the least rank is the coarsest."""
+    ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
+    texts = docs.where(F.col(text_col).isNotNull()).select(text_key(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    return _templates(texts, depth, documents, constant, tokens, long)
+
+
+def _but_first(of: DataFrame) -> DataFrame:
+    """(key, line) without the first line, by key, of each line's coarsest template."""
     of = stored(of.groupBy("key", "line").agg(F.min(F.struct("rank", "template")).alias("x")).select("key", "line", "x.template"), "line-templates")
-    first = of.groupBy("template").agg(F.min(F.struct("key", "line")).alias("first"))
-    return of.join(first, "template").select("key", "line", "template", ((F.col("key") == F.col("first.key")) & (F.col("line") == F.col("first.line"))).alias("first"))
+    first = of.groupBy("template").agg(F.min(F.struct("key", "line")).alias("first")).select("first.key", "first.line")
+    return of.select("key", "line").join(first, ["key", "line"], "left_anti")
 
 
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text", keep_first: bool = False, depth: int = DEPTH,
@@ -152,7 +234,7 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", keep_first: bo
     """
     found = recurring_lines(docs, text_col, depth, documents, constant, tokens, long)
     if keep_first:
-        found = found.where(~F.col("first"))
+        found = _but_first(found)
     # A group is the lines of one text.
     drops = stored(found.groupBy("key").agg(F.collect_set("line").alias("lines")), "dropped-lines")
     weight = drops.agg(F.coalesce(F.sum(F.size("lines") + 4), F.lit(0))).first()[0]

@@ -5,6 +5,7 @@ texts, repeated rows, ties, and extra columns named like internal ones.
 """
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -334,6 +335,59 @@ def test_fields_stay_variable_in_a_large_corpus(spark, lead):
     assert (got.n, got.least) == (3000, 1)
 
 
+def _template_drops(texts: dict) -> dict:
+    """Lines that go, by id: the tree by plain loops over all texts."""
+    masked = {t: [(line, ["\0" if any(c in "0123456789" for c in w) else w for w in line.split()]) for line in t.split("\n")] for t in texts.values()}
+    rows = [(t, i, line, w) for t, ls in masked.items() for i, (line, w) in enumerate(ls) if len(w) >= templates.TOKENS]
+
+    def node(w, at):
+        return (len(w), *["*" if k == at else x for k, x in enumerate(w[:3])])
+
+    reach, kids, at_place = defaultdict(set), defaultdict(set), defaultdict(set)
+    for t, _, _, w in rows:
+        for at in (None, 0, 1, 2):
+            reach[at, node(w, at)].add(t)
+            kids[at, node(w, at)].add(node(w, None))
+            for k, x in enumerate(w):
+                if k != at:
+                    at_place[at, node(w, at), k, x].add(t)
+    of, by_template, words = defaultdict(set), defaultdict(set), defaultdict(set)
+    for t, i, line, w in rows:
+        if len(w) >= templates.LONG:
+            words[" ".join(line.split())].add(t)
+        for at in (None, 0, 1, 2):
+            n = len(reach[at, node(w, at)])
+            if n < 3 or (at is not None and len(kids[at, node(w, at)]) < 3):
+                continue
+            for share in (1 / 2, 1 / 8, 1 / 32, 0):
+                held = tuple((k, x) for k, x in enumerate(w) if k != at and len(at_place[at, node(w, at), k, x]) >= max(3, share * n))
+                if len(held) >= len(w) / 2 and (len(held) > 3 if share else at is None):
+                    of[t, i].add((at, node(w, at), held))
+                    by_template[at, node(w, at), held].add(t)
+    gone = {(t, i) for (t, i), found in of.items() if any(len(by_template[x]) >= 3 for x in found)}
+    gone |= {(t, i) for t, i, line, w in rows if len(words.get(" ".join(line.split()), ())) >= 2}
+    return {d: "\n".join(line for i, line in enumerate(t.split("\n")) if (t, i) not in gone) for d, t in texts.items()}
+
+
+def test_line_templates_equal_brute_force(spark):
+    rng = random.Random(7)
+    words = ["red", "blue", "sky", "sea", "ship", "port", "wave", "x1", "20", "3km"]
+    texts = {}
+    for d in range(500):
+        lines = [" ".join(rng.choices(words, weights=[8, 4, 4, 2, 2, 1, 1, 3, 3, 2], k=rng.choice([2, 3, 4, 5, 7, 11]))) for _ in range(rng.randint(0, 4))]
+        lines += [f"log {rng.choice('abcdefgh')} from {rng.choice(words)}{rng.choice('abcdefghijklmnop')} took {rng.randint(1, 99)} s to {rng.choice('pqrstuvw')} end"] * rng.randint(0, 2)
+        rng.shuffle(lines)
+        texts[d] = "\n".join(lines)
+    texts |= {500 + d: texts[d] for d in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = _template_drops(texts)
+    got = {r.doc_id: r for r in templates.drop_recurring_lines(df).collect()}
+    changed = sum(want[d] != t for d, t in texts.items())
+    assert 100 < changed and {d: r.text for d, r in got.items()} == want
+    stay = sum(r.n_lines - r.n_dropped for r in got.values())
+    assert stay > 300
+
+
 def test_long_lines_recur_from_two_documents(spark):
     long, short = " ".join(f"word{chr(97 + i)}" for i in range(20)), "only four words here"
     df = spark.createDataFrame([(i, f"own {chr(97 + i)}\n{long}\n{short}") for i in range(2)] + [(2, f"{long} more")], "doc_id long, text string")
