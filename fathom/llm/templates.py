@@ -40,41 +40,62 @@ LONG = 10
 #: Shorter lines are never templates.
 TOKENS = 3
 VARIABLE = re.compile(rb"[0-9]")
-#: Odd number that sets a token's hash apart by its place.
-PLACE = np.int64(-7046029254386353131)
+#: Odd numbers that set the hashes of tokens apart by their places (the golden ratio's powers in 64 bits), and what stands for a wildcard.
+MIX = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(64)], np.uint64).view(np.int64)
+WILDCARD = np.int64(0x632BE59BD9B4E019)
 #: Token hashes that a task remembers before it starts afresh.
-MEMO = 200_000
+MEMO = 100_000
 
 
 def _hash(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data) - (1 << 63)
 
 
-def _masked(tokens: list[bytes]) -> list[bytes]:
-    return [b"\0" if VARIABLE.search(t) else t for t in tokens]
+class _Tokens(dict):
+    """Hash of each token, of all variable fields the same; remembers them."""
 
+    def __missing__(self, token: bytes) -> int:
+        h = self[token] = _hash(b"\0" if VARIABLE.search(token) else token)
+        return h
 
-def _nodes(tokens: list[bytes], depth: int) -> list[int]:
-    """The leaf of a line, then those with a wildcard in one leading place."""
-    head = _masked(tokens[:depth])
-    paths = [head, *([*head[:k], b"\0\0", *head[k + 1:]] for k in range(len(head)))]
-    return [_hash(b"%d " % len(tokens) + b" ".join(p)) for p in paths]
+
+def _nodes(heads: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The leaf of each line, then those with a wildcard in one leading place."""
+    depth = heads.shape[1]
+    of = np.empty((len(counts), depth + 1), np.int64)
+    parts = heads * MIX[1:depth + 1]
+    of[:, 0] = parts.sum(axis=1) + counts * MIX[0]
+    for k in range(depth):
+        of[:, k + 1] = of[:, 0] - parts[:, k] + WILDCARD * (k + 1)
+    # Mixed, so that the sums do not show in the low bits.
+    of ^= of >> 29
+    of *= MIX[0]
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * (depth + 1)), pa.array(of.ravel()))
+
+
+def _heads(rows: list[list[int]], depth: int) -> np.ndarray:
+    return np.array([h if len(h) == depth else h + [0] * (depth - len(h)) for h in rows], np.int64).reshape(-1, depth)
 
 
 def _lines(texts: DataFrame, depth: int, tokens: int, long: int) -> DataFrame:
     """(key, line, nodes, whole) of the lines that can be templates; whole stands for a long line word for word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Tokens()
         for b in batches:
-            keys, lines, nodes, whole = [], [], [], []
+            keys, lines, heads, counts, whole = [], [], [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for i, line in enumerate(text.split(b"\n")):
                     found = line.split()
-                    if len(found) >= tokens:
+                    n = len(found)
+                    if n >= tokens:
                         keys.append(key)
                         lines.append(i)
-                        nodes.append(_nodes(found, depth))
-                        whole.append(_hash(b" ".join(found)) if len(found) >= long else None)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lines, pa.int32()), pa.array(nodes, pa.list_(pa.int64())),
+                        heads.append([memo[t] for t in found[:depth]])
+                        counts.append(n)
+                        whole.append(_hash(b" ".join(found)) if n >= long else None)
+                if len(memo) > MEMO:
+                    memo.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lines, pa.int32()), _nodes(_heads(heads, depth), np.array(counts, np.int64)),
                                               pa.array(whole, pa.int64())], ["key", "line", "nodes", "whole"])
 
     return texts.mapInArrow(run, "key binary, line int, nodes array<long>, whole long").withColumn("mark", F.xxhash64("key"))
@@ -85,48 +106,44 @@ def _places(texts: DataFrame, depth: int, tokens: int) -> DataFrame:
     are hashes of the tokens with their places; again has for each node the
     places that an earlier line of the text has in it, NULL where none has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
+        memo = _Tokens()
         for b in batches:
-            keys, lines, nodes, flat, ends, texts_end = [], [], [], [], [0], []
+            keys, lines, heads, flat, ends, texts_end = [], [], [], [], [0], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for i, line in enumerate(text.split(b"\n")):
                     found = line.split()
-                    if len(found) < tokens:
-                        continue
-                    keys.append(key)
-                    lines.append(i)
-                    nodes.append(_nodes(found, depth))
-                    for t in found:
-                        h = memo.get(t)
-                        if h is None:
-                            h = memo[t] = _hash(b"\0" if VARIABLE.search(t) else t)
-                        flat.append(h)
-                    ends.append(len(flat))
+                    if len(found) >= tokens:
+                        keys.append(key)
+                        lines.append(i)
+                        flat.extend(map(memo.__getitem__, found))
+                        heads.append(flat[ends[-1]:ends[-1] + depth] if len(found) > depth else flat[ends[-1]:])
+                        ends.append(len(flat))
                 texts_end.append(len(keys))
                 if len(memo) > MEMO:
                     memo.clear()
             offsets = np.array(ends, np.int64)
             nth = np.arange(len(flat), dtype=np.int64) - np.repeat(offsets[:-1], np.diff(offsets))
-            places = np.array(flat, np.int64) + nth * PLACE
+            places = np.array(flat, np.int64) + nth * MIX[0]
+            nodes = _nodes(_heads(heads, depth), np.diff(offsets))
             again: list[list | None] = [None] * len(keys)
-            start = 0
+            leaves, start = nodes.to_pylist(), 0
             for end in texts_end:
                 seen: dict[int, int | set[int]] = {}
                 for r in range(start, end):
-                    for j, node in enumerate(nodes[r]):
+                    for j, node in enumerate(leaves[r]):
                         had = seen.setdefault(node, r)
+                        if had is r:
+                            continue
                         if isinstance(had, int):
-                            if had == r:
-                                continue
                             had = seen[node] = set(places[ends[had]:ends[had + 1]].tolist())
                         mine = places[ends[r]:ends[r + 1]].tolist()
                         if again[r] is None:
-                            again[r] = [None] * len(nodes[r])
+                            again[r] = [None] * (depth + 1)
                         again[r][j] = [p for p in mine if p in had]
                         had.update(mine)
                 start = end
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(lines, pa.int32()), pa.array(nodes, pa.list_(pa.int64())),
+                [pa.array(keys, pa.binary()), pa.array(lines, pa.int32()), nodes,
                  pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(places)), pa.array(again, pa.list_(pa.list_(pa.int64())))],
                 ["key", "line", "nodes", "places", "again"])
 
