@@ -42,20 +42,26 @@ TOKENS = 3
 VARIABLE = re.compile(rb"[0-9]")
 #: Odd numbers that set the hashes of tokens apart by their places (the golden ratio's powers in 64 bits), and what stands for a wildcard.
 MIX = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(64)], np.uint64).view(np.int64)
-WILDCARD = np.int64(0x632BE59BD9B4E019)
+WILDCARD = np.int64(0x00632BE59BD9B4E1)
 #: Token hashes that a task remembers before it starts afresh.
 MEMO = 100_000
+HALF = 1 << 63
 
 
 def _hash(data: bytes) -> int:
-    return xxhash.xxh64_intdigest(data) - (1 << 63)
+    return xxhash.xxh64_intdigest(data) - HALF
+
+
+#: Stands for every variable field.
+FIELD = _hash(b"\0")
 
 
 class _Tokens(dict):
     """Hash of each token, of all variable fields the same; remembers them."""
 
     def __missing__(self, token: bytes) -> int:
-        h = self[token] = _hash(b"\0" if VARIABLE.search(token) else token)
+        plain = token.isalpha() or not VARIABLE.search(token)
+        h = self[token] = xxhash.xxh64_intdigest(token) - HALF if plain else FIELD
         return h
 
 
