@@ -24,10 +24,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal up to white space the row with the smallest doc_id stays; a null text counts as empty."""
     return quotient.drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays (3-word shingles, 3 bits)."""
     return simhash.drop_near_duplicates(docs, shingle=3, radius=3)
 
 
