@@ -83,3 +83,30 @@ def test_nearest_on_clusters_and_null_surveys(spark):
     for r in out:
         d = np.sqrt((x - r.lon) ** 2 + (y - r.lat) ** 2)
         assert r.src_idx == int(np.argmin(d)) and r.z == float(r.src_idx)
+
+
+def test_nearest_far_nodes_meet_few_boxes(spark, monkeypatch):
+    """A dense spot and a far fix: no block or node meets a level's boxes at once, and the answer is that of brute force."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    n = 6000  # 188 boxes
+    x, y = np.r_[rng.random(n) * 1e-2, 60.0], np.r_[rng.random(n) * 1e-2, 30.0]
+    df = spark.createDataFrame([(1, i, float(y[i]), float(x[i]), float(i)) for i in range(n + 1)], "survey_id long, idx long, latitude double, longitude double, depth double")
+    met, near = [], su._near
+    monkeypatch.setattr(su, "_near", lambda d, *sides: met.append(near(d, *sides)) or met[-1])
+    out = su.surface_nearest(df, 3.0).collect()
+    for r in out:
+        d = np.sqrt((x - r.lon) ** 2 + (y - r.lat) ** 2)
+        assert r.src_idx == int(np.argmin(d)) and r.z == float(r.src_idx)
+    # What the nodes themselves start with, and the work on each row of soundings.
+    assert met[-2].agg(F.max(F.size("boxes"))).first()[0] <= 2 * su.FANOUT
+
+
+def test_nearest_sorts_no_soundings(spark):
+    df = spark.createDataFrame([(1, 1, 0.5, 0.5, 1.0)], "survey_id long, idx long, latitude double, longitude double, z double")
+    assert "SortAggregate" not in su._distinct_locations(df)._jdf.queryExecution().executedPlan().toString()
+    locs = df.withColumns({c: F.lit(v) for c, v in (("min_lat", 0.0), ("max_lat", 1.0), ("min_lon", 0.0), ("max_lon", 1.0))})
+    plan = su._z_order(locs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("floor(") <= 2
+    x = int(0.5 * ((1 << su._BITS) - 1))  # interleaved with itself: every bit twice
+    assert su._z_order(locs).first().curve == int("".join(b * 2 for b in bin(x)[2:]), 2)
