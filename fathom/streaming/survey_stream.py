@@ -8,7 +8,9 @@
   the watermark are dropped by Spark.
 * duplicate coordinates: ``applyInPandasWithState`` keeps one count a
   coordinate, told once it is over the detector's threshold; event-time timers
-  drop coordinates that nothing came to for long.
+  drop coordinates that nothing came to for long.  The coordinates of a survey
+  are dealt into buckets by their hash: a call and a state row serve a bucket,
+  not a single coordinate, so calls do not grow with the coordinates.
 * depth jumps: ``applyInPandasWithState`` keyed by survey keeps the last
   (timestamp, idx, depth, position) across micro-batches; a micro-batch's
   rows of one survey are sorted and diffed in Arrow batches; rows older than
@@ -21,7 +23,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +35,8 @@ from fathom.operators import rules as rl
 from fathom.operators.detector import DUPLICATE_COORD_MIN, HIGH_JUMP, MAX_DEPTH_JUMP
 from fathom.sources.files import standardize
 
+#: Buckets that a survey's coordinates are dealt into.
+COORDINATE_BUCKETS = 128
 JUMP_SCHEMA = T.StructType([
     T.StructField("kind", T.StringType()),
     T.StructField("idx", T.LongType()), T.StructField("pos", T.LongType()),
@@ -64,33 +70,71 @@ def stream_timestamp_counts(stream: DataFrame, delay: str = "1 day") -> DataFram
                   .groupBy("survey_id", "timestamp").agg(F.count(F.lit(1)).alias("n")))
 
 
-def stream_coordinate_duplicates(stream: DataFrame, most: int = DUPLICATE_COORD_MIN, delay: str = "1 day", keep_days: float = 365.0) -> DataFrame:
+def _counts_from(state: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(state).read_pandas()
+
+
+def _counts_to(counts: pd.DataFrame) -> bytes:
+    table, sink = pa.Table.from_pandas(counts, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def stream_coordinate_duplicates(stream: DataFrame, most: int = DUPLICATE_COORD_MIN, delay: str = "1 day", keep_days: float = 365.0,
+                                 buckets: int = COORDINATE_BUCKETS) -> DataFrame:
     """Coordinates of a survey that more than ``most`` soundings share, as they
     arrive: (survey_id, latitude, longitude, n), again at each further arrival
     (the last n counts).  The state of a coordinate is its count; it goes when
     the watermark is ``keep_days`` past its last sounding.  Soundings without a
-    position have no coordinate; a NULL survey is a survey."""
+    position have no coordinate; a NULL survey is a survey.
+
+    A survey's coordinates are in ``buckets`` buckets; the state of one is the
+    table of its coordinates' counts, which a micro-batch updates as a whole."""
+    from fathom.session import ship_package
+    ship_package(stream.sparkSession)
     fields = [stream.schema[c] for c in ("survey_id", "latitude", "longitude")]
     schema = T.StructType([*fields, T.StructField("n", T.LongType())])
-    state_type = T.StructType([T.StructField("n", T.LongType()), T.StructField("last", T.LongType())])
+    state_type = T.StructType([T.StructField("counts", T.BinaryType())])
+    at, keep = ["latitude", "longitude"], int(keep_days * 86_400_000)
 
     def count(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        watermark = state.getCurrentWatermarkMs()
+        coords = [_counts_from(state.get[0])] if state.exists else []
+        held = len(coords[0]) if coords else 0
+        times = np.zeros(0, np.int64)
+        if not state.hasTimedOut:
+            rows = pd.concat([b[[*at, "timestamp"]] for b in batches], ignore_index=True)
+            known = rows["timestamp"].notna().to_numpy()
+            times = np.where(known, rows["timestamp"].to_numpy("datetime64[ms]").astype(np.int64), 0)
+            coords.append(rows[at])
+        # The first rows are the coordinates held, each once, so they have the first numbers.
+        every = pd.concat([c[at] for c in coords], ignore_index=True)
+        of = every.groupby(at, dropna=False, sort=False).ngroup().to_numpy()
+        new = np.flatnonzero(np.r_[True, of[1:] > np.maximum.accumulate(of)[:-1]])
+        n, last, until = (np.zeros(len(new), np.int64) for _ in range(3))
+        if held:
+            for to, c in ((n, "n"), (last, "last"), (until, "until")):
+                to[:held] = coords[0][c]
+        came = np.bincount(of[held:], minlength=len(new))
+        n += came
+        np.maximum.at(last, of[held:], times)
+        until = np.where(came > 0, np.maximum(last + keep, watermark + 1), until)
+        counts = every.iloc[new].assign(n=n, last=last, until=until)
+        told = counts[(came > 0) & (n > most)]
+        # As a timer of its own would: what nothing came to goes once the watermark has passed its time.
+        counts = counts[until >= watermark]
+        if len(counts):
+            state.update((_counts_to(counts),))
+            state.setTimeoutTimestamp(int(counts["until"].min()))
+        else:
             state.remove()
-            return
-        n, last = state.get if state.exists else (0, 0)
-        for b in batches:
-            n += len(b)
-            newest = b["timestamp"].max()
-            if not pd.isna(newest):
-                last = max(last, int(newest.timestamp() * 1000))
-        state.update((n, last))
-        state.setTimeoutTimestamp(max(last + int(keep_days * 86_400_000), state.getCurrentWatermarkMs() + 1))
-        if n > most:
-            yield pd.DataFrame({"survey_id": [key[0]], "latitude": [key[1]], "longitude": [key[2]], "n": [n]})
+        if len(told):
+            yield pd.DataFrame({"survey_id": [key[0]] * len(told), **{c: told[c].to_numpy() for c in [*at, "n"]}})
 
     placed = stream.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).withWatermark("timestamp", delay)
-    return (placed.select("survey_id", "latitude", "longitude", "timestamp").groupBy("survey_id", "latitude", "longitude")
+    bucket = F.pmod(F.xxhash64(*at), F.lit(buckets)).alias("bucket")
+    return (placed.select("survey_id", *at, "timestamp", bucket).groupBy("survey_id", "bucket")
             .applyInPandasWithState(count, schema, state_type, "update", GroupStateTimeout.EventTimeTimeout))
 
 

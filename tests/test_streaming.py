@@ -109,3 +109,39 @@ def test_depth_jumps_keep_any_survey_id(spark):
     got = sorted((r.survey_id or "", r.idx, r.value) for r in spark.read.parquet(out).collect())
     want = sorted((r.survey_id or "", r.idx, r.value) for r in det.jump_anomalies(det.depth_sequence(df)).collect())
     assert got == want and len(got) == 14
+
+
+def test_duplicate_coordinates_share_calls(spark):
+    """Coordinates of a bucket are counted in one call, each on its own: far fewer state rows than
+    coordinates, the batch counts (a sounding without a time too), and an idle one of a busy bucket is forgotten."""
+    days = [(1, 12), (2, 12), (25, 1), (26, 1), (27, 5)]
+    base = tempfile.mkdtemp(prefix="fathom-stream-bucket-")
+    landing, out, ckpt = os.path.join(base, "in"), os.path.join(base, "out"), os.path.join(base, "ckpt")
+    schema = "survey_id long, idx long, timestamp timestamp, latitude double, longitude double"
+    rows_of_state = []
+
+    def sink(batch, batch_id):
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+
+    for day, n in days:
+        # A third of the coordinates has no sounding in the later files; one more row has no time.
+        df = (spark.range(600 * n).select(F.lit(None if day == 2 else 3).cast("long").alias("survey_id"), F.col("id").alias("idx"),
+                                          F.make_timestamp(F.lit(2024), F.lit(1), F.lit(day), F.lit(0), F.lit(0), F.lit(0)).alias("timestamp"),
+                                          (F.col("id") % 600).cast("double").alias("latitude"), F.lit(2.0).alias("longitude"))
+              .where(F.lit(day < 25) | (F.col("latitude") >= 200)))
+        if day == 1:
+            df = df.unionByName(df.where("idx = 0").withColumn("timestamp", F.lit(None).cast("timestamp")))
+        df.write.mode("append").parquet(landing)
+        s = ss.soundings_stream(spark, landing, spark.createDataFrame([], schema).schema)
+        q = (ss.stream_coordinate_duplicates(s, keep_days=10.0, buckets=8).writeStream.outputMode("update").foreachBatch(sink)
+               .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+        rows_of_state.append(max(p.stateOperators[0].numRowsTotal for p in q.recentProgress))
+    assert max(rows_of_state) <= 2 * 8
+    got = {}
+    for r in spark.read.parquet(out).collect():
+        got.setdefault((r.survey_id, r.latitude), []).append(r.n)
+    assert set(got) == {(s, float(k)) for s in (None, 3) for k in range(600)}
+    assert got[(3, 0.0)] == [13] and got[(3, 1.0)] == [12] and got[(None, 5.0)] == [12]
+    # The others go on: the watermark never passes ten days after their last sounding within a run's rows.
+    assert all(sorted(got[(3, float(k))]) == [12, 13, 14, 19] for k in range(200, 600))
