@@ -140,33 +140,45 @@ def utm_to_wgs84_df(df, easting: str, northing: str, zone: Column | int, north:
 
     Written as one column the series repeats xi', eta' and chi inside every
     term, so the expression tree (and the generated code) grows
-    multiplicatively.  Each stage is its own projection; Catalyst does not
-    collapse projections that would duplicate non-trivial expressions, so
-    every intermediate is computed once per row.  Rows where ``keep`` is true
-    keep their original coordinates.
+    multiplicatively.  Each stage maps the last one's struct in an array of
+    one, so every intermediate is computed once per row.  Rows where ``keep``
+    is true keep their original coordinates; they have no array, and the
+    stages stay out of the generated code, which the JVM runs uncompiled when
+    it holds them.
     """
     zone_c = zone if isinstance(zone, Column) else F.lit(zone)
     north_c = north if isinstance(north, Column) else F.lit(bool(north))
     n0 = F.when(north_c, F.lit(0.0)).otherwise(F.lit(UTM_FALSE_NORTHING_SOUTH))
-    d = df.withColumns({
-        "_tm_xi": (F.col(northing) - n0) / F.lit(UTM_K0 * _A),
-        "_tm_eta": (F.col(easting) - F.lit(UTM_FALSE_EASTING)) / F.lit(UTM_K0 * _A),
-        "_tm_lon0": ((zone_c - F.lit(1)) * F.lit(6) - F.lit(177)).cast("double")})
-    xi, eta = F.col("_tm_xi"), F.col("_tm_eta")
-    xi_p, eta_p = xi, eta
-    for j, b in enumerate(_BETA, start=1):
-        xi_p = xi_p - F.lit(b) * F.sin(F.lit(2.0 * j) * xi) * F.cosh(F.lit(2.0 * j) * eta)
-        eta_p = eta_p - F.lit(b) * F.cos(F.lit(2.0 * j) * xi) * F.sinh(F.lit(2.0 * j) * eta)
-    d = d.withColumns({"_tm_xip": xi_p, "_tm_etap": eta_p})
-    d = d.withColumn("_tm_chi", F.asin(F.sin(F.col("_tm_xip")) / F.cosh(F.col("_tm_etap"))))
-    chi = F.col("_tm_chi")
-    phi = chi
-    for j, dl in enumerate(_DELTA, start=1):
-        phi = phi + F.lit(dl) * F.sin(F.lit(2.0 * j) * chi)
-    lat = F.degrees(phi)
-    lon = F.col("_tm_lon0") + F.degrees(F.atan2(F.sinh(F.col("_tm_etap")), F.cos(F.col("_tm_xip"))))
+    plane = F.struct(((F.col(northing) - n0) / F.lit(UTM_K0 * _A)).alias("xi"),
+                     ((F.col(easting) - F.lit(UTM_FALSE_EASTING)) / F.lit(UTM_K0 * _A)).alias("eta"),
+                     ((zone_c - F.lit(1)) * F.lit(6) - F.lit(177)).cast("double").alias("lon0"))
+
+    def sphere(v: Column) -> Column:
+        xi, eta = v["xi"], v["eta"]
+        xi_p, eta_p = xi, eta
+        for j, b in enumerate(_BETA, start=1):
+            xi_p = xi_p - F.lit(b) * F.sin(F.lit(2.0 * j) * xi) * F.cosh(F.lit(2.0 * j) * eta)
+            eta_p = eta_p - F.lit(b) * F.cos(F.lit(2.0 * j) * xi) * F.sinh(F.lit(2.0 * j) * eta)
+        return F.struct(xi_p.alias("xi"), eta_p.alias("eta"), v["lon0"].alias("lon0"))
+
+    def conformal(v: Column) -> Column:
+        return F.struct(F.asin(F.sin(v["xi"]) / F.cosh(v["eta"])).alias("chi"),
+                        (v["lon0"] + F.degrees(F.atan2(F.sinh(v["eta"]), F.cos(v["xi"])))).alias("lon"))
+
+    def degrees(v: Column) -> Column:
+        phi = v["chi"]
+        for j, dl in enumerate(_DELTA, start=1):
+            phi = phi + F.lit(dl) * F.sin(F.lit(2.0 * j) * v["chi"])
+        return F.struct(F.degrees(phi).alias("lat"), v["lon"].alias("lon"))
+
+    stages = F.array(plane)
+    if keep is not None:
+        stages = F.when(~F.coalesce(keep, F.lit(False)), stages)
+    for stage in (sphere, conformal, degrees):
+        stages = F.transform(stages, stage)
+    d = df.withColumn("_tm", stages)
+    lat, lon = F.col("_tm")[0]["lat"], F.col("_tm")[0]["lon"]
     if keep is not None:
         lat = F.when(keep, F.col(northing)).otherwise(lat)
         lon = F.when(keep, F.col(easting)).otherwise(lon)
-    return d.withColumns({lat_out: lat, lon_out: lon}).drop(
-        "_tm_xi", "_tm_eta", "_tm_lon0", "_tm_xip", "_tm_etap", "_tm_chi")
+    return d.withColumns({lat_out: lat, lon_out: lon}).drop("_tm")

@@ -1,7 +1,7 @@
 """Per-survey coordinate-system detection and reprojection to WGS84.
 
 A survey's coordinate ranges decide (one small aggregate row per survey,
-joined back; AQE broadcasts it when small): already geographic -> untouched;
+joined back, broadcast when small): already geographic -> untouched;
 projected metres -> inverse UTM of the configured source zone (the reference
 only ever detects zone 33 north, kept as the default).
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.operators.joins import join_null_safe
+from fathom.operators.joins import join_surveys
 from fathom.functions.geo import utm_to_wgs84_df
 
 WGS84 = "EPSG:4326"
@@ -38,7 +38,7 @@ def crs_profile(df: DataFrame, source_zone: int = 33, north: bool = True) -> Dat
 def reproject_to_wgs84(df: DataFrame, source_zone: int = 33, north: bool = True) -> DataFrame:
     """latitude/longitude in WGS84 degrees; ``source_crs`` says what was done."""
     prof = crs_profile(df, source_zone, north).select("survey_id", "is_wgs84", "source_crs")
-    j = join_null_safe(df, prof, ["survey_id"])
+    j = join_surveys(df, prof)
     move = (~F.col("is_wgs84")) & (F.col("source_crs") != WGS84)
     j = j.withColumn("reprojected", move)
     out = utm_to_wgs84_df(j, "longitude", "latitude", source_zone, north, keep=~F.col("reprojected"))

@@ -110,3 +110,23 @@ def test_nearest_sorts_no_soundings(spark):
     assert plan.lower().count("floor(") <= 2
     x = int(0.5 * ((1 << su._BITS) - 1))  # interleaved with itself: every bit twice
     assert su._z_order(locs).first().curve == int("".join(b * 2 for b in bin(x)[2:]), 2)
+
+
+def test_soundings_are_not_shuffled_to_their_survey(spark):
+    """Joining the survey's profile and bounds leaves the soundings where they are; a NULL survey is a survey."""
+    from fathom.operators.reproject import reproject_to_wgs84
+    rows = [(s, i, 40.0 + i / 100, -74.0 + i / 50, 1.0) for s in (1, None) for i in range(9)]
+    rows += [(2, i, 5500000.0 + 900 * i, 500000.0 + 900 * i, 1.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "survey_id long, idx long, latitude double, longitude double, depth double")
+    moved = reproject_to_wgs84(df)
+    cells = gr.cell_index(moved, gr.survey_grid_bounds(moved, 0.1), 0.1)
+    for d in (moved, cells):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        # The projection's series are mapped over an array that kept rows do not have.
+        assert "cosh" not in plan.lower() or "transform" in plan
+    got = {(r.survey_id, r.idx): r for r in cells.collect()}
+    assert len(got) == len(rows)
+    for s, i, la, lo, _ in rows:
+        r = got[(s, i)]
+        assert (r.latitude, r.longitude) == (la, lo) if s != 2 else 49 < r.latitude < 50 and 14.9 < r.longitude < 15.2
