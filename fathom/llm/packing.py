@@ -59,9 +59,11 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(definition)
+        self.model = self.tokenizer.model
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(len(self.ends))]
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -80,12 +82,19 @@ class WordIds(dict):
         return ids
 
     def learn(self, words: set[bytes]) -> None:
-        """Tokenize the new words among ``words`` that are letters only in one go.
+        """Tokenize the new words among ``words`` that are letters only: ASCII ones
+        by the tokenizer's model itself, the others in one go.
         Each gives one pre-token, and only a pre-token's last id ends a word."""
         if len(self) + len(words) > MEMO:
             self.clear()
         new = {(w.lower() if w.isascii() else w).rstrip(MARKS) for w in words if w not in self}
-        texts = [t for t in [w.decode() for w in new if w not in self and len(w) <= 64] if t.isalpha()]
+        new = [w for w in new if w not in self and len(w) <= 64 and (w.isalpha() or not w.isascii())]
+        texts = []
+        for t in map(bytes.decode, new):
+            if t.isascii():  # lower-case letters pass the steps before the model unchanged
+                self[t.encode()] = b"".join([self.bytes_of[i.id] for i in self.model.tokenize(t)])
+            elif t.isalpha():
+                texts.append(t)
         if not texts:
             return
         ids = self._encode(" ".join(texts))

@@ -551,3 +551,18 @@ def test_surrogates_of_one_number_in_every_format(spark):
     assert not any(x in got[30].text for x in ("Anna", "Schmidt", "Meyer", "Brien")) and got[30].n_name == 2
     first = got[30].text.split()
     assert first[2] == first[8] and first[5] == first[10].removesuffix("'s")
+
+
+def test_new_ascii_words_skip_the_pipeline(monkeypatch):
+    """The ids of new lower-case ASCII words come from the model itself and are those of the whole tokenizer."""
+    import public_tokenizers
+    from fathom.llm.packing import WordIds, token_bytes
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        memo = WordIds(f.read())
+    text = "The qz packing, of unheardofwords zzxqy Theneash! x s t re don't 12ab aileé ÉCOLE ſtraße"
+    want, encode, calls = memo.tokenizer.encode(text, add_special_tokens=False).ids, memo._encode, []
+    monkeypatch.setattr(memo, "_encode", lambda t: calls.append(t) or encode(t))
+    got = b"".join(token_bytes([text.encode()], memo))
+    assert [int.from_bytes(got[i:i + 4], "little") for i in range(0, len(got), 4)] == want
+    assert not any(w in " ".join(calls).split() for w in ("packing", "zzxqy", "theneash", "unheardofwords"))
